@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +81,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def map_texts(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields: str, keep_text: bool = False, piece: int = 1 << 22) -> DataFrame:
+    """``docs`` with the columns ``fields`` that ``kernel`` makes of slices of the column text; no shuffle.
+
+    The other columns pass through; columns that ``fields`` names are replaced; text goes, unless ``keep_text``.
+    """
+    tuned(docs.sparkSession)
+    made = [f.strip().split(" ")[0] for f in _split_fields(fields)]
+    kept = [f for f in docs.schema.fields if f.name not in made and f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(["text string"] if keep_text else []), fields])
+    names = [*(f.name for f in kept), *(["text"] if keep_text else []), *made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, piece):
+                texts = part.column("text")
+                cols = [part.column(f.name) for f in kept] + ([texts] if keep_text else [])
+                yield pa.RecordBatch.from_arrays([*cols, *kernel(texts)], names=names)
+
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), "text").mapInArrow(run, schema)
+
+
+def _split_fields(fields: str) -> list[str]:
+    out, depth = [""], 0
+    for ch in fields:
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covertile.llm import chat, langid, secrets, sharding, toxicity
+from covertile.llm import bpe, chat, decontam, langid, secrets, sharding, toxicity
 from covertile.llm.common import held_out
 
 
@@ -33,6 +33,17 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 40)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"select cast(-7 as bigint) as conv_id, turn, role, '{said}' as text from values (cast(0 as bigint), 'user'), (cast(1 as bigint), 'assistant') as t(turn, role)")
@@ -45,6 +56,8 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_virtual_slots": op5_virtual_slots,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_decontamination": op8_decontamination,
     "op10_reply_trees": op10_reply_trees,
 }
 
