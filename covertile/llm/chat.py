@@ -14,6 +14,8 @@ first; repeated rows are turns of their own; a node whose parent is missing is a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +58,22 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     # a parent that is not there makes a root
     step = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
     first = saved(step)
-    jumps, level = [first], first
-    while not level.filter("up is not null").isEmpty():
+    # nodes whose jump passed the root are done; only the others are joined and written again
+    done, active, jumps = [first.filter("up is null")], first.filter("up is not null"), []
+    while not active.isEmpty():
+        jumps.append(active.select("tree", "node", "up"))
+        level = reduce(DataFrame.unionByName, [*done, active])
         over = level.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        level = saved(
-            level.join(over, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")
-            )
-        )
-        jumps.append(level)
+        step = saved(active.join(over, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth")))
+        done.append(step.filter("up is null"))
+        active = step.filter("up is not null")
+    level = reduce(DataFrame.unionByName, done)
     inner = first.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = level.join(inner, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     path = leaves.withColumn("branch", rank).filter(F.col("branch") <= top).select("tree", "branch", "node", "depth")
-    for k in range(len(jumps) - 2, -1, -1):  # ancestors 2^k above what is there
-        up = jumps[k].filter("up is not null").select("tree", "node", "up")
-        above = path.join(up, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - F.lit(1 << k)).alias("depth"))
+    for k in range(len(jumps) - 1, -1, -1):  # ancestors 2^k above what is there
+        above = path.join(jumps[k], ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - F.lit(1 << k)).alias("depth"))
         path = saved(path.unionByName(above))
     return path
 

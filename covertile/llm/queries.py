@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covertile.llm import bpe, chat, decontam, langid, secrets, sharding, toxicity
+from covertile.llm import ann, bpe, chat, decontam, langid, secrets, sharding, toxicity
 from covertile.llm.common import held_out
 
 
@@ -19,6 +19,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), prototypes)
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_collision_counting": op2_collision_counting,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_virtual_slots": op5_virtual_slots,
