@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 
 from covertile.llm.common import saved, tuned
 
-PROJECTIONS, SEED = 40, 7
+PROJECTIONS, SEED = 64, 7
+#: A search ends when the k-th distance is within REACH x radius x sqrt(dimension): the windows then hold a vector at that
+#: distance with probability erf(1 / (REACH x sqrt 2)) each, which has to exceed the threshold.
+REACH = 1.4
 
 
 class Shard:
@@ -70,7 +73,7 @@ class Shard:
             if len(places) >= max(k, least):
                 # a vector at distance s differs along a random axis by about s / sqrt(dimension)
                 kth = np.partition(dist, k - 1)[k - 1]
-                if kth <= radius * np.sqrt(len(query)) * 0.9:
+                if kth <= radius * np.sqrt(len(query)) * REACH:
                     break
             radius *= 1.25
         order = np.lexsort((places, dist))
@@ -98,7 +101,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 65_536, threshold: float = 0.5, least: int = 100) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 65_536, threshold: float = 0.46, least: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k nearest of ``rows`` (vec_id, embedding) but itself.
 
     Each shard's vectors stay in one task, at most about ``shard_rows`` x (16 x length + 12 x PROJECTIONS) bytes; the
