@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covertile.llm import ann, bpe, chat, decontam, langid, secrets, sharding, toxicity
+from covertile.llm import ann, bpe, chat, decontam, jaccard, langid, secrets, sharding, toxicity
 from covertile.llm.common import held_out
 
 
@@ -38,6 +38,10 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 40)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontamination": op8_decontamination,
     "op10_reply_trees": op10_reply_trees,
