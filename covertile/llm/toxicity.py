@@ -13,8 +13,6 @@ score is 0. Repeated rows get equal scores. Texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covertile.llm.common import mix64, pieces, tuned
+from covertile.llm.common import map_texts, mix64, tuned
 
 BITS = 18
 SIZE = 1 << BITS
@@ -122,25 +120,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 24_576)
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` (text and other columns) without text, with ``score`` (0..1) and ``predicted`` (1 if score >= 0.3)."""
-    spark = tuned(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "score", "predicted")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "predicted int"])
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``score`` (0..1) and ``predicted`` (1 if score >= 0.3); its text stays only if ``keep_text``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         at, values = sent.value
         w = np.zeros(SIZE + 1)
         w[at] = values
-        for batch in batches:
-            for part in pieces(batch, 1 << 21):
-                row, place, words = occurrences(part.column("text"))
-                some = w[place] != 0
-                row, place = distinct(row[some], place[some])
-                total = np.bincount(row, w[place], minlength=part.num_rows) * scale(words) + w[BIAS]
-                s = _sigmoid(total) if len(at) else np.zeros(part.num_rows)
-                cols = [part.column(f.name) for f in kept] + [pa.array(s), pa.array((s >= CUT).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in kept), "score", "predicted"])
-
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), "text").mapInArrow(run, schema)
+        row, place, words = occurrences(texts)
+        some = w[place] != 0
+        row, place = distinct(row[some], place[some])
+        total = np.bincount(row, w[place], minlength=len(texts)) * scale(words) + w[BIAS]
+        s = _sigmoid(total) if len(at) else np.zeros(len(texts))
+        return [pa.array(s), pa.array((s >= CUT).astype(np.int32))]
+
+    return map_texts(docs, run, "score double, predicted int", keep_text, piece=1 << 21)
