@@ -153,7 +153,7 @@ def _scan(texts: pa.Array, w: Windows) -> list[pa.Array]:
         shift = o_at - o_word
         new[1:] = (o_doc[1:] != o_doc[:-1]) | (o_item[1:] != o_item[:-1]) | (shift[1:] != shift[:-1]) | (o_at[1:] != o_at[:-1] + 1)
     begin = np.flatnonzero(new)
-    stop = np.append(begin[1:], len(new)) - 1
+    stop = np.append(begin[1:], len(new))[: len(begin)] - 1  # of the run
     m_doc = o_doc[begin]
     matches = pa.StructArray.from_arrays([pa.array(o_item[begin]), pa.array(o_word[begin]), pa.array(o_at[begin] - first[m_doc]), pa.array(o_at[stop] + o_size[stop] - o_at[begin])], ["item_id", "item_word", "doc_word", "words"])
     return [pa.array(n_words, pa.int64()), _lists(own, n, spans), _lists(m_doc, n, matches)]
