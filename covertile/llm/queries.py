@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covertile.llm import ann, bpe, chat, decontam, jaccard, langid, secrets, sharding, toxicity
+from covertile.llm import ann, bpe, chat, decontam, jaccard, langid, secrets, sharding, substrings, toxicity
 from covertile.llm.common import held_out
 
 
@@ -53,6 +53,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"select cast(-7 as bigint) as conv_id, turn, role, '{said}' as text from values (cast(0 as bigint), 'user'), (cast(1 as bigint), 'assistant') as t(turn, role)")
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_reply_trees": op10_reply_trees,
 }
 
