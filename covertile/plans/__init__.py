@@ -1,0 +1 @@
+"""Plans: the whole analysis, and the registered queries."""

@@ -1,8 +1,552 @@
-"""Registered queries of the library."""
+"""The registered queries of the library on the driver's tables, and the SQL that says what each returns.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Numbers with a fraction are rounded to six digits in both.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from covertile import functions as fn
+from covertile.operators import assign, calibrate, classify, evidence, explore, intervals, mask, metrics, payload, reads, registry, robust, scoring, segment, summaries, tiling
+from covertile.params import Params
+from covertile.plans import mapping as mp
+from covertile.plans.tables import saved
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, never a negative zero."""
+    return df.select(*((F.round(F.col(f.name), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields))
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(expr: str) -> str:
+    return f"(round({expr}, 6) + 0.0)"
+
+
+# what the mapping of the driver's tables is in SQL
+READS = """
+ali as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as read, c_mktsegment as sample, r_name as grp, case when l_returnflag = 'R' then 'donor' else 'recipient' end as role,
+  l_linestatus as component, r_name || '_' || case when l_returnflag = 'R' then 'donor' else 'recipient' end || '_' || l_linestatus as chr_id,
+  date_diff('day', date '1995-01-01', l_shipdate::date) as start, date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::bigint as stop,
+  round(l_discount * 1000)::int as mapq, l_tax as tax
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
+  join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+pieces as (select *, greatest(start, iid * 26) as cs, least(stop, (iid + 1) * 26) as ce from (
+  select *, unnest(generate_series(((start + 1) * 100 - 1) // 2600, (stop * 100 - 1) // 2600)) as iid from ali where stop > start)),
+cnt as (select sample, chr_id, iid, count(distinct read) as "count", count(distinct read) filter (mapq >= 30) as mapq_high from pieces group by all),
+cov as (select sample, chr_id, iid, sum(greatest(0, ce - greatest(cs, coalesce(far, cs))))::bigint as covered from (
+  select *, max(ce) over (partition by sample, chr_id, iid order by cs, ce rows between unbounded preceding and 1 preceding) as far from pieces) group by all)"""
+METRICS = (
+    READS
+    + """,
+win as (select * from (select distinct chr_id, grp, role, component from ali) cross join (select unnest(generate_series(0, 99)) as iid)),
+tax as (select chr_id, ((start + 1) * 100 - 1) // 2600 as iid, avg(tax) as gc from ali group by all),
+m0 as (select s.sample, w.*, w.iid * 26 as start, w.iid * 26 + 26 as stop, 26 as length, coalesce(c."count", 0) as "count", coalesce(c.mapq_high, 0) as mapq_high, coalesce(v.covered, 0) as covered, tax.gc
+  from win w cross join (select distinct c_mktsegment as sample from customer) s left join cnt c using (sample, chr_id, iid) left join cov v using (sample, chr_id, iid) left join tax using (chr_id, iid)),
+m as (select *, covered / 26 as breadth, case when "count" > 0 then mapq_high / "count" end as mapq_high_fraction, -ln(greatest(1 - covered / 26, 1e-12)) as lambda_breadth, "count" * 20.0 / 26 as lambda_count from m0)"""
+)
+
+
+def scores_sql(how: str = "max", metric: str = "breadth", score: str = "ratio") -> str:
+    d = {"breadth": "lambda_breadth", "count": "lambda_count", "combined": "sqrt((lambda_breadth + 1e-4) * (lambda_count + 1e-4))"}[metric]
+    donor = {"max": "b.d", "mean": "mean_d", "sum": "sum_d"}[how]
+    name = "b.component" if how == "max" else "case when n_donor = 1 then one end"
+    value = "ln(donor_mean + 1e-4) - ln(recipient_mean + 1e-4)" if score == "ratio" else "ln(donor_mean + 1e-4)"
+    return (
+        METRICS
+        + f""",
+rec as (select sample, grp, iid, avg({d}) as recipient_mean, count(distinct component) as n_recipient, avg(gc) as gc_recipient, avg(mapq_high_fraction) as mapq_recipient from m where role = 'recipient' group by all),
+don as (select m.sample, m.grp, m.iid, component, gc, mapq_high_fraction, {d} as d, rec.* exclude (sample, grp, iid), ln({d} + 1e-4) - ln(recipient_mean + 1e-4) as delta from m join rec using (sample, grp, iid) where role = 'donor'),
+agg as (select sample, grp, iid, recipient_mean, n_recipient, gc_recipient, mapq_recipient, avg(d) as mean_d, sum(d) as sum_d, count(distinct component) as n_donor, count(*) filter (delta > 0.5) as supported_donors, avg(gc) as gc_donor, avg(mapq_high_fraction) as mapq_donor, min(component) as one from don group by all),
+b as (select * from (select *, row_number() over (partition by sample, grp, iid order by delta desc, component) as r from don) where r = 1),
+s0 as (select agg.*, {donor} as donor_mean, {name} as donor_component from agg join b using (sample, grp, iid)),
+s as (select *, {value} as score, ln(donor_mean + 1e-4) as log_donor, ln(recipient_mean + 1e-4) as log_recipient, ln(donor_mean + recipient_mean + 1e-4) as log_total,
+  coalesce((mapq_donor + mapq_recipient) / 2, mapq_donor, mapq_recipient) as mapq_high_fraction from s0)"""
+    )
+
+
+SCORES = scores_sql()
+RESIDUALS = (
+    SCORES
+    + """,
+res as (select *, log_donor - median(log_donor) over (partition by sample, grp) as donor_residual, log_recipient - median(log_recipient) over (partition by sample, grp) as recipient_residual,
+  log_total - median(log_total) over (partition by sample, grp) as total_residual from s)"""
+)
+CALLS = (
+    RESIDUALS
+    + """,
+isl as (select *, iid - row_number() over (partition by sample, grp order by iid) as i from res where score > 0.2),
+seg as (select sample, grp, min(iid) as start_iid, max(iid) as end_iid, count(*) as n_windows, avg(score) as score_mean, avg(donor_residual) as donor_residual, avg(recipient_residual) as recipient_residual,
+  avg(total_residual) as total_residual, avg(supported_donors) as supported_donors, avg(mapq_high_fraction) as mapq_high_fraction from isl group by sample, grp, i),
+wid as (select *, start_iid * 2600000 as start_bp, (end_iid + 1) * 2600000 as end_bp, (end_iid + 1 - start_iid) * 2600000 as width_bp from seg),
+bin as (select *, case when width_bp >= 100e6 then 4 when width_bp >= 50e6 then 3 when width_bp >= 25e6 then 2 when width_bp >= 10e6 then 1 when width_bp >= 5e6 then 0 end as bin from wid),
+calls as (select *, case bin when 0 then '5-10' when 1 then '10-25' when 2 then '25-50' when 3 then '50-100' when 4 then '>100' end as length_bin, coalesce(bin is not null and score_mean > 0.25, false) as pass from bin)"""
+)
+CLASSIFIED = (
+    CALLS
+    + """,
+sig as (select *, donor_residual > 0.5 as gain, recipient_residual < -0.5 as loss, recipient_residual > 0.5 as rgain, total_residual > 0.5 as tgain, total_residual < -0.5 as tloss from calls),
+cmp as (select *, (gain and loss and (tgain or tloss)) or (gain and not loss and tloss) or (loss and not gain and tgain) or (gain and rgain) as compound from sig),
+cls as (select *, case when compound then 'complex' when gain and loss then 'substitution' when gain and rgain then 'complex' when gain then 'addition' when loss then 'deletion' else 'other' end as class from cmp),
+cnf as (select *, case when compound then 'low'
+    when pass and case class when 'substitution' then donor_residual >= 1 and recipient_residual <= -0.5 and not tgain and not tloss when 'addition' then donor_residual >= 1 and total_residual >= 0 when 'deletion' then recipient_residual <= -1 and total_residual <= -1 else false end then 'high'
+    when pass and class in ('substitution', 'addition', 'deletion') then 'moderate' else 'low' end as conf,
+  case when compound then 'compound' when tgain then 'gain' when tloss then 'loss' when class = 'substitution' then 'balanced' else 'neutral' end as copy_state,
+  case when supported_donors > 1 then 'heterogeneous' else 'homogeneous' end as component_status,
+  case when mapq_high_fraction < 0.5 then 'low' when mapq_high_fraction >= 0.5 then 'ok' end as mappability_status from cls),
+sta as (select *, case when compound then 'needs_review' when class = 'other' and (tgain or tloss) and pass then 'ambiguous' when not pass then 'needs_review' when conf = 'high' then 'confident' when conf = 'moderate' then 'ambiguous' else 'needs_review' end as st from cnf),
+k as (select *, case when conf = 'high' and (component_status = 'heterogeneous' or coalesce(mappability_status = 'low', false)) then 'moderate' else conf end as class_confidence,
+  case when conf = 'high' and (component_status = 'heterogeneous' or coalesce(mappability_status = 'low', false)) and st = 'confident' then 'ambiguous' else st end as class_status from sta)"""
+)
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(mp.call_rows(spark, sf_dir), mp.PARAMS)
+
+
+@query("""select s_suppkey as chr_id, iid, iid * (1000 + s_suppkey % 977) // 20 as start, (iid + 1) * (1000 + s_suppkey % 977) // 20 as stop
+from supplier cross join (select unnest(generate_series(0, 19)) as iid)""")
+def tile_exact_n(spark, sf_dir):
+    """Every supplier as a contig of its own length, tiled by 20 windows."""
+    c = mp.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chr_id"), (1000 + F.col("s_suppkey") % 977).alias("length"))
+    return tiling.tile(c, 20).select("chr_id", "iid", "start", "stop")
+
+
+@query(f'with {READS} select sample, chr_id, iid, "count", mapq_high from cnt')
+def window_counts(spark, sf_dir):
+    return mp.window_counts(spark, sf_dir).select("sample", "chr_id", "iid", "count", "mapq_high")
+
+
+@query(f"with {READS} select sample, chr_id, iid, covered from cov")
+def window_coverage(spark, sf_dir):
+    rows = mp.intervals_of(spark, sf_dir)
+    return reads.union_length(reads.in_windows(rows, mp.contigs(rows), mp.N), ["sample", "chr_id", "iid"])
+
+
+@query("""with p as (select o_orderstatus as chr_id, floor(o_totalprice)::bigint as pos, count(*) as k from orders group by all),
+r as (select p_partkey as range_id, case p_size % 3 when 0 then 'F' when 1 then 'O' else 'P' end as chr_id, floor(p_retailprice * 100)::bigint as start, floor(p_retailprice * 100)::bigint + 500 + p_size as stop from part)
+select r.range_id, r.start, r.stop, coalesce(sum(k), 0)::bigint as n from r left join p on r.chr_id = p.chr_id and p.pos >= r.start and p.pos < r.stop group by all""")
+def count_ranges(spark, sf_dir):
+    """Orders whose price lies in each part's price range, by status."""
+    points = mp.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("chr_id"), F.floor("o_totalprice").alias("pos"))
+    p = mp.table(spark, sf_dir, "part")
+    status = F.when(F.col("p_size") % 3 == 0, "F").when(F.col("p_size") % 3 == 1, "O").otherwise("P")
+    lo = F.floor(F.col("p_retailprice") * 100)
+    return reads.count_ranges(points, p.select(F.col("p_partkey").alias("range_id"), status.alias("chr_id"), lo.alias("start"), (lo + 500 + F.col("p_size")).alias("stop"))).select("range_id", "start", "stop", "n")
+
+
+@query(f"""with {METRICS} select sample, chr_id, iid, "count", mapq_high, covered, {r6("gc")} as gc, {r6("breadth")} as breadth, {r6("mapq_high_fraction")} as mapq_high_fraction, {r6("lambda_breadth")} as lambda_breadth, {r6("lambda_count")} as lambda_count from m""")
+def window_metrics(spark, sf_dir):
+    return mp.metric_rows(spark, sf_dir).select("sample", "chr_id", "iid", "count", "mapq_high", "covered", "gc", "breadth", "mapq_high_fraction", "lambda_breadth", "lambda_count")
+
+
+@query(f"""with {METRICS} select sample, grp, role, component, count(*) as n_windows, count(distinct chr_id) as n_contigs, sum("count")::bigint as reads, {r6("avg(breadth)")} as mean_breadth, {r6("median(breadth)")} as median_breadth, {r6("stddev_samp(breadth)")} as sd_breadth, {r6("avg(lambda_count)")} as mean_lambda_count from m group by all""")
+def metrics_summary(spark, sf_dir):
+    return summaries.metrics_summary(mp.metric_rows(spark, sf_dir))
+
+
+@query(f"""with {METRICS} select sample, chr_id, count(*) as n_windows, sum("count")::bigint as reads, sum(covered)::bigint as covered, {r6("avg(breadth)")} as mean_breadth, {r6("max(breadth)")} as max_breadth, {r6("avg(mapq_high_fraction)")} as mean_mapq_high, {r6("avg(gc)")} as mean_gc from m group by all""")
+def contig_summary(spark, sf_dir):
+    return summaries.contig_summary(mp.metric_rows(spark, sf_dir))
+
+
+PAIR = ["sample", "grp", "iid", "score", "donor_mean", "recipient_mean", "donor_component", "n_donor", "n_recipient", "supported_donors", "mapq_high_fraction", "log_total"]
+PAIR_SQL = f"sample, grp, iid, {r6('score')} as score, {r6('donor_mean')} as donor_mean, {r6('recipient_mean')} as recipient_mean, donor_component, n_donor, n_recipient, supported_donors, {r6('mapq_high_fraction')} as mapq_high_fraction, {r6('log_total')} as log_total"
+
+
+def _pairs(name: str, params: Params, sql: str) -> None:
+    def f(spark, sf_dir):
+        return mp.score_rows(spark, sf_dir, params).select(*PAIR)
+
+    f.__name__ = name
+    query(f"with {sql} select {PAIR_SQL} from s")(f)
+
+
+_pairs("pair_scores_max", mp.PARAMS, SCORES)
+_pairs("pair_scores_mean", Params(donor_aggregation="mean"), scores_sql("mean"))
+_pairs("pair_scores_sum", Params(donor_aggregation="sum"), scores_sql("sum"))
+_pairs("donor_only", Params(score_type="donor"), scores_sql(score="donor"))
+_pairs("combined_depth", Params(metric="combined"), scores_sql(metric="combined"))
+
+
+@query(f"""with {METRICS}, l as (select *, ln(lambda_breadth + 1e-4) as l from m where role = 'donor'), c as (select *, l - median(l) over (partition by sample, grp, component) as v from l)
+select sample, grp, iid, {r6("case when count(v) >= 2 then max(v) - min(v) else 0 end")} as donor_spread from c group by all""")
+def component_spread(spark, sf_dir):
+    return scoring.spread(mp.metric_rows(spark, sf_dir), "donor", mp.PARAMS)
+
+
+@query(f"with {SCORES} select grp, iid, {r6('avg((score > 0.5)::int)')} as f from s group by all")
+def recurrence_fraction(spark, sf_dir):
+    return mask.recurrence(mp.score_rows(spark, sf_dir))
+
+
+@query()
+def recurrence_mask(spark, sf_dir):
+    """Masked windows by a mixture of recurrences per group (grouped-map EM)."""
+    m = saved(mp.metric_rows(spark, sf_dir))
+    return mask.recurrence_mask(scoring.score_pairs(m, mp.PARAMS), m)
+
+
+@query(f"""with {SCORES}, a as (select sample, grp, iid, log_donor - median(log_donor) over (partition by grp, iid) as v from s)
+select sample, grp, iid, {r6("v - median(v) over (partition by sample)")} as log_donor from a""")
+def median_polish_sweep(spark, sf_dir):
+    """One sweep: windows' medians, then samples'."""
+    s = mp.score_rows(spark, sf_dir).select("sample", "grp", "iid", "log_donor")
+    return robust.polish_sweep(s, ["grp", "iid"], "sample", "log_donor").select("sample", "grp", "iid", "log_donor")
+
+
+@query()
+def median_polish(spark, sf_dir):
+    """Sweeps until no residual moves."""
+    return robust.median_polish(mp.score_rows(spark, sf_dir).select("sample", "grp", "iid", "log_donor"), ["grp", "iid"], "sample", "log_donor")
+
+
+@query()
+def gc_regression(spark, sf_dir):
+    """Residuals of a natural spline of donor depth on the windows' mean tax, per sample."""
+    s = mp.score_rows(spark, sf_dir).select("sample", "grp", "iid", "log_donor", "gc_donor")
+    return robust.gc_regression(s, ["sample"], "log_donor", ["gc_donor"]).select("sample", "grp", "iid", "residual")
+
+
+@query(f"""with {RESIDUALS}, i0 as (select *, iid - row_number() over (partition by sample, grp order by iid) as i from res where score > 0.2),
+sg as (select sample, grp, min(iid) as start_iid, max(iid) as end_iid, count(*) as n, avg(score) as v from i0 group by sample, grp, i),
+ps as (select sample, grp, iid, sum(score) over w as s, count(score) over w as c from res window w as (partition by sample, grp order by iid rows between unbounded preceding and current row)),
+l as (select *, v > 0.5 as pos, lag(end_iid) over w as pe, lag(v > 0.5) over w as pp from sg window w as (partition by sample, grp order by start_iid)),
+g as (select l.*, coalesce((b.s - a.s) / nullif(b.c - a.c, 0), 0) as gm from l left join ps a on a.sample = l.sample and a.grp = l.grp and a.iid = l.pe left join ps b on b.sample = l.sample and b.grp = l.grp and b.iid = l.start_iid - 1),
+j as (select *, sum(case when coalesce(pos and pp and start_iid - pe - 1 <= 10 and gm > -1, false) then 0 else 1 end) over (partition by sample, grp order by start_iid) as i from g)
+select sample, grp, min(start_iid) as start_iid, max(end_iid) as end_iid, count(*) as n_merged, {r6("sum(v * n) / sum(n)")} as score_mean, case when count(*) > 1 then max(end_iid) - min(start_iid) + 1 else sum(n)::bigint end as n_windows from j group by sample, grp, i""")
+def gap_merge(spark, sf_dir):
+    """Stretches over 0.2 as segments, joined over gaps of ten windows whose mean exceeds -1."""
+    s = mp.residual_rows(spark, sf_dir)
+    segs = mp.run_segments(s).select("sample", "grp", "start_iid", "end_iid", "n_windows", "score_mean")
+    return intervals.gap_merge(segs, s.select("sample", "grp", "iid", "score"), ["sample", "grp"], 10, -1.0, 0.5)
+
+
+@query("""with e as (select event_type, user_id, floor(epoch(ts))::bigint as s, floor(epoch(ts))::bigint + 1 + floor(abs(value))::bigint * 60 as e from events where value is not null),
+w as (select *, max(e) over (partition by event_type, user_id order by s, e rows between unbounded preceding and 1 preceding) as far from e),
+i as (select *, sum(case when s > far then 1 else 0 end) over (partition by event_type, user_id order by s, e rows between unbounded preceding and current row) as i from w)
+select event_type, user_id, min(s) as start, max(e) as stop, count(*) as n from i group by event_type, user_id, i""")
+def interval_union(spark, sf_dir):
+    """Events as intervals of as many minutes as their value, united by type and user."""
+    start = F.unix_timestamp("ts")
+    e = mp.table(spark, sf_dir, "events").filter("value is not null").select("event_type", "user_id", start.alias("start"), (start + 1 + F.floor(F.abs("value")) * 60).alias("stop"))
+    return intervals.merge(e, ["event_type", "user_id"], "start", "stop")
+
+
+@query("""with e as (select event_type, date_diff('day', date '2000-01-01', ts::date) * 24 + hour(ts) as h from events), d as (select event_type, h, count(*) as n from e group by all),
+r as (select *, h - row_number() over (partition by event_type order by h) as i from d where n > 1),
+run as (select event_type, min(h) as a, max(h) as b, count(*) as k from r group by event_type, i)
+select event_type, a as run_start, b as run_stop, k as run_width from run""")
+def run_extension(spark, sf_dir):
+    """Stretches of consecutive hours with more than one event, by type."""
+    h = (F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date")) * 24 + F.hour("ts")).cast("long")
+    d = mp.table(spark, sf_dir, "events").select("event_type", h.alias("h")).groupBy("event_type", "h").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.runs(d, ["event_type"], "h", F.col("n") > 1)
+
+
+@query(f"""with {RESIDUALS}, rr as (select sample, grp, iid, iid - row_number() over (partition by sample, grp order by iid) as i from res where donor_residual > 0),
+runs as (select sample, grp, min(iid) as a, max(iid) as b from rr group by sample, grp, i),
+i2 as (select sample, grp, iid, iid - row_number() over (partition by sample, grp order by iid) as i from res where score > 0.2), c as (select sample, grp, min(iid) as start_iid, max(iid) as end_iid from i2 group by sample, grp, i)
+select c.*, coalesce(p.a, start_iid) as ext_start, coalesce(q.b, end_iid) as ext_stop, p.a is not null or q.b is not null or r.a is not null as run_found
+from c left join runs p on p.sample = c.sample and p.grp = c.grp and start_iid - 1 between p.a and p.b left join runs q on q.sample = c.sample and q.grp = c.grp and end_iid + 1 between q.a and q.b left join runs r on r.sample = c.sample and r.grp = c.grp and start_iid between r.a and r.b""")
+def call_extension(spark, sf_dir):
+    """Calls extended by the stretches of donor gain that hold their neighbours."""
+    s = mp.residual_rows(spark, sf_dir)
+    calls = mp.run_segments(s).select("sample", "grp", "start_iid", "end_iid")
+    run = intervals.runs(s, ["sample", "grp"], "iid", F.col("donor_residual") > 0)
+    return intervals.extend(calls, run, ["sample", "grp"])
+
+
+@query("""with c as (select o_custkey as k, date_diff('day', date '1995-01-01', o_orderdate::date) as pos, o_orderkey from orders), x as (select o_custkey as k, date_diff('day', date '1995-01-01', o_orderdate::date) as s, date_diff('day', date '1995-01-01', o_orderdate::date) + 30 as e from orders where o_orderstatus = 'F'),
+w as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) as far from x), i as (select *, sum(case when s > far then 1 else 0 end) over (partition by k order by s, e rows between unbounded preceding and current row) as i from w),
+u as (select k, min(s) as s, max(e) as e from i group by k, i)
+select c.k, c.o_orderkey, c.pos, coalesce(sum(greatest(0, least(c.pos, u.e) - u.s)), 0)::bigint as removed, (c.pos - coalesce(sum(greatest(0, least(c.pos, u.e) - u.s)), 0))::bigint as kept_pos from c left join u on u.k = c.k and u.s < c.pos group by c.k, c.o_orderkey, c.pos""")
+def compressed_positions(spark, sf_dir):
+    """Order days of each customer after the 30 days from each finished order are cut out."""
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
+    o = mp.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), day.alias("pos"), "o_orderkey", "o_orderstatus")
+    cuts = o.filter("o_orderstatus = 'F'").select("k", F.col("pos").alias("start"), (F.col("pos") + 30).alias("stop"))
+    return intervals.removed_before(o.drop("o_orderstatus"), cuts, ["k"])
+
+
+@query()
+def segments(spark, sf_dir):
+    """Circular binary segmentation of every (sample, group) profile."""
+    return segment.segments(mp.score_rows(spark, sf_dir), Params(alpha=0.01))
+
+
+@query(f"with {CALLS} select sample, grp, start_iid, end_iid, width_bp, bin, length_bin, {r6('score_mean')} as score_mean, pass from calls")
+def length_bins(spark, sf_dir):
+    return mp.call_rows(spark, sf_dir).select("sample", "grp", "start_iid", "end_iid", "width_bp", "bin", "length_bin", "score_mean", "pass")
+
+
+@query(f"""with {CALLS}, p as (select bin, score_mean from calls where bin is not null), q as (select bin, quantile_cont(score_mean, 0.95) as q, count(*) as n_control from p group by bin),
+z as (select bin, n_control, case when n_control >= 5 then quantile_cont(score_mean, 0.99) end as q99 from p join q using (bin) where score_mean <= q group by bin, n_control)
+select 'multi' as mode, b.bin, length_bin, coalesce(n_control, 0) as n_control, {r6("q99")} as q99, {r6("greatest(0.25, q99)")} as threshold, {r6("0.01")} as fdr
+from (values (0, '5-10'), (1, '10-25'), (2, '25-50'), (3, '50-100'), (4, '>100')) as b(bin, length_bin) left join z using (bin)""")
+def null_quantile_controls(spark, sf_dir):
+    """Thresholds with every sample as a control."""
+    c = mp.call_rows(spark, sf_dir)
+    return calibrate.calibration(c, mp.PARAMS, "multi", c.select("sample"))
+
+
+@query()
+def null_quantile_own(spark, sf_dir):
+    """Thresholds from the calls themselves, by mixtures."""
+    return calibrate.calibration(saved(mp.call_rows(spark, sf_dir)), mp.PARAMS, "multi")
+
+
+def _cut(k: str, c: str, p: float, d: float, up: bool) -> str:
+    return r6(f"{'greatest' if up else 'least'}({d}, w * l.{k} + (1 - w) * g.{k})") + f" as {k}"
+
+
+_Q = [("donor_mod", "donor_residual", 0.95, 0.5, True), ("donor_high", "donor_residual", 0.99, 1.0, True), ("loss_mod", "recipient_residual", 0.05, -0.5, False), ("loss_high", "recipient_residual", 0.01, -1.0, False), ("total_mod", "total_residual", 0.95, 0.5, True), ("total_high", "total_residual", 0.99, 1.0, True)]
+_QUANT = ", ".join(f"quantile_cont({c}, {p}) as {k}" for k, c, p, _, _ in _Q)
+
+
+@query(f"""with {CALLS}, p as (select * from calls where bin is not null), l as (select bin, count(*) as n, {_QUANT} from p group by bin), g as (select {_QUANT} from p), j as (select *, case when n >= 100 then 1.0 else n / (n + 20) end as w from l)
+select 'multi' as mode, bin, n as n_control, {", ".join(_cut(*q) for q in _Q)} from j l cross join g""")
+def class_cutoffs(spark, sf_dir):
+    return calibrate.cutoffs(mp.call_rows(spark, sf_dir).filter("bin is not null"), mp.PARAMS)
+
+
+CLASS_COLUMNS = ["sample", "grp", "start_iid", "end_iid", "pass", "class", "class_confidence", "class_status", "copy_state", "compound", "component_status", "mappability_status"]
+
+
+@query(f"with {CLASSIFIED} select {', '.join(CLASS_COLUMNS)} from k")
+def classify_calls(spark, sf_dir):
+    return classified(spark, sf_dir).select(*CLASS_COLUMNS)
+
+
+def _calls_by(by: str) -> None:
+    def f(spark, sf_dir):
+        return summaries.calls_by(classified(spark, sf_dir), by)
+
+    f.__name__ = f"calls_by_{by}"
+    query(f"""with {CLASSIFIED} select sample, {by}, count(*) as n_calls, count(*) filter (pass) as n_pass, count(*) filter (class_confidence = 'high') as n_high, sum(width_bp)::bigint as total_bp, {r6("median(width_bp)")} as median_bp, {r6("avg(score_mean)")} as mean_score from k group by all""")(f)
+
+
+for _by in ("class", "class_status", "copy_state", "grp"):
+    _calls_by(_by)
+
+
+@query(f"""with {CLASSIFIED} select class, count(*) as n, {r6("count(*) / sum(count(*)) over ()")} as share, coalesce(list_position(['substitution', 'addition', 'deletion', 'complex', 'other'], class), 6)::int as ord from k group by class""")
+def class_totals(spark, sf_dir):
+    return summaries.class_totals(classified(spark, sf_dir))
+
+
+_COUNTS = ", ".join([*(f"count(*) filter (class = '{c}') as n_{c}" for c in summaries.CLASS_ORDER), *(f"count(*) filter (class_status = '{c}') as n_{c}" for c in ("confident", "ambiguous", "needs_review"))])
+_ZERO = ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in ["n_calls", "n_pass", *(f"n_{c}" for c in summaries.CLASS_ORDER), "n_confident", "n_ambiguous", "n_needs_review", "groups_with_calls", "call_bp"])
+
+
+@query(f"""with {CLASSIFIED}, r as (select sample, sum("count")::bigint as reads, sum("count") filter (role = 'donor')::bigint as donor_reads, sum("count") filter (role = 'recipient')::bigint as recipient_reads, count(*) as n_windows, count(distinct grp) as n_groups, avg(breadth) as mean_breadth, sum(length) as bp from m group by sample),
+c as (select sample, count(*) as n_calls, count(*) filter (pass) as n_pass, {_COUNTS}, count(distinct grp) as groups_with_calls, sum(width_bp)::bigint as call_bp, max(width_bp) as max_call_bp, median(width_bp) as median_call_bp from k group by sample)
+select sample, reads, donor_reads, recipient_reads, n_windows, n_groups, {r6("mean_breadth")} as mean_breadth, {_ZERO}, max_call_bp, {r6("median_call_bp")} as median_call_bp, {r6("reads / n_windows")} as reads_per_window, {r6("donor_reads / reads")} as donor_share,
+  {r6("case when coalesce(n_calls, 0) > 0 then n_pass / n_calls end")} as pass_rate, {r6("coalesce(n_calls, 0) / n_groups")} as calls_per_group, {r6("coalesce(call_bp, 0) / bp")} as call_share from r left join c using (sample)""")
+def cohort_summary(spark, sf_dir):
+    return summaries.cohort_summary(mp.metric_rows(spark, sf_dir), classified(spark, sf_dir))
+
+
+@query(f"with {CLASSIFIED} select sample, grp, start_iid, end_iid, class, class_status from k where pass and class in ('addition', 'substitution', 'other') and width_bp >= 5000000")
+def explorer_filter(spark, sf_dir):
+    c = classified(spark, sf_dir).withColumns({"recipient_assignment": F.lit("assigned"), "recipient_group": F.lit(None).cast("string")})
+    return explore.explorer_filter(c, pass_only=True, classes=["addition", "substitution", "other"], min_width=5_000_000).select("sample", "grp", "start_iid", "end_iid", "class", "class_status")
+
+
+@query(f"with {CLASSIFIED} select sample, grp, start_iid, end_iid, class from k where pass and class_status = 'confident'")
+def confident_calls(spark, sf_dir):
+    return explore.confident(classified(spark, sf_dir)).select("sample", "grp", "start_iid", "end_iid", "class")
+
+
+@query(f"with {CLASSIFIED} select sample, grp, start_iid, end_iid, class from k where not (pass and class_status = 'confident')")
+def review_calls(spark, sf_dir):
+    return explore.review(classified(spark, sf_dir)).select("sample", "grp", "start_iid", "end_iid", "class")
+
+
+@query(f"""with {CALLS}, i as (select *, unnest(generate_series(start_iid, end_iid)) as iid from calls), j as (select i.sample, i.grp, start_iid, end_iid, m.component, m.chr_id, s.score + ln(lambda_breadth + 1e-4) - ln(donor_mean + 1e-4) as v from i join s on s.sample = i.sample and s.grp = i.grp and s.iid = i.iid join m on m.sample = i.sample and m.grp = i.grp and m.iid = i.iid where m.role = 'donor'),
+a as (select sample || '_' || grp || '_' || start_iid || '_' || end_iid as call_id, component, avg(v) as score_mean, median(v) as score_median, max(v) as score_max, avg((v > 0.5)::int) as supported_fraction, count(v) as n_windows, count(distinct chr_id) as n_contigs from j group by all)
+select call_id, component, {r6("score_mean")} as score_mean, {r6("score_median")} as score_median, {r6("score_max")} as score_max, {r6("supported_fraction")} as supported_fraction, n_windows, n_contigs, supported_fraction >= 0.5 as supported, rank() over (partition by call_id order by score_mean desc)::int as "rank" from a""")
+def component_evidence(spark, sf_dir):
+    m = saved(mp.metric_rows(spark, sf_dir))
+    s = scoring.score_pairs(m, mp.PARAMS)
+    return evidence.component_evidence(mp.run_segments(s.withColumns({c: F.lit(0.0) for c in ("donor_residual", "recipient_residual", "total_residual")})), m, s, mp.PARAMS)
+
+
+LAGS = ", ".join(f"sum(d * d{k}) as p{k}" for k in range(1, 11))
+LAGC = ", ".join(f"lag(d, {k}) over (partition by sample, grp, start_iid order by iid) as d{k}" for k in range(1, 11))
+ACF = "0.0"
+for _k in range(10, 0, -1):
+    ACF = f"case when p{_k} / nullif(v, 0) > 0 then p{_k} / v + {ACF} else 0.0 end"
+
+
+@query(f"""with {CALLS}, i as (select sample, grp, start_iid, unnest(generate_series(start_iid, end_iid)) as iid from calls), j as (select i.*, s.score as x, s.score - avg(s.score) over (partition by i.sample, i.grp, start_iid) as d from i join s using (sample, grp, iid)), l as (select *, {LAGC} from j),
+a as (select sample, grp, start_iid, count(*) as n, avg(x) as mean, coalesce(stddev_samp(x), 0) as sd, sum(d * d) as v, {LAGS} from l group by all), e as (select *, greatest(1.0, n / (1 + 2 * ({ACF}))) as n_eff from a)
+select sample, grp, start_iid, n, {r6("mean")} as mean, {r6("sd / sqrt(n_eff)")} as se, {r6("mean - 1.645 * sd / sqrt(n_eff)")} as lower, {r6("n_eff")} as n_eff from e where n >= 3""")
+def interval_stats(spark, sf_dir):
+    """Mean, standard error and lower bound of the score inside calls of three windows or more."""
+    s = mp.residual_rows(spark, sf_dir)
+    inside = mp.run_segments(s).select("sample", "grp", "start_iid", F.explode(F.sequence("start_iid", "end_iid")).alias("iid")).join(s.select("sample", "grp", "iid", "score"), ["sample", "grp", "iid"])
+    return assign.interval_stats(inside, ["sample", "grp", "start_iid"], "score").filter("n >= 3")
+
+
+@query(f"""with {CALLS}, pr as (select sample, chr_id, iid, -ln(lambda_breadth + 1e-4) as d from m where role = 'recipient'), ps as (select *, sum(d) over (partition by sample, chr_id order by iid rows between unbounded preceding and current row) as s from pr),
+ct as (select sample, chr_id, row_number() over (partition by sample order by chr_id) as j from (select distinct sample, chr_id from pr)), t as (select sample || '_' || grp || '_' || start_iid || '_' || end_iid as call_id, sample, end_iid - start_iid + 1 as w from calls),
+x as (select t.*, ct.chr_id, ct.j, b.b, ((b.b - 1) * 37 + (ct.j - 1) * 101) % (100 - w + 1) as f from t join ct using (sample) cross join (select unnest(generate_series(1, 8)) as b) b)
+select call_id, x.b::int as permutation, x.chr_id, {r6("(h.s - coalesce(l.s, 0)) / w")} as mean from x join ps h on h.sample = x.sample and h.chr_id = x.chr_id and h.iid = x.f + w - 1 left join ps l on l.sample = x.sample and l.chr_id = x.chr_id and l.iid = x.f - 1""")
+def null_placement(spark, sf_dir):
+    """Every call's width placed eight times on every recipient contig, by the fixed rule."""
+    m = saved(mp.metric_rows(spark, sf_dir))
+    p = m.filter("role = 'recipient'").select("sample", "chr_id", "iid", (-F.log(F.col("lambda_breadth") + 1e-4)).alias("depletion"))
+    calls = mp.call_rows(spark, sf_dir).withColumn("call_id", F.concat_ws("_", "sample", "grp", F.col("start_iid").cast("string"), F.col("end_iid").cast("string")))
+    return assign.null_placements(calls, p, mp.N, permutations=8)
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = saved(mp.metric_rows(spark, sf_dir))
+    calls = saved(classified(spark, sf_dir).withColumn("call_id", F.concat_ws("_", "sample", "grp", F.col("start_iid").cast("string"), F.col("end_iid").cast("string"))))
+    residuals = saved(assign.recipient_residuals(m, Params(min_depletion=-1.0, strong_depletion=0.0, run_threshold=0.3)))
+    return assign.assign_hosts(calls, residuals, mp.N, Params(min_depletion=-1.0, strong_depletion=0.0, run_threshold=0.3))
+
+
+@query()
+def assign_hosts(spark, sf_dir):
+    """Calls with their host contigs (grouped-map matching)."""
+    return _assigned(spark, sf_dir).select("call_id", "class", "class_status", "recipient_assignment", "recipient_chr", "assignment_score", "assignment_margin", "assignment_weight", "runner_up")
+
+
+@query()
+def alternatives(spark, sf_dir):
+    """Assigned calls that have a runner-up."""
+    return explore.alternatives(_assigned(spark, sf_dir)).select("call_id", "recipient_chr", "runner_up", "assignment_margin")
+
+
+@query()
+def select_non_overlapping(spark, sf_dir):
+    """Of each customer's orders as 30-day intervals, those that don't overlap and are worth most."""
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
+    o = mp.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", day.alias("start"), (day + 29).alias("end"), F.col("o_totalprice").alias("weight"))
+    return intervals.select_non_overlapping(o, ["k"], "start", "end", "weight")
+
+
+@query(f"""with a as (select n_regionkey as assembly, n_name as id, 1000 + n_nationkey as length from nation), h as (select n_name as name, 1000 + n_nationkey + case when count(*) % 2 = 0 then 0 else 1 end as l from supplier join nation on s_nationkey = n_nationkey group by n_name, n_nationkey)
+select assembly, count(*) as n_targets, count(*) filter (l = length) as n_matched, count(*) filter (l is null) as n_missing, count(*) filter (l <> length) as n_mismatch, {r6("count(*) filter (l = length) / count(*)")} as score, count(*) filter (l = length) = count(*) as exact from a left join h on id = name group by assembly""")
+def header_match(spark, sf_dir):
+    """Nations as contigs of their regions against the nations of suppliers, some of another length."""
+    n, header = _nations(spark, sf_dir)
+    return registry.header_match(header, n.select(F.col("species").alias("assembly"), "id", "length"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = mp.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("species"), F.col("n_name").alias("id"), (1000 + F.col("n_nationkey")).cast("long").alias("length"), "n_nationkey")
+    s = mp.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("id").alias("name"), F.col("length").alias("_b")).agg(F.count(F.lit(1)).alias("c"))
+    return n.drop("n_nationkey"), s.select("name", (F.col("_b") + F.col("c") % 2).alias("length"))
+
+
+@query(f"""with a as (select n_regionkey as sp, n_name as id, 1000 + n_nationkey as length from nation), h as (select n_name as name, 1000 + n_nationkey + count(*) % 2 as l from supplier join nation on s_nationkey = n_nationkey group by n_name, n_nationkey),
+s as (select sp, count(*) as t, count(*) filter (l = length) as k from a left join h on id = name group by sp having count(l) > 0)
+select r.sp as recipient, d.sp as donor, r.t + d.t as n_targets, r.k + d.k as n_matched, {r6("(r.k + d.k) / (r.t + d.t)")} as score, r.k + d.k = r.t + d.t as exact from s r join s d on r.sp <> d.sp""")
+def species_pairs(spark, sf_dir):
+    n, header = _nations(spark, sf_dir)
+    return registry.species_pairs(header, n)
+
+
+@query("""with p as (select p_partkey, p_brand || ' ' || p_size as name, regexp_extract_all(p_brand || ' ' || p_size, '(\\d+|\\D+)') as t from part)
+select p_partkey, name, array_to_string([case when regexp_matches(x, '^\\d+$') then lpad(regexp_replace(x, '^0+([0-9])', '\\1'), 20, '0') else lower(x) end for x in t], chr(1)) as key from p""")
+def natural_sort(spark, sf_dir):
+    """Parts by brand and size with the key that sorts digit runs as numbers."""
+    p = mp.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("name"))
+    return p.withColumn("key", fn.natural_key("name")).orderBy(*fn.natural_order("name"))
+
+
+@query("""select g, row_number() over (order by try_cast(g as int) nulls last, g)::int as ord from (select distinct case when p_size % 2 = 0 then p_size::varchar else p_brand end as g from part)""")
+def group_order(spark, sf_dir):
+    g = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand"))
+    d = mp.table(spark, sf_dir, "part").select(g.alias("g")).distinct()
+    return d.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*fn.group_order("g"))))
+
+
+@query(f"""with {CALLS}, hb as (select sample, grp, iid * 40 // 100 as bin, avg(score) as score from s group by all), i as (select distinct sample, grp, unnest(generate_series(start_iid, end_iid)) as iid from calls)
+select hb.sample, hb.grp, bin, {r6("score")} as score from hb where exists (select 1 from i where i.sample = hb.sample and i.grp = hb.grp and i.iid = floor((bin + 0.5) * 100 / 40))""")
+def heatmap_bins(spark, sf_dir):
+    s = mp.residual_rows(spark, sf_dir)
+    return intervals.heat_bins(s.select("sample", "grp", "iid", "score"), mp.run_segments(s), ["sample", "grp"], mp.N, 40)
+
+
+@query(f"""with {METRICS} select grp, role, count(breadth) as n, {", ".join(r6(f"quantile_cont(breadth, {p})") + f" as {k}" for p, k in ((0.005, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.995, "high")))} from m group by all""")
+def box_stats(spark, sf_dir):
+    return summaries.box_stats(mp.metric_rows(spark, sf_dir), ["grp", "role"], "breadth")
+
+
+@query(f"""with {SCORES} select sample, grp, count(*) as n_windows, count(score) as n_finite, {r6("avg(score)")} as mean_score, {r6("median(score)")} as median_score, {r6("stddev_samp(score)")} as sd_score, {r6("max(score)")} as max_score, count(*) filter (score > 0.5) as n_positive from s group by all""")
+def scores_summary(spark, sf_dir):
+    return summaries.scores_summary(mp.score_rows(spark, sf_dir))
+
+
+@query(f"with {SCORES} select {r6('greatest(0.5, quantile_cont(abs(score), 0.99))')} as score_limit from s")
+def display_limit(spark, sf_dir):
+    return summaries.display_limit(mp.score_rows(spark, sf_dir))
+
+
+@query(f"""with {METRICS}, c as (select sample, chr_id, avg(breadth) as b from m group by all), t as (select *, median(b) over (partition by sample) as t from c) select sample, chr_id, {r6("b")} as mean_breadth from t where b < 0.9 and b < 1.0 * t""")
+def thin_contigs(spark, sf_dir):
+    """Contigs below the sample's typical breadth."""
+    return metrics.deleted_contigs(mp.metric_rows(spark, sf_dir), 0.9, 1.0)
+
+
+@query(f"""with {CALLS}, u as (select sample, grp, sum(width_bp) as covered, min(start_bp) as f from calls where pass group by all) select sample, grp, covered::bigint as covered, {r6("covered / 260000000")} as share from u where covered / 260000000 >= 0.2""")
+def covered_groups(spark, sf_dir):
+    """Groups of which passing calls cover a fifth."""
+    lengths = mp.table(spark, sf_dir, "region").select(F.col("r_name").alias("grp"), F.lit(mp.GROUP_BP).alias("length"))
+    calls = mp.call_rows(spark, sf_dir).withColumn("class", F.lit("addition"))
+    return payload.covered_groups(calls, lengths, 0.2, None)
+
+
+@query("""with d as (select doc_id, ((length(text) % 40) + 5)::varchar || 'M' || ((doc_id % 7) + 1)::varchar || 'D' || ((doc_id % 11) + 3)::varchar || 'M' || ((doc_id % 5) + 1)::varchar || 'N' || '20M3S' as cigar, n_chars as pos, length(text) % 40 + 5 as a, doc_id % 7 + 1 as d, doc_id % 11 + 3 as b, doc_id % 5 + 1 as n from documents)
+select doc_id, cigar, pos as s, pos + a as e from d union all select doc_id, cigar, pos + a + d, pos + a + d + b from d union all select doc_id, cigar, pos + a + d + b + n, pos + a + d + b + n + 20 from d""")
+def cigar_blocks(spark, sf_dir):
+    """Blocks of alignments whose operations follow from each document's length and number."""
+    d = mp.table(spark, sf_dir, "documents")
+    n = lambda c: c.cast("string")
+    cigar = F.concat(n(F.length("text") % 40 + 5), F.lit("M"), n(F.col("doc_id") % 7 + 1), F.lit("D"), n(F.col("doc_id") % 11 + 3), F.lit("M"), n(F.col("doc_id") % 5 + 1), F.lit("N20M3S"))
+    d = d.select("doc_id", cigar.alias("cigar"), F.col("n_chars").alias("pos"))
+    return d.withColumn("b", F.explode(fn.cigar_blocks("cigar", "pos"))).select("doc_id", "cigar", F.col("b.s").alias("s"), F.col("b.e").alias("e"))
+
+
+@query("""with d as (select doc_id, text, length(text) as l from documents where length(text) >= 10), w as (select doc_id, text, l, unnest(generate_series(0, 9)) as iid from d), s as (select doc_id, iid, upper(substr(text, (iid * l // 10 + 1)::int, ((iid + 1) * l // 10 - iid * l // 10)::int)) as b from w)
+select doc_id as chr_id, iid, (round(length(regexp_replace(b, '[^GC]', '', 'g'))::float / length(b)::float, 6) + 0.0)::double as gc from s""")
+def window_gc(spark, sf_dir):
+    """G and C in ten windows of each text, with the texts as sequences."""
+    d = mp.table(spark, sf_dir, "documents").filter(F.length("text") >= 10)
+    c = d.select(F.col("doc_id").alias("chr_id"), F.length("text").cast("long").alias("length"))
+    return metrics.base_composition(d.select(F.col("doc_id").alias("chr_id"), F.lit(0).cast("long").alias("offset"), F.col("text").alias("bases")), c, 10)
+
+
+@query()
+def chromosome_records(spark, sf_dir):
+    """Scores and calls nested by sample and group."""
+    s = mp.residual_rows(spark, sf_dir)
+    r = payload.records(s, classified(spark, sf_dir), mp.N)
+    return r.select("sample", "grp", "n_windows", F.to_json(F.transform("scores", lambda x: F.round(x, 4))).alias("scores"), F.to_json("calls").alias("calls"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads to cohort summary: metrics, pair scores, gap merge, classes, one row per sample."""
+    return QUERIES["cohort_summary"](spark, sf_dir)
