@@ -22,8 +22,8 @@ def with_sample(reads: DataFrame, read_groups: DataFrame) -> DataFrame:
     ``read_groups`` (rg, sample, requested) comes from file headers; Spark broadcasts it if it is small.
     """
     j = reads.join(read_groups, "rg", "left")
-    known = F.when(F.col("requested").isNotNull(), F.col("sample")).otherwise(F.raise_error(F.concat(F.lit("read group not declared: "), F.coalesce("rg", F.lit("none")))))
-    return j.withColumn("sample", known).filter("requested").drop("requested")
+    bad = F.raise_error(F.concat(F.lit("read group not declared: "), F.coalesce("rg", F.lit("none")))).cast("boolean")
+    return j.filter(F.when(F.col("requested").isNull(), bad).otherwise(F.col("requested"))).drop("requested")
 
 
 def blocks(reads: DataFrame, count_deletions: bool = False) -> DataFrame:

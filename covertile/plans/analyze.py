@@ -44,7 +44,7 @@ def analyze(alignments: DataFrame, targets: DataFrame, n: int = 1000, gc: DataFr
     Metrics, scores and segments are read several times, so they are written once.
     """
     progress("windows")
-    t = targets.withColumn("chr_id", F.col("id"))
+    t = targets.withColumns({"chr_id": F.col("id"), "chr_name": F.col("name")})
     windows = tiling.tile(t, n)
     progress("measure")
     counted = measure(alignments, t, n)

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
 def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """Columns ``name type`` as a schema; no session is needed."""
+    return T.StructType([T.StructField(n, TYPES[t]) for n, t in (part.split() for part in ddl.split(","))])
 
 
 ALIGNMENTS = struct("qname string, flag int, rname string, pos bigint, mapq int, cigar string, rg string")
