@@ -25,7 +25,7 @@ END = "<|end|>"
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(c: Column) -> Column:
