@@ -201,7 +201,7 @@ def test_secrets_equal_brute_force(spark, docs, none):
 
 
 def test_ownership_separates_examples_from_live_values(spark):
-    copied, own = "ghp_" + "a" * 30 + "X", "ghp_" + "b" * 30 + "Y"
+    copied, own = "ghp_" + "q" * 30 + "X", "ghp_" + "z" * 30 + "Y"
     rows = [(i, f"see {copied} here", f"o{i}") for i in range(5)] + [(9, f"mine {own}", "o1"), (10, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secrets.report(df).collect()}
