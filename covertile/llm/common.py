@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,11 +66,21 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[first : int(offsets[-1])], offsets - first
 
 
+def trim() -> None:
+    """Give free memory back: workers live on between stages, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes, one row at least."""
     rows = max(1, batch.num_rows if batch.nbytes <= limit else batch.num_rows * limit // batch.nbytes)
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+    trim()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -83,10 +94,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def map_texts(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields: str, keep_text: bool = False, piece: int = 1 << 22) -> DataFrame:
+def map_texts(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields: str, keep_text: bool = False, piece: int = 1 << 22, done: Callable[[], None] | None = None) -> DataFrame:
     """``docs`` with the columns ``fields`` that ``kernel`` makes of slices of the column text; no shuffle.
 
-    The other columns pass through; columns that ``fields`` names are replaced; text goes, unless ``keep_text``.
+    The other columns pass through; columns that ``fields`` names are replaced; text goes, unless ``keep_text``. ``done`` is
+    called at the end of each task.
     """
     tuned(docs.sparkSession)
     made = [f.strip().split(" ")[0] for f in _split_fields(fields)]
@@ -100,6 +112,9 @@ def map_texts(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fie
                 texts = part.column("text")
                 cols = [part.column(f.name) for f in kept] + ([texts] if keep_text else [])
                 yield pa.RecordBatch.from_arrays([*cols, *kernel(texts)], names=names)
+        if done is not None:
+            done()
+            trim()
 
     return docs.select(*(F.col(f"`{f.name}`") for f in kept), "text").mapInArrow(run, schema)
 

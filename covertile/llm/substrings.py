@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covertile.llm.common import map_texts, mix64, pieces, saved, text_buffers, tuned
+from covertile.llm.common import map_texts, mix64, pieces, saved, text_buffers, trim, tuned
 from covertile.llm.gsaca import suffix_array
 
 WIDTH, GRAM = 200, 64
@@ -94,7 +94,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _shards(batch: pa.RecordBatch, met: set[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Texts of a batch that the task has not met, long enough to hold a string: (digests, bytes, offsets)."""
-    for part in pieces(batch, 1 << 21):
+    for part in pieces(batch, 1 << 20):
         keys, texts = [], []
         for t in part.column("text").to_pylist():
             raw = (t or "").encode()
@@ -309,9 +309,10 @@ def removal(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
 def _apply(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """(k, n_removed, n_spans, kept): the texts that lose a part, once each; a bitmap spares most others the shuffle."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_bitmap(edits.select(F.xxhash64("k").alias("b")), 24))
+    known = spark.sparkContext.broadcast(_bitmap(edits.select(F.conv(F.hex(F.substring("k", 1, 3)), 16, 10).cast("long").alias("b")), 24))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
         met: set[bytes] = set()
         for batch in batches:
             keys, texts = [], []
@@ -319,10 +320,12 @@ def _apply(docs: DataFrame, edits: DataFrame) -> DataFrame:
                 raw = (t or "").encode()
                 if len(raw) >= WIDTH:
                     k = hashlib.sha256(raw).digest()[:16]
-                    if k not in met:
+                    b = int.from_bytes(k[:3], "big")
+                    if bits[b >> 3] >> (b & 7) & 1 and k not in met:
                         met.add(k)
                         keys.append(k)
                         texts.append(raw)
+            trim()
             yield _fields({"k": pa.array(keys, pa.binary()), "raw": pa.array(texts, pa.binary())})
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,17 +342,7 @@ def _apply(docs: DataFrame, edits: DataFrame) -> DataFrame:
             yield _fields({"k": pa.array([x[0] for x in out], pa.binary()), "n_removed": pa.array([x[1] for x in out], pa.int64()), "n_spans": pa.array([x[2] for x in out], pa.int64()), "kept": pa.array([x[3] for x in out], pa.binary())})
 
     raws = docs.select("text").mapInArrow(keyed, "k binary, raw binary")
-    bit = F.xxhash64("k").bitwiseAND(F.lit((1 << 24) - 1))
-
-    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(known.value, np.uint8)
-        for batch in batches:
-            at = batch.column("at").to_numpy()
-            keep = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            yield batch.filter(pa.array(keep)).select(["k", "raw"])
-
-    some = raws.withColumn("at", bit).mapInArrow(flagged, "k binary, raw binary")
-    return some.join(edits, "k").mapInArrow(kept, "k binary, n_removed long, n_spans long, kept binary").dropDuplicates(["k"])
+    return raws.join(edits, "k").mapInArrow(kept, "k binary, n_removed long, n_spans long, kept binary").dropDuplicates(["k"])
 
 
 def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
