@@ -4,7 +4,8 @@ Two documents link when 100 x |A and B| >= 85 x |A or B| on their sets of shingl
 is formed over the columns that matter: with the shingles of every document in one common order, linked documents share
 one of their first n - ceil(0.85 n) + 1 (a size-derived bound), so only those columns are multiplied at first. The order puts
 frequent shingles last; which are frequent says a count of all shingles in 2^22 buckets, whose bits (512 KB) every task
-gets. Entries of the product below the bounds on the sizes go; for the others the overlap is counted over all columns.
+gets. Entries of the product below the bounds on the sizes go, then those whose parity bits differ in more places than linked sets may; for
+the others the overlap is counted over all columns.
 
 A column that many documents share does not emit all its pairs: each document is held against the column's first and the one before it,
 components of these links are found, and only what then still lies in different components of one column is multiplied in
@@ -54,14 +55,50 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def parities(own: np.ndarray) -> bytes:
+    """For each of about n buckets whether the set has an odd number of shingles in it.
+
+    The bits that differ between two sets' parities are at most the shingles that only one of them has.
+    """
+    b = 1 << min(16, max(6, int(len(own) - 1).bit_length()))
+    return np.packbits(np.bincount((own & np.uint64(b - 1)).astype(np.int64), minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def nodes(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` without its text, with n (the set's size) and k (its digest)."""
+    """``docs`` without its text, with n (the set's size), k (its digest) and bits (its parities)."""
 
     def run(texts: pa.Array) -> list[pa.Array]:
         own = sets(texts, size)
-        return [pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary())]
+        return [pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.array([parities(x) for x in own], pa.binary())]
+
+    return map_texts(docs, run, "n long, k binary, bits binary")
+
+
+def _most(total):
+    """The most shingles that only one of two linked sets has, by the sum of their sizes."""
+    return total - 2 * -(-NUM * total // (NUM + DEN))
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
 
-    return map_texts(docs, run, "n long, k binary")
+def near(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, k) whose parities (``known``: k, n, bits) don't rule a link out. Some 100 bytes a set travel, not its shingles."""
+    left = known.select(F.col("k").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("n", "bits", "an", "abits")]
+            keep = [_differ(y, z) <= _most(x + w) for x, y, w, z in zip(*cols, strict=True)]
+            yield batch.select(["a", "k"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(known, "k").mapInArrow(run, "a binary, k binary")
 
 
 def _once(docs: DataFrame, size: int, kernel: Callable[[bytes, np.ndarray], tuple | None], fields: str) -> DataFrame:
@@ -146,39 +183,41 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
+def fitting(entries: DataFrame) -> DataFrame:
+    """(s, k, n, a, an, before): entries in columns with others of fitting sizes, s naming the column and the stretch of sizes.
+
+    In order of sizes a column falls apart where the next size is too large for the one before, and nothing links across.
+    a is the stretch's first set, before the one before; entries alone in their stretch go. One shuffle by column.
+    """
+    w = Window.partitionBy("s").orderBy("n", "k")
+    e = entries.withColumns({"bk": F.lag("k").over(w), "bn": F.lag("n").over(w)})
+    # a set that several tasks met stands there more than once
+    e = e.filter(F.col("bk").isNull() | (F.col("bk") != F.col("k")))
+    e = e.withColumn("part", F.sum(F.when(F.col("bn").isNull() | ~_fits(F.col("n"), F.col("bn")), 1).otherwise(0)).over(w))
+    p = Window.partitionBy("s", "part").orderBy("n", "k")
+    e = e.withColumns({"before": F.lag("k").over(p), "after": F.lead("k").over(p), "a": F.first("k").over(p), "an": F.first("n").over(p)})
+    return e.filter(F.col("before").isNotNull() | F.col("after").isNotNull()).select(F.xxhash64("s", "part").alias("s"), "k", "n", "a", "an", "before")
+
+
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
 def wanted_sets(docs: DataFrame, keys: DataFrame, size: int = SIZE) -> DataFrame:
-    """(k, items): the sets of ``keys``, once each. A bitmap of 2^23 bits spares most others; the join then decides."""
-    bit = F.pmod(F.xxhash64("k"), F.lit(1 << 23))
+    """(k, items): the sets of ``keys``, once each. A bitmap of 2^24 bits spares most others; the join then decides."""
+    bit = F.conv(F.hex(F.substring("k", 1, 3)), 16, 10).cast("long")  # a digest's first 24 bits
     maps = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 32768).alias("c")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
-    held = np.zeros(1 << 20, np.uint8)
+    held = np.zeros(1 << 21, np.uint8)
     for c, bits in maps.collect():
         held[c * 4096 : (c + 1) * 4096] = np.frombuffer(bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(held.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            b = batch.column("b").to_numpy()
-            keep = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-            if not keep.any():
-                continue
-            part = batch.filter(pa.array(keep))
-            met: set[bytes] = set()
-            got = []
-            for piece in pieces(part):
-                for k, own in zip(piece.column("k").to_pylist(), sets(piece.column("text"), size), strict=True):
-                    if k not in met:
-                        met.add(k)
-                        got.append((k, own.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([s for _, s in got], pa.binary())], names=["k", "items"])
-
-    hashed = nodes(docs.select("text", F.col("text").alias("_t")), size).select("k", bit.alias("b"), F.col("_t").alias("text"))
-    found = hashed.mapInArrow(run, "k binary, items binary")
+    def wanted(k: bytes, own: np.ndarray) -> tuple | None:
+        b = int.from_bytes(k[:3], "big")
+        return (k, own.tobytes()) if sent.value[b >> 3] >> (b & 7) & 1 else None
+
+    found = _once(docs, size, wanted, "k binary, items binary")
     return found.join(keys, "k", "left_semi").dropDuplicates(["k"])
 
 
@@ -261,37 +300,99 @@ def _block_links(rows: list[tuple[bytes, bytes, int, int, np.ndarray]]) -> list[
     return [(rows[i[f]][0], rows[j[f]][0]) for f in first]
 
 
-def remaining(shared: DataFrame, label: DataFrame, items: DataFrame) -> DataFrame:
-    """Links (a, k) between different components that share a column, checked in full by blocks."""
-    rows = shared.join(label, "k", "left").select("s", "k", "n", F.coalesce("c", "k").alias("c"))
-    # columns of the same documents are checked once
-    group = rows.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("k") % (1 << 40)).alias("sum"), F.min("k").alias("mk"))
-    group = group.filter("lo <> hi").dropDuplicates(["size", "sum", "mk"]).select("s", "size")
-    rows = rows.join(group, "s")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "k", "c", "n")
-    full = dealt.join(items, "k").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+def _block_near(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of rows that join all that parities don't rule out between components of a block pair: a forest, not all pairs."""
+    up = list(range(len(n)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width):
+        own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)  # sizes that fit lie in one or the next
+        words = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), -1)
+        if len(twice):
+            more = np.frombuffer(b"".join(bits[i] for i in twice), np.uint64).reshape(len(twice), 2, -1)
+            words = np.concatenate([words, more[:, 0] ^ more[:, 1]])
+        both = np.concatenate([own, twice])
+        for i in range(0, len(own), 256):
+            a = own[i : i + 256]
+            total = n[a][:, None] + n[both][None, :]
+            ok = (comp[a][:, None] != comp[both][None, :]) & (DEN * np.minimum(n[a][:, None], n[both][None, :]) >= NUM * np.maximum(n[a][:, None], n[both][None, :]))
+            if side.max() != side.min():
+                ok &= side[a][:, None] != side[both][None, :]
+            x, y = np.nonzero(ok)
+            for z in range(0, len(x), 1 << 16):
+                xs, ys = x[z : z + (1 << 16)], y[z : z + (1 << 16)]
+                good = np.bitwise_count(words[i + xs] ^ words[ys]).sum(axis=1, dtype=np.int64) <= _most(total[xs, ys])
+                for p, q in zip(a[xs[good]].tolist(), both[ys[good]].tolist(), strict=True):
+                    r, t = find(p), find(q)
+                    if r != t:
+                        up[r] = t
+                        out.append((p, q))
+    return out
+
+
+def _by_block(rows: DataFrame, payload: str, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel`` on the rows (s, i, j, side, k, c, n, payload) of each block pair; one pair is held at a time."""
+    dealt = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").select("s", "i", "j", "side", "k", "c", "n", payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "side", "k", "c", "n", payload)), strict=True):
+                if row[:3] != at:
+                    if len({r[5] for r in held}) > 1:
+                        yield from kernel(held)
+                    at, held = row[:3], []
+                held.append(row)
+        if len({r[5] for r in held}) > 1:
+            yield from kernel(held)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len({r[1] for r in held}) > 1:
-                out = _block_links(held)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "k"])
+    return dealt.mapInArrow(run, schema)
 
-        for batch in batches:
-            for s, i, j, side, k, c, n, raw in zip(*(batch.column(x).to_pylist() for x in ("s", "i", "j", "side", "k", "c", "n", "items")), strict=True):
-                if (s, i, j) != at:
-                    yield from flush()
-                    at, held = (s, i, j), []
-                held.append((k, c, side, n, np.frombuffer(raw, np.uint64)))
-        yield from flush()
 
-    return full.select("s", "i", "j", "side", "k", "c", "n", "items").mapInArrow(run, "a binary, k binary")
+def remaining(shared: DataFrame, label: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Links (a, k) between different components that share a column, checked in full by blocks.
+
+    Parities are compared first, column by column; only the sets of rows that still have a partner are multiplied.
+    """
+    rows = shared.join(label, "k", "left").select("s", "k", "n", F.coalesce("c", "k").alias("c"))
+    # with the first and the one before, all pairs of up to three sets are checked already; the same sets are checked once
+    group = rows.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("k") % (1 << 40)).alias("sum"), F.min("k").alias("mk"))
+    group = group.filter("lo <> hi and size > 3").dropDuplicates(["size", "sum", "mk"]).select("s", "size")
+    dealt = _dealt(rows.join(group, "s"))
+
+    def sift(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        comp = np.unique([r[5] for r in held], return_inverse=True)[1].ravel()
+        out = _block_near(np.array([r[6] for r in held]), comp, np.array([r[3] for r in held]), [r[7] for r in held])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][4] for i, _ in out], pa.binary()), pa.array([held[j][4] for _, j in out], pa.binary())], names=["a", "k"])
+
+    def multiply(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out = _block_links([(r[4], r[5], r[3], r[6], np.frombuffer(r[7], np.uint64)) for r in held])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "k"])
+
+    forest = saved(_by_block(dealt.join(known.select("k", "bits"), "k"), "bits", sift, "a binary, k binary"))
+    # what may link lies in one cluster of the forest, so each set goes to one place, whatever columns it shares
+    cluster = components(forest).select("k", F.xxhash64("c").alias("s"))
+    members = saved(cluster.join(known.select("k", F.col("n").cast("int").alias("n")), "k").join(label, "k", "left").select("s", "k", "n", F.coalesce("c", "k").alias("c")))
+    sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"))
+    items = saved(wanted_sets(docs, members.select("k"), size))
+    return _by_block(_dealt(members.join(sizes, "s")).join(items, "k"), "items", multiply, "a binary, k binary")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (s, size, k, c, n) dealt to pairs of blocks (i, j) of their group; a group of one block has one pair."""
+    rows = rows.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return dealt.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "k", "c", "n")
 
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -300,19 +401,17 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     base = saved(nodes(docs.select("doc_id", "text"), size))
     frequent = spark.sparkContext.broadcast(frequent_bits(docs, size))
     entries = columns(docs, frequent, size)
-    w = Window.partitionBy("s").orderBy("k")
-    seen = entries.withColumns({"before": F.lag("k").over(w), "after": F.lead("k").over(w), "a": F.first("k").over(w), "an": F.first("n").over(w), "bn": F.lag("n").over(w)})
-    # a set that several tasks met stands there more than once
-    seen = seen.filter(F.col("before").isNull() | (F.col("before") != F.col("k")))
-    shared = saved(seen.filter((F.col("a") != F.col("k")) | (F.col("after").isNotNull())).select("s", "k", "n", "a", "an", "before", "bn"))
+    shared = saved(fitting(entries))
     pairs = shared.filter((F.col("a") != F.col("k")) & _fits(F.col("n"), F.col("an"))).select("a", "k").unionByName(
-        shared.filter(F.col("before").isNotNull() & (F.col("before") != F.col("a")) & _fits(F.col("n"), F.col("bn"))).select(F.col("before").alias("a"), "k")
+        shared.filter(F.col("before").isNotNull() & (F.col("before") != F.col("a"))).select(F.col("before").alias("a"), "k")
     )
     pairs = saved(pairs.distinct())
-    items = saved(wanted_sets(docs, saved(shared.select("k").distinct()), size))
+    known = saved(base.join(shared.select("k").distinct(), "k", "left_semi").select("k", "n", "bits").dropDuplicates(["k"]))
+    pairs = saved(near(pairs, known))
+    items = saved(wanted_sets(docs, saved(pairs.select("k").unionByName(pairs.select(F.col("a").alias("k"))).distinct()), size))
     links = saved(verified(pairs, items))
     label = components(links)
-    more = saved(remaining(shared.select("s", "k", "n"), label, items))
+    more = saved(remaining(shared.select("s", "k", "n"), label, known, docs, size))
     if not more.isEmpty():
         label = components(links.unionByName(more))
     first = base.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("d"))
