@@ -257,6 +257,16 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
+def _forget(path: str, pattern: str):
+    """Workers live on after a task, so what one has learnt goes at its end."""
+
+    def run() -> None:
+        c = coder(path, pattern)
+        c.known, c.older = {}, {}
+
+    return run
+
+
 def _digest(parts: list[bytes]) -> pa.Array:
     return pa.array([hashlib.sha256(b).hexdigest() for b in parts], pa.string())
 
@@ -269,7 +279,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         offsets = np.append(0, np.cumsum([len(b) // 4 for b in got])).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))]
 
-    return map_texts(docs, run, "ids array<int>", piece=1 << 22)
+    return map_texts(docs, run, "ids array<int>", piece=1 << 22, done=_forget(path, pattern))
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -291,4 +301,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         ids, back = coder(path, pattern).code(texts)
         return [pa.array([len(b) // 4 for b in ids], pa.int64()), _digest(ids), _digest(back)]
 
-    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", piece=1 << 22)
+    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", piece=1 << 22, done=_forget(path, pattern))
