@@ -1,8 +1,9 @@
 """Similarity join on word shingles by a blocked sparse product of documents and shingles.
 
-Two documents link when 100 x |A and B| >= 85 x |A or B| on their sets of shingles. Rows with equal sets are one node. The product
+Two documents link when 100 x |A and B| >= ``num`` x |A or B| on their sets of shingles of ``size`` words: 85 and 4 unless
+the caller asks for others (``num`` above 50). Rows with equal sets are one node. The product
 is formed over the columns that matter: with the shingles of every document in one common order, linked documents share
-one of their first n - ceil(0.85 n) + 1 (a size-derived bound), so only those columns are multiplied at first. The order puts
+one of their first n - ceil(num n / 100) + 1 (a size-derived bound), so only those columns are multiplied at first. The order puts
 frequent shingles last; which are frequent says a count of all shingles in 2^22 buckets, whose bits (512 KB) every task
 gets. Entries of the product below the bounds on the sizes go, then those whose parity bits differ in more places than linked sets may; for
 the others the overlap is counted over all columns.
@@ -74,9 +75,9 @@ def nodes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return map_texts(docs, run, "n long, k binary, bits binary")
 
 
-def _most(total):
+def _most(total, num: int = NUM):
     """The most shingles that only one of two linked sets has, by the sum of their sizes."""
-    return total - 2 * -(-NUM * total // (NUM + DEN))
+    return total - 2 * -(-num * total // (num + DEN))
 
 
 def _differ(a: bytes, b: bytes) -> int:
@@ -88,14 +89,14 @@ def _differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def near(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, known: DataFrame, num: int = NUM) -> DataFrame:
     """The ``pairs`` (a, k) whose parities (``known``: k, n, bits) don't rule a link out. Some 100 bytes a set travel, not its shingles."""
     left = known.select(F.col("k").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("n", "bits", "an", "abits")]
-            keep = [_differ(y, z) <= _most(x + w) for x, y, w, z in zip(*cols, strict=True)]
+            keep = [_differ(y, z) <= _most(x + w, num) for x, y, w, z in zip(*cols, strict=True)]
             yield batch.select(["a", "k"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(known, "k").mapInArrow(run, "a binary, k binary")
@@ -165,7 +166,7 @@ def frequent_bits(docs: DataFrame, size: int = SIZE, factor: int = 4, least: int
     return out.tobytes()
 
 
-def columns(docs: DataFrame, frequent, size: int = SIZE) -> DataFrame:
+def columns(docs: DataFrame, frequent, size: int = SIZE, num: int = NUM) -> DataFrame:
     """(s, k, n): the entries of each set in the columns that come first for it."""
 
     def run(k: bytes, own: np.ndarray) -> tuple:
@@ -173,17 +174,17 @@ def columns(docs: DataFrame, frequent, size: int = SIZE) -> DataFrame:
         at = (own & np.uint64(BUCKETS - 1)).astype(np.int64)
         late = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         n = len(own)
-        first = np.concatenate([own[late == 0], own[late == 1]])[: n - (NUM * n + DEN - 1) // DEN + 1]
+        first = np.concatenate([own[late == 0], own[late == 1]])[: n - (num * n + DEN - 1) // DEN + 1]
         return first.view(np.int64), [k] * len(first), np.full(len(first), n, np.int32)
 
     return _once(docs, size, run, "s long, k binary, n int")
 
 
-def _fits(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+def _fits(a: Column, b: Column, num: int = NUM) -> Column:
+    return F.least(a, b) * DEN >= F.greatest(a, b) * num
 
 
-def fitting(entries: DataFrame) -> DataFrame:
+def fitting(entries: DataFrame, num: int = NUM) -> DataFrame:
     """(s, k, n, a, an, before): entries in columns with others of fitting sizes, s naming the column and the stretch of sizes.
 
     In order of sizes a column falls apart where the next size is too large for the one before, and nothing links across.
@@ -193,15 +194,15 @@ def fitting(entries: DataFrame) -> DataFrame:
     e = entries.withColumns({"bk": F.lag("k").over(w), "bn": F.lag("n").over(w)})
     # a set that several tasks met stands there more than once
     e = e.filter(F.col("bk").isNull() | (F.col("bk") != F.col("k")))
-    e = e.withColumn("part", F.sum(F.when(F.col("bn").isNull() | ~_fits(F.col("n"), F.col("bn")), 1).otherwise(0)).over(w))
+    e = e.withColumn("part", F.sum(F.when(F.col("bn").isNull() | ~_fits(F.col("n"), F.col("bn"), num), 1).otherwise(0)).over(w))
     p = Window.partitionBy("s", "part").orderBy("n", "k")
     e = e.withColumns({"before": F.lag("k").over(p), "after": F.lead("k").over(p), "a": F.first("k").over(p), "an": F.first("n").over(p)})
     return e.filter(F.col("before").isNotNull() | F.col("after").isNotNull()).select(F.xxhash64("s", "part").alias("s"), "k", "n", "a", "an", "before")
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, num: int = NUM) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return DEN * both >= num * (len(a) + len(b) - both)
 
 
 def wanted_sets(docs: DataFrame, keys: DataFrame, size: int = SIZE) -> DataFrame:
@@ -221,7 +222,7 @@ def wanted_sets(docs: DataFrame, keys: DataFrame, size: int = SIZE) -> DataFrame
     return found.join(keys, "k", "left_semi").dropDuplicates(["k"])
 
 
-def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, num: int = NUM) -> DataFrame:
     """The links among ``pairs`` (a, k). A member's set goes to the place of its a, whose own set comes first."""
     members = pairs.join(items, "k").select("a", F.lit(1).alias("kind"), "k", "items")
     heads = items.join(pairs.select(F.col("a").alias("k")).distinct(), "k", "left_semi").select(F.col("k").alias("a"), F.lit(0).alias("kind"), "k", "items")
@@ -241,7 +242,7 @@ def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
                 s = np.frombuffer(raw, np.uint64)
                 if kind == 0:
                     head, own = a, s
-                elif head == a and _linked(own, s):
+                elif head == a and _linked(own, s, num):
                     out.append((a, k))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "k"])
@@ -266,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
         label = now.select("k", "c")
 
 
-def _block_links(rows: list[tuple[bytes, bytes, int, int, np.ndarray]]) -> list[tuple[bytes, bytes]]:
+def _block_links(rows: list[tuple[bytes, bytes, int, int, np.ndarray]], num: int = NUM) -> list[tuple[bytes, bytes]]:
     """Links between different components among the rows (k, component, side, n, set) of one block pair.
 
     The product of a side's incidence with the other's, over shingles that two rows share, some thousand columns at a time.
@@ -291,7 +292,7 @@ def _block_links(rows: list[tuple[bytes, bytes, int, int, np.ndarray]]) -> list[
         m[row[a:b], col[a:b] - c] = 1
         overlap += m @ m.T
     total = n[:, None] + n[None, :] - overlap
-    ok = (DEN * overlap >= NUM * total) & (comp[:, None] != comp[None, :])
+    ok = (DEN * overlap >= num * total) & (comp[:, None] != comp[None, :])
     if side.max() != side.min():
         ok &= side[:, None] != side[None, :]
     i, j = np.nonzero(np.triu(ok, 1))
@@ -300,7 +301,7 @@ def _block_links(rows: list[tuple[bytes, bytes, int, int, np.ndarray]]) -> list[
     return [(rows[i[f]][0], rows[j[f]][0]) for f in first]
 
 
-def _block_near(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+def _block_near(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], num: int = NUM) -> list[tuple[int, int]]:
     """Pairs of rows that join all that parities don't rule out between components of a block pair: a forest, not all pairs."""
     up = list(range(len(n)))
 
@@ -322,13 +323,13 @@ def _block_near(n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[by
         for i in range(0, len(own), 256):
             a = own[i : i + 256]
             total = n[a][:, None] + n[both][None, :]
-            ok = (comp[a][:, None] != comp[both][None, :]) & (DEN * np.minimum(n[a][:, None], n[both][None, :]) >= NUM * np.maximum(n[a][:, None], n[both][None, :]))
+            ok = (comp[a][:, None] != comp[both][None, :]) & (DEN * np.minimum(n[a][:, None], n[both][None, :]) >= num * np.maximum(n[a][:, None], n[both][None, :]))
             if side.max() != side.min():
                 ok &= side[a][:, None] != side[both][None, :]
             x, y = np.nonzero(ok)
             for z in range(0, len(x), 1 << 16):
                 xs, ys = x[z : z + (1 << 16)], y[z : z + (1 << 16)]
-                good = np.bitwise_count(words[i + xs] ^ words[ys]).sum(axis=1, dtype=np.int64) <= _most(total[xs, ys])
+                good = np.bitwise_count(words[i + xs] ^ words[ys]).sum(axis=1, dtype=np.int64) <= _most(total[xs, ys], num)
                 for p, q in zip(a[xs[good]].tolist(), both[ys[good]].tolist(), strict=True):
                     r, t = find(p), find(q)
                     if r != t:
@@ -356,7 +357,7 @@ def _by_block(rows: DataFrame, payload: str, kernel: Callable, schema: str) -> D
     return dealt.mapInArrow(run, schema)
 
 
-def remaining(shared: DataFrame, label: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def remaining(shared: DataFrame, label: DataFrame, known: DataFrame, docs: DataFrame, size: int, num: int = NUM) -> DataFrame:
     """Links (a, k) between different components that share a column, checked in full by blocks.
 
     Parities are compared first, column by column; only the sets of rows that still have a partner are multiplied.
@@ -369,12 +370,12 @@ def remaining(shared: DataFrame, label: DataFrame, known: DataFrame, docs: DataF
 
     def sift(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         comp = np.unique([r[5] for r in held], return_inverse=True)[1].ravel()
-        out = _block_near(np.array([r[6] for r in held]), comp, np.array([r[3] for r in held]), [r[7] for r in held])
+        out = _block_near(np.array([r[6] for r in held]), comp, np.array([r[3] for r in held]), [r[7] for r in held], num)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([held[i][4] for i, _ in out], pa.binary()), pa.array([held[j][4] for _, j in out], pa.binary())], names=["a", "k"])
 
     def multiply(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out = _block_links([(r[4], r[5], r[3], r[6], np.frombuffer(r[7], np.uint64)) for r in held])
+        out = _block_links([(r[4], r[5], r[3], r[6], np.frombuffer(r[7], np.uint64)) for r in held], num)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "k"])
 
@@ -395,23 +396,23 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "k", "c", "n")
 
 
-def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def join(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     spark = tuned(docs.sparkSession)
     base = saved(nodes(docs.select("doc_id", "text"), size))
     frequent = spark.sparkContext.broadcast(frequent_bits(docs, size))
-    entries = columns(docs, frequent, size)
-    shared = saved(fitting(entries))
-    pairs = shared.filter((F.col("a") != F.col("k")) & _fits(F.col("n"), F.col("an"))).select("a", "k").unionByName(
+    entries = columns(docs, frequent, size, num)
+    shared = saved(fitting(entries, num))
+    pairs = shared.filter((F.col("a") != F.col("k")) & _fits(F.col("n"), F.col("an"), num)).select("a", "k").unionByName(
         shared.filter(F.col("before").isNotNull() & (F.col("before") != F.col("a"))).select(F.col("before").alias("a"), "k")
     )
     pairs = saved(pairs.distinct())
     known = saved(base.join(shared.select("k").distinct(), "k", "left_semi").select("k", "n", "bits").dropDuplicates(["k"]))
-    pairs = saved(near(pairs, known))
+    pairs = saved(near(pairs, known, num))
     items = saved(wanted_sets(docs, saved(pairs.select("k").unionByName(pairs.select(F.col("a").alias("k"))).distinct()), size))
-    links = saved(verified(pairs, items))
+    links = saved(verified(pairs, items, num))
     label = components(links)
-    more = saved(remaining(shared.select("s", "k", "n"), label, known, docs, size))
+    more = saved(remaining(shared.select("s", "k", "n"), label, known, docs, size, num))
     if not more.isEmpty():
         label = components(links.unionByName(more))
     first = base.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("d"))
@@ -421,7 +422,7 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return base.join(of, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def representatives(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id (rows that share it all stay)."""
-    kept = join(docs, size).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = join(docs, size, num).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -21,3 +21,21 @@ def test_stages(spark, sf):
     assert d.count() == c.count() - hit
     assert e.count() == d.count() and e.filter(F.col("n_chars") != F.length("text")).count() == 0
     assert f.count() == e.count() and "ids" in f.columns and "text" not in f.columns
+
+
+def test_near_copies_share_four_fifths_of_five_words(spark, sf):
+    def made(start, edits):
+        w = [f"w{start + i}" for i in range(200)]
+        for i in edits:
+            w[i] = f"e{start + i}"
+        return " ".join(w)
+
+    # five edits far apart: 5-word Jaccard 171 / 221 (below 0.8); four: 176 / 216 (0.81) and 4-word 181 / 213 (below 0.85)
+    texts = [made(0, []), made(0, [20, 60, 100, 140]), made(1000, []), made(1000, [20, 60, 100, 140, 180]), made(2000, [])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    words = [t.split(" ") for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    share = [[len(a & b) / len(a | b) for a in sets] for b in sets]
+    assert 0.8 <= share[0][1] < 0.85 and 0.7 < share[2][3] < 0.8
+    want = [i for i in range(len(texts)) if not any(share[i][j] >= 0.8 for j in range(i))]
+    assert sorted(r.doc_id for r in p.keep_one_of_group(spark, docs, sf).collect()) == want == [0, 2, 3, 4]
