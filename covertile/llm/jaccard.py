@@ -396,8 +396,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "k", "c", "n")
 
 
-def join(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame, size: int, num: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of ``docs`` (doc_id, text), and (k, d, c): each set's smallest doc_id and its component."""
     spark = tuned(docs.sparkSession)
     base = saved(nodes(docs.select("doc_id", "text"), size))
     frequent = spark.sparkContext.broadcast(frequent_bits(docs, size))
@@ -416,13 +416,36 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
     if not more.isEmpty():
         label = components(links.unionByName(more))
     first = base.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("d"))
-    named = saved(first.join(label, "k", "left").select("k", "d", F.coalesce("c", "k").alias("c")))
+    return base, saved(first.join(label, "k", "left").select("k", "d", F.coalesce("c", "k").alias("c")))
+
+
+def join(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    base, named = _named(docs, size, num)
     least = named.groupBy("c").agg(F.min("d").alias("component_id"))
     of = named.join(least, "c").select("k", "component_id")
     return base.join(of, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id (rows that share it all stay)."""
-    kept = join(docs, size, num).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` with one row of each component: smallest doc_id (null ones last), then smallest set digest, then one row of those.
+
+    A doc_id doesn't name a row: rows with a null doc_id take part by their texts, and different texts under one doc_id stay or go
+    each by its own component. Texts without words link with nothing: one row of each doc_id stays, and all whose doc_id is null.
+    """
+    base, named = _named(docs, size, num)
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "k")).alias("b")).select(F.col("b.d").alias("_d"), F.col("b.k").alias("_b"))
+    bare = base.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_d"), F.col("k").alias("_b")).distinct()
+    chosen = saved(best.unionByName(bare))
+    # what holds no word and has no doc_id has no key to be chosen by
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+    def keys(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([_digest(x) for x in sets(texts, size)], pa.binary())]
+
+    rows = map_texts(docs.filter(~loose), keys, "_k binary", keep_text=True).select(*docs.columns, "_k")
+    if not base.filter("n > 0 or doc_id is not null").groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").isEmpty():
+        whole = F.struct(*docs.columns)
+        rows = rows.groupBy("doc_id", "_k").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*", "_k")
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_b")), "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.filter(loose))

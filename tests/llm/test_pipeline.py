@@ -39,3 +39,21 @@ def test_near_copies_share_four_fifths_of_five_words(spark, sf):
     assert 0.8 <= share[0][1] < 0.85 and 0.7 < share[2][3] < 0.8
     want = [i for i in range(len(texts)) if not any(share[i][j] >= 0.8 for j in range(i))]
     assert sorted(r.doc_id for r in p.keep_one_of_group(spark, docs, sf).collect()) == want == [0, 2, 3, 4]
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")),  # no ids: a stays, one of the two b stays
+        (None, text("c")), (5, text("c")), (4, text("c")),  # an id goes before none
+        (6, text("d")), (6, text("d")), (6, text("d").upper()),  # a repeated row
+        (7, text("e")), (7, text("f")), (3, text("f")),  # one id, two texts: e stays by itself, f goes to 3
+        (8, text("g")), (8, text("h")),
+        (None, None), (None, " "), (9, ""), (9, ""), (10, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in jaccard.representatives(docs, 5, 80).collect()]
+    want = [(None, text("a")), (None, text("b")), (4, text("c")), (6, min(text("d"), text("d").upper())), (7, text("e")), (3, text("f")), (8, text("g")), (8, text("h")), (None, None), (None, " "), (9, ""), (10, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    single = docs.filter("text like 'a%' or text like 'g%' or text is null")
+    assert sorted(r.doc_id or 0 for r in jaccard.representatives(single).collect()) == [0, 0, 8, 10]
