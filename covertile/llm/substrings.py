@@ -13,6 +13,9 @@ by string instead, so that no task gets an unbounded group.
 Sorting tokens of some 250 bytes instead of single bytes is what makes the method affordable in Python; the exact check
 inside a range then works on bytes. Equal strings are told by 64-bit hashes.
 
+Texts over ``SLICE`` bytes are read in slices that overlap by WIDTH - 1 bytes, so each string starts in exactly one slice; as
+an anchor depends on its string only, a segment that a border cuts is compared string by string with the same results.
+
 Cases: null texts are empty; texts shorter than WIDTH lose nothing; all copies of a repeated text go entirely (from WIDTH
 bytes on); repeated rows count as copies; the runs removed from a text may leave invalid UTF-8, so digests are of bytes.
 """
@@ -35,6 +38,8 @@ SPAN = WIDTH - GRAM + 1  # places of an anchor in a string
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MOST_BITS = 28
+#: String starts that are worked on at once; positions have 26 bits beside an anchor's hash.
+SLICE = 1 << 22
 #: Segments of one anchor that one task compares; beyond, strings are dealt by their hashes.
 GROUP = 20_000
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -92,27 +97,34 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[own], first, last, place[first], h[place[first]]
 
 
-def _shards(batch: pa.RecordBatch, met: set[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Texts of a batch that the task has not met, long enough to hold a string: (digests, bytes, offsets)."""
+def _shards(batch: pa.RecordBatch, met: set[bytes], most: int = SLICE) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of a batch that the task has not met, long enough to hold a string, in slices of ``most`` string starts:
+    (digests of the whole texts, bytes, offsets, each slice's place in its text)."""
+
+    def shard(keys: list[bytes], texts: list[bytes], starts: list[int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        return keys, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), np.array(starts, np.int64)
+
     for part in pieces(batch, 1 << 20):
-        keys, texts = [], []
+        keys, texts, starts, held = [], [], [], 0
         for t in part.column("text").to_pylist():
             raw = (t or "").encode()
-            if len(raw) >= WIDTH:
-                k = hashlib.sha256(raw).digest()[:16]
-                if k not in met:
-                    met.add(k)
-                    keys.append(k)
-                    texts.append(raw)
+            if len(raw) < WIDTH:
+                continue
+            k = hashlib.sha256(raw).digest()[:16]
+            if k in met:
+                continue
+            met.add(k)
+            for at in range(0, len(raw) - WIDTH + 1, most):
+                cut = raw[at : at + most + WIDTH - 1]
+                if keys and held + len(cut) > most + WIDTH - 1:
+                    yield shard(keys, texts, starts)
+                    keys, texts, starts, held = [], [], [], 0
+                keys.append(k)
+                texts.append(cut)
+                starts.append(at)
+                held += len(cut)
         if keys:
-            # positions fit the 26 bits beside an anchor's hash; a longer text is refused rather than cut
-            if sum(map(len, texts)) >= 1 << 26:
-                for k, t in zip(keys, texts, strict=True):
-                    if len(t) >= 1 << 26:
-                        raise ValueError("a text of 64 MB or more")
-                    yield [k], np.frombuffer(t, np.uint8), np.array([0, len(t)])
-            else:
-                yield keys, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+            yield shard(keys, texts, starts)
 
 
 def _bitmap(keys: DataFrame, bits: int) -> bytes:
@@ -134,20 +146,20 @@ def _fields(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, most: int = SLICE) -> DataFrame:
     """(b, n): how often each anchor begins a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for batch in batches:
-            for _, raw, offsets in _shards(batch, met):
+            for _, raw, offsets, _ in _shards(batch, met, most):
                 h = segments(raw, offsets)[4]
                 yield _fields({"b": pa.array(h.view(np.int64))})
 
     return docs.select("text").mapInArrow(run, "b long").groupBy("b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _segment_rows(docs: DataFrame, wanted, passed) -> DataFrame:
+def _segment_rows(docs: DataFrame, wanted, passed, most: int = SLICE) -> DataFrame:
     """(a, k, s0, o0, part): the segments of wanted anchors: text's digest, first start, its distance to the anchor, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,18 +167,18 @@ def _segment_rows(docs: DataFrame, wanted, passed) -> DataFrame:
         hot = np.frombuffer(passed.value, np.uint8)
         met: set[bytes] = set()
         for batch in batches:
-            for keys, raw, offsets in _shards(batch, met):
+            for keys, raw, offsets, starts in _shards(batch, met, most):
                 text, first, last, place, h = segments(raw, offsets)
                 keep = _in(bits, h) & ~_in(hot, h)
                 text, first, last, place, h = (x[keep] for x in (text, first, last, place, h))
                 data = raw.tobytes()
                 part = [data[a : b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield _fields({"a": pa.array(h.view(np.int64)), "k": pa.array([keys[t] for t in text.tolist()], pa.binary()), "s0": pa.array(first - offsets[text]), "o0": pa.array((place - first).astype(np.int32)), "part": pa.array(part, pa.binary())})
+                yield _fields({"a": pa.array(h.view(np.int64)), "k": pa.array([keys[t] for t in text.tolist()], pa.binary()), "s0": pa.array(first - offsets[text] + starts[text]), "o0": pa.array((place - first).astype(np.int32)), "part": pa.array(part, pa.binary())})
 
     return docs.select("text").mapInArrow(run, "a long, k binary, s0 long, o0 int, part binary")
 
 
-def _string_rows(docs: DataFrame, passed) -> DataFrame:
+def _string_rows(docs: DataFrame, passed, most: int = SLICE) -> DataFrame:
     """(f, k, s): every string of the anchors with very many segments, by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +187,7 @@ def _string_rows(docs: DataFrame, passed) -> DataFrame:
         if not hot.any():
             return
         for batch in batches:
-            for keys, raw, offsets in _shards(batch, met):
+            for keys, raw, offsets, starts in _shards(batch, met, most):
                 text, first, last, _, h = segments(raw, offsets)
                 keep = _in(hot, h)
                 text, first, last = text[keep], first[keep], last[keep]
@@ -183,7 +195,7 @@ def _string_rows(docs: DataFrame, passed) -> DataFrame:
                 s = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 t = np.repeat(text, n)
                 f = rolled(raw, WIDTH)[s]
-                yield _fields({"f": pa.array(f.view(np.int64)), "k": pa.array([keys[x] for x in t.tolist()], pa.binary()), "s": pa.array(s - offsets[t])})
+                yield _fields({"f": pa.array(f.view(np.int64)), "k": pa.array([keys[x] for x in t.tolist()], pa.binary()), "s": pa.array(s - offsets[t] + starts[t])})
 
     return docs.select("text").mapInArrow(run, "f long, k binary, s long")
 
@@ -276,22 +288,22 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], far[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> DataFrame:
     """(k, spans): by the text's digest, the byte ranges that repeated strings cover, not merged yet."""
     spark = tuned(docs.sparkSession)
-    counted = saved(anchors(docs).filter("n > 1"))
+    counted = saved(anchors(docs, most).filter("n > 1"))
     size = counted.count()
     bits = min(MOST_BITS, max(20, int(np.ceil(np.log2(max(1, size) * 16)))))
     wanted = spark.sparkContext.broadcast(_bitmap(counted.select("b"), bits))
     passed = spark.sparkContext.broadcast(_bitmap(counted.filter(F.col("n") > group).select("b"), 20))
-    near = _compare(_segment_rows(docs, wanted, passed))
-    strings = _string_rows(docs, passed)
+    near = _compare(_segment_rows(docs, wanted, passed, most))
+    strings = _string_rows(docs, passed, most)
     often = strings.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
     far = strings.join(often, "f").select("k", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end"))
     return saved(near.unionByName(far)).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def removal(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def removal(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(rows, edits): each row of ``docs`` without its text with k, d (digests), n_bytes, copies; and for texts that lose a part
     k and spans (merged, array of start and end)."""
     tuned(docs.sparkSession)
@@ -303,7 +315,7 @@ def removal(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
         return [pa.array(np.diff(offsets)), pa.array([x.digest()[:16] for x in full], pa.binary()), pa.array([x.hexdigest() for x in full], pa.string())]
 
     base = saved(map_texts(docs, digests, "n_bytes long, k binary, d string"))
-    return base, saved(repeated_spans(docs, group))
+    return base, saved(repeated_spans(docs, group, most))
 
 
 def _apply(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -345,9 +357,9 @@ def _apply(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return raws.join(edits, "k").mapInArrow(kept, "k binary, n_removed long, n_spans long, kept binary").dropDuplicates(["k"])
 
 
-def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def report(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> DataFrame:
     """The digest columns of the contract."""
-    rows, edits = removal(docs.select("doc_id", "text"), group)
+    rows, edits = removal(docs.select("doc_id", "text"), group, most)
     done = saved(_apply(docs, edits).select("k", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
     copied = rows.filter(F.col("n_bytes") >= WIDTH).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     # a text that stands twice goes entirely

@@ -138,6 +138,25 @@ def test_substrings_equal_brute_force(docs, none, group):
     assert substrings.report(none, group).count() == 0
 
 
+@pytest.mark.parametrize("group", [substrings.GROUP, 2])
+def test_substrings_of_long_texts_in_slices(docs, group):
+    assert max(len(r[1] or "") for r in corpus()) > 4 * 300
+    got, want = (sorted(substrings.report(docs, group, most).collect()) for most in (300, substrings.SLICE))
+    assert got == want and sum(r.n_removed for r in got) > 2000
+
+
+def test_a_text_of_64_mb_is_whole():
+    size = (1 << 26) + 1000
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * 500, "y" * size])})
+    starts = {}
+    for keys, raw, offsets, first in substrings._shards(batch, set()):
+        for k, a, b, s in zip(keys, offsets[:-1].tolist(), offsets[1:].tolist(), first.tolist(), strict=True):
+            starts.setdefault(k, []).append((s, s + b - a - substrings.WIDTH + 1))
+    short, long = sorted(starts.values(), key=lambda x: x[-1])
+    assert short == [(0, 301)] and long[0][0] == 0 and long[-1][1] == size - substrings.WIDTH + 1
+    assert all(a[1] == b[0] for a, b in zip(long[:-1], long[1:], strict=True))
+
+
 def test_linear_grouping_sorts_suffixes():
     rng = random.Random(12)
     for _ in range(2000):
