@@ -9,7 +9,8 @@ gets one more backslash, which reading takes away again, so the formatted text r
 roles are written as %7C> and %25.
 
 Cases: null texts are empty, null roles ``unknown``; rows of one turn follow each other by role and text; null turns come
-first; repeated rows are turns of their own; a node whose parent is missing is a root; an empty table gives no rows.
+first; repeated rows are turns of their own; a node whose parent is missing is a root; an empty table gives no rows; messages
+without a tree (null) are one tree.
 """
 
 from __future__ import annotations
@@ -48,11 +49,20 @@ def threads(rows: DataFrame, tree: str = "conv_id", turn: str = "turn") -> DataF
     return rows.select(F.col(tree).alias("tree"), node.alias("node"), F.when(node > 1, node - 1).alias("parent"), F.coalesce("role", F.lit("unknown")).alias("role"), text.alias("text"), F.length(text).cast("double").alias("score"))
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """``messages`` with the tree in a struct: that is never null, and structs of a null are equal, so joins keep the null tree."""
+    return messages.withColumn("tree", F.struct("tree"))
+
+
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, branch, node, depth) of the nodes on each tree's ``top`` best root-to-leaf paths (ties: smaller leaf).
 
     branch is the path's rank from 1. Only ids and scores are joined, never texts.
     """
+    return _paths(_keyed(messages), top).withColumn("tree", F.col("tree.tree"))
+
+
+def _paths(messages: DataFrame, top: int) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", "score")
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     # a parent that is not there makes a root
@@ -80,11 +90,12 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 
 def formatted(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, branch, formatted): one string for each chosen path."""
-    path = chosen_paths(messages, top)
+    messages = _keyed(messages)
+    path = _paths(messages, top)
     turn = F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>"), escape(F.col("text")), F.lit(END))
     lines = path.join(messages.select("tree", "node", turn.alias("line")), ["tree", "node"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "line"))), lambda x: x["line"]), "")
-    return lines.groupBy("tree", "branch").agg(joined.alias("formatted"))
+    return lines.groupBy("tree", "branch").agg(joined.alias("formatted")).withColumn("tree", F.col("tree.tree"))
 
 
 def read_back(text: Column) -> Column:

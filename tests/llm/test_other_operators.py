@@ -86,6 +86,22 @@ def test_best_branch_of_a_tree(spark):
     assert sorted(r.formatted for r in chat.formatted(df, 1).collect()) == ["".join(f"<|user|>m{i}<|end|>" for i in (1, 3, 4, 5))]
 
 
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_messages_without_a_tree_are_one_tree(spark, limit):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (None, 2, "user", "d"), (0, 0, "user", "e"), (0, 1, "assistant", "f")]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = {r.conv_id: r for r in chat.report(df).collect()}
+        path = {(r.tree, r.branch, r.node, r.depth) for r in chat.chosen_paths(chat.threads(df)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {(c, r.n_turns, r.loss_chars) for c, r in got.items()} == {(None, 3, 2), (0, 2, 1)}
+    assert got[None].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nbc\nuser\nd\n").hexdigest()
+    assert path == {(None, 1, 1, 1), (None, 1, 2, 2), (None, 1, 3, 3), (0, 1, 1, 1), (0, 1, 2, 2)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
