@@ -183,6 +183,13 @@ def test_bpe_equals_the_library(docs, none):
     assert {r.doc_id: bytes(r.decoded) for r in rows} == {r[0]: (r[1] or "").encode() for r in corpus()}
 
 
+def same_as_the_library(ref, own, texts):
+    ids, cuts = own.code(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [ref.encode_ordinary(t or "") for t in texts]
+    assert list(own.decode(ids, cuts)) == [(t or "").encode() for t in texts]
+    return len(ids)
+
+
 def test_bpe_cuts_and_long_words():
     ref, rng = reference(), random.Random(13)
     own = bpe.Coder(PATH, public_tokenizers.PATTERN)
@@ -190,11 +197,41 @@ def test_bpe_cuts_and_long_words():
     letters = ["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "é", "1", "²", "!", "日", "\x1c", "😀", "l", "v", "e"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     texts += ["a" * 1001, "".join(rng.choice("aehtns") for _ in range(1500)), "ab" * 300 + "é" * 99, "x" * 49]
-    ids, back = own.code(pa.array(texts))
-    assert [np.frombuffer(b, "<u4").tolist() for b in ids] == [ref.encode_ordinary(t) for t in texts]
-    assert back == [t.encode() for t in texts]
+    same_as_the_library(ref, own, texts)
     other = bpe.Coder(PATH, r"\s+|\S+")
-    assert b"".join(other.code(pa.array(["ab  c", None]))[1]) == b"ab  c"
+    ids, cuts = other.code(pa.array(["ab  c", None]))
+    assert list(other.decode(ids, cuts)) == [b"ab  c", b""]
+
+
+def test_bpe_long_words_batch_after_batch():
+    ref, rng = reference(), random.Random(18)
+    own = bpe.Coder(PATH, public_tokenizers.PATTERN)
+    for k in range(5):
+        same_as_the_library(ref, own, ["x" * 60, "y" * (70 + k)])
+        same_as_the_library(ref, own, ["z" * (50 + k), *("".join(rng.choice("abcdeé日") for _ in range(rng.randint(49, 400))) for _ in range(k * 3))])
+    # runs of one letter from an odd place on: windows don't join and are cut anew
+    same_as_the_library(ref, own, ["x" + "a" * 1001, " " + "a" * 999, " " * 777, "xy" + " " * 301 + "q", "日本語" * 100, "\n" * 200 + " " * 99, None, "", "'" * 100, "=" * 1000])
+    for _ in range(60):
+        same_as_the_library(ref, own, ["".join(rng.choice("aaab ") if rng.random() < 0.9 else rng.choice("xyz'1!\n") for _ in range(rng.randint(1, 600)))])
+    same_as_the_library(ref, own, ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))])
+    assert max(len(w) for w in own.known) <= bpe.WINDOW
+
+
+def test_bpe_of_a_text_in_parts(monkeypatch):
+    ref, rng = reference(), random.Random(19)
+    monkeypatch.setattr(bpe, "PART", 50)
+    monkeypatch.setattr(bpe, "DECODE_ROWS", 7)
+    own = bpe.Coder(PATH, public_tokenizers.PATTERN)
+    words = ["one", "två", "日本", "x" * 80, "12", "!?", "\n\n", "  "]
+    assert same_as_the_library(ref, own, [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) for _ in range(40)]) > 1000
+
+
+def test_bpe_of_one_word_of_megabytes():
+    ref, own = reference(), bpe.Coder(PATH, public_tokenizers.PATTERN)
+    text = "q" + "a" * 2_000_000
+    ids, cuts = own.code(pa.array([text]))
+    assert b"".join(own.decode(ids, cuts)) == text.encode()
+    assert ids[:2000].tolist() == ref.encode_ordinary(text[:40_000])[:2000]
 
 
 def spans(t):
