@@ -44,6 +44,29 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until none of the columns ``taken`` is called so."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a key) but ``weight``, the number of rows that have the key; NULL where it has none.
+
+    Keys with over a thousandth of all rows are at most 1,000; these are broadcast, so no task gets all rows of one. The
+    others are joined by shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = max(1000, total // 1000)
+    often = free([*rows.columns, *table.columns], "_often")
+    hot = F.broadcast(table.filter(F.col(weight) > limit).drop(weight).withColumn(often, F.lit(True)))
+    first = rows.join(hot, key, "left")
+    rest = first.filter(F.col(often).isNull()).select(*rows.columns).join(table.filter(F.col(weight) <= limit).drop(weight), key, "left")
+    return first.filter(F.col(often)).drop(often).unionByName(rest)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; fold 2 is held out."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))

@@ -55,7 +55,8 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_jaccard_equals_brute_force(docs, none):
+@pytest.mark.parametrize("limits", [{}, {"wide": 3, "hot": 8, "block": 4}, {"wide": 2, "hot": 10**6, "block": 2}])
+def test_jaccard_equals_brute_force(docs, none, limits):
     sets = {}
     for r in corpus():
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(r[1]))
@@ -72,11 +73,11 @@ def test_jaccard_equals_brute_force(docs, none):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    got = jaccard.join(docs).collect()
+    got = jaccard.join(docs, **limits).collect()
     assert len(got) == len(corpus())
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(s), find(d)) for d, s in sets.items()}
     assert len({r.component_id for r in got}) < len(sets) - 5
-    assert jaccard.join(none).count() == 0
+    assert jaccard.join(none, **limits).count() == 0
 
 
 def test_residual_blocks_find_links_between_components():
@@ -85,7 +86,8 @@ def test_residual_blocks_find_links_between_components():
     rows = [(b"a", b"1", 0, 100, a), (b"b", b"2", 0, 100, b), (b"c", b"3", 0, 100, far)]
     assert jaccard._block_links(rows) == [(b"a", b"b")]
     bits = [jaccard.parities(x) for x in (a, b, far)]
-    assert jaccard._block_near(np.array([100] * 3), np.array([0, 1, 2]), np.zeros(3, int), bits)[0] == (0, 1)
+    assert jaccard._block_near(np.array([100] * 3), np.array([0, 1, 2]), np.array([0, 1, 1]), bits) == [(0, 1)]
+    assert jaccard._block_near(np.array([100] * 3), np.array([0, 1, 2]), np.zeros(3, int), bits) == []
 
 
 def test_decontamination_equals_brute_force(spark, docs, none):
