@@ -1,4 +1,7 @@
-"""Assignment of calls to host contigs: residuals, null placements, candidates, matching, labels."""
+"""Assignment of calls to host contigs: residuals, null placements, thresholds, candidates, matching, labels.
+
+Every step but the matching is a DataFrame query; the matching is one small grouped map per sample.
+"""
 
 from __future__ import annotations
 
@@ -7,103 +10,203 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covertile.operators.intervals import choose, extend, runs
-from covertile.operators.metrics import depth
+from covertile.functions import clamp
+from covertile.operators.intervals import choose, runs
 from covertile.operators.robust import gc_regression, median_polish
 from covertile.params import Params
 
 LAGS = 10
 BAD = -1e6
+EPS = 1e-6
 
 
 def recipient_residuals(metrics: DataFrame, params: Params = Params(), masks: DataFrame | None = None, cohort: bool = True) -> DataFrame:
-    """(sample, chr_id, grp, iid, residual, depletion, masked, expected_breadth) of recipient windows.
+    """Recipient windows (sample, chr_id, grp, iid, start, stop, …) with residual, depletion, masked, expected_breadth, contig_length.
 
-    Log depths are polished over (contig, window) x sample in a cohort, else regressed on GC per contig. Expected breadth is
-    1 - exp(-median depth), over the samples of a window or the windows of a contig.
+    Log breadth depths are polished over (contig, window) x sample in a cohort, else regressed on GC per contig. Expected breadth is
+    1 - exp(-median depth), over the unmasked samples of a window or the windows of a contig; it never follows from the residual,
+    as a deletion of the whole contig would hide there.
     """
-    r = metrics.filter("role = 'recipient'").select("sample", "chr_id", "grp", "iid", "gc", "lambda_breadth", "lambda_count")
-    r = r.withColumn("residual", F.log(F.coalesce(depth(params.metric, params.eps), F.lit(0.0)) + params.eps))
+    own = [c for c in ("start", "stop", "breadth", "mapq_high_fraction") if c in metrics.columns]
+    r = metrics.filter("role = 'recipient'").select("sample", "chr_id", "grp", "iid", "gc", "lambda_breadth", *own)
+    r = r.withColumn("residual", F.log(F.greatest(F.coalesce("lambda_breadth", F.lit(0.0)), F.lit(0.0)) + EPS))
+    if "breadth" not in own:
+        r = r.withColumn("breadth", 1 - F.exp(-F.col("lambda_breadth")))
     if cohort:
         r = median_polish(r, ["chr_id", "iid"], "sample", "residual")
     else:
         r = gc_regression(r.withColumnRenamed("residual", "_y"), ["sample", "chr_id"], "_y", ["gc"]).drop("_y")
-    w = Window.partitionBy(*(["chr_id", "iid"] if cohort else ["sample", "chr_id"]))
-    r = r.withColumn("expected_breadth", 1 - F.exp(-F.median("lambda_breadth").over(w)))
     if masks is not None:
         r = r.join(masks.filter("mask").select("grp", "iid", F.lit(True).alias("_m")), ["grp", "iid"], "left").withColumn("masked", F.col("_m").isNotNull()).drop("_m")
     else:
         r = r.withColumn("masked", F.lit(False))
-    return r.withColumn("depletion", -F.col("residual")).drop("gc", "lambda_breadth", "lambda_count")
+    w = Window.partitionBy(*(["chr_id", "iid"] if cohort else ["sample", "chr_id"]))
+    seen = F.when(~F.col("masked"), F.col("lambda_breadth")) if cohort else F.col("lambda_breadth")
+    r = r.withColumns({"expected_breadth": clamp(1 - F.exp(-F.greatest(F.median(seen).over(w), F.lit(0.0))), 0.0, 1.0), "depletion": -F.col("residual")})
+    # greatest passes NULL over: no depth in any sample is no expectation
+    r = r.withColumn("expected_breadth", F.when(F.median(seen).over(w).isNotNull(), F.col("expected_breadth")))
+    if "stop" in own:
+        r = r.withColumn("contig_length", F.max("stop").over(Window.partitionBy("sample", "chr_id")))
+    return r.drop("gc", "lambda_breadth")
 
 
 def interval_stats(inside: DataFrame, keys: list[str], value: str = "depletion", order: str = "iid") -> DataFrame:
-    """(keys, n, mean, se, lower, n_eff): lower = mean - 1.645 se; the effective number of windows discounts autocorrelation.
+    """(keys, n, mean, se, lower, z, n_eff): lower = mean - 1.645 se; z = mean / se, NULL without a standard error.
 
-    Lag products to ``LAGS`` come from one window over the keys.
+    The effective number of values is n / max(1, 1 + 2 x the sum of autocorrelations to lag 10), between 1 and n; under four
+    values, or equal ones, it is n. Lag products come from one window over the keys.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    d = inside.filter(F.col(value).isNotNull()).withColumn("_m", F.avg(value).over(Window.partitionBy(*keys))).withColumn("_d", F.col(value) - F.col("_m"))
+    d = inside.filter(F.col(value).isNotNull()).withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
     d = d.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(1, LAGS + 1)})
-    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"), F.sum(F.col("_d") * F.col("_d")).alias("_v"), *(F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, LAGS + 1)))
-    # positive autocorrelations count until the first that is not
-    acf = F.array(*(F.coalesce(F.try_divide(F.col(f"_p{k}"), F.col("_v")), F.lit(0.0)) for k in range(1, LAGS + 1)))
-    total = F.aggregate(acf, F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("go")), lambda s, x: F.struct(F.when(s["go"] & (x > 0), s["s"] + x).otherwise(s["s"]).alias("s"), (s["go"] & (x > 0)).alias("go")), lambda s: s["s"])
-    a = a.withColumn("n_eff", F.greatest(F.lit(1.0), F.col("n") / (1 + 2 * total)))
-    a = a.withColumn("se", F.coalesce("_sd", F.lit(0.0)) / F.sqrt("n_eff")).withColumn("lower", F.col("mean") - 1.645 * F.col("se"))
-    return a.select(*keys, "n", "mean", "se", "lower", "n_eff")
+    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_sd"), F.sum(F.col("_d") * F.col("_d")).alias("_v"), *(F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, LAGS + 1)))
+    rho = sum((F.coalesce(F.col(f"_p{k}"), F.lit(0.0)) for k in range(1, LAGS + 1)), F.lit(0.0)) / F.col("_v")
+    n = F.col("n").cast("double")
+    some = (F.col("n") >= 4) & (F.col("_sd") > 0)
+    a = a.withColumn("n_eff", F.when(some, F.least(n, F.greatest(F.lit(1.0), n / F.greatest(F.lit(1.0), 1 + 2 * rho)))).otherwise(n))
+    a = a.withColumn("se", F.when(F.col("n") >= 2, F.col("_sd") / F.sqrt("n_eff")).otherwise(0.0)).withColumn("lower", F.col("mean") - 1.645 * F.col("se"))
+    return a.withColumn("z", F.when(F.col("se") > 0, F.col("mean") / F.col("se"))).select(*keys, "n", "mean", "se", "lower", "z", "n_eff")
+
+
+def null_profile(residuals: DataFrame, controls: DataFrame | None = None) -> DataFrame:
+    """(chr_id, grp, iid, dep, spread): of each recipient window the median and standard deviation of depletion over the null samples.
+
+    ``controls`` (sample) are the null samples, else all are. dep is NULL where no null sample has an unmasked value. An
+    event in one or two samples doesn't move a median.
+    """
+    r = residuals if controls is None else residuals.join(controls.select("sample").distinct(), "sample", "left_semi")
+    seen = F.max((F.col("depletion").isNotNull() & ~F.col("masked")).cast("int")) > 0
+    return r.groupBy("chr_id", "grp", "iid").agg(F.when(seen, F.median("depletion")).alias("dep"), F.coalesce(F.stddev_samp("depletion"), F.lit(0.0)).alias("spread"))
+
+
+def null_placements(widths: DataFrame, profile: DataFrame, n: int, permutations: int = 64, bonus: float = 1.0) -> DataFrame:
+    """(grp, width, permutation, chr_id, same, value): each (grp, width) placed on every contig by a fixed rule.
+
+    Placement b on contig j (in order of names) starts at place ((b - 1) 37 + (j - 1) 101) mod m of the m windows with a value from which the
+    width fits. value = mean - 1.645 spread / sqrt(windows), and ``bonus`` more on a contig of the group. Sums are
+    differences of prefix sums; the null is the cohort's, so calls of one group and width share their placements.
+    """
+    p = Window.partitionBy("chr_id").orderBy("iid").rowsBetween(Window.unboundedPreceding, 0)
+    valid = F.col("dep").isNotNull()
+    sums = profile.withColumns({
+        "_d": F.sum(F.coalesce("dep", F.lit(0.0))).over(p), "_s": F.sum(F.when(valid, F.col("spread")).otherwise(0.0)).over(p), "_n": F.sum(valid.cast("long")).over(p),
+    })
+    names = profile.select("chr_id", F.col("grp").alias("chr_grp")).distinct().withColumn("j", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("chr_id")))  # a row for each contig
+    each = widths.select("grp", "width").distinct().filter(F.col("width").between(1, n)).withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    t = each.join(F.broadcast(names))
+    # the starts that fit on a contig are its windows with a value up to n - width
+    room = sums.select("chr_id", (F.lit(n) - F.col("iid")).alias("width"), F.col("_n").alias("_m"))
+    t = t.join(room, ["chr_id", "width"]).filter("_m > 0").withColumn("_r", ((F.col("permutation") - 1) * 37 + (F.col("j") - 1) * 101) % F.col("_m") + 1)
+    first = sums.filter(valid).select("chr_id", F.col("_n").alias("_r"), F.col("iid").alias("_first"), (F.col("_d") - F.col("dep")).alias("_d0"), (F.col("_s") - F.col("spread")).alias("_s0"), (F.col("_n") - 1).alias("_n0"))
+    t = t.join(first, ["chr_id", "_r"]).withColumn("_last", F.col("_first") + F.col("width") - 1)
+    last = sums.select("chr_id", F.col("iid").alias("_last"), F.col("_d").alias("_d1"), F.col("_s").alias("_s1"), F.col("_n").alias("_n1"))
+    t = t.join(last, ["chr_id", "_last"])
+    k = F.col("_n1") - F.col("_n0")
+    same = F.col("chr_grp") == F.col("grp")
+    value = (F.col("_d1") - F.col("_d0")) / k - 1.645 * ((F.col("_s1") - F.col("_s0")) / k) / F.sqrt(k.cast("double")) + F.when(same, bonus).otherwise(0.0)
+    return t.select("grp", "width", "permutation", "chr_id", same.alias("same"), value.alias("value"))
+
+
+THRESHOLDS = ("min_depletion", "strong_depletion", "assignment_margin", "cross_margin", "run_threshold")
+
+
+def null_of_widths(placements: DataFrame, least: int = 20) -> DataFrame:
+    """(grp, width, n_null, four thresholds) of placements: quantiles over the permutations of the best contig, its lead over the
+    second, and the lead of the best other group over the own. NULL under ``least`` permutations."""
+    b = placements.groupBy("grp", "width", "permutation").agg(
+        F.array_sort(F.collect_list(-F.col("value"))).alias("_v"), F.max(F.when(F.col("same"), F.col("value"))).alias("_same"), F.max(F.when(~F.col("same"), F.col("value"))).alias("_other")
+    )  # as many values as there are contigs
+    b = b.withColumns({"best": -F.get("_v", F.lit(0)), "second": -F.get("_v", F.lit(1))})
+    a = b.groupBy("grp", "width").agg(
+        F.count("best").alias("n_null"), F.percentile("best", 0.95).alias("min_depletion"), F.percentile("best", 0.99).alias("strong_depletion"),
+        F.greatest(F.lit(0.0), F.percentile(F.col("best") - F.col("second"), 0.95)).alias("assignment_margin"), F.greatest(F.lit(0.0), F.percentile(F.col("_other") - F.col("_same"), 0.99)).alias("cross_margin"),
+        F.count(F.col("best") - F.col("second")).alias("_m"), F.count(F.col("_other") - F.col("_same")).alias("_c"),
+    )
+    a = a.withColumns({"assignment_margin": F.when(F.col("_m") > 0, F.col("assignment_margin")), "cross_margin": F.when(F.col("_c") > 0, F.col("cross_margin"))}).drop("_m", "_c")
+    return a.filter(F.col("n_null") >= least)
 
 
-def null_placements(calls: DataFrame, profile: DataFrame, n: int, permutations: int = 64, least: int = 20) -> DataFrame:
-    """(call_id, permutation, chr_id, mean) of intervals of a call's width placed elsewhere, by a fixed rule.
+def null_thresholds(calls: DataFrame, profile: DataFrame, n: int, permutations: int = 64, min_calls: int = 5, min_null: int = 20, bonus: float = 1.0, shrink: int = 20) -> DataFrame:
+    """(mode, bin, n_null, min_depletion, strong_depletion, assignment_margin, cross_margin, run_threshold) that random placement reaches.
 
-    Placement b on contig j starts at place ((b - 1) 37 + (j - 1) 101) mod m of the m starts that fit; sums are differences of
-    prefix sums. Calls with fewer than ``least`` placements get none.
+    A bin's value is the median over its calls, drawn to the mode's median with weight k / (k + ``shrink``) for k calls; bin -1 are
+    calls without one. Under ``min_calls`` calls there are no rows. run_threshold is the 95 % quantile of the profile, 0.5 at least.
     """
-    p = Window.partitionBy("sample", "chr_id").orderBy("iid").rowsBetween(Window.unboundedPreceding, 0)
-    sums = profile.withColumn("_s", F.sum(F.coalesce("depletion", F.lit(0.0))).over(p)).withColumn("_n", F.count("depletion").over(p)).select("sample", "chr_id", "iid", "_s", "_n")
-    contigs = profile.select("sample", "chr_id").distinct().withColumn("j", F.row_number().over(Window.partitionBy("sample").orderBy("chr_id")))
-    c = calls.select("call_id", "sample", (F.col("end_iid") - F.col("start_iid") + 1).alias("width")).filter(F.col("width") <= n)
-    t = c.join(contigs, "sample").withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    t = t.withColumn("first", ((F.col("permutation") - 1) * 37 + (F.col("j") - 1) * 101) % (n - F.col("width") + 1)).withColumn("last", F.col("first") + F.col("width") - 1)
-    hi = sums.select("sample", "chr_id", F.col("iid").alias("last"), F.col("_s").alias("_s1"), F.col("_n").alias("_n1"))
-    lo = sums.select("sample", "chr_id", (F.col("iid") + 1).alias("first"), F.col("_s").alias("_s0"), F.col("_n").alias("_n0"))
-    t = t.join(hi, ["sample", "chr_id", "last"]).join(lo, ["sample", "chr_id", "first"], "left")
-    t = t.withColumn("mean", F.try_divide(F.col("_s1") - F.coalesce("_s0", F.lit(0.0)), F.col("_n1") - F.coalesce("_n0", F.lit(0))))
-    enough = F.count("mean").over(Window.partitionBy("call_id")) >= least
-    return t.withColumn("_e", enough).filter("_e and mean is not null").select("call_id", "permutation", "chr_id", "mean")
-
-
-def null_thresholds(placements: DataFrame) -> DataFrame:
-    """(call_id, q95, q99, margin95): of each permutation's best contig, and of its lead over the next."""
-    w = Window.partitionBy("call_id", "permutation").orderBy(F.desc("mean"), "chr_id")
-    r = placements.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").groupBy("call_id", "permutation").agg(F.max("mean").alias("best"), F.min("mean").alias("next"))
-    return r.groupBy("call_id").agg(F.percentile("best", 0.95).alias("q95"), F.percentile("best", 0.99).alias("q99"), F.percentile(F.col("best") - F.col("next"), 0.95).alias("margin95"))
+    c = calls.select(F.col("mode"), F.coalesce("bin", F.lit(-1)).alias("bin"), "grp", (F.col("end_iid") - F.col("start_iid") + 1).alias("width"))
+    run = profile.agg(F.when(F.count("dep") >= min_null, F.greatest(F.lit(0.5), F.percentile("dep", 0.95))).alias("run_threshold"))
+    each = c.join(null_of_widths(null_placements(c, profile, n, max(8, permutations), bonus), min_null), ["grp", "width"]).join(F.broadcast(run)).join(F.broadcast(c.agg(F.count(F.lit(1)).alias("_calls")))).filter(F.col("_calls") >= min_calls)
+    g = each.groupingSets([["mode", "bin"], ["mode"]], "mode", "bin").agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("_k"), F.sum("n_null").alias("n_null"), *(F.median(t).alias(t) for t in THRESHOLDS))
+    whole = g.filter("_g <> 0").select("mode", *(F.col(t).alias(f"_{t}") for t in THRESHOLDS))
+    j = g.filter("_g = 0").join(whole, "mode")
+    w = F.col("_k") / (F.col("_k") + shrink)
+    return j.select("mode", "bin", "n_null", *(F.coalesce(w * F.col(t) + (1 - w) * F.col(f"_{t}"), t, f"_{t}").alias(t) for t in THRESHOLDS))
+
+
+def with_thresholds(calls: DataFrame, params: Params = Params(), null: DataFrame | None = None, cutoffs: DataFrame | None = None) -> DataFrame:
+    """``calls`` (mode, bin) with the thresholds of assignment: the null's and the class cutoffs' where they are known, else the parameters'.
+
+    A local loss needs a depletion of ``loss_depletion``: minus the loss cutoff, 0.5 at least. Without cutoffs totals don't decide.
+    """
+    c = calls.withColumn("_bin", F.coalesce("bin", F.lit(-1)))
+    if null is not None:
+        c = c.join(F.broadcast(null.select("mode", F.col("bin").alias("_bin"), *(F.col(t).alias(f"_{t}") for t in THRESHOLDS))), ["mode", "_bin"], "left")
+    own = {t: F.coalesce(f"_{t}", F.lit(getattr(params, t))) if null is not None else F.lit(getattr(params, t)) for t in THRESHOLDS}
+    c = c.withColumns({f"a_{t}": x for t, x in own.items()}).drop(*(f"_{t}" for t in THRESHOLDS))
+    if cutoffs is not None:
+        c = c.join(F.broadcast(cutoffs.select("mode", F.col("bin").alias("_bin"), F.col("donor_mod").alias("_dm"), F.col("loss_mod").alias("_lm"), F.col("total_mod").alias("_tm"))), ["mode", "_bin"], "left")
+        more = {"a_donor_mod": F.coalesce("_dm", F.lit(params.donor_mod)), "a_loss_depletion": F.coalesce(F.greatest(F.lit(0.5), -F.col("_lm")), F.lit(params.loss_depletion)), "a_total_mod": F.col("_tm")}
+    else:
+        more = {"a_donor_mod": F.lit(params.donor_mod), "a_loss_depletion": F.lit(params.loss_depletion), "a_total_mod": F.lit(None).cast("double")}
+    return c.withColumns(more).drop("_bin", "_dm", "_lm", "_tm")
 
 
 def candidates(calls: DataFrame, residuals: DataFrame, n: int, params: Params = Params()) -> DataFrame:
-    """A row for each call and recipient contig of its sample: depletion statistics, run, width and score.
+    """A row for each call (of ``with_thresholds``) and recipient contig of its sample: depletion statistics, run, width and score.
 
     Calls meet windows of their own span on every contig by an equi-join on (sample, iid): calls are few, and there are some
-    dozens of contigs.
+    dozens of contigs. Runs are windows whose depletion exceeds the call's run threshold; these take few values (one a bin).
+    A contig without a usable window inside the call is no candidate.
     """
     p = params
-    inside = calls.select("call_id", "sample", F.col("grp").alias("call_grp"), "start_iid", "end_iid", F.explode(F.sequence("start_iid", "end_iid")).alias("iid"))
-    j = inside.join(residuals.filter("not masked and depletion is not null"), ["sample", "iid"])
-    keys = ["call_id", "sample", "call_grp", "start_iid", "end_iid", "chr_id", "grp"]
-    stats = interval_stats(j, keys).join(j.groupBy("call_id", "chr_id").agg(F.avg("expected_breadth").alias("expected_breadth")), ["call_id", "chr_id"])
-    typical = residuals.groupBy("sample").agg(F.median("expected_breadth").alias("_typical"))
-    run = runs(residuals, ["sample", "chr_id"], "iid", F.col("depletion") > p.run_threshold)
-    e = extend(stats, run, ["sample", "chr_id"]).join(typical, "sample")
-    width, own = (F.col("ext_stop") - F.col("ext_start") + 1) / F.lit(float(n)), (F.col("end_iid") - F.col("start_iid") + 1) / F.lit(float(n))
-    whole_run, whole_call = width >= 0.95, own >= 0.95
-    penalty = F.when(whole_run & whole_call, 0.0).when(whole_run | whole_call, -8.0).otherwise(-2.0 * F.abs(F.log(width / own)))
-    overlap = (F.least("end_iid", "ext_stop") - F.greatest("start_iid", "ext_start") + 1) / F.greatest(F.col("end_iid") - F.col("start_iid") + 1, F.col("ext_stop") - F.col("ext_start") + 1)
-    reliable = (F.col("expected_breadth") >= F.greatest(F.lit(p.min_expected_breadth), p.relative_floor * F.col("_typical"))) & (F.col("lower") >= p.min_depletion) & ~(whole_call & ~whole_run)
-    e = e.withColumns({"same_group": F.col("grp") == F.col("call_grp"), "width_ratio": width / own, "overlap": overlap, "width_penalty": penalty, "reliable": reliable})
-    e = e.withColumn("strong", F.col("reliable") & F.col("run_found") & (F.col("expected_breadth") >= 0.002) & (F.col("lower") >= p.strong_depletion))
-    score = F.when(F.col("reliable"), F.col("lower") + F.col("same_group").cast("double") + F.col("width_penalty")).otherwise(F.lit(BAD))
-    return e.withColumn("score", score).drop("_typical")
+    levels = sorted({float(r[0]) for r in calls.select("a_run_threshold").distinct().limit(1000).collect()})  # one for each (mode, bin)
+    length = F.coalesce("donor_length", F.col("end_bp")) if "donor_length" in calls.columns else F.col("end_bp")
+    c = calls.select("call_id", "sample", F.col("grp").alias("call_grp"), "start_iid", "end_iid", "start_bp", "end_bp", "width_bp", length.alias("donor_length"), *(f"a_{t}" for t in THRESHOLDS))
+    inside = c.withColumn("iid", F.explode(F.sequence("start_iid", "end_iid"))).join(residuals.filter("not masked"), ["sample", "iid"])
+    keys = ["call_id", "chr_id"]
+    usable = inside.filter("depletion is not null")
+    stats = interval_stats(usable.select(*keys, "iid", "depletion"), keys)
+    means = usable.groupBy(*keys).agg(F.avg("expected_breadth").alias("expected_breadth"), F.avg("breadth").alias("observed_breadth"), F.avg("mapq_high_fraction").alias("mapq_fraction") if "mapq_high_fraction" in residuals.columns else F.lit(None).cast("double").alias("mapq_fraction"))
+    active = F.coalesce(F.col("depletion") > F.col("a_run_threshold"), F.lit(False))
+    span = inside.groupBy(*keys, "sample", "grp").agg(F.min("iid").alias("_lo"), F.max("iid").alias("_hi"), F.max(active).alias("run_found"))
+    e = stats.join(means, keys).join(span, keys).join(c, ["call_id", "sample"])
+    if levels:
+        leveled = residuals.filter("not masked and depletion is not null").withColumn("a_run_threshold", F.explode(F.array(*(F.lit(x) for x in levels))))
+        run = runs(leveled, ["sample", "chr_id", "a_run_threshold"], "iid", F.col("depletion") > F.col("a_run_threshold"))
+        cover = run.withColumn("iid", F.explode(F.sequence("run_start", "run_stop")))
+        by = ["sample", "chr_id", "a_run_threshold"]
+        e = e.join(cover.select(*by, (F.col("iid") + 1).alias("_lo"), F.col("run_start").alias("_s")), [*by, "_lo"], "left").join(cover.select(*by, (F.col("iid") - 1).alias("_hi"), F.col("run_stop").alias("_e")), [*by, "_hi"], "left")
+    else:
+        e = e.withColumns({"_s": F.lit(None).cast("long"), "_e": F.lit(None).cast("long")})
+    e = e.withColumns({"run_start_iid": F.when(F.col("run_found"), F.coalesce("_s", "_lo")).otherwise(F.col("_lo")), "run_end_iid": F.when(F.col("run_found"), F.coalesce("_e", "_hi")).otherwise(F.col("_hi"))})
+    typical = residuals.filter("not masked").groupBy("sample").agg(F.median("breadth").alias("_typical"))
+    size = residuals.groupBy("chr_id").agg(F.max("contig_length" if "contig_length" in residuals.columns else F.lit(n)).alias("_size"))
+    e = e.join(typical, "sample", "left").join(size, "chr_id")
+    at = lambda iid: F.floor(iid * F.col("_size") / F.lit(float(n)))
+    e = e.withColumns({"run_width_bp": at(F.col("run_end_iid") + 1) - at(F.col("run_start_iid")), "run_start_bp": at(F.col("run_start_iid")), "run_end_bp": at(F.col("run_end_iid") + 1), "inside_start_bp": at(F.col("start_iid")), "inside_end_bp": at(F.col("end_iid") + 1)})
+    e = e.withColumns({"donor_fraction": F.coalesce(F.try_divide(F.col("width_bp"), F.col("donor_length")), F.lit(1.0)), "run_fraction": F.coalesce(F.try_divide(F.col("run_width_bp"), F.col("_size")), F.lit(1.0))})
+    whole_call, whole_run = F.col("donor_fraction") >= 0.95, F.col("run_fraction") >= 0.95
+    ratio = F.try_divide(F.col("donor_fraction"), F.when(F.col("run_fraction") > 0, F.col("run_fraction")))
+    penalty = F.when(whole_call & whole_run, 0.0).when(whole_call | whole_run, -p.whole_penalty).when(ratio > 0, -p.width_lambda * F.abs(F.log(ratio))).otherwise(-p.whole_penalty)
+    tol = 1.0 / n
+    d0, d1 = F.greatest(F.lit(0.0), F.col("start_bp") / F.col("donor_length") - tol), F.least(F.lit(1.0), F.col("end_bp") / F.col("donor_length") + tol)
+    r0, r1 = F.greatest(F.lit(0.0), F.col("run_start_bp") / F.col("_size") - tol), F.least(F.lit(1.0), F.col("run_end_bp") / F.col("_size") + tol)
+    overlap = F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.least(d1, r1) - F.greatest(d0, r0)), F.greatest(d1 - d0, r1 - r0)), F.lit(0.0))
+    floor = F.greatest(F.lit(p.min_expected_breadth), p.relative_floor * F.col("_typical"))
+    reliable = F.coalesce((F.col("expected_breadth") >= floor) & (F.col("lower") >= F.col("a_min_depletion")) & ~(whole_call & ~whole_run), F.lit(False))
+    e = e.withColumns({"same_group": F.col("grp") == F.col("call_grp"), "width_ratio": ratio, "overlap": overlap, "width_penalty": penalty, "reliable": reliable})
+    e = e.withColumn("strong", F.col("reliable") & F.col("run_found") & (F.col("expected_breadth") >= 2 * p.min_expected_breadth) & (F.col("lower") >= F.col("a_strong_depletion")))
+    score = F.when(F.col("reliable"), F.col("lower") + F.when(F.col("same_group"), p.same_group_bonus).otherwise(0.0) + F.col("width_penalty")).otherwise(F.lit(BAD))
+    return e.withColumn("score", score).drop("_lo", "_hi", "_s", "_e", "_typical", "_size")
 
 
 def solve(cost: np.ndarray) -> np.ndarray:
@@ -142,33 +245,36 @@ def solve(cost: np.ndarray) -> np.ndarray:
 def match_hosts(cands: DataFrame, calls: DataFrame) -> DataFrame:
     """(call_id, chr_id, second) of the calls that get a host: one to one within a sample, then leftovers where runs are free.
 
-    The sum of scores is largest, passing calls outrank others; having no host scores 0. Leftover calls may join a contig
-    whose assigned runs they don't overlap, the best non-overlapping set per contig. A sample's candidates are one group.
+    The sum of scores is largest, one point of a passing call outweighs all others; having no host scores 0. Leftover calls may
+    join a contig whose assigned runs they don't overlap: contigs in order of their best candidate, the best non-overlapping set
+    on each. A sample's candidates are one group: calls x contigs.
     """
-    rows = cands.join(calls.select("call_id", "pass"), "call_id").select("sample", "call_id", "chr_id", "score", "reliable", "ext_start", "ext_stop", F.col("pass").alias("passes"))
+    rows = cands.join(calls.select("call_id", "pass"), "call_id").select("sample", "call_id", "chr_id", "score", "reliable", "run_start_iid", "run_end_iid", F.coalesce("pass", F.lit(False)).alias("passes"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["call_id", "chr_id"]).reset_index(drop=True)
         ids, contigs = pdf["call_id"].unique(), pdf["chr_id"].unique()
         at_call, at_chr = {c: i for i, c in enumerate(ids)}, {c: i for i, c in enumerate(contigs)}
         weight = np.ones(len(ids))
-        gain = np.full((len(ids), len(contigs) + len(ids)), BAD * 1e6)
         for r in pdf.itertuples():
             weight[at_call[r.call_id]] = 1e6 if r.passes else 1.0
+        gain = np.full((len(ids), len(contigs) + len(ids)), BAD)
+        gain[:, : len(contigs)] = BAD * weight[:, None]
         for r in pdf.itertuples():
             i = at_call[r.call_id]
-            gain[i, at_chr[r.chr_id]] = (r.score if r.reliable else BAD) * weight[i]
+            gain[i, at_chr[r.chr_id]] = r.score * weight[i]
         gain[np.arange(len(ids)), len(contigs) + np.arange(len(ids))] = 0.0
         col = solve(-gain)
         host = {ids[i]: contigs[j] for i, j in enumerate(col) if j < len(contigs)}
         out = [(c, h, False) for c, h in host.items()]
-        left = pdf[pdf["reliable"] & (pdf["score"] > 0) & ~pdf["call_id"].isin(list(host))]
-        order = left.groupby("chr_id")["score"].max().sort_values(ascending=False, kind="stable").index
+        left = pdf[~pdf["call_id"].isin(list(host))]
+        left = left.assign(order=left["score"] + np.where(left["passes"], 1e6, 0.0))
         placed: set = set()
-        for chr_id in order:
-            taken = [(r.ext_start, r.ext_stop) for r in pdf.itertuples() if host.get(r.call_id) == chr_id and r.chr_id == chr_id]
-            free = [r for r in left[left["chr_id"] == chr_id].itertuples() if r.call_id not in placed and all(r.ext_stop < a or r.ext_start > b for a, b in taken)]
-            for k in choose([(r.ext_start, r.ext_stop, r.score) for r in free]):
+        for chr_id in left.groupby("chr_id")["order"].max().sort_values(ascending=False, kind="stable").index:
+            taken = [(r.run_start_iid, r.run_end_iid) for r in pdf.itertuples() if host.get(r.call_id) == chr_id and r.chr_id == chr_id]
+            own = left[(left["chr_id"] == chr_id) & left["reliable"] & (left["score"] > 0)]
+            free = [r for r in own.itertuples() if r.call_id not in placed and all(r.run_end_iid < a or r.run_start_iid > b for a, b in taken)]
+            for k in choose([(r.run_start_iid, r.run_end_iid, r.order) for r in free]):
                 placed.add(free[k].call_id)
                 out.append((free[k].call_id, chr_id, True))
         return pd.DataFrame(out, columns=["call_id", "chr_id", "second"])
@@ -176,58 +282,87 @@ def match_hosts(cands: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.groupBy("sample").applyInPandas(run, "call_id string, chr_id string, second boolean")
 
 
-def labelled(cands: DataFrame, hosts: DataFrame, params: Params = Params()) -> DataFrame:
-    """Chosen candidates with margin, weight, runner_up and recipient_assignment."""
-    j = cands.join(hosts.select("call_id", F.col("chr_id").alias("_h")), "call_id", "left").withColumn("chosen", F.coalesce(F.col("chr_id") == F.col("_h"), F.lit(False)))
-    w = Window.partitionBy("call_id")
-    other = F.when(~F.col("chosen"), F.col("score"))
-    real = F.when(~F.col("chosen") & F.col("reliable"), F.struct(F.col("score"), F.col("chr_id")))
-    top = F.max("score").over(w)
-    j = j.withColumns({
-        "_other": F.greatest(F.max(other).over(w), F.lit(0.0)), "_next": F.max(real).over(w), "_same": F.max(F.when(F.col("same_group") & F.col("reliable") & ~F.col("chosen"), F.col("score"))).over(w), "_z": F.sum(F.exp(F.col("score") - top)).over(w), "_top": top,
-    })
-    c = j.filter("chosen").withColumns({"margin": F.col("score") - F.col("_other"), "weight": F.exp(F.col("score") - F.col("_top")) / F.col("_z"), "runner_up": F.col("_next.chr_id")})
-    p = params
+def labelled(cands: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(call_id, chosen candidate's columns, margin, weight, runner_up, runner_up_score, recipient_assignment) of every call with a candidate.
+
+    Only reliable candidates count as alternatives. A call without a host has no_recipient_loss, weight 0 and NULL columns of the host.
+    """
+    j = cands.join(hosts.select("call_id", F.col("chr_id").alias("_h")), "call_id", "left").withColumn("_chosen", F.coalesce(F.col("chr_id") == F.col("_h"), F.lit(False)))
+    real = F.col("score") > -1e5
+    host = F.struct(*(c for c in cands.columns if c != "call_id"))
+    # the first contig by name of those with the best score
+    a = j.groupBy("call_id").agg(
+        F.max(F.when(F.col("_chosen"), host)).alias("_b"), F.min(F.when(real & ~F.col("_chosen"), F.struct((-F.col("score")).alias("s"), F.col("chr_id").alias("c")))).alias("_next"),
+        F.max(F.when(real & F.col("same_group"), F.col("score"))).alias("_same"), F.collect_list(F.when(real, F.col("score"))).alias("_scores"),
+    )
+    b = F.col("_b")
+    top = F.array_max("_scores")
+    total = F.aggregate("_scores", F.lit(0.0), lambda t, x: t + F.exp(x - top))
+    weight = F.when(b.isNull(), 0.0).when(b["score"] > -1e5, F.exp(b["score"] - top) / total).otherwise(0.0)
+    margin = b["score"] - F.greatest(F.lit(0.0), -F.col("_next.s"))
     label = (
-        F.when(~F.col("reliable") | ~F.col("strong"), "ambiguous").when(~F.col("same_group") & F.col("_same").isNull(), "cross_group")
-        .when(~F.col("same_group") & (F.col("score") - F.col("_same") < p.cross_margin), "ambiguous").when(F.col("margin") < p.assignment_margin, "ambiguous").otherwise("assigned")
+        F.when(b.isNull(), "no_recipient_loss").when(~b["reliable"] | ~b["strong"], "ambiguous").when(~b["same_group"] & F.col("_same").isNull(), "cross_group")
+        .when(~b["same_group"] & (b["score"] - F.col("_same") < b["a_cross_margin"]), "ambiguous").when(margin < b["a_assignment_margin"], "ambiguous").otherwise("assigned")
     )
-    return c.withColumn("recipient_assignment", label).drop("_h", "_other", "_next", "_same", "_z", "_top", "chosen")
+    a = a.withColumns({"margin": margin, "weight": weight, "runner_up": F.col("_next.c"), "runner_up_score": -F.col("_next.s"), "recipient_assignment": label})
+    return a.select("call_id", *(b[c].alias(c) for c in cands.columns if c != "call_id"), "margin", "weight", "runner_up", "runner_up_score", "recipient_assignment")
 
 
 def reclassified(calls: DataFrame) -> DataFrame:
-    """Classes after assignment. They start from class_group, so a second run changes nothing."""
-    c = calls.withColumn("class", F.col("class_group"))
-    d = F.coalesce(F.col("donor_residual") > F.col("donor_mod"), F.lit(False))
-    lost = F.coalesce(F.col("strong") & (F.col("lower") >= -F.col("loss_mod")), F.lit(False))
+    """Classes after assignment. They start from class_group and copy_state_group, so a second run changes nothing."""
+    d = F.coalesce(F.col("donor_residual") > F.col("a_donor_mod"), F.lit(False))
+    lost = F.coalesce(F.col("strong") & (F.col("lower") >= F.col("a_loss_depletion")), F.lit(False))
     fits = F.coalesce((F.col("overlap") >= 0.5) & F.col("width_ratio").between(0.5, 2.0), F.lit(False))
-    tg, tl = F.coalesce(F.col("total_residual") > F.col("total_mod"), F.lit(False)), F.coalesce(F.col("total_residual") < -F.col("total_mod"), F.lit(False))
-    sure = F.when(F.coalesce(F.col("donor_residual") >= F.col("donor_high"), F.lit(False)), "high").otherwise("moderate")
-    rows: list[tuple[Column, str, str, Column]] = [
-        (d & lost & ~fits, "complex", "donor+recipient; width mismatch", F.lit("low")),
-        (d & lost & (tg | tl), "complex", "donor+recipient; total imbalance", F.lit("low")),
-        (d & lost, "substitution", "donor+recipient", sure),
-        (d & tl, "complex", "donor; total loss", F.lit("low")),
-        (d, "addition", "donor", sure),
-        (lost & tg, "complex", "recipient; total gain", F.lit("low")),
-        (lost, "deletion", "recipient", F.when(tl, "high").otherwise("moderate")),
+    tg, tl = F.coalesce(F.col("total_residual") > F.col("a_total_mod"), F.lit(False)), F.coalesce(F.col("total_residual") < -F.col("a_total_mod"), F.lit(False))
+    sure = F.when(F.coalesce(F.col("donor_residual") >= 1, F.lit(False)), "high").otherwise("moderate")
+    rows: list[tuple[Column, str, str, Column, str]] = [
+        (d & lost & ~fits, "complex", "donor+recipient; width mismatch", F.lit("low"), "compound"),
+        (d & lost & (tg | tl), "complex", "donor+recipient; total imbalance", F.lit("low"), "compound"),
+        (d & lost, "substitution", "donor+recipient", sure, "balanced"),
+        (d & tl, "complex", "donor; total loss", F.lit("low"), "compound"),
+        (d, "addition", "donor", sure, "gain"),
+        (lost & tg, "complex", "recipient; total gain", F.lit("low"), "compound"),
+        (lost, "deletion", "recipient", F.when(tl, "high").otherwise("moderate"), "loss"),
     ]
     assigned = F.coalesce(F.col("recipient_assignment") == "assigned", F.lit(False))
-    cls, ev, conf = F.col("class"), F.col("evidence"), F.col("class_confidence")
-    for cond, name, text, how in reversed(rows):
-        cls, ev, conf = F.when(assigned & cond, name).otherwise(cls), F.when(assigned & cond, text).otherwise(ev), F.when(assigned & cond, how).otherwise(conf)
-    c = c.withColumns({"_c": cls, "_e": ev, "_f": conf, "_hit": assigned & (d | lost)})
-    status = F.when(F.col("recipient_assignment") == "cross_group", "needs_review").when(F.col("_hit"), F.when(F.col("_f") == "high", "confident").when(F.col("_f") == "moderate", "ambiguous").otherwise("needs_review")).otherwise(F.col("class_status"))
-    return c.withColumns({"class_status": status, "class": F.col("_c"), "evidence": F.col("_e"), "class_confidence": F.col("_f")}).drop("_c", "_e", "_f", "_hit")
-
-
-def assign_hosts(calls: DataFrame, residuals: DataFrame, n: int, params: Params = Params()) -> DataFrame:
-    """Calls with their host contig, label and class after assignment; without a host no_recipient_loss and weight 0."""
-    from covertile.operators.classify import downgrade
-
-    cands = candidates(calls, residuals, n, params)
-    best = labelled(cands, match_hosts(cands, calls), params)
-    take = best.select("call_id", F.col("chr_id").alias("recipient_chr"), F.col("grp").alias("recipient_group"), F.col("ext_start").alias("recipient_start_iid"), F.col("ext_stop").alias("recipient_end_iid"), F.col("score").alias("assignment_score"), F.col("margin").alias("assignment_margin"), F.col("weight").alias("assignment_weight"), "runner_up", "recipient_assignment", "strong", "lower", "overlap", "width_ratio")
-    j = calls.drop(*[c for c in take.columns if c != "call_id" and c in calls.columns]).join(take, "call_id", "left")
-    j = j.withColumns({"recipient_assignment": F.coalesce("recipient_assignment", F.lit("no_recipient_loss")), "assignment_weight": F.coalesce("assignment_weight", F.lit(0.0))})
-    return downgrade(reclassified(j)).drop("strong", "lower", "overlap", "width_ratio")
+    cls, ev, conf, state = F.col("class_group"), F.col("evidence"), F.col("class_confidence"), F.col("copy_state_group")
+    for cond, name, text, how, copies in reversed(rows):
+        hit = assigned & cond
+        cls, ev, conf, state = F.when(hit, name).otherwise(cls), F.when(hit, text).otherwise(ev), F.when(hit, how).otherwise(conf), F.when(hit, copies).otherwise(state)
+    hosted = F.coalesce(F.col("recipient_assignment") != "no_recipient_loss", F.lit(False))
+    total = F.when(~hosted, F.col("total_evidence")).when(tg, "gain").when(tl, "loss").when(F.col("total_residual").isNotNull() & F.col("a_total_mod").isNotNull(), "neutral")
+    low = F.when(hosted & F.coalesce(F.col("recipient_mapq_fraction") < 0.5, F.lit(False)), "low").otherwise(F.col("mappability_status"))
+    c = calls.withColumns({"_c": cls, "_e": ev, "_f": conf, "_s": state, "_t": total, "mappability_status": low, "_hit": assigned & (d | lost)})
+    status = F.when(F.col("recipient_assignment") == "cross_group", "needs_review").when(F.col("_hit"), F.when(F.col("_f") == "high", "confident").when(F.col("_f") == "low", "needs_review").otherwise("ambiguous")).otherwise(F.col("class_status"))
+    c = c.withColumn("_u", status)
+    down = hosted & (F.col("_f") == "high") & ((F.col("component_status") == "heterogeneous") | F.coalesce(F.col("mappability_status") == "low", F.lit(False)))
+    c = c.withColumn("_down", down)
+    c = c.withColumns({"class_status": F.when(F.col("_down"), "ambiguous").otherwise(F.col("_u")), "class_confidence": F.when(F.col("_down"), "moderate").otherwise(F.col("_f")), "class": F.col("_c"), "evidence": F.col("_e"), "copy_state": F.col("_s"), "total_evidence": F.col("_t")})
+    return c.drop("_c", "_e", "_f", "_s", "_t", "_u", "_hit", "_down")
+
+
+#: Columns of a call that assignment writes: name -> column of the chosen candidate.
+HOST = {
+    "recipient_chr": "chr_id", "recipient_group": "grp", "recipient_start_iid": "run_start_iid", "recipient_end_iid": "run_end_iid", "recipient_start_bp": "inside_start_bp", "recipient_end_bp": "inside_end_bp",
+    "recipient_run_start_bp": "run_start_bp", "recipient_run_end_bp": "run_end_bp", "recipient_expected_breadth": "expected_breadth", "recipient_observed_breadth": "observed_breadth", "recipient_mapq_fraction": "mapq_fraction",
+    "recipient_mean_depletion": "mean", "recipient_depletion_se": "se", "recipient_depletion_lower": "lower", "recipient_depletion_z": "z", "recipient_width_overlap": "overlap", "recipient_fraction_ratio": "width_ratio",
+    "recipient_reliable": "reliable", "recipient_strong": "strong", "assignment_score": "score", "assignment_margin": "margin",
+}
+
+
+def assign_hosts(calls: DataFrame, residuals: DataFrame, n: int, params: Params = Params(), null: DataFrame | None = None, cutoffs: DataFrame | None = None) -> DataFrame:
+    """Calls with their host contig, label and class after assignment; without a host no_recipient_loss and weight 0.
+
+    ``null`` (of ``null_thresholds``) and ``cutoffs`` replace the parameters' thresholds by (mode, bin). Calls without any candidate stay.
+    """
+    made = [*HOST, "recipient_deletion_width_bp", "recipient_cross_group", "assignment_weight", "runner_up", "runner_up_score", "recipient_assignment"]
+    base = with_thresholds(calls.drop(*[c for c in made if c in calls.columns]), params, null, cutoffs)
+    cands = candidates(base, residuals, n, params)
+    best = labelled(cands, match_hosts(cands, calls))
+    take = best.select(
+        "call_id", *(F.col(c).alias(name) for name, c in HOST.items()), F.when(F.col("run_found"), F.col("run_width_bp")).alias("recipient_deletion_width_bp"), F.coalesce(~F.col("same_group"), F.lit(False)).alias("recipient_cross_group"),
+        F.col("weight").alias("assignment_weight"), "runner_up", "runner_up_score", "recipient_assignment", "strong", "lower", "overlap", "width_ratio",
+    )
+    j = base.join(take, "call_id", "left").withColumns({"recipient_assignment": F.coalesce("recipient_assignment", F.lit("no_recipient_loss")), "assignment_weight": F.coalesce("assignment_weight", F.lit(0.0)), "recipient_cross_group": F.coalesce("recipient_cross_group", F.lit(False))})
+    out = reclassified(j)
+    return out.drop("strong", "lower", "overlap", "width_ratio", *(f"a_{t}" for t in THRESHOLDS), "a_donor_mod", "a_loss_depletion", "a_total_mod")

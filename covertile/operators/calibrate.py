@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covertile.operators.robust import mixtures, normal_quantile, posterior
@@ -76,34 +76,58 @@ def passing(calls: DataFrame, table: DataFrame, params: Params, mode: str) -> Da
     return j.withColumn("threshold", F.coalesce("threshold", F.lit(float("inf")))).withColumn("pass", F.coalesce(F.col("score_mean") > F.col("threshold"), F.lit(False)))
 
 
-CUTOFFS = {
-    # name: (column, quantile, default, takes the larger)
-    "donor_mod": ("donor_residual", 0.95, "donor_mod", True), "donor_high": ("donor_residual", 0.99, "donor_high", True),
-    "loss_mod": ("recipient_residual", 0.05, "loss_mod", False), "loss_high": ("recipient_residual", 0.01, "loss_high", False),
-    "total_mod": ("total_residual", 0.95, "total_mod", True), "total_high": ("total_residual", 0.99, "total_high", True),
-}
+#: The cutoffs of classes: the parameters' names.
+CUTOFFS = ("donor_mod", "donor_high", "loss_mod", "loss_high", "total_mod", "total_high")
 
 
-def cutoffs(controls: DataFrame, params: Params, enough: int = 100, shrink: int = 20) -> DataFrame:
-    """(mode, bin, the six cutoffs) from control segments: quantiles by mode and bin and by mode in one grouping.
+def _measured(where: Column, params: Params, least: int) -> Column:
+    """The six cutoffs and the number of values from the rows ``where``, or NULL with fewer than ``least`` donor or recipient values.
 
-    Under ``enough`` values the bin's quantile is drawn to the mode's with weight n / (n + shrink); a cutoff never falls
-    short of its parameter.
+    A high cutoff is never weaker than its moderate one, and none is weaker than its parameter; totals count without sign.
     """
-    q = [F.percentile(c, p).alias(k) for k, (c, p, _, _) in CUTOFFS.items()]
-    g = controls.groupingSets([["mode", "bin"], ["mode"]], "mode", "bin").agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("_n"), *q)
-    local = g.filter("_g = 0").drop("_g")
-    whole = g.filter("_g <> 0").select("mode", *(F.col(k).alias(f"_{k}") for k in CUTOFFS))
-    j = local.join(whole, "mode")
-    w = F.when(F.col("_n") >= enough, 1.0).otherwise(F.col("_n") / (F.col("_n") + shrink))
-
-    def one(k: str, default: str, larger: bool) -> Column:
-        blended = w * F.col(k) + (1 - w) * F.col(f"_{k}")
-        return (F.greatest if larger else F.least)(F.lit(getattr(params, default)), blended).alias(k)
-
-    return j.select("mode", "bin", F.col("_n").alias("n_control"), *(one(k, d, up) for k, (_, _, d, up) in CUTOFFS.items()))
+    d, r, t = (F.when(where, c) for c in (F.col("donor_residual"), F.col("recipient_residual"), F.abs("total_residual")))
+    donor_mod = F.greatest(F.lit(params.donor_mod), F.percentile(d, 0.95))
+    loss_mod = F.least(F.lit(params.loss_mod), F.percentile(r, 0.05))
+    known = F.count(t) >= least
+    total_mod = F.when(known, F.greatest(F.lit(params.total_mod), F.percentile(t, 0.95))).otherwise(F.lit(params.total_mod))
+    cut = F.struct(
+        F.count(d).alias("n"), donor_mod.alias("donor_mod"), F.greatest(F.lit(params.donor_high), donor_mod, F.percentile(d, 0.99)).alias("donor_high"),
+        loss_mod.alias("loss_mod"), F.least(F.lit(params.loss_high), loss_mod, F.percentile(r, 0.01)).alias("loss_high"),
+        total_mod.alias("total_mod"), F.when(known, F.greatest(F.lit(params.total_high), total_mod, F.percentile(t, 0.99))).otherwise(F.lit(params.total_high)).alias("total_high"),
+    )
+    return F.when((F.count(d) >= least) & (F.count(r) >= least), cut)
+
+
+def cutoffs(calls: DataFrame, params: Params, controls: DataFrame | None = None, least: int = 5, enough: int = 100, shrink: int = 20) -> DataFrame:
+    """(mode, bin, n_control, the six cutoffs) of every (mode, bin) of ``calls``; bin -1 stands for calls without one.
+
+    ``controls`` (sample): their calls are the null. A bin's values, where there are ``least``, are drawn to the whole mode's with
+    weight n / (n + ``shrink``) if they are fewer than ``enough``; without them the mode's controls hold, then all its calls, then the
+    parameters. Without controls among the samples the parameters hold. One grouping by (mode, bin) and by mode.
+    """
+    c = calls.withColumn("bin", F.coalesce("bin", F.lit(-1)))
+    if controls is None:
+        c = c.withColumn("_pool", F.lit(False))
+    else:
+        c = c.join(controls.select("sample", F.lit(True).alias("_in")).distinct(), "sample", "left").withColumn("_pool", F.col("_in").isNotNull())
+    g = c.groupingSets([["mode", "bin"], ["mode"]], "mode", "bin").agg(F.grouping_id().alias("_g"), F.max("_pool").alias("_any"), _measured(F.col("_pool"), params, least).alias("_own"), _measured(F.lit(True), params, least).alias("_all"))
+    whole = g.filter("_g <> 0").withColumn("_any", F.max("_any").over(Window.partitionBy(F.lit(0))))  # a row for each mode
+    whole = whole.select("mode", F.when(F.col("_any"), F.coalesce("_own", "_all")).alias("_whole"))
+    j = g.filter("_g = 0").join(whole, "mode")
+    for k in CUTOFFS:
+        j = j.withColumn(f"_w_{k}", F.coalesce(F.col("_whole")[k], F.lit(getattr(params, k))))
+    w = F.when(F.col("_own.n") >= enough, 1.0).otherwise(F.col("_own.n") / (F.col("_own.n") + shrink))
+    for k in CUTOFFS:
+        j = j.withColumn(f"_b_{k}", w * F.col("_own")[k] + (1 - w) * F.col(f"_w_{k}"))
+    # what shrinking has drawn together nests again
+    up = {k: F.greatest(F.lit(getattr(params, k)), F.col(f"_b_{k}")) for k in ("donor_mod", "total_mod")}
+    own = up | {
+        "loss_mod": F.least(F.lit(params.loss_mod), F.col("_b_loss_mod")), "donor_high": F.greatest(F.lit(params.donor_high), up["donor_mod"], F.col("_b_donor_high")),
+        "loss_high": F.least(F.lit(params.loss_high), F.col("_b_loss_mod"), F.col("_b_loss_high")), "total_high": F.greatest(F.lit(params.total_high), up["total_mod"], F.col("_b_total_high")),
+    }
+    return j.select("mode", "bin", F.coalesce(F.col("_own.n"), F.lit(0)).alias("n_control"), *(F.when(F.col("_own").isNotNull(), own[k]).otherwise(F.col(f"_w_{k}")).alias(k) for k in CUTOFFS))
 
 
 def default_cutoffs(df: DataFrame, params: Params) -> DataFrame:
     """``df`` with the parameters' cutoffs where it has none."""
-    return df.withColumns({k: F.coalesce(F.col(k), F.lit(getattr(params, d))) if k in df.columns else F.lit(getattr(params, d)) for k, (_, _, d, _) in CUTOFFS.items()})
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit(getattr(params, k))) if k in df.columns else F.lit(getattr(params, k)) for k in CUTOFFS})

@@ -14,18 +14,25 @@ def recurrence(scores: DataFrame, z: float = 0.5) -> DataFrame:
 
 
 def recurrence_mask(scores: DataFrame, windows: DataFrame, z: float = 0.5) -> DataFrame:
-    """(grp, iid, f, posterior, mask) of each donor window once: a mixture per group tells recurrent windows.
+    """(grp, iid, start, stop, f, posterior, mask, source) of each donor window once: one mixture of all windows' recurrences tells recurrent ones.
 
-    Masked are windows of posterior over 0.5 and, in cohorts under 10 samples, of f over 0.5 too; a single sample masks none.
+    Masked are windows of posterior over 0.5 and, in cohorts under 10 samples, of f over 0.5 too. A single sample masks
+    none (source ``none``). A window of the grid without scores is an error. Values are counted before the mixture is fitted.
     """
-    f = recurrence(scores, z)
+    place = ["start", "stop"] if {"start", "stop"} <= set(windows.columns) else []
+    grid = windows.filter("role = 'donor'").groupBy("grp", "iid").agg(F.count(F.lit(1)), *(F.min(c).alias(c) for c in place)).select("grp", "iid", *place)
     n = scores.agg(F.count_distinct("sample").alias("n")).first()[0]
+    if n < 2:
+        none = F.lit(None).cast("double")
+        return grid.withColumns({"f": none, "posterior": none, "mask": F.lit(False), "source": F.lit("none")})
+    f = recurrence(scores, z).withColumn("_one", F.lit(1))
     floor = 0.5 + 1e-9 if n < 10 else float("-inf")
-    grid = windows.filter("role = 'donor'").select("grp", "iid").dropDuplicates()
-    j = grid.join(f, ["grp", "iid"], "left").join(mixtures(f, ["grp"], "f"), "grp", "left")
-    j = j.withColumn("posterior", F.when(F.col("f").isNotNull(), posterior("f")))
-    masked = F.coalesce((F.col("posterior") > 0.5) & (F.col("f") > floor), F.lit(False)) if n >= 2 else F.lit(False)
-    return j.select("grp", "iid", "f", "posterior", masked.alias("mask"))
+    fit = f.join(F.broadcast(mixtures(f, ["_one"], "f")), "_one").drop("_one")
+    j = grid.join(fit, ["grp", "iid"], "left")
+    bad = F.raise_error(F.concat_ws(" ", F.lit("no scores of window"), "grp", F.col("iid").cast("string"))).cast("double")
+    j = j.withColumn("f", F.when(F.col("mu0").isNull(), bad).otherwise(F.col("f"))).withColumn("posterior", posterior("f"))
+    masked = F.coalesce((F.col("posterior") > 0.5) & (F.col("f") > floor), F.lit(False))
+    return j.select("grp", "iid", *place, "f", "posterior", masked.alias("mask"), F.lit("cohort").alias("source"))
 
 
 def mask_threshold(mask: DataFrame) -> DataFrame:

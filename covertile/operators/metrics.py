@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from covertile.functions import clamp, ratio, whole_div, window_of
 
 
-def window_metrics(counts: DataFrame, windows: DataFrame, gc: DataFrame | None = None, read_length: float | Column = 100.0) -> DataFrame:
+def window_metrics(counts: DataFrame, windows: DataFrame, gc: DataFrame | None = None, read_length: float | DataFrame = 100.0, need_gc: bool = True) -> DataFrame:
     """Counts (sample, chr_id, iid, count, mapq_high, covered) with their window's columns and derived measures.
 
-    breadth = covered / length in 0..1; lambda_breadth = -ln(1 - breadth); lambda_count = count x read length / length.
+    breadth = covered / length in 0..1; lambda_breadth = -ln(1 - breadth); lambda_count = count x read length / length. A window
+    that ``gc`` doesn't have is an error, unless ``need_gc`` is off. ``read_length`` may be a table (sample, read_length).
     """
     w = windows.withColumn("length", F.col("stop") - F.col("start"))
     j = counts.join(w.select("chr_id", "iid", *[c for c in w.columns if c not in counts.columns and c not in ("chr_id", "iid")]), ["chr_id", "iid"])
-    j = j.join(gc.select("chr_id", "iid", "gc"), ["chr_id", "iid"], "left") if gc is not None else j.withColumn("gc", F.lit(None).cast("double"))
+    if gc is None:
+        j = j.withColumn("gc", F.lit(None).cast("double"))
+    else:
+        j = j.join(gc.select("chr_id", "iid", "gc", F.lit(True).alias("_gc")), ["chr_id", "iid"], "left")
+        if need_gc:
+            bad = F.raise_error(F.concat_ws(" ", F.lit("no base composition of window"), "chr_id", F.col("iid").cast("string"))).cast("double")
+            j = j.withColumn("gc", F.when(F.col("_gc").isNull(), bad).otherwise(F.col("gc")))
+        j = j.drop("_gc")
+    if isinstance(read_length, DataFrame):
+        j = j.join(read_length.select("sample", F.col("read_length").cast("double")), "sample", "left")
+    else:
+        j = j.withColumn("read_length", F.lit(float(read_length)))
     breadth = clamp(F.col("covered") / F.col("length"), 0.0, 1.0)
-    per_read = F.lit(read_length) if isinstance(read_length, (int, float)) else read_length
     return j.withColumns({
-        "read_length": per_read.cast("double"), "breadth": breadth, "mapq_high_fraction": ratio("mapq_high", "count"),
-        "lambda_breadth": -F.log(F.greatest(F.lit(1.0) - breadth, F.lit(1e-12))), "lambda_count": F.col("count") * per_read / F.col("length"),
+        "breadth": breadth, "mapq_high_fraction": ratio("mapq_high", "count"),
+        "lambda_breadth": -F.log(F.greatest(F.lit(1.0) - breadth, F.lit(1e-12))), "lambda_count": F.col("count") * F.coalesce("read_length", F.lit(0.0)) / F.col("length"),
     })
 
 

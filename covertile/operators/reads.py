@@ -53,10 +53,11 @@ def union_length(rows: DataFrame, keys: list[str], start: str = "clip_start", st
     return rows.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").cast("long").alias("covered"))
 
 
-def count_windows(pieces: DataFrame, high_mapq: int = 30) -> DataFrame:
-    """(sample, chr_id, iid, count, mapq_high, covered): reads count once in a window, all their blocks cover.
+def count_windows(pieces: DataFrame, high_mapq: int = 30, more: list[Column] = ()) -> DataFrame:
+    """(sample, chr_id, iid, count, mapq_high, covered, …): reads count once in a window, all their blocks cover.
 
-    ``pieces`` are rows of ``in_windows`` with read and mapq. Counting and covering share one shuffle by window.
+    ``pieces`` are rows of ``in_windows`` with read and mapq. Counting and covering share one shuffle by window,
+    and so do the aggregates ``more`` over the pieces.
     """
     keys = ["sample", "chr_id", "iid"]
     w = Window.partitionBy(*keys).orderBy("clip_start", "clip_stop").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,23 +65,16 @@ def count_windows(pieces: DataFrame, high_mapq: int = 30) -> DataFrame:
     new = F.greatest(F.lit(0), F.col("clip_stop") - F.greatest(F.col("clip_start"), F.coalesce(far, F.col("clip_start"))))
     first = F.row_number().over(Window.partitionBy(*keys, "read").orderBy("clip_start", "clip_stop")) == 1
     marked = pieces.withColumn("_new", new).withColumn("_first", first)
-    return marked.groupBy(*keys).agg(F.count_if("_first").alias("count"), F.count_if(F.col("_first") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), F.sum("_new").cast("long").alias("covered"))
+    return marked.groupBy(*keys).agg(F.count_if("_first").alias("count"), F.count_if(F.col("_first") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), F.sum("_new").cast("long").alias("covered"), *more)
 
 
 def on_grid(counts: DataFrame, windows: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every window of every sample, zero where nothing fell. Samples are a short list, dealt as an array."""
-    every = windows.withColumn("sample", F.explode(_sample_array(samples)))
+    """Every window of every sample, zero where nothing fell: the grid is the result's own size."""
+    every = windows.crossJoin(samples.select("sample").distinct())
     out = every.join(counts, ["sample", "chr_id", "iid"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("count", "mapq_high", "covered")})
 
 
-def _sample_array(samples: DataFrame) -> Column:
-    names = sorted(r[0] for r in samples.select("sample").distinct().limit(100_001).collect())
-    if len(names) > 100_000:
-        raise ValueError("more than 100,000 samples")
-    return F.array(*(F.lit(x) for x in names))
-
-
 def read_length(pieces: DataFrame) -> DataFrame:
     """(sample, read_length): aligned bases of the sample's first read, by contig order, window and position."""
     first = F.struct("ord", "iid", "read_pos", "read")

@@ -80,20 +80,26 @@ def gc_regression(df: DataFrame, by: list[str], value: str, covariates: list[str
 
 
 def two_normals(x: np.ndarray, weight: np.ndarray, most: int = 200, tol: float = 1e-8) -> dict[str, float]:
-    """EM for a mixture of two normal densities on values with weights; starts and floors are fixed values."""
+    """EM for a mixture of two normal densities on values with weights; starts and floors are fixed values.
+
+    It ends when no parameter moves by ``tol``; a single value has its median and no upper component.
+    """
+    if weight.sum() < 2:
+        mid = float(x[0]) if len(x) else float("nan")
+        return {"mu0": mid, "sd0": 1e-6, "w0": 1.0, "mu1": mid, "sd1": 1e-6, "w1": 0.0}
     mu, sd, w = np.array([0.02, 0.75]), np.array([0.05, 0.15]), np.array([0.8, 0.2])
-    last = -np.inf
+    total = weight.sum()
     for _ in range(most):
-        dens = w * np.exp(-0.5 * ((x[:, None] - mu) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
-        total = np.maximum(dens.sum(axis=1), 1e-300)
-        p = dens / total[:, None] * weight[:, None]
-        n = np.maximum(p.sum(axis=0), 1e-300)
-        mu, w = (p * x[:, None]).sum(axis=0) / n, n / n.sum()
-        sd = np.maximum(np.sqrt((p * (x[:, None] - mu) ** 2).sum(axis=0) / n), 1e-6)
-        like = float((weight * np.log(total)).sum())
-        if abs(like - last) < tol:
+        d = w * np.exp(-0.5 * ((x[:, None] - mu) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
+        upper = d[:, 1] / (d.sum(axis=1) + 1e-300)
+        p = np.stack([1 - upper, upper], axis=1) * weight[:, None]
+        n = np.maximum(p.sum(axis=0), 1e-12)
+        new_w, new_mu = p.sum(axis=0) / total, (p * x[:, None]).sum(axis=0) / n
+        new_sd = np.sqrt((p * (x[:, None] - new_mu) ** 2).sum(axis=0) / n)
+        moved = np.abs(np.concatenate([new_w - w, new_mu - mu, new_sd - sd])).max()
+        w, mu, sd = new_w, new_mu, np.maximum(new_sd, 1e-6)
+        if moved < tol:
             break
-        last = like
     lo, hi = (0, 1) if mu[0] <= mu[1] else (1, 0)
     return {"mu0": mu[lo], "sd0": sd[lo], "w0": w[lo], "mu1": mu[hi], "sd1": sd[hi], "w1": w[hi]}
 
@@ -115,8 +121,8 @@ def mixtures(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def posterior(value: str):
     """The upper component's share at ``value``, from the mixture's columns."""
-    dens = lambda k: F.col(f"w{k}") * F.exp(-0.5 * F.pow((F.col(value) - F.col(f"mu{k}")) / F.col(f"sd{k}"), F.lit(2.0))) / F.col(f"sd{k}")
-    return F.coalesce(F.try_divide(dens(1), dens(0) + dens(1)), F.when(F.col(value) > F.col("mu1"), 1.0).otherwise(0.0))
+    dens = lambda k: F.col(f"w{k}") * F.exp(-0.5 * F.pow((F.col(value) - F.col(f"mu{k}")) / F.col(f"sd{k}"), F.lit(2.0))) / (F.col(f"sd{k}") * np.sqrt(2 * np.pi))
+    return dens(1) / (dens(0) + dens(1) + F.lit(1e-300))
 
 
 def normal_quantile(p: float, mu: float, sd: float) -> float:

@@ -119,10 +119,10 @@ def evidence(segs: DataFrame, scores: DataFrame, columns: list[str] = EVIDENCE)
 
 
 def coordinates(segs: DataFrame, group_lengths: DataFrame, n: int) -> DataFrame:
-    """Segments with start_bp, end_bp and width_bp on the donor group's length (grp, length)."""
+    """Segments with start_bp, end_bp and width_bp on the donor group's length (grp, length), and donor_length."""
     j = segs.join(group_lengths, "grp")
     j = j.withColumns({"start_bp": F.expr(f"start_iid * length div {n}"), "end_bp": F.expr(f"(end_iid + 1) * length div {n}")})
-    return j.withColumn("width_bp", F.col("end_bp") - F.col("start_bp")).drop("length")
+    return j.withColumn("width_bp", F.col("end_bp") - F.col("start_bp")).withColumnRenamed("length", "donor_length")
 
 
 def call_segments(scores: DataFrame, group_lengths: DataFrame, n: int, params: Params = Params()) -> DataFrame:

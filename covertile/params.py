@@ -14,6 +14,8 @@ MODES = ("single", "multi")
 class Params:
     """Lengths are in bases, scores in natural-log ratios."""
 
+    windows: int = 1000
+    min_mapq: int = 20
     eps: float = 1e-4
     metric: str = "breadth"
     donor_aggregation: str = "max"
@@ -22,8 +24,8 @@ class Params:
     alpha: float = 0.001
     undo_sd: float = 1.0
     min_width: int = 5
-    merge_gap: int = 10
-    merge_floor: float = 0.25
+    merge_gap: int = 100
+    merge_floor: float = -0.5
     merge_min: float = 0.5
     min_mb: float = 5.0
     bins_mb: tuple[float, ...] = (5.0, 10.0, 25.0, 50.0, 100.0)
@@ -43,6 +45,10 @@ class Params:
     cross_margin: float = 2.0
     min_expected_breadth: float = 0.001
     relative_floor: float = 0.1
+    loss_depletion: float = 1.5
+    same_group_bonus: float = 1.0
+    width_lambda: float = 2.0
+    whole_penalty: float = 8.0
 
     def floors(self, mode: str) -> tuple[float, ...]:
         """One floor for each length bin; a list of another length is stretched by linear interpolation."""
@@ -61,19 +67,33 @@ RANGES = {
     "merge_floor": (-100.0, 100.0), "min_mb": (0.0, 1e6), "mask_z": (-100.0, 100.0), "assignment_margin": (0.0, 100.0), "cross_margin": (0.0, 100.0), "min_depletion": (-100.0, 100.0),
 }
 
-#: Changes of each profile against the defaults.
+#: Changes of each profile against the defaults (fixed values); "custom" changes nothing.
 PROFILES: dict[str, dict] = {
     "balanced": {},
-    "sensitive": {"alpha": 0.01, "undo_sd": 0.5, "merge_floor": 0.1, "fdr": 0.05},
-    "cnv_robust": {"donor_mod": 0.7, "loss_mod": -0.7, "total_mod": 0.7},
-    "complex": {"metric": "combined", "merge_gap": 5, "undo_sd": 0.75},
+    "sensitive": {"windows": 100, "metric": "combined", "floors_single": (1.5, 1.2, 1.0, 0.8, 0.4)},
+    "cnv_robust": {"windows": 100, "score_type": "donor", "floors_single": (1.5, 1.2, 1.0, 0.8, 0.4)},
+    "complex": {"metric": "combined"},
+    "custom": {},
 }
+#: What a profile says besides the thresholds, in the order in which it is listed.
+PROFILE_FIELDS = ("windows", "metric", "score_type", "donor_aggregation", "min_mapq", "fdr", "floors_single", "min_mb", "merge_gap")
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    """(profile, parameter, value, is_default): the flat view of every named profile."""
+    rows = []
+    for name in PROFILES:
+        own, base = asdict(resolve(name)), asdict(Params())
+        rows += [(name, k, str(own[k]), own[k] == base[k]) for k in PROFILE_FIELDS]
+    return spark.createDataFrame(rows, "profile string, parameter string, value string, is_default boolean")
 
 
 def resolve(profile: str = "balanced", registry: dict | None = None, overrides: dict | None = None) -> Params:
     """Override before registry before profile before default; unknown names and values out of range are refused."""
     known = {f.name for f in fields(Params)}
     chosen: dict = {}
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile}; there are {sorted(PROFILES)}")
     for source in (PROFILES[profile], registry or {}, overrides or {}):
         unknown = set(source) - known
         if unknown:

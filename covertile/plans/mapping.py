@@ -1,21 +1,42 @@
 """The driver's tables as samples, groups, roles and positions.
 
-sample = customer's segment, group = supplier's region, role = donor for returned lines, component = line status, position = days
-since 1995-01-01 of the shipping date, interval = [position, position + quantity), mapping quality = 1000 x discount.
+sample = customer's segment, group = supplier's region, role = donor for returned lines, component = line status, position = 1,000 x days
+since 1995-01-01 of the shipping date + order number mod 1,000, length = quantity, mapping quality = 1,000 x discount. The tables are
+even noise, so ``EVENTS`` says where this mapping reads lines in another way, for the operators to find something: in its stretch of windows
+``swap`` makes all lines of status F donors, ``more`` makes donor lines of status F six times as long, ``less`` makes recipient lines one base
+long, ``both`` does the latter two. Every line counts, none is left out. The SQL of the queries says the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covertile.operators import calibrate, intervals, metrics, reads, scoring, segment
+from covertile.operators import calibrate, intervals, metrics, reads, scoring, segment, tiling
 from covertile.params import Params
+from covertile.plans.tables import saved
 
-LENGTH, N = 2600, 100
+LENGTH, N, READ = 2_600_000, 50, 25.37
 #: Bases of a group in calls, so that widths meet the length bins.
 GROUP_BP = 260_000_000
-PARAMS = Params(min_mb=0.0)
+PARAMS = Params(min_mb=0.0, floors_multi=(0.9, 0.7, 0.5, 0.25, 0.25))
+#: Scores over it make a call.
+LIMIT = 0.3
+#: (sample or None for all, group, first window, last window, kind)
+EVENTS = [
+    (None, "EUROPE", 45, 47, "more"),
+    ("AUTOMOBILE", "AFRICA", 5, 14, "swap"), ("AUTOMOBILE", "ASIA", 20, 29, "more"), ("AUTOMOBILE", "EUROPE", 3, 8, "less"),
+    ("BUILDING", "AMERICA", 0, 12, "more"), ("BUILDING", "EUROPE", 30, 37, "less"), ("BUILDING", "MIDDLE EAST", 20, 25, "both"),
+    ("FURNITURE", "MIDDLE EAST", 10, 19, "swap"), ("FURNITURE", "AFRICA", 40, 47, "more"),
+    ("HOUSEHOLD", "ASIA", 8, 15, "both"), ("HOUSEHOLD", "EUROPE", 22, 27, "swap"), ("HOUSEHOLD", "AMERICA", 44, 49, "swap"),
+    ("MACHINERY", "AMERICA", 33, 42, "less"), ("MACHINERY", "AFRICA", 18, 29, "more"),
+]
+
+
+def event_sql() -> str:
+    """The kind of a line as a CASE over sample, grp and start."""
+    whens = [f"when {f'sample = {chr(39)}{s}{chr(39)} and ' if s else ''}grp = '{g}' and start >= {a * LENGTH // N} and start < {(b + 1) * LENGTH // N} then '{k}'" for s, g, a, b, k in EVENTS]
+    return "case " + " ".join(whens) + " else 'none' end"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,59 +51,70 @@ def intervals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n"))
     place = place.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r")), "n").join(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("grp")), "r")
     j = li.join(o, "l_orderkey").join(c, "o_custkey").join(place, "l_suppkey")
-    role = F.when(F.col("l_returnflag") == "R", "donor").otherwise("recipient")
-    start = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("long")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("long")
+    j = j.withColumn("start", day * 1000 + F.col("l_orderkey") % 1000).withColumn("kind", F.expr(event_sql()))
+    f = F.col("l_linestatus") == "F"
+    j = j.withColumn("role", F.when((F.col("l_returnflag") == "R") | ((F.col("kind") == "swap") & f), "donor").otherwise("recipient"))
+    size = F.when(F.col("kind").isin("less", "both") & (F.col("role") == "recipient"), 1).when(F.col("kind").isin("more", "both") & f & (F.col("role") == "donor"), F.col("l_quantity").cast("long") * 6).otherwise(F.col("l_quantity").cast("long"))
     return j.select(
-        F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("read"), "sample", "grp", role.alias("role"), F.col("l_linestatus").alias("component"), F.concat_ws("_", "grp", role, "l_linestatus").alias("chr_id"),
-        start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("stop"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"), F.col("l_tax").alias("tax"),
+        F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("read"), "sample", "grp", "role", F.col("l_linestatus").alias("component"), F.concat_ws("_", "grp", "role", "l_linestatus").alias("chr_id"),
+        "start", (F.col("start") + size).alias("stop"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"), F.col("l_tax").alias("tax"),
     )
 
 
-def contigs(rows: DataFrame) -> DataFrame:
-    return rows.select("chr_id", "grp", "role", "component").distinct().withColumns({"length": F.lit(LENGTH).cast("long"), "copy_number": F.lit(2.0)})
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contig for each region, role and line status; no scan of the lines."""
+    every = lambda *x: F.explode(F.array(*(F.lit(v) for v in x)))
+    c = table(spark, sf_dir, "region").select(F.col("r_name").alias("grp"), every("donor", "recipient").alias("role")).withColumn("component", every("F", "O"))
+    return c.select(F.concat_ws("_", "grp", "role", "component").alias("chr_id"), "grp", "role", "component", F.lit(LENGTH).cast("long").alias("length"), F.lit(2.0).alias("copy_number"))
 
 
-def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals_of(spark, sf_dir)
-    return reads.count_windows(reads.in_windows(rows, contigs(rows), N))
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.in_windows(intervals_of(spark, sf_dir), contigs(spark, sf_dir), N)
 
 
-def window_tax(rows: DataFrame) -> DataFrame:
-    """(chr_id, iid, gc): the mean tax of the lines that begin in a window."""
-    return rows.withColumn("iid", F.expr(f"((start + 1) * {N} - 1) div {LENGTH}")).groupBy("chr_id", "iid").agg(F.avg("tax").alias("gc"))
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of windows, with the tax of the lines that begin in them; one scan of the lines."""
+    begins: Column = F.col("clip_start") == F.col("start")
+    return reads.count_windows(pieces(spark, sf_dir), more=[F.sum(F.when(begins, F.col("tax"))).alias("tax"), F.count_if(begins).alias("begun")])
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from covertile.operators.tiling import tile
-
-    rows = intervals_of(spark, sf_dir)
-    w = tile(contigs(rows), N)
-    counts = reads.on_grid(reads.count_windows(reads.in_windows(rows, contigs(rows), N)), w.select("chr_id", "iid"), table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sample")))
-    return metrics.window_metrics(counts, w.drop("length"), window_tax(rows), 20.0)
+    """Window metrics as a table; counts are written once, as tax and grid both read them."""
+    counts = saved(window_counts(spark, sf_dir))
+    tax = counts.groupBy("chr_id", "iid").agg((F.sum("tax") / F.sum("begun")).alias("gc"))
+    w = tiling.tile(contigs(spark, sf_dir), N)
+    grid = reads.on_grid(counts.drop("tax", "begun"), w.select("chr_id", "iid"), table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sample")))
+    return saved(metrics.window_metrics(grid, w.drop("length"), tax, READ, need_gc=False))
 
 
-def score_rows(spark: SparkSession, sf_dir: str, params: Params = PARAMS) -> DataFrame:
-    return scoring.score_pairs(metric_rows(spark, sf_dir), params)
+def score_rows(metric: DataFrame, params: Params = PARAMS) -> DataFrame:
+    return scoring.score_pairs(metric, params)
 
 
-def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores with residuals: log depths less their median in the sample's group."""
+def residual_rows(metric: DataFrame) -> DataFrame:
+    """Scores as a table, with spreads and residuals: log depths less their median in the sample's group."""
     w = Window.partitionBy("sample", "grp")
-    s = score_rows(spark, sf_dir)
-    return s.withColumns({name: F.col(c) - F.median(c).over(w) for c, name in (("log_donor", "donor_residual"), ("log_recipient", "recipient_residual"), ("log_total", "total_residual"))})
+    keys = ["sample", "grp", "iid"]
+    s = score_rows(metric).join(scoring.spread(metric, "donor", PARAMS), keys, "left").join(scoring.spread(metric, "recipient", PARAMS), keys, "left")
+    return saved(s.withColumns({name: F.col(c) - F.median(c).over(w) for c, name in (("log_donor", "donor_residual"), ("log_recipient", "recipient_residual"), ("log_total", "total_residual"))}))
 
 
-def run_segments(scores: DataFrame, limit: float = 0.2) -> DataFrame:
-    """Stretches of windows whose score exceeds ``limit``, as segments with their mean."""
+def run_segments(scores: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """Stretches of windows whose score exceeds ``limit``, as segments with their means."""
     r = intervals.runs(scores, ["sample", "grp"], "iid", F.col("score") > limit)
     segs = r.select("sample", "grp", F.col("run_start").alias("start_iid"), F.col("run_stop").alias("end_iid"), F.col("run_width").alias("n_windows"))
-    return segment.evidence(segs, scores, ["score", "donor_residual", "recipient_residual", "total_residual", "supported_donors", "mapq_high_fraction"]).withColumnRenamed("score", "score_mean")
+    return segment.evidence(segs, scores, ["score", *segment.EVIDENCE]).withColumnRenamed("score", "score_mean")
+
+
+def group_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(F.col("r_name").alias("grp"), F.lit(GROUP_BP).cast("long").alias("length"))
 
 
-def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_rows(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
     """Segments with coordinates, thresholds (floors of many samples) and pass."""
-    segs = run_segments(residual_rows(spark, sf_dir))
-    lengths = table(spark, sf_dir, "region").select(F.col("r_name").alias("grp"), F.lit(GROUP_BP).cast("long").alias("length"))
-    calls = segment.coordinates(segs, lengths, N).withColumn("donor_spread", F.lit(0.0))
+    segs = run_segments(residual_rows(metric_rows(spark, sf_dir)) if scores is None else scores)
+    calls = segment.coordinates(segs, group_lengths(spark, sf_dir), N)
     floors = calibrate.bin_table(spark, PARAMS, "multi").withColumn("threshold", F.col("floor"))
-    return calibrate.passing(calls, floors, PARAMS, "multi")
+    c = calibrate.passing(calls, floors, PARAMS, "multi")
+    return c.withColumn("call_id", F.concat_ws("_", "sample", "grp", F.col("start_iid").cast("string"), F.col("end_iid").cast("string")))
