@@ -7,7 +7,8 @@ The incidence of nodes and shingles is dealt by columns (shingles), a block of c
 shingles a node needs only its first p(n) = n - ceil(num n / 100) + 1 columns: linked nodes share one of them at least. Inside a
 block the product of the incidence with its transpose accumulates overlaps of all pairs whose sizes fit; blocks' overlaps
 are added up by pair. Shingles shared beyond these columns are at most max(n - p(n)) of the two, so pairs whose overlap falls short
-of the bound on the sizes by more than that go. What is left is counted over all columns (``verified``). The order puts
+of the bound on the sizes by more than that go, and pairs whose parity bits differ in more places than linked sets may. What is left is
+counted over all columns (``verified``). The order puts
 frequent shingles last; which are frequent says a count of all shingles in 2^22 buckets, whose bits (512 KB) every task gets.
 
 A column of over ``WIDE`` nodes does not emit its pairs: each node is held against the one before it and the last head before it (a
@@ -40,7 +41,7 @@ from covertile.llm.words import SOLID, shingles, words
 SIZE, NUM, DEN = 4, 85, 100
 BUCKETS, CHUNK = 1 << 22, 1 << 16
 #: Nodes of a column from which on it is wide, and shingles of a bucket from which on its columns are split.
-WIDE, HOT = 64, 1 << 13
+WIDE, HOT = 8, 1 << 13
 BLOCK = 1024
 
 
@@ -75,13 +76,13 @@ def parities(own: np.ndarray) -> bytes:
 
 
 def nodes(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` without its text, with n (the set's size) and k (its digest)."""
+    """``docs`` without its text, with n (the set's size), k (its digest) and bits (its parities)."""
 
     def run(texts: pa.Array) -> list[pa.Array]:
         own = sets(texts, size)
-        return [pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary())]
+        return [pa.array([len(x) for x in own], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.array([parities(x) for x in own], pa.binary())]
 
-    return map_texts(docs, run, "n long, k binary")
+    return map_texts(docs, run, "n long, k binary, bits binary")
 
 
 def _most(total, num: int = NUM):
@@ -89,6 +90,28 @@ def _most(total, num: int = NUM):
     return total - 2 * -(-num * total // (num + DEN))
 
 
+def _differ(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def near(pairs: DataFrame, known: DataFrame, num: int = NUM) -> DataFrame:
+    """The ``pairs`` (a, k) whose parities (``known``: k, n, bits) don't rule a link out. Some 100 bytes a set travel, not its shingles."""
+    left = known.select(F.col("k").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("n", "bits", "an", "abits")]
+            keep = [_differ(y, z) <= _most(x + w, num) for x, y, w, z in zip(*cols, strict=True)]
+            yield batch.select(["a", "k"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(known, "k").mapInArrow(run, "a binary, k binary")
+
+
 def _once(docs: DataFrame, size: int, kernel: Callable[[bytes, np.ndarray], tuple | None], fields: str) -> DataFrame:
     """Rows that ``kernel`` makes of (digest, set); a set that a task has met is passed over."""
     types = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
@@ -442,7 +465,7 @@ def _by_block(rows: DataFrame, payload: str, kernel: Callable, schema: str) -> D
     return dealt.mapInArrow(run, schema)
 
 
-def remaining(wide: DataFrame, label: DataFrame, docs: DataFrame, size: int, num: int = NUM, block: int = BLOCK) -> DataFrame | None:
+def remaining(wide: DataFrame, label: DataFrame, known: DataFrame, docs: DataFrame, size: int, num: int = NUM, block: int = BLOCK) -> DataFrame | None:
     """Links (a, k) between different components that share a wide column (s, k, n); None if no column has several.
 
     What lies outside a column's largest component is held against all of the column, block by block. Parities are compared
@@ -471,7 +494,7 @@ def remaining(wide: DataFrame, label: DataFrame, docs: DataFrame, size: int, num
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "k"])
 
-    bits = saved(wanted(docs, rows.select("k").distinct(), size, parities).withColumnRenamed("items", "bits"))
+    bits = saved(known.join(rows.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]))
     forest = saved(_by_block(own.unionByName(asked).join(bits, "k"), "bits", sift, "a binary, k binary"))
     if forest.isEmpty():
         return None
@@ -503,11 +526,13 @@ def _named(docs: DataFrame, size: int, num: int, wide: int = WIDE, hot: int = HO
     ends = product.filter("kind = 2").select("s", F.lit(0).alias("salt"), "k", F.col("kn").alias("n"))
     again = paired(ends, num, wide).filter("kind = 0").withColumn("c", F.lit(0))
     pairs = saved(candidates(product.filter("kind < 2").unionByName(again), num))
+    both = pairs.select("k").unionByName(pairs.select(F.col("a").alias("k"))).distinct()
+    pairs = saved(near(pairs, saved(base.select("k", "n", "bits").join(both, "k", "left_semi").dropDuplicates(["k"])), num))
     items = saved(wanted(docs, saved(pairs.select("k").unionByName(pairs.select(F.col("a").alias("k"))).distinct()), size, np.ndarray.tobytes))
     links = saved(verified(pairs, items, num))
     label = components(links)
     rest = product.filter("kind = 1").select("s", "k", F.col("kn").alias("n"))
-    more = None if rest.isEmpty() else remaining(rest, label, docs, size, num, block)
+    more = None if rest.isEmpty() else remaining(rest, label, base.select("k", "bits"), docs, size, num, block)
     if more is not None:
         label = components(links.unionByName(saved(more)))
     first = base.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("copies"))
