@@ -52,8 +52,15 @@ def alternatives(calls: DataFrame) -> DataFrame:
     return calls.filter(F.coalesce("runner_up", F.lit("")) != "")
 
 
-def full_chromosome(calls: DataFrame, lengths: DataFrame, share: float = 0.95) -> DataFrame:
-    """Passing calls from the first window on that cover at least ``share`` of their contig (grp, length)."""
-    j = calls.filter("pass and start_iid = 0").join(lengths, "grp")
-    wide = F.when(F.col("class") == "substitution", F.coalesce("recipient_width_bp", "width_bp")).otherwise(F.col("width_bp")) if "recipient_width_bp" in calls.columns else F.col("width_bp")
-    return j.filter(wide / F.col("length") >= share)
+def full_chromosome(calls: DataFrame, lengths: DataFrame, share: float = 0.95, fallback: DataFrame | None = None) -> DataFrame:
+    """Passing calls from the first window on that cover at least ``share`` of their contig (grp, length).
+
+    A substitution counts by the width of its recipient's deletion, where known. ``fallback`` (grp, length), the scores' own
+    lengths, serves groups that ``lengths`` lacks.
+    """
+    j = calls.filter("pass and start_iid = 0").join(lengths.select("grp", F.col("length").alias("_l")), "grp", "left")
+    if fallback is not None:
+        j = j.join(fallback.select("grp", F.col("length").alias("_f")), "grp", "left").withColumn("_l", F.coalesce("_l", "_f")).drop("_f")
+    own = next((c for c in ("recipient_deletion_width_bp", "recipient_width_bp") if c in calls.columns), None)
+    wide = F.when(F.col("class") == "substitution", F.coalesce(own, "width_bp")).otherwise(F.col("width_bp")) if own else F.col("width_bp")
+    return j.filter(wide / F.col("_l") >= share).drop("_l")

@@ -95,6 +95,23 @@ def restored(points: DataFrame, cuts: DataFrame, by: list[str], pos: str = "kept
     return both.withColumn("_s", F.coalesce(F.max("_shift").over(o), F.lit(0))).filter("_k = 1").select(*by, "_p.*", (F.col("_at") + F.col("_s")).alias("original"))
 
 
+def resampled(profile: DataFrame, cuts: DataFrame, by: list[str], n: int) -> DataFrame:
+    """(by, place, iid, score): the profile of ``n`` windows squeezed to what ``cuts`` (by, start, stop as fractions of 1) leave.
+
+    max(2, round(n x what is left)) places; each takes the score of the window under its centre. Groups without cuts, or with
+    nothing left, keep their windows.
+    """
+    m = merge(cuts, by, "start", "stop")
+    left = m.groupBy(*by).agg((1 - F.sum(F.col("stop") - F.col("start"))).alias("_left"))
+    size = profile.select(*by).distinct().join(left, by, "left").withColumn("_left", F.when(F.col("_left") > 0, F.col("_left")))
+    size = size.withColumn("_n", F.coalesce(F.least(F.lit(n), F.greatest(F.lit(2), F.rint(F.col("_left") * n).cast("int"))), F.lit(n)))
+    places = size.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("kept_pos", (F.col("place") + 0.5) / F.col("_n") * F.coalesce("_left", F.lit(1.0)))
+    some = m.join(size.filter("_left is not null").select(*by), by, "left_semi")
+    back = restored(places.select(*by, "place", "kept_pos"), some, by)
+    back = back.withColumn("iid", F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(F.col("original") * n))).cast("long"))
+    return back.select(*by, "place", "iid").join(profile.select(*by, "iid", "score"), [*by, "iid"], "left").select(*by, "place", "iid", "score")
+
+
 def choose(rows: list[tuple[int, int, float]]) -> list[int]:
     """Places of the non-overlapping closed intervals (start, end, weight > 0) of largest total weight; ties take the later one."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][1], rows[i][0]))

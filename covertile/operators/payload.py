@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covertile.functions import clamp
-from covertile.operators.intervals import covered
+from covertile.operators.intervals import covered, merge, removed_before, resampled
 
 
 def fractions(calls: DataFrame, lengths: DataFrame, n: int) -> DataFrame:
@@ -42,8 +42,21 @@ def ordered(items: DataFrame) -> DataFrame:
     return j.withColumn("position", F.row_number().over(Window.partitionBy("sample").orderBy(place.asc_nulls_last(), "grp", "kind"))).drop("_g", "_a")
 
 
-def records(scores: DataFrame, calls: DataFrame, n: int) -> DataFrame:
-    """(sample, grp, scores array<double>, calls array<struct>) of each chromosome; arrays are in order of windows and starts."""
-    s = scores.groupBy("sample", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("iid", "score"))), lambda x: x["score"]).alias("scores"))
-    c = calls.groupBy("sample", "grp").agg(F.array_sort(F.collect_list(F.struct("start_iid", "end_iid", "class", "class_status", "pass", "score_mean"))).alias("calls"))
+def records(scores: DataFrame, calls: DataFrame, n: int, hidden: DataFrame | None = None) -> DataFrame:
+    """(sample, grp, scores array<double>, calls array<struct>, n_windows) of each chromosome; arrays are in order of windows and starts.
+
+    ``hidden`` (sample, grp, start, stop as fractions of 1): deletions that are not shown. Scores are squeezed to what is left of
+    them; a call's shown fractions (from, to) move accordingly, and calls that lie in them go.
+    """
+    own = scores
+    c = calls.withColumns({"from": F.col("start_iid") / F.lit(float(n)), "to": (F.col("end_iid") + 1) / F.lit(float(n))})
+    if hidden is not None:
+        own = resampled(scores, hidden, ["sample", "grp"], n).withColumnRenamed("iid", "_w").withColumnRenamed("place", "iid")
+        left = merge(hidden, ["sample", "grp"], "start", "stop").groupBy("sample", "grp").agg((1 - F.sum(F.col("stop") - F.col("start"))).alias("_left"))
+        for name in ("from", "to"):
+            c = removed_before(c.withColumnRenamed(name, "pos"), hidden, ["sample", "grp"]).withColumn(name, F.col("kept_pos")).drop("pos", "removed", "kept_pos")
+        c = c.join(left, ["sample", "grp"], "left")
+        c = c.withColumns({name: F.col(name) / F.when(F.col("_left") > 0, F.col("_left")).otherwise(1.0) for name in ("from", "to")}).filter(F.col("to") > F.col("from")).drop("_left")
+    s = own.groupBy("sample", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("iid", "score"))), lambda x: x["score"]).alias("scores"))
+    c = c.groupBy("sample", "grp").agg(F.array_sort(F.collect_list(F.struct("start_iid", "end_iid", "class", "class_status", "pass", "score_mean", "from", "to"))).alias("calls"))
     return s.join(c, ["sample", "grp"], "left").withColumn("n_windows", F.lit(n))

@@ -86,3 +86,11 @@ def inconsistent(contigs: DataFrame) -> DataFrame:
 def catalogue(contigs: DataFrame) -> DataFrame:
     """Species with their numbers of contigs and groups, total length and components."""
     return contigs.groupBy("species").agg(F.count(F.lit(1)).alias("n_contigs"), F.count_distinct("grp").alias("n_groups"), F.sum("length").alias("total_length"), F.array_join(F.array_sort(F.collect_set("component")), ";").alias("components"))
+
+
+def route(contigs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``contigs`` (id, …) with the composition source (list) that holds each; a contig in none or in several is an error."""
+    at = lists.groupBy(F.col("name").alias("id")).agg(F.min("list").alias("source"), F.count_distinct("list").alias("_n"))
+    j = contigs.join(at, "id", "left")
+    bad = F.raise_error(F.concat(F.when(F.col("_n").isNull(), "no source of contig ").otherwise("several sources of contig "), "id"))
+    return j.withColumn("source", F.when(F.coalesce("_n", F.lit(0)) == 1, F.col("source")).otherwise(bad)).drop("_n")

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from covertile.operators import assign, calibrate, classify, evidence, mask, metrics, reads, robust, scoring, segment, tiling
 from covertile.params import Params
 from covertile.plans.tables import saved
-from covertile.schemas import validate
+from covertile.schemas import ordered, validate
 
 
-def measure(alignments: DataFrame, targets: DataFrame, n: int, min_mapq: int = 0, count_deletions: bool = False) -> DataFrame:
-    """Counts and covered bases of every window of every sample; alignments have a sample."""
+def measure(alignments: DataFrame, targets: DataFrame, n: int, min_mapq: int = 0, count_deletions: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(counts, read lengths): every window of every sample, and the aligned bases of each sample's first read. Alignments have a sample."""
     windows = tiling.tile(targets, n)
-    pieces = reads.in_windows(reads.blocks(reads.passing(alignments, min_mapq), count_deletions), targets.select(F.col("id").alias("chr_id"), "length"), n)
-    return reads.on_grid(reads.count_windows(pieces), windows.withColumn("chr_id", F.col("id")), alignments.select("sample").distinct())
+    place = targets.select(F.col("id").alias("chr_id"), "length", "ord") if "ord" in targets.columns else targets.select(F.col("id").alias("chr_id"), "length", F.lit(0).alias("ord"))
+    pieces = reads.in_windows(reads.blocks(reads.passing(alignments, min_mapq), count_deletions), place.drop("ord"), n)
+    counts = reads.on_grid(reads.count_windows(pieces), windows.withColumn("chr_id", F.col("id")), alignments.select("sample"))
+    return counts, reads.read_length(pieces.join(F.broadcast(place.select("chr_id", "ord")), "chr_id"))
 
 
 def corrected(scores: DataFrame, cohort: bool) -> DataFrame:
@@ -37,25 +39,32 @@ def corrected(scores: DataFrame, cohort: bool) -> DataFrame:
     return out.withColumn("score", F.coalesce(F.col("donor_residual") - F.col("recipient_residual"), F.col("score")))
 
 
-def analyze(alignments: DataFrame, targets: DataFrame, n: int = 1000, gc: DataFrame | None = None, params: Params = Params(), controls: DataFrame | None = None, progress: Callable[[str], None] = lambda stage: None) -> dict[str, DataFrame]:
-    """All tables of a result: windows, metrics, scores, masks, calibration, calls, components.
+def analyze(
+    alignments: DataFrame, targets: DataFrame, n: int | None = None, gc: DataFrame | None = None, params: Params = Params(), controls: DataFrame | None = None, composition: dict[str, float] | None = None,
+    read_groups: DataFrame | None = None, read_length: float | None = None, permutations: int = 64, progress: Callable[[str], None] = lambda stage: None,
+) -> dict[str, DataFrame]:
+    """All tables of a result: windows, metrics, scores, masks, calibration, cutoffs, null, calls, components.
 
-    ``alignments``: read, sample, rname, pos, mapq, flag, cigar; ``targets``: id, role, name, grp, component, copy_number, length.
-    Metrics, scores and segments are read several times, so they are written once.
+    ``alignments``: read, sample (or rg, with ``read_groups``), rname, pos, mapq, flag, cigar; ``targets``: id, role, name, grp, component, copy_number,
+    length. ``n`` windows a contig (the parameters' if not given); ``composition`` overrides copy numbers by component; the read
+    length is measured unless given. Metrics, scores and segments are read several times, so they are written once.
     """
+    n = n or params.windows
     progress("windows")
     t = targets.withColumns({"chr_id": F.col("id"), "chr_name": F.col("name")})
     windows = tiling.tile(t, n)
     progress("measure")
-    counted = measure(alignments, t, n)
-    m = saved(metrics.window_metrics(counted.select("sample", "chr_id", "iid", "count", "mapq_high", "covered"), windows, gc))
+    rows = alignments if read_groups is None else reads.with_sample(alignments, read_groups)
+    counted, lengths_of_reads = measure(rows, t, n, params.min_mapq)
+    counts = counted.select("sample", "chr_id", "iid", "count", "mapq_high", "covered")
+    m = saved(metrics.window_metrics(counts, windows, gc, read_length if read_length is not None else saved(lengths_of_reads)))
     empty = m.groupBy("sample").agg(F.sum("count").alias("n")).filter("n <= 0").limit(1).collect()
     if empty:
         raise ValueError(f"sample without coverage: {empty[0]['sample']}")
     cohort = m.select("sample").distinct().limit(2).count() > 1
     mode = "multi" if cohort else "single"
     progress("scores")
-    raw = scoring.score_pairs(m, params)
+    raw = scoring.score_pairs(m, params, scoring.composition(m, composition))
     raw = raw.join(scoring.spread(m, "donor", params), ["sample", "grp", "iid"], "left").join(scoring.spread(m, "recipient", params), ["sample", "grp", "iid"], "left")
     scores = saved(scoring.group_coordinates(corrected(saved(raw), cohort), m, n))
     progress("mask")
@@ -66,12 +75,15 @@ def analyze(alignments: DataFrame, targets: DataFrame, n: int = 1000, gc: DataFr
     segs = saved(segment.call_segments(masked, lengths, n, params))
     progress("calls")
     table = saved(calibrate.calibration(segs, params, mode, controls))
-    calls = classify.classify(calibrate.passing(segs, table, params, mode), params)
+    passed = calibrate.passing(segs, table, params, mode)
+    cuts = saved(calibrate.cutoffs(passed, params, controls))
+    calls = classify.classify(passed, params, cuts)
     calls = evidence.dominant_component(calls, masked)
     calls = saved(calls.withColumn("call_id", F.concat_ws("_", "sample", "grp", F.col("start_iid").cast("string"), F.col("end_iid").cast("string"))))
     progress("assign")
     residuals = saved(assign.recipient_residuals(m, params, masks, cohort))
-    final = saved(assign.assign_hosts(calls, residuals, n, params))
-    result = {"windows": windows, "metrics": m, "scores": masked, "masks": masks, "calibration": table, "calls": final, "components": evidence.component_evidence(final, m, masked, params)}
+    null = saved(assign.null_thresholds(calls, assign.null_profile(residuals, controls), n, permutations, bonus=params.same_group_bonus))
+    final = saved(ordered(assign.assign_hosts(calls, residuals, n, params, null, cuts), "calls"))
+    result = {"windows": windows, "metrics": m, "scores": masked, "masks": masks, "calibration": table, "cutoffs": cuts, "null": null, "calls": final, "components": evidence.component_evidence(final, m, masked, params)}
     validate(result)
     return result

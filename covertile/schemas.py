@@ -32,6 +32,8 @@ CALLS = struct(
     " evidence string, compound boolean, donor_component string, component_status string, mappability_status string, recipient_assignment string, recipient_chr string, recipient_group string, recipient_start_iid bigint, recipient_end_iid bigint,"
     " assignment_score double, assignment_margin double, assignment_weight double, runner_up string"
 )
+#: Result orders of calls, metrics and scores; written where a table leaves Spark.
+ORDERS = {"calls": ["sample", "grp", "start_iid"], "metrics": ["sample", "chr_id", "iid"], "scores": ["sample", "grp", "iid"]}
 #: What a finished analysis holds (contract): table -> columns that must be there.
 RESULT = {
     "windows": {"chr_id", "start", "stop", "iid"}, "metrics": set(METRICS.names), "scores": {"sample", "grp", "iid", "score"}, "masks": {"grp", "iid", "mask"},
@@ -54,6 +56,13 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
     return df.select(*out)
 
 
+def ordered(df: DataFrame, table: str, contigs: DataFrame | None = None) -> DataFrame:
+    """``df`` in the result order of ``table``; metrics by the place (ord) of their contig where ``contigs`` (chr_id, ord) says it."""
+    if table == "metrics" and contigs is not None:
+        return df.join(F.broadcast(contigs.select("chr_id", F.col("ord").alias("_ord"))), "chr_id", "left").orderBy("sample", F.col("_ord").asc_nulls_last(), "chr_id", "iid").drop("_ord")
+    return df.orderBy(*ORDERS[table])
+
+
 def empty(spark, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -73,9 +73,13 @@ def preflight_limits(files: DataFrame, max_files: int = 1, max_bytes: int = 5 <<
 
 
 def contig_list(spark: SparkSession, path: str) -> DataFrame:
-    """(list, ord, name, length, offset) of tab-separated contig lists without a header; check with ``offset_violations``."""
+    """(list, ord, name, length, offset) of tab-separated contig lists without a header; check with ``offset_violations``.
+
+    ord is the line's place in its file: partition and row of a scan whose splits follow the file.
+    """
     t = spark.read.csv(path, sep="\t", schema="name string, length bigint, offset bigint")
-    return t.select(F.col("_metadata.file_path").alias("list"), F.col("offset").alias("ord"), "name", "length", "offset")
+    t = t.select(F.col("_metadata.file_path").alias("list"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "name", "length", "offset")
+    return t.withColumn("ord", F.row_number().over(Window.partitionBy("list").orderBy("_at", "_id"))).select("list", "ord", "name", "length", "offset")
 
 
 def totals(contigs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -112,6 +116,20 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return j.filter(~F.col("_h") & (F.col("_size") > 0)).select(F.coalesce("_name", "_carry_n").alias("chr_id"), F.col("offset").cast("long"), F.trim("value").alias("bases"))
 
 
+def checked_alignments(reads: DataFrame, targets: DataFrame, headers: DataFrame) -> DataFrame:
+    """``reads`` on the contigs of ``targets`` (id, length); a target that the header (name, length) lacks or has in another length is an error."""
+    t = targets.select(F.col("id").alias("rname"), F.col("length").alias("_want")).join(headers.select(F.col("name").alias("rname"), F.col("length").alias("_l")), "rname", "left")
+    bad = F.raise_error(F.concat(F.lit("contig length differs from the header: "), "rname")).cast("boolean")
+    ok = F.when(F.col("_l").eqNullSafe(F.col("_want")), True).otherwise(bad)
+    return reads.join(t.filter(ok).select("rname"), "rname", "left_semi")
+
+
+def input_rows(inputs: DataFrame, provenance: DataFrame) -> DataFrame:
+    """``inputs`` (path, …) with what their run's ``provenance`` (path, …) says besides; columns that inputs have stay theirs."""
+    more = [c for c in provenance.columns if c not in inputs.columns]
+    return inputs.join(provenance.select("path", *more), "path", "left")
+
+
 def result_table(spark: SparkSession, folder: str, table: str, resolution: int | None = None) -> DataFrame:
     """A saved result's table; a resolution prunes partitions."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{table}")

@@ -7,18 +7,66 @@ from pyspark.sql import functions as F
 
 from covertile.functions import safe_name
 from covertile.operators.explore import confident, review
-from covertile.schemas import conform, struct
-
-BEDPE = struct(
-    "chrom1 string, start1 bigint, end1 bigint, chrom2 string, start2 bigint, end2 bigint, name string, score double, strand1 string, strand2 string, sample string, grp string, class string, class_status string, class_confidence string, copy_state string, pass boolean, score_mean double,"
-    " n_windows bigint, width_bp bigint, evidence string, donor_component string, recipient_assignment string, assignment_margin double, runner_up string"
-)
-QC_NAMES = {"lambda_breadth": "lambda_breadth", "lambda_count": "lambda_count", "iid": "window", "grp": "group", "chr_id": "contig", "mapq_high": "high_mapq_reads", "count": "reads", "covered": "covered_bases"}
+from covertile.schemas import conform, ordered, struct
+
+#: The export's columns (fixed names, fixed order): name -> column of a call.
+BEDPE_COLUMNS = {
+    "sample": "sample", "chr_id.don": "chrom1", "start.don": "start1", "stop.don": "end1", "chr_id.rec": "chrom2", "start.rec": "start2", "stop.rec": "end2", "width_bp": "width_bp",
+    "score_mean": "score_mean", "donor_mean": "donor_residual", "recipient_mean": "recipient_residual", "class": "class", "class_group": "class_group", "class_evidence": "evidence", "class_confidence": "class_confidence", "class_status": "class_status",
+    "copy_state": "copy_state", "total_evidence": "total_evidence", "component_status": "component_status", "mappability_status": "mappability_status", "mapq_fraction": "mapq_high_fraction", "confidence": "confidence", "method": "method", "mode": "mode", "group": "grp",
+    "start_iid": "start_iid", "end_iid": "end_iid", "pass": "pass", "recipient_component": "recipient_component", "recipient_chr_name": "recipient_chr", "recipient_group": "recipient_group", "recipient_assignment": "recipient_assignment",
+    "recipient_cross_group": "recipient_cross_group", "recipient_weight": "assignment_weight", "recipient_expected_breadth": "recipient_expected_breadth", "recipient_observed_breadth": "recipient_observed_breadth",
+    "recipient_deletion_width_bp": "recipient_deletion_width_bp", "recipient_alternative": "runner_up", "recipient_mean_depletion": "recipient_mean_depletion", "recipient_depletion_se": "recipient_depletion_se", "recipient_depletion_lower": "recipient_depletion_lower",
+    "recipient_depletion_z": "recipient_depletion_z", "recipient_width_overlap": "recipient_width_overlap", "recipient_fraction_ratio": "recipient_fraction_ratio", "recipient_mapq_fraction": "recipient_mapq_fraction", "total_mean": "total_residual",
+    "donor_component": "donor_component", "donor_chr_name": "donor_chr",
+}
+#: Descriptive names of the interval columns (fixed names).
+BEDPE_ALIASES = {"chr_id.don": "donor_contig_id", "start.don": "donor_start_bp", "stop.don": "donor_end_bp", "chr_id.rec": "recipient_contig_id", "start.rec": "recipient_start_bp", "stop.rec": "recipient_end_bp"}
+_LONGS = ("start1", "end1", "start2", "end2", "width_bp", "start_iid", "end_iid")
+_TEXTS = (
+    "sample", "chrom1", "chrom2", "class", "class_group", "evidence", "class_confidence", "class_status", "copy_state", "total_evidence", "component_status", "mappability_status", "confidence", "method", "mode", "grp", "recipient_component",
+    "recipient_chr", "recipient_group", "recipient_assignment", "runner_up", "donor_component", "donor_chr",
+)
+BEDPE = struct(", ".join(f"{c} {'bigint' if c in _LONGS else 'boolean' if c in ('pass', 'recipient_cross_group') else 'string' if c in _TEXTS else 'double'}" for c in BEDPE_COLUMNS.values()))
+#: Names of exported columns (fixed names).
+QC_NAMES = {
+    "metrics": {
+        "sample": "sample_name", "chr_id": "contig_id", "chr_name": "contig_name", "grp": "chromosome_group", "iid": "window_index", "start": "start_bp", "stop": "end_bp", "length": "window_length_bp", "count": "read_count", "covered": "covered_bases",
+        "mapq_high": "high_mapq_read_count", "mapq_high_fraction": "high_mapq_read_fraction", "gc": "gc_fraction", "read_length": "read_length_bp",
+    },
+    "scores": {
+        "sample": "sample_name", "grp": "chromosome_group", "iid": "window_index", "start": "start_bp", "stop": "end_bp", "score": "introgression_score", "score_raw": "raw_introgression_score", "donor_mean": "mean_donor_coverage", "recipient_mean": "mean_recipient_coverage",
+        "n_donor": "n_donor_contigs", "n_recipient": "n_recipient_contigs", "donor_spread": "donor_component_spread", "recipient_spread": "recipient_component_spread", "supported_donors": "supporting_donor_contigs", "mapq_high_fraction": "high_mapq_read_fraction",
+        "gc_donor": "donor_gc_fraction", "gc_recipient": "recipient_gc_fraction", "log_donor": "log_donor_coverage", "log_recipient": "log_recipient_coverage", "log_total": "log_total_coverage", "total_residual": "total_depth_residual",
+    },
+    "masks": {"grp": "chromosome_group", "iid": "window_index", "start": "start_bp", "stop": "end_bp", "f": "mask_signal", "posterior": "mask_posterior", "mask": "masked", "source": "mask_source"},
+    "calibration": {"mode": "analysis_mode", "length_bin": "call_length_bin", "n_control": "control_calls", "q99": "null_q99", "threshold": "calibration_threshold", "fdr": "target_fdr"},
+}
+#: Columns that a table of calls, or of samples, shows at first (fixed choices).
+BRIEF_CALLS = ["grp", "class", "copy_state", "class_status", "recipient_chr", "donor_chr", "recipient_assignment", "start_bp", "end_bp", "width_bp", "pass"]
+BRIEF_SAMPLES = ["sample", "n_windows", "donor_reads", "recipient_reads", "reads", "n_calls", "n_high_confidence", "masked_fraction"]
+
+
+def brief_calls(calls: DataFrame) -> DataFrame:
+    """The columns that answer what was found and where; with the sample if there are several."""
+    several = calls.select("sample").distinct().limit(2).count() > 1
+    return calls.select(*(["sample"] if several else []), *(c for c in BRIEF_CALLS if c in calls.columns))
+
+
+def extra_columns(df: DataFrame, brief: list[str]) -> list[str]:
+    """What can be added to a brief table, in the table's order."""
+    return [c for c in df.columns if c not in brief and c != "sample"]
+
+
+def dictionary(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(place, column, export_name, type): what an exported table's columns are called."""
+    rows = [(i, f.name, names.get(f.name, f.name), f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "place int, column string, export_name string, type string")
 
 
 def write_calls(calls: DataFrame, folder: str) -> None:
-    """CSV folders all, passing, confident and review (all that is not confident)."""
-    flat = calls.persist()
+    """CSV folders all, passing, confident and review (all that is not confident), in the order of calls."""
+    flat = ordered(calls, "calls").persist()
     try:
         for name, part in (("all", flat), ("passing", flat.filter("pass")), ("confident", confident(flat)), ("review", review(flat))):
             part.write.mode("overwrite").csv(f"{folder}/calls_{name}", header=True, nullValue="")
@@ -52,12 +100,19 @@ def label() -> Column:
     return F.concat_ws("|", "class", "class_status", F.when(F.col("pass"), "pass").otherwise("fail"))
 
 
-def bedpe(calls: DataFrame, windows: DataFrame, samples: list[str] = (), ids: DataFrame | None = None, pass_only: bool = False) -> DataFrame:
+def interval_rows(calls: DataFrame, windows: DataFrame, samples: list[str] = (), ids: DataFrame | None = None, pass_only: bool = False) -> DataFrame:
+    """Chosen calls with chrom1, start1, end1 (donor), chrom2, start2, end2 (recipient), name."""
     c = calls.filter(F.col("sample").isin(*samples)) if samples else calls
     c = c.filter("pass") if pass_only else c
     c = c if ids is None else c.join(ids, "call_id", "left_semi")
-    a = annotated(c, windows).withColumns({"chrom1": F.col("donor_chr"), "chrom2": F.col("recipient_chr"), "name": label(), "score": F.col("score_mean"), "strand1": F.lit("."), "strand2": F.lit(".")})
-    return conform(a, BEDPE)
+    return annotated(c, windows).withColumns({"chrom1": F.col("donor_chr"), "chrom2": F.col("recipient_chr"), "name": label()})
+
+
+def bedpe(calls: DataFrame, windows: DataFrame, samples: list[str] = (), ids: DataFrame | None = None, pass_only: bool = False, descriptive: bool = False) -> DataFrame:
+    """The export's 48 columns under their names; missing ones are NULL. ``descriptive``: with the interval columns' long names."""
+    rows = conform(interval_rows(calls, windows, samples, ids, pass_only), BEDPE, {"method": "cbs"})
+    names = {k: BEDPE_ALIASES.get(k, k) if descriptive else k for k in BEDPE_COLUMNS}
+    return rows.select(*(F.col(c).alias(names[k]) for k, c in BEDPE_COLUMNS.items()))
 
 
 def bed(bedpe_rows: DataFrame, side: int) -> DataFrame:
@@ -78,8 +133,9 @@ def bedgraph(metrics: DataFrame) -> DataFrame:
     return metrics.select("sample", "chr_id", "start", "stop", F.format_string("%.6f", "breadth").alias("breadth"))
 
 
-def write_tracks(bedpe_rows: DataFrame, masks: DataFrame, grid: DataFrame, metrics: DataFrame, folder: str) -> None:
-    bedpe_rows.write.mode("overwrite").csv(f"{folder}/calls_bedpe", sep="\t", header=True, nullValue="")
+def write_tracks(calls: DataFrame, windows: DataFrame, masks: DataFrame, grid: DataFrame, metrics: DataFrame, folder: str) -> None:
+    bedpe(calls, windows).write.mode("overwrite").csv(f"{folder}/calls_bedpe", sep="\t", header=True, nullValue="")
+    bedpe_rows = interval_rows(calls, windows)
     for side, name in ((1, "donor"), (2, "recipient")):
         bed(bedpe_rows, side).write.mode("overwrite").text(f"{folder}/calls_{name}_bed")
     mask_bed(masks, grid).write.mode("overwrite").text(f"{folder}/masks_bed")
@@ -92,27 +148,37 @@ def write_qc(tables: dict[str, DataFrame], folder: str) -> None:
 
     validate(tables, {k: v for k, v in {"metrics": {"sample", "chr_id", "iid"}, "scores": {"sample", "grp", "iid"}, "masks": {"grp", "iid", "mask"}, "calibration": {"mode", "bin"}}.items() if k in tables})
     for name, df in tables.items():
-        out = df.withColumnsRenamed({k: v for k, v in QC_NAMES.items() if k in df.columns})
+        out = df.withColumnsRenamed({k: v for k, v in QC_NAMES.get(name, {}).items() if k in df.columns})
         out.write.mode("overwrite").csv(f"{folder}/{name}", header=True, compression="gzip", nullValue="")
 
 
 def sample_folders(samples: DataFrame, reserved: list[str] = ("run", "qc")) -> DataFrame:
-    """(sample, folder): safe names, told apart by a number where they agree without case or are reserved."""
+    """(sample, folder): safe names, told apart by a number where they agree without case, are reserved, or where the numbered name is another's own."""
     s = samples.select("sample").distinct().withColumn("_f", F.coalesce(F.nullif(safe_name("sample"), F.lit("")), F.lit("sample")))
     n = F.row_number().over(Window.partitionBy(F.lower("_f")).orderBy("sample"))
     n = n + F.lower("_f").isin(*reserved).cast("int") if reserved else n
-    return s.withColumn("_n", n).select("sample", F.when(F.col("_n") == 1, F.col("_f")).otherwise(F.concat_ws("-", "_f", F.col("_n").cast("string"))).alias("folder"))
+    s = s.withColumn("_n", n)
+    # a numbered name gets a separator that no safe name of its own can end in, if somebody is called so
+    own = s.filter("_n = 1").select(F.lower("_f").alias("_k"), F.lit(True).alias("_own"))
+    s = s.withColumn("_m", F.concat_ws("-", "_f", F.col("_n").cast("string"))).join(own, F.lower("_m") == F.col("_k"), "left")
+    name = F.when(F.col("_n") == 1, F.col("_f")).when(F.col("_own"), F.concat("_m", F.lit("-"))).otherwise(F.col("_m"))
+    return s.select("sample", name.alias("folder"))
 
 
 def write_by_sample(tables: dict[str, DataFrame], folder: str) -> None:
-    """Tables with a sample as partitions by sample, others whole."""
+    """Tables with a sample in a folder for each sample, others whole. The folders' names are safe ones (``sample_folders``)."""
     for name, df in tables.items():
-        w = df.write.mode("overwrite")
-        (w.partitionBy("sample") if "sample" in df.columns else w).parquet(f"{folder}/{name}")
+        if "sample" in df.columns:
+            dirs = sample_folders(df)
+            df.join(F.broadcast(dirs), "sample").write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def run_metadata(spark: SparkSession, provenance: dict, folder: str) -> None:
-    """One JSON row of provenance and a table of its scalar parameters."""
+def run_metadata(spark: SparkSession, provenance: dict, folder: str, tables: dict[str, DataFrame] | None = None) -> None:
+    """One JSON row of provenance, a table of its scalar parameters, and the given tables (assembly, samples, inputs)."""
+    for name, df in (tables or {}).items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}", header=True, nullValue="")
     import json
 
     row = spark.createDataFrame([(json.dumps(provenance, sort_keys=True, default=str),)], "json string")
@@ -122,6 +188,6 @@ def run_metadata(spark: SparkSession, provenance: dict, folder: str) -> None:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, md5) of every file under ``folder``, in order of paths; contents stay on the executors."""
+    """(path, bytes, md5) of every file under ``folder``, in order of paths; each file is hashed where it is read, one at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5")).orderBy("path")
