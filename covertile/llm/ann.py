@@ -10,7 +10,9 @@ Equal vectors are one: a distinct vector carries its ``k`` + 1 smallest ids, whi
 that a third of all rows share is searched once.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part; vectors of different lengths never
-meet; fewer candidates than k are all returned; ties go to the smaller id; repeated ids are kept as they are.
+meet; fewer candidates than k are all returned; ties go to the smaller id. Rows that repeat an id are one candidate, at the least of
+their distances, and one query: a neighbour stands once in its list. An id is no neighbour of itself, whatever its vectors. Empty
+tables give empty results. Only vec_id and embedding are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -113,7 +115,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     shards = max(spark.sparkContext.defaultParallelism, -(-base.count() // shard_rows))
     dealt = base.select(F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "h", "v", "ids")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "h", "v", F.array().cast("array<bigint>").alias("ids"))
-    together = dealt.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    # shards are numbered and even, so ranges give each a task of its own
+    together = dealt.unionByName(sent).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"shard": None, "raw": {}, "made": {}}
@@ -146,7 +149,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     found = together.mapInArrow(run, f"h long, v {element}, vec_id long, score double")
     best = Window.partitionBy("h", "v").orderBy("score", "vec_id")
     top = saved(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("h", "v", "vec_id", "score"))
-    e = queries.filter("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("h"), F.col("embedding").alias("v"))
-    pairs = e.join(top, ["h", "v"]).filter("vec_id <> query_id")
+    e = queries.filter("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("h"), F.col("embedding").alias("v")).dropDuplicates()
+    pairs = e.join(top, ["h", "v"]).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

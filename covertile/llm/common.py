@@ -29,9 +29,11 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary folder where that is unset (tests)."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; executors need a shared folder")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -117,6 +119,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def keep_texts(docs: DataFrame, good: Callable[[pa.Array], np.ndarray], done: Callable[[], None] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text is ``good`` (a mask over slices of the column), with all columns as they are; no shuffle."""
+    tuned(docs.sparkSession)
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                yield part.filter(pa.array(good(part.column(at))))
+        if done is not None:
+            done()
+        trim()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def map_texts(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields: str, keep_text: bool = False, piece: int = 1 << 22, done: Callable[[], None] | None = None) -> DataFrame:
     """``docs`` with the columns ``fields`` that ``kernel`` makes of slices of the column text; no shuffle.
 
@@ -125,7 +143,7 @@ def map_texts(docs: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fie
     """
     tuned(docs.sparkSession)
     made = [f.strip().split(" ")[0] for f in _split_fields(fields)]
-    kept = [f for f in docs.schema.fields if f.name not in made and f.name != "text"]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {*(m.lower() for m in made), "text"}]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(["text string"] if keep_text else []), fields])
     names = [*(f.name for f in kept), *(["text"] if keep_text else []), *made]
 

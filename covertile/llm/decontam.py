@@ -1,31 +1,36 @@
 """Benchmark decontamination with training suffix arrays.
 
 Every task takes its documents in shards of a few MB and builds a word-level suffix array of each, of the suffixes whose
-first words begin some test suffix. Every test suffix is looked up by binary search; the equal range holds the places
-where at least a window of it occurs verbatim. Neighbouring hits with the same shift join to the longest matches.
+first three words begin some test suffix: a place where a test suffix occurs begins with its first words, so the others
+could not be in any range that is searched, and leaving them out changes no result. Every test suffix is looked up by binary search; the
+equal range holds the places where at least a window of it occurs verbatim. Neighbouring hits with the same shift join to the longest matches.
 
 A window is 10 consecutive words of an item; an item of fewer, but not none, is one window. Test suffixes go to the tasks in
 blocks of at most about ``block_words`` words (a block is some 20 MB); a larger benchmark takes more passes over the documents in the
 same stage, never a larger broadcast.
 
 Cases: null and empty texts have no words; items without words have no windows; items of equal text count each; repeated
-rows get equal results; an empty benchmark hits nothing. Words are compared as 64-bit hashes, ten at a time.
+rows get equal results; an empty benchmark hits nothing, an empty table of documents gives an empty result. An item whose id is null hits,
+but is not counted or named, as it has no name. Texts are taken whole. ``report`` reads doc_id and text only; ``remove`` changes no
+column; ``scan`` adds columns under names that must be free. Words are compared as 64-bit hashes, ten at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covertile.llm.common import pieces, text_buffers, tuned
+from covertile.llm.common import keep_texts, pieces, text_buffers, tuned
 from covertile.llm.words import ALNUM, FACTOR, mix64, words
 
 WINDOW = 10
 HEAD = 3
+#: Stands for the id of an item without one.
+NAMELESS = -(1 << 63)
 
 
 def _rows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -55,7 +60,7 @@ class Windows:
         self.size = (self.rows != 0).sum(axis=1)
         order = np.argsort(where.ravel(), kind="stable")
         self.cuts = np.searchsorted(where.ravel()[order], np.arange(len(self.rows) + 1))
-        self.item = np.array([items[d][0] for d in doc[at]], np.int64)[order] if len(at) else np.zeros(0, np.int64)
+        self.item = np.array([NAMELESS if items[d][0] is None else items[d][0] for d in doc[at]], np.int64)[order] if len(at) else np.zeros(0, np.int64)
         starts = dict(zip(*np.unique(doc, return_index=True), strict=True))
         self.word = (at - np.array([starts[d] for d in doc[at]], np.int64))[order] if len(at) else np.zeros(0, np.int64)
         #: windows by the number of words that a lookup begins with
@@ -159,6 +164,14 @@ def _scan(texts: pa.Array, w: Windows) -> list[pa.Array]:
     return [pa.array(n_words, pa.int64()), _lists(own, n, spans), _lists(m_doc, n, matches)]
 
 
+def _hits(texts: pa.Array, w: Windows) -> np.ndarray:
+    """The number of windows that occur in each text."""
+    raw, offsets = text_buffers(texts)
+    _, _, doc, h = words(raw, offsets, ALNUM)
+    at, _ = search(h, doc, w)
+    return np.bincount(doc[at], minlength=len(texts)) if len(at) else np.zeros(len(texts), np.int64)
+
+
 SPANS = "array<struct<start:bigint,end:bigint>>"
 MATCHES = "array<struct<item_id:bigint,item_word:bigint,doc_word:bigint,words:bigint>>"
 
@@ -226,7 +239,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the contract."""
     s = scan(docs.select("doc_id", "text"), benchmark)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    items = F.array_distinct(F.transform("matches", lambda m: m["item_id"]))
+    items = F.array_distinct(F.transform(F.filter("matches", lambda m: m["item_id"] != F.lit(NAMELESS)), lambda m: m["item_id"]))
     return s.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
@@ -235,6 +248,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold any window of the benchmark."""
-    return scan(docs, benchmark).filter(F.size("hits") == 0).select(*docs.columns)
+def remove(docs: DataFrame, benchmark: DataFrame, block_words: int = 200_000) -> DataFrame:
+    """``docs`` without the documents that hold any window of the benchmark. Each block of it is one more pass in the same stage."""
+    spark = tuned(docs.sparkSession)
+
+    def clean(sent) -> Callable[[pa.Array], np.ndarray]:
+        return lambda texts: _hits(texts, sent.value) == 0
+
+    out = docs
+    for block in _blocks(benchmark, block_words):
+        out = keep_texts(out, clean(spark.sparkContext.broadcast(Windows(block))))
+    return out

@@ -5,7 +5,9 @@ multiplied together (binding); a text is the sum of its n-grams' vectors (bundli
 has the language whose prototype makes the largest cosine with it.
 
 Cases: a null text, or one without letters, gets ``und`` and score 0. Ties go to the smaller language name. Null
-languages don't teach. Without any prototype every text is ``und``. Repeated rows get equal results. Texts are read whole.
+languages don't teach. Without any prototype every text is ``und``. Repeated rows get equal results. Texts are read whole, a long one in
+stretches of 2^20 characters. An empty table gives an empty result. Other columns pass through; columns called lang_pred or score
+give way to the result's.
 """
 
 from __future__ import annotations
@@ -24,13 +26,10 @@ UND = "und"
 
 
 def _symbols() -> np.ndarray:
-    """A symbol for each code point: 0 for what is no letter; letters up to U+024F have their own, the others share 431."""
+    """A symbol for each code point: 0 for what is no letter (``str.isalpha``); letters up to U+024F have their own, the others share 431."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    points = np.flatnonzero(letter)
     table = np.zeros(0x110000, np.uint16)
-    for lo, hi in ((0, 0x3400), (0xA000, 0xA960), (0xAC00, 0xD7A4), (0xF900, 0x10000), (0x10000, 0x1F000)):
-        table[lo:hi] = [chr(c).isalpha() for c in range(lo, hi)]
-    table[0x3400:0xA000] = 1
-    table[0x20000:0x32000] = 1
-    points = np.nonzero(table)[0]
     table[points] = np.where(points < 0x250, points + 1, 0x251 + points % (SYMBOLS - 0x251))
     return table
 

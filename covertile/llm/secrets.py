@@ -7,7 +7,9 @@ more is a widely copied example. Live-looking further candidates become spans to
 
 Positions are code points, ends exclusive; the span of a match is the whole match. Cases: null texts have no spans and
 give the digest of an empty string; a null source is an owner of its own; repeated rows get equal results, and count once
-by (doc_id, text); a null doc_id is kept. Extra columns, whatever their names, pass through untouched.
+by (doc_id, text); a null doc_id is kept; ties of spans go by start, then kind; an empty table gives an empty result. Texts are
+scanned whole, once: only ids, spans and digests are kept for the counts. ``report`` reads doc_id, source and text only; ``redact`` keeps
+all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covertile.llm.common import lookup, saved
+
 #: Fixed patterns of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -76,56 +80,62 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
 def scan(docs: DataFrame, max_owners: int = 2) -> DataFrame:
-    """``docs`` without its text, with ``base`` and ``secrets`` (arrays of start, kind, end), ``n_live`` and ``n_example``.
+    """(doc_id, t, base, secrets, live, n_live, n_example) of ``docs`` (doc_id, source, text); t is a hash of the text.
 
-    Only ids, spans and digests are shuffled, never texts. ``secrets`` holds base spans and live-looking further spans.
+    ``base`` and ``secrets`` are arrays of start, kind, end: base spans, and these with live-looking further spans; ``live`` are the live-looking
+    ones of all kinds. Texts are read once; what was found is a table of ids, spans and digests.
     """
-    found = candidates(docs)
-    keyed = found.filter((F.size("_base") > 0) | (F.size("_more") > 0)).select("doc_id", "source", "_t", "_base", "_more")
+    found = saved(candidates(docs.select("doc_id", "source", "text")).withColumnRenamed("_t", "t"))
+    keyed = found.filter((F.size("_base") > 0) | (F.size("_more") > 0))
     counts = ownership(keyed)
-    each = keyed.dropDuplicates(["doc_id", "_t"]).select("doc_id", "_t", F.explode(F.concat("_base", "_more")).alias("s")).select("doc_id", "_t", "s", F.col("s.value").alias("value"))
-    live = each.join(counts, "value").withColumn("live", F.col("n_owners") <= max_owners)
-    own = live.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(
-        F.collect_list(F.when(F.col("live") & (F.col("s.kind") >= BASE), F.struct("s.start", "s.kind", "s.end"))).alias("_live"),
-        F.count_if("live").alias("n_live"),
-        F.count_if(~F.col("live")).alias("n_example"),
-    )
-    slim = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    out = found.join(own, found["doc_id"].eqNullSafe(own["_d"]) & (found["_t"] == own["_u"]), "left").withColumn("base", slim)
-    out = out.withColumn("secrets", F.array_sort(F.concat("base", F.coalesce("_live", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))))
-    return out.withColumns({"n_live": F.coalesce("n_live", F.lit(0)), "n_example": F.coalesce("n_example", F.lit(0))}).drop("_d", "_u", "_t", "_base", "_more", "_live")
+    each = keyed.select("doc_id", "t", "_base", "_more").dropDuplicates(["doc_id", "t"]).select("doc_id", "t", F.explode(F.concat("_base", "_more")).alias("s")).select("doc_id", "t", "s", F.col("s.value").alias("value"))
+    # a value that a third of all documents hold is looked up without a shuffle by it
+    judged = lookup(each, counts.select("value", "n_repos", "n_owners"), "value", "n_repos").withColumn("ok", F.col("n_owners") <= max_owners)
+    at = F.struct("s.start", "s.kind", "s.end")
+    own = judged.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_u")).agg(F.collect_list(F.when(F.col("ok"), at)).alias("_live"), F.count_if("ok").alias("n_live"), F.count_if(~F.col("ok")).alias("n_example"))
+    out = found.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_u")), "left")
+    none = F.array().cast(SPANS)
+    live = F.array_sort(F.coalesce("_live", none))
+    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    out = out.withColumns({"base": base, "live": live})
+    more = F.filter("live", lambda s: s["kind"] >= BASE)
+    return out.select("doc_id", "t", "base", F.array_sort(F.concat("base", more)).alias("secrets"), "live", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the contract."""
-    s = scan(docs.select("doc_id", "source", "text"))
+    """The digest columns of the contract, with ``live``: the spans that belong to few owners; the others are widely copied examples."""
+    s = scan(docs)
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return s.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("secrets")).alias("spans"), "n_live", "n_example")
+    return s.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("secrets")).alias("spans"), _text(F.col("live")).alias("live"), "n_live", "n_example")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 2) -> DataFrame:
     """``docs`` with every secret span replaced by ``mark`` (overlapping spans by one) and n_chars brought up to date.
 
-    The spans come back by (doc_id, digest of the text), so the texts meet them in one join.
+    The spans come back by (doc_id, hash of the text), so the texts meet them in one join. Rows travel as one struct, so no
+    column of theirs can clash with what is joined.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = docs.withColumn("_t", F.xxhash64(F.md5(text), F.length(text)))
-    hits = scan(docs.select("doc_id", "source", "text", F.xxhash64(F.md5(text), F.length(text)).alias("_k")), max_owners)
-    hits = hits.filter(F.size("secrets") > 0).dropDuplicates(["doc_id", "_k"]).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_u"), "secrets")
-    out = key.join(hits, key["doc_id"].eqNullSafe(hits["_d"]) & (key["_t"] == hits["_u"]), "left")
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("u", F.xxhash64(F.md5(text), F.length(text)))
+    hits = scan(docs, max_owners).filter(F.size("secrets") > 0).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "secrets")
+    out = rows.join(hits, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("u") == F.col("t")), "left")
+    whole = F.col("row.text")
     cut = F.aggregate(
         "secrets",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"))
+            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(whole, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"))
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda a: F.concat(a["out"], F.substring(whole, (a["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    out = out.withColumn("text", F.when(F.col("secrets").isNotNull(), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("secrets").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    hit = F.col("secrets").isNotNull()
+    out = out.withColumn("cut", F.when(hit, cut))
+    made = {"text": F.when(hit, F.col("cut")).otherwise(whole), "n_chars": F.when(hit, F.length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(made[c].alias(c) if made.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 #: DuckDB: the base spans by the same split-and-match rule. No further candidate kind occurs with an owner count to decide on
@@ -153,12 +163,13 @@ def oracle() -> str:
     return f"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 s as ({' union all '.join(parts)}),
-o as (select value, count(distinct source) as n_owners from s group by value),
+o as (select value, count(distinct coalesce(source, chr(1))) as n_owners from s group by value),
 l as (select s.*, n_owners <= 2 as live from s join o using (value)),
 g as (select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
         string_agg(name || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind) filter (kind < 3) as base,
         string_agg(name || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind) filter (kind < 3 or live) as spans,
+        string_agg(name || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind) filter (live) as live,
         count(*) filter (live) as n_live, count(*) filter (not live) as n_example from l group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(g.live, '') as live, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
 from d left join g using (doc_id)"""

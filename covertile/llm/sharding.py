@@ -2,29 +2,35 @@
 
 Records are hashed into ``SLOTS`` slots, bytes are summed by slot, and a versioned slot-to-shard map says where each slot
 lives. The map is a table (version, vslot, bytes, shard); it is edited, never rebuilt, when shards are added or loads move.
+``assign`` reads its newest version, edits it if the loads have moved, stores the next version and deals by that.
 The law that holds is ``bytes``: the largest slots are placed first, each on the shard with the fewest bytes so far.
 
-Cases: a null text has 16 bytes and crc32 0; a null doc_id hashes like any other value; repeated rows share a slot and
-take different positions; an empty table gives an empty result.
+Cases: a null text has 16 bytes and crc32 0; records are hashed by doc_id and text, so null or repeated ids with different texts, and
+equal texts under different ids, are dealt apart; rows that repeat in both share a slot and take different positions (one record that makes
+up over a fortieth of all bytes can't be levelled, as a slot is not split); ties in a slot go by doc_id, crc32 and size; an empty
+table gives an empty result; only doc_id and text are read, whatever other columns there are. Of a long text only its size and crc32 are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from covertile.llm.common import saved, scratch_dir
+
 SLOTS = 4096
 OVERHEAD = 16
 
 
-def virtual_slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS)).cast("int")
+def virtual_slot(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(SLOTS)).cast("int")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, vslot of each row; the text ends here."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), virtual_slot(F.col("doc_id")).alias("vslot"))
+    return docs.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), virtual_slot(F.col("doc_id"), F.crc32(raw), F.octet_length(raw)).alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -97,8 +103,49 @@ def shard_rows(rows: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.withColumn("n", inside).join(F.broadcast(offsets), "vslot").withColumn("slot", (F.col("offset") + F.col("n") - 1).cast("long")).drop("n", "offset")
 
 
-def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """Every row of ``docs`` in one of ``shards`` shards, under the law ``bytes``."""
+def store(current: DataFrame, path: str) -> None:
+    """Write one version of a map beside the ones before it."""
+    current.write.mode("append").partitionBy("version").parquet(path)
+
+
+MAP = "vslot int, bytes bigint, rows bigint, shard int, version int"
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of the map stored at ``path``; None if there is none."""
+    try:
+        every = spark.read.schema(MAP).parquet(path)
+    except AnalysisException:  # nothing there yet
+        return None
+    last = every.agg(F.max("version")).first()[0]
+    return None if last is None else every.filter(F.col("version") == last).select("version", "vslot", "bytes", "rows", "shard")
+
+
+def levelled(current: DataFrame, loads: DataFrame, shards: int, tolerance: float = 0.02) -> bool:
+    """Whether the map knows all slots of ``loads`` with their rows, and no shard has over (1 + tolerance) x the mean."""
+    j = loads.join(F.broadcast(current.select("vslot", "shard", F.col("rows").alias("was"))), "vslot", "left")
+    by = j.groupBy("shard").agg(F.sum("bytes").alias("b"), F.count_if(~F.col("rows").eqNullSafe(F.col("was"))).alias("moved"))
+    row = by.agg(F.max("b").alias("top"), F.sum("b").alias("all"), F.sum("moved").alias("moved")).first()
+    return not row["all"] or (row["moved"] == 0 and row["top"] <= row["all"] / shards * (1 + tolerance))
+
+
+def assign(docs: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
+    """Every row of ``docs`` in one of ``shards`` shards, under the law ``bytes``.
+
+    ``path`` is where the versions of the map live; a new folder in the shared one if not given. Without a stored version the first
+    is made; if loads have moved, the newest is edited and stored as the next.
+    """
+    spark = docs.sparkSession
+    path = path or scratch_dir(spark)
     rows = sized(docs)
-    out = shard_rows(rows, slot_map(slot_bytes(rows), shards))
+    loads = saved(slot_bytes(rows))
+    current = newest(spark, path)
+    if current is None:
+        store(slot_map(loads, shards), path)
+    elif not levelled(current, loads, shards):
+        store(saved(rebalance(current, loads, shards)), path)
+    current = newest(spark, path)
+    if current is None:  # an empty table has no slots
+        current = spark.createDataFrame([], "version int, vslot int, bytes bigint, rows bigint, shard int")
+    out = shard_rows(rows, current)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))

@@ -17,7 +17,8 @@ Texts over ``SLICE`` bytes are read in slices that overlap by WIDTH - 1 bytes, s
 an anchor depends on its string only, a segment that a border cuts is compared string by string with the same results.
 
 Cases: null texts are empty; texts shorter than WIDTH lose nothing; all copies of a repeated text go entirely (from WIDTH
-bytes on); repeated rows count as copies; the runs removed from a text may leave invalid UTF-8, so digests are of bytes.
+bytes on); repeated rows count as copies; the runs removed from a text may leave invalid UTF-8, so digests are of bytes; an empty
+table gives an empty result; doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covertile.llm.common import map_texts, mix64, pieces, saved, text_buffers, trim, tuned
+from covertile.llm.common import lookup, map_texts, mix64, pieces, saved, text_buffers, trim, tuned
 from covertile.llm.gsaca import suffix_array
 
 WIDTH, GRAM = 200, 64
@@ -288,8 +289,30 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], far[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """(k, start, end): maximal runs of the spans of each text, so that what is gathered of a text is its runs, not its strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, a, b = None, 0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for key, start, end in zip(*(batch.column(c).to_pylist() for c in ("k", "start", "end")), strict=True):
+                if key == k and start <= b:
+                    b = max(b, end)
+                    continue
+                if k is not None:
+                    out.append((k, a, b))
+                k, a, b = key, start, end
+            if out:
+                yield _fields({"k": pa.array([x[0] for x in out], pa.binary()), "start": pa.array([x[1] for x in out], pa.int64()), "end": pa.array([x[2] for x in out], pa.int64())})
+        if k is not None:
+            yield _fields({"k": pa.array([k], pa.binary()), "start": pa.array([a], pa.int64()), "end": pa.array([b], pa.int64())})
+
+    return spans.repartition("k").sortWithinPartitions("k", "start", "end").mapInArrow(run, "k binary, start long, end long")
+
+
 def repeated_spans(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> DataFrame:
-    """(k, spans): by the text's digest, the byte ranges that repeated strings cover, not merged yet."""
+    """(k, spans): by the text's digest, the byte ranges that repeated strings cover, in order."""
     spark = tuned(docs.sparkSession)
     counted = saved(anchors(docs, most).filter("n > 1"))
     size = counted.count()
@@ -298,9 +321,10 @@ def repeated_spans(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> Da
     passed = spark.sparkContext.broadcast(_bitmap(counted.filter(F.col("n") > group).select("b"), 20))
     near = _compare(_segment_rows(docs, wanted, passed, most))
     strings = _string_rows(docs, passed, most)
-    often = strings.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
-    far = strings.join(often, "f").select("k", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end"))
-    return saved(near.unionByName(far)).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    often = strings.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a string that a third of all texts hold is looked up without a shuffle by it
+    far = lookup(strings, often.withColumn("twice", F.lit(True)), "f", "n").filter("twice").select("k", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end"))
+    return joined_spans(near.unionByName(far)).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def removal(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,8 @@ Fitting takes a bounded sample of labelled rows: those with the ``max_rows`` sma
 given). It is dealt into shards; each shard learns by itself, and the weights are averaged.
 
 Cases: null and empty texts have no features and get the bias alone. Null labels don't teach. Without labelled rows every
-score is 0. Repeated rows get equal scores. Texts are read whole.
+score is 0. Repeated rows get equal scores, and teach as often as they stand there. Texts are read whole. An empty table gives an empty
+result. ``score`` passes other columns through; columns called score or predicted give way to its own. ``reject`` changes no column.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covertile.llm.common import map_texts, mix64, tuned
+from covertile.llm.common import keep_texts, map_texts, mix64, tuned
 
 BITS = 18
 SIZE = 1 << BITS
@@ -33,11 +34,13 @@ def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place) of every word, pair and skip-pair, repeated ones too, and the number of words of each row."""
     words = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("") if texts.null_count else texts))
     flat = pc.ascii_trim(words.flatten(), characters=".,;:!?\"'()[]{}|*#")
-    n = np.diff(words.offsets.to_numpy())
+    row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    solid = pc.greater(pc.binary_length(flat), 0)  # blanks at the ends, or punctuation alone, are no words
+    flat, row = flat.filter(solid), row[solid.to_numpy(zero_copy_only=False)]
+    n = np.bincount(row, minlength=len(texts))
     enc = flat.dictionary_encode()
     known = np.fromiter(map(_hash, enc.dictionary.to_pylist()), np.uint64, len(enc.dictionary))
     hashed = mix64(known)[enc.indices.to_numpy()]
-    row = np.repeat(np.arange(len(n)), n)
     places, rows = [hashed], [row]
     for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         if len(hashed) > gap:
@@ -120,19 +123,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 24_576)
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
 
 
+def probabilities(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The score of each text; 0 without a model."""
+    at, values = model
+    if not len(at):
+        return np.zeros(len(texts))
+    w = np.zeros(SIZE + 1)
+    w[at] = values
+    row, place, words = occurrences(texts)
+    some = w[place] != 0
+    row, place = distinct(row[some], place[some])
+    return _sigmoid(np.bincount(row, w[place], minlength=len(texts)) * scale(words) + w[BIAS])
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_text: bool = False) -> DataFrame:
     """``docs`` with ``score`` (0..1) and ``predicted`` (1 if score >= 0.3); its text stays only if ``keep_text``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        at, values = sent.value
-        w = np.zeros(SIZE + 1)
-        w[at] = values
-        row, place, words = occurrences(texts)
-        some = w[place] != 0
-        row, place = distinct(row[some], place[some])
-        total = np.bincount(row, w[place], minlength=len(texts)) * scale(words) + w[BIAS]
-        s = _sigmoid(total) if len(at) else np.zeros(len(texts))
+        s = probabilities(texts, sent.value)
         return [pa.array(s), pa.array((s >= CUT).astype(np.int32))]
 
     return map_texts(docs, run, "score double, predicted int", keep_text, piece=1 << 21)
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``docs`` without the rows that are predicted toxic; columns stay as they are, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_texts(docs, lambda texts: probabilities(texts, sent.value) < CUT)

@@ -60,6 +60,37 @@ def test_maps_are_edited(spark):
     assert sharding.rebalance(g, heavy, 9).count() == 500
 
 
+def test_the_stored_map_is_read_and_edited(spark, tmp_path):
+    rng = np.random.default_rng(23)
+    path = str(tmp_path / "map")
+    rows = [(None if i % 3 == 0 else i, "x" * int(rng.integers(0, 3000))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {(r.doc_id, r.text_crc32, r.size): r.shard for r in sharding.assign(df, 8, path).collect()}
+    assert sharding.newest(spark, path).first().version == 1
+    again = {(r.doc_id, r.text_crc32, r.size): r.shard for r in sharding.assign(df, 8, path).collect()}
+    assert again == first and sharding.newest(spark, path).first().version == 1
+    more = df.unionByName(spark.createDataFrame([(10_000 + i, "y" * 20_000) for i in range(100)], "doc_id long, text string"))
+    moved = sharding.assign(more, 8, path).toPandas()
+    assert sharding.newest(spark, path).first().version == 2
+    by = moved.groupby("shard")["size"].sum()
+    assert len(by) == 8 and by.max() / by.mean() < 1.05
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in moved.groupby("shard"))
+    same = sum(first.get((None if np.isnan(r.doc_id) else int(r.doc_id), r.text_crc32, r.size)) == r.shard for r in moved.itertuples())
+    assert same > 0.7 * len(rows)  # an edit leaves most where they are
+
+
+def test_shards_equal_brute_force(spark):
+    rng = np.random.default_rng(24)
+    docs = spark.createDataFrame([(i, "z" * int(rng.integers(0, 500))) for i in range(800)], "doc_id long, text string")
+    got = sharding.assign(docs, 5).toPandas()
+    load = got.groupby("virtual_slot")["size"].sum().reset_index().sort_values(["size", "virtual_slot"], ascending=[False, True])
+    total, place = [0] * 5, {}
+    for v, b in zip(load["virtual_slot"], load["size"], strict=True):
+        place[v] = total.index(min(total))
+        total[place[v]] += b
+    assert all(place[r.virtual_slot] == r.shard for r in got.itertuples())
+
+
 def digest(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
@@ -86,6 +117,35 @@ def test_best_branch_of_a_tree(spark):
     assert sorted(r.formatted for r in chat.formatted(df, 1).collect()) == ["".join(f"<|user|>m{i}<|end|>" for i in (1, 3, 4, 5))]
 
 
+def test_cycles_and_repeated_nodes(spark):
+    nodes = [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (1, 3, 1, 1.0), (1, 4, 2, 9.0), (2, 7, 7, 1.0), (3, 1, None, 1.0), (3, 1, None, 1.0), (3, 2, 1, 1.0), (3, 2, 1, 1.0)]
+    df = spark.createDataFrame([(*n, "user", f"m{n[1]}") for n in nodes], "tree long, node long, parent long, score double, role string, text string")
+    # on the cycle 1 -> 2 -> 3 -> 1 node 1 is the root, so 1, 3, 2, 4 is the best path
+    assert sorted(tuple(r) for r in chat.chosen_paths(df).collect()) == [(1, 1, 1, 1), (1, 1, 2, 3), (1, 1, 3, 2), (1, 1, 4, 4), (2, 1, 7, 1), (3, 1, 1, 1), (3, 1, 2, 2)]
+    assert {r.tree: r.formatted for r in chat.formatted(df).collect()}[3] == "<|user|>m1<|end|><|user|>m2<|end|>"
+
+
+def test_a_query_row_that_stands_twice_is_one_query(spark):
+    rows = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [0.0, 4.0]), (3, [0.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id = 0"), 10).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 3.0), (0, 3, 3, 7.0)]
+
+
+def test_recall_on_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.toPandas()
+    v = np.stack(rows["embedding"]).astype(float)
+    got = ann.nearest(df, df.filter("vec_id % 100 = 0"), 10).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hit = 0
+    for q in got.index:
+        i = int(np.flatnonzero(rows["vec_id"] == q)[0])
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        want = [int(x) for x in rows["vec_id"].to_numpy()[np.lexsort((rows["vec_id"], d))] if x != q][:10]
+        hit += len(set(want) & got[q])
+    assert hit / (10 * len(got)) >= 0.9
+
+
 @pytest.mark.parametrize("limit", ["-1", "10485760"])
 def test_messages_without_a_tree_are_one_tree(spark, limit):
     rows = [(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (None, 2, "user", "d"), (0, 0, "user", "e"), (0, 1, "assistant", "f")]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -273,6 +274,51 @@ def test_redaction_joins_overlaps(spark):
     assert secrets.redact(df).first().text == "é [SECRET] z"
 
 
+def test_secrets_in_copied_texts_are_examples(spark):
+    """Base candidates are labelled too: a value of many owners is an example, one of few looks live."""
+    rows = [(i, "password = hunter22", f"o{i}") for i in range(5)] + [(9, "password = only9mine", "o1"), (10, "password = only9mine", None), (11, None, "x"), (11, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.spans, r.live, r.n_live, r.n_example) for r in secrets.report(df).collect()}
+    assert got[0] == ("assign:0:19", "", 0, 1) and got[9] == got[10] == ("assign:0:20", "assign:0:20", 1, 0) and got[11] == ("", "", 0, 0)
+
+
+def test_letters_are_those_of_unicode():
+    table = langid._symbols()
+    for c in (0x61, 0xA981, 0xABC0, 0xD7B0, 0x4DC0, 0x2E, 0x4E00, 0xA960, 0x1F600, 0x30):
+        assert (table[c] > 0) == chr(c).isalpha()
+    assert table.max() < langid.SYMBOLS
+
+
+def test_bundles_equal_brute_force():
+    """A text's vector is the sum of its trigrams' bound vectors, letter by letter."""
+    sp = langid.space()
+    text = "Ab cé, ab"
+    symbols = [int(sp.symbols[ord(c)]) for c in text.lower()]
+    run = [0]
+    for x in symbols:
+        if x or run[-1]:
+            run.append(x)
+    run += [0] if run[-1] else []
+    want = sum(np.roll(sp.placed[2][run[i]], 2) * np.roll(sp.placed[2][run[i + 1]], 1) * sp.placed[2][run[i + 2]] for i in range(len(run) - 2))
+    assert np.array_equal(sp.bundles([sp.grams(text)])[0], want)
+    assert [x.tolist() for x in sp.grams(text * 50, chunk=7)] == [x.tolist() for x in sp.grams(text * 50)]
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(20)
+    rows = [(i, "".join(rng.choice("abcdeé ñöß") for _ in range(rng.randint(0, 60))), rng.choice(["x", "y", "z", None])) for i in range(60)] + [(99, None, "x"), (5, "abc abc", "x"), (5, "abc abc", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs)).collect()
+    sp = langid.space()
+    vec = lambda t: sp.bundles([sp.grams(t or "")])[0].astype(float)
+    proto = {k: sum(vec(t) for _, t, l in rows if l == k) for k in "xyz"}
+    for r, (d, t, _) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0]), strict=True):
+        v = vec(t)
+        cos = {k: v @ p / np.linalg.norm(p) / np.linalg.norm(v) for k, p in proto.items()} if v.any() else {}
+        want = max(sorted(cos), key=lambda k: cos[k]) if cos else "und"
+        assert r.doc_id == d and r.lang_pred == want and abs(r.score - (min(1, max(0, cos[want])) if cos else 0)) < 1e-9
+
+
 def test_language_on_held_out_texts(spark, none):
     rng = random.Random(14)
     kinds = {"en": ["the", "tion", "ing", "and"], "de": ["der", "ung", "sch", "ß"], "fr": ["eau", "ç", "oui", "ment"]}
@@ -307,3 +353,37 @@ def test_toxicity_on_held_out_texts(spark, none):
     assert toxicity.score(none, model).count() == 0
     empty = toxicity.fit(toxicity.labelled_sample(docs, labels.limit(0)))
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """A score is the sigmoid of the bias and the weights of the distinct words, pairs and skip-pairs of the text."""
+    rng = random.Random(21)
+    texts = [None, "", "one", "One, one!", *(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 900))) for _ in range(30))]
+    at = np.arange(toxicity.SIZE + 1)
+    weights = np.random.default_rng(22).normal(0, 0.1, toxicity.SIZE + 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (at, weights)).collect()}
+    for i, t in enumerate(texts):
+        w = [x for x in (x.strip(".,;:!?\"'()[]{}|*#") for x in (t or "").lower().split()) if x]
+        h = toxicity.mix64(np.array([toxicity._hash(x) for x in w], np.uint64))
+        places = set((h >> np.uint64(46)).tolist())
+        for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+            places |= {int(x) >> 46 for x in toxicity.mix64(h[:-gap] * np.uint64(salt) + h[gap:])} if len(h) > gap else set()
+        z = weights[-1] + sum(weights[p] for p in places) * min(1, 20 / math.sqrt(max(1, len(w))))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+    kept = {r.doc_id for r in toxicity.reject(docs, (at, weights)).collect()}
+    assert kept == {i for i, x in got.items() if x < toxicity.CUT}
+
+
+def test_a_benchmark_item_without_id_hits(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "b c")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r.items_sha256) for r in decontam.report(docs, bench).collect()}
+    assert got == {1: (2, 0, True, hashlib.sha256(b"").hexdigest()), 2: (0, 0, False, hashlib.sha256(b"").hexdigest())}
+
+
+def test_a_long_repetitive_text_goes(spark):
+    size = 300_000
+    docs = spark.createDataFrame([(1, "ab" * (size // 2)), (2, "c" * 199), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.report(docs).collect()}
+    assert got == {1: (size, size, 1), 2: (199, 0, 0), 3: (0, 0, 0)}
