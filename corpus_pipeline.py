@@ -2,7 +2,8 @@
 
 toxicity: documents that the classifier rejects go. ngram_jaccard: one document of each group of near copies stays.
 decontamination: documents that hold a benchmark passage go. secrets: secret spans become a mark in the text. byte_bpe: the
-last stage returns the token ids of each document beside its columns without the text.
+last stage returns the token ids of each document beside its columns without the text. Further columns of documents pass through
+all stages, whatever their names; nulls, empty texts, repeated rows and empty tables are defined by each operator.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covertile.llm import bpe, decontam, jaccard, secrets, toxicity
-from covertile.llm.common import held_out, saved
+from covertile.llm.common import free, held_out, saved
 
 #: No SQL for the trained classifier, so none for the whole; tests run it against brute force.
 ORACLE_SQL = None
@@ -25,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of this stage's documents outside the held-out fold."""
     labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     model = toxicity.fit(toxicity.labelled_sample(docs, labels))
-    return toxicity.score(docs, model, keep_text=True).filter("predicted = 0").select(*docs.columns)
+    return toxicity.reject(docs, model)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # beside a column of the documents that is called so
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, free(docs.columns, "ids"))
 
 
 STAGES = [

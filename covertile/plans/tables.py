@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder of spark.checkpoint.dir and read it again; a temporary folder where that is unset."""
+    """Write ``df`` as Parquet in the shared folder of spark.checkpoint.dir and read it again.
+
+    Where that is unset, a temporary folder serves in local mode; elsewhere it is an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; executors need a shared folder")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
