@@ -50,7 +50,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,33 @@ QUERIES = {
     "op10_reply_trees": op10_reply_trees,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Equal texts are one: their sets, or their windows, are made once.
+JACCARD_SQL = rf"""
+with recursive t as (select {_LOWER} as t, min(doc_id) as d from documents group by 1),
+w as (select t, d, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from t),
+sh as (select distinct d, unnest(case when len(w) = 0 then [] when len(w) < 4 then [hash(array_to_string(w, ' '), len(w))] else [hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3], 4) for i in generate_series(1, len(w) - 3)] end) as s from w),
+n as (select d, count(*) as n from sh group by d),
+e as (select d, s, n from sh join n using (d)),
+p as (select a.d as a, b.d as b, a.n as an, b.n as bn, count(*) as c from e a join e b on a.s = b.s and a.d < b.d and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+l as materialized (select a, b from p where 100 * c >= 85 * (an + bn - c) union select b, a from p where 100 * c >= 85 * (an + bn - c)),
+r(d, c) as (select d, d from n union select l.b, r.c from r join l on l.a = r.d),
+c as (select d, min(c) as c from r group by d)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(c.c, doc_id) as component_id from documents join t on t.t = {_LOWER} left join n using (d) left join c using (d)"""
+DECONTAMINATION_SQL = rf"""
+with t as (select {_LOWER} as t from documents group by 1), w as (select t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from t),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, least(10, len(w)) as size, unnest(case when len(w) = 0 then [] when len(w) < 10 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 9], ' ') for i in generate_series(1, len(w) - 9)] end) as win from b),
+spots as (select t, size, unnest(generate_series(1, len(w) - size + 1)) as i, w from w cross join (select distinct size from win) where len(w) >= size),
+hit as (select spots.t, i, spots.size, item_id from spots join win on win.size = spots.size and win.win = array_to_string(spots.w[i:i + spots.size - 1], ' ')),
+words as (select t, count(distinct p) as n_hit from (select t, unnest(generate_series(i, i + size - 1)) as p from hit) group by t),
+items as (select t, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct t, item_id::varchar as item_id from hit) group by t)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from documents join w on w.t = {_LOWER} left join words on words.t = w.t left join items on items.t = w.t"""
+
 ORACLE_SQL = {
+    "op6_ngram_jaccard": JACCARD_SQL,
+    "op8_decontamination": DECONTAMINATION_SQL,
     "op3_secret_scan": secrets.oracle(),
     "op10_reply_trees": """
 with c as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
