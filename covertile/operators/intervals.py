@@ -104,7 +104,7 @@ def resampled(profile: DataFrame, cuts: DataFrame, by: list[str], n: int) -> Dat
     m = merge(cuts, by, "start", "stop")
     left = m.groupBy(*by).agg((1 - F.sum(F.col("stop") - F.col("start"))).alias("_left"))
     size = profile.select(*by).distinct().join(left, by, "left").withColumn("_left", F.when(F.col("_left") > 0, F.col("_left")))
-    size = size.withColumn("_n", F.coalesce(F.least(F.lit(n), F.greatest(F.lit(2), F.rint(F.col("_left") * n).cast("int"))), F.lit(n)))
+    size = size.withColumn("_n", F.when(F.col("_left").isNull(), F.lit(n)).otherwise(F.least(F.lit(n), F.greatest(F.lit(2), F.rint(F.col("_left") * n).cast("int")))))
     places = size.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("kept_pos", (F.col("place") + 0.5) / F.col("_n") * F.coalesce("_left", F.lit(1.0)))
     some = m.join(size.filter("_left is not null").select(*by), by, "left_semi")
     back = restored(places.select(*by, "place", "kept_pos"), some, by)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from covertile import functions as fn
 from covertile import params, schemas
-from covertile.operators import assign, calibrate, classify, explore, intervals, mask, reads, registry, robust, scoring, segment, tiling
+from covertile.operators import assign, calibrate, classify, explore, intervals, mask, metrics, payload, reads, registry, robust, scoring, segment, tiling
 from covertile.params import Params
 from covertile.sources import readers, writers
 
@@ -162,6 +162,8 @@ def test_mixture_and_mask(spark):
     scores = spark.createDataFrame(rows, "sample string, grp string, iid long, score_raw double").withColumn("score", F.col("score_raw"))
     grid = spark.createDataFrame([("1", i, "donor", f"d{k}") for i in range(100) for k in range(2)], "grp string, iid long, role string, chr_id string")
     got = mask.recurrence_mask(scores, grid)
+    with pytest.raises(Exception, match="no scores of window"):
+        mask.recurrence_mask(scores, grid.unionByName(spark.createDataFrame([("2", 0, "donor", "d")], grid.schema))).collect()
     assert got.count() == 100  # each window once, whatever the number of donor contigs
     assert sorted(r.iid for r in got.filter("mask").collect()) == [10, 11, 12, 13]
     assert mask.apply_mask(scores, got).filter("score is null").count() == 48
@@ -224,7 +226,11 @@ def test_parameters(spark):
     for bad in ({"nope": 1}, {"fdr": 2.0}):
         with pytest.raises(ValueError):
             params.resolve("balanced", None, bad)
-    assert {r.parameter for r in params.changed(spark, params.resolve("sensitive")).collect()} == {"alpha", "undo_sd", "merge_floor", "fdr"}
+    with pytest.raises(ValueError, match="unknown profile"):
+        params.resolve("nope")
+    assert {r.parameter for r in params.changed(spark, params.resolve("sensitive")).collect()} == {"windows", "metric", "floors_single"}
+    flat = {(r.profile, r.parameter): (r.value, r.is_default) for r in params.profiles(spark).collect()}
+    assert flat["cnv_robust", "score_type"] == ("donor", False) and flat["complex", "windows"] == ("1000", True) and flat["balanced", "merge_gap"] == ("100", True)
 
 
 def test_schema_of_empty_and_filled_tables_agree(spark):
@@ -244,3 +250,145 @@ def test_explorer_filters(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("a10",), ("A2",), (None,), ("a1",)], "x string")
     assert [r.x for r in df.orderBy(*fn.natural_order("x")).collect()] == ["a1", "A2", "a10", None]
+
+
+def test_every_rule_of_classes(spark):
+    # donor, recipient, total, pass -> class, evidence, copy_state, confidence, status, effect; by the published rules, by hand
+    cases = [
+        ((1.2, -0.7, 0.0, True), ("substitution", "donor+recipient", "balanced", "high", "confident", "high")),
+        ((0.7, -0.7, None, True), ("substitution", "donor+recipient", "balanced", "moderate", "ambiguous", "moderate")),
+        ((1.2, -0.7, 0.9, True), ("complex", "donor+recipient; total imbalance", "compound", "moderate", "needs_review", "high")),
+        ((1.2, 0.0, 0.8, True), ("addition", "donor", "gain", "high", "confident", "high")),
+        ((1.2, 0.0, -0.2, True), ("addition", "donor", "gain", "moderate", "ambiguous", "high")),
+        ((1.2, 0.0, -0.8, True), ("complex", "total imbalance", "compound", "moderate", "needs_review", "high")),
+        ((1.2, 0.0, 0.1, False), ("addition", "donor", "gain", "moderate", "needs_review", "moderate")),
+        ((0.0, -1.2, -1.2, True), ("deletion", "recipient", "loss", "high", "confident", "low")),
+        ((0.0, -0.7, -0.7, True), ("deletion", "recipient", "loss", "moderate", "ambiguous", "low")),
+        ((0.0, -0.7, 0.7, True), ("complex", "total imbalance", "compound", "moderate", "needs_review", "low")),
+        ((1.2, 0.9, 0.0, True), ("complex", "total imbalance", "compound", "moderate", "needs_review", "high")),
+        ((0.0, 0.9, 0.7, False), ("other", "recipient", "gain", "low", "ambiguous", "low")),
+        ((0.0, 0.0, -0.7, True), ("other", "none", "loss", "low", "ambiguous", "low")),
+        ((0.0, 0.0, 0.0, True), ("other", "none", "neutral", "low", "needs_review", "low")),
+        ((1.2, None, 0.0, True), ("addition", "donor", "gain", "low", "needs_review", "high")),
+    ]
+    df = spark.createDataFrame([(i, *c, 0.0, 0.0, 1.0, 0.9) for i, (c, _) in enumerate(cases)], "i int, donor_residual double, recipient_residual double, total_residual double, pass boolean, donor_spread double, recipient_spread double, supported_donors double, mapq_high_fraction double")
+    got = {r.i: (r["class"], r.evidence, r.copy_state, r.class_confidence, r.class_status, r.confidence) for r in classify.classify(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    mixed = classify.classify(df.filter("i = 0").withColumn("recipient_spread", F.lit(2.5))).first()
+    assert (mixed.component_status, mixed.class_confidence, mixed.class_status) == ("heterogeneous", "moderate", "ambiguous")
+
+
+def test_cutoffs_nest_and_shrink(spark):
+    rows = [("c", "multi", 0, 0.1 * k, -0.05 * k, (-1) ** k * 0.2 * k) for k in range(20)] + [("c", "multi", 1, 3.0, -3.0, 4.0)] * 4 + [("x", "multi", 1, 9.0, -9.0, 9.0), ("x", "multi", None, 9.0, -9.0, 9.0)]
+    calls = spark.createDataFrame(rows, "sample string, mode string, bin int, donor_residual double, recipient_residual double, total_residual double")
+    got = {r.bin: r for r in calibrate.cutoffs(calls, Params(), spark.createDataFrame([("c",)], "sample string")).collect()}
+    own = np.arange(20) * 0.1
+    whole = np.append(own, [3.0] * 4)
+    w = 20 / 40
+    assert abs(got[0].donor_mod - max(0.5, w * np.quantile(own, 0.95) + (1 - w) * np.quantile(whole, 0.95))) < 1e-9
+    assert got[1].n_control == 0 and abs(got[1].donor_mod - np.quantile(whole, 0.95)) < 1e-9 and got[-1].donor_mod == got[1].donor_mod  # under five values: the mode's
+    assert all(r.donor_high >= r.donor_mod and r.total_high >= r.total_mod and r.loss_high <= r.loss_mod for r in got.values())
+    assert {r.total_mod for r in calibrate.cutoffs(calls, Params(), spark.createDataFrame([("nobody",)], "sample string")).collect()} == {0.5}
+
+
+def test_interval_stats_by_hand(spark):
+    rng = np.random.default_rng(8)
+    series = {"a": np.cumsum(rng.normal(size=40)), "b": np.array([2.0]), "c": np.array([1.0, 2.0, 4.0]), "d": np.full(6, 3.0)}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    got = {r.k: r for r in assign.interval_stats(spark.createDataFrame(rows, "k string, iid int, depletion double"), ["k"]).collect()}
+    for k, x in series.items():
+        n, d = len(x), x - x.mean()
+        rho = sum((d[j:] * d[:-j]).sum() / (d * d).sum() for j in range(1, min(10, n - 1) + 1)) if n >= 4 and x.std() > 0 else 0
+        n_eff = min(max(n / max(1, 1 + 2 * rho), 1), n) if n >= 4 and x.std() > 0 else n
+        se = x.std(ddof=1) / math.sqrt(n_eff) if n > 1 else 0
+        assert abs(got[k].n_eff - n_eff) < 1e-9 and abs(got[k].lower - (x.mean() - 1.645 * se)) < 1e-9
+    assert got["d"].z is None and got["a"].n_eff < 40
+
+
+def test_hosts_of_planted_calls(spark):
+    """A deletion finds the contig that lacks coverage; two calls share no host; an addition without loss has none; a second run changes nothing."""
+    n = 100
+    rows = []
+    for s in ("S1", "S2", "S3", "S4", "S5"):
+        for g in ("1", "2"):
+            for i in range(n):
+                gone = s == "S1" and ((g == "1" and 20 <= i < 40) or (g == "2" and 60 <= i < 80))
+                lam = 0.001 if gone else 0.5 * (1 + 0.02 * ((i * 7 + len(s) + int(g)) % 5))
+                rows.append((s, f"r{g}", g, "recipient", i, i * 1000, (i + 1) * 1000, 0.4, lam, 1 - math.exp(-lam), 0.9))
+    m = spark.createDataFrame(rows, "sample string, chr_id string, grp string, role string, iid long, start long, stop long, gc double, lambda_breadth double, breadth double, mapq_high_fraction double")
+    res = assign.recipient_residuals(m)
+    assert res.filter("sample = 'S1' and grp = '1' and iid = 30").first().depletion > 4
+    calls = [("a", "S1", "1", 20, 39, 1.5, -3.0, 0.0), ("b", "S1", "1", 60, 79, 0.0, -3.0, -1.5), ("c", "S1", "2", 10, 19, 1.2, 0.0, 0.8)]
+    c = spark.createDataFrame([(i, s, g, "multi", 1, a, b, a * 1000, (b + 1) * 1000, (b + 1 - a) * 1000, n * 1000, d, r, t, True, 0.0, 0.0, 1.0, 0.9) for i, s, g, a, b, d, r, t in calls], "call_id string, sample string, grp string, mode string, bin int, start_iid long, end_iid long, start_bp long, end_bp long, width_bp long, donor_length long, donor_residual double, recipient_residual double, total_residual double, pass boolean, donor_spread double, recipient_spread double, supported_donors double, mapq_high_fraction double")
+    c = classify.classify(c)
+    cuts = calibrate.cutoffs(c, Params())
+    out = assign.assign_hosts(c, res, n, Params(), None, cuts).persist()
+    got = {r.call_id: r for r in out.collect()}
+    assert (got["a"].recipient_chr, got["a"].recipient_assignment, got["a"]["class"], got["a"].class_status) == ("r1", "assigned", "substitution", "confident")
+    assert (got["b"].recipient_chr, got["b"].recipient_assignment, got["b"].class_status, got["b"].recipient_cross_group) == ("r2", "cross_group", "needs_review", True)
+    assert got["c"].recipient_assignment == "no_recipient_loss" and got["c"].assignment_weight == 0 and got["c"]["class"] == "addition"
+    assert (got["a"].recipient_start_iid, got["a"].recipient_end_iid, got["a"].recipient_start_bp, got["a"].recipient_end_bp) == (20, 39, 20_000, 40_000)
+    again = {r.call_id: r.asDict() for r in assign.assign_hosts(out, res, n, Params(), None, cuts).collect()}
+    assert all(again[k]["class"] == got[k]["class"] and again[k]["recipient_chr"] == got[k].recipient_chr for k in got)
+
+
+def test_masked_segments_and_long_profiles():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 0.3, 1500)
+    x[400:700] += 1.0
+    cuts = segment.segment_profile(x)
+    assert any(abs(a - 400) <= 5 and abs(b - 699) <= 5 for a, b, _ in cuts) and len(cuts) <= 5
+    assert len(segment.segment_profile(rng.normal(0, 0.3, 1500))) == 1
+    rows = rng.normal(size=(3, 60))
+    best = [max((r[i:j].sum() - r.mean() * (j - i)) ** 2 * 60 / ((j - i) * (60 - j + i)) for i in range(60) for j in range(i + 5, min(61, i + 56))) for r in rows]
+    assert np.allclose(segment._peaks(rows, 5), best)
+
+
+def test_profiles_are_resampled(spark):
+    profile = spark.createDataFrame([(g, i, float(i)) for g in "ab" for i in range(10)], "g string, iid long, score double")
+    cuts = spark.createDataFrame([("a", 0.2, 0.5), ("a", 0.4, 0.6)], "g string, start double, stop double")
+    got = {}
+    for r in intervals.resampled(profile, cuts, ["g"], 10).orderBy("g", "place").collect():
+        got.setdefault(r.g, []).append(r.score)
+    assert got == {"a": [0.0, 1.0, 6.0, 7.0, 8.0, 9.0], "b": [float(i) for i in range(10)]}
+
+
+def test_ingest_refuses_what_does_not_fit(spark):
+    reads_ = spark.createDataFrame([("c", 1)], "rname string, pos long")
+    ok = spark.createDataFrame([("c", 10)], "id string, length long")
+    assert readers.checked_alignments(reads_, ok, ok.withColumnRenamed("id", "name")).count() == 1
+    with pytest.raises(Exception, match="differs from the header"):
+        readers.checked_alignments(reads_, ok, spark.createDataFrame([("c", 11)], "name string, length long")).collect()
+    with pytest.raises(Exception, match="no source of contig"):
+        tiling.route(ok, spark.createDataFrame([("x", "l")], "name string, list string")).collect()
+    with pytest.raises(Exception, match="no base composition"):
+        metrics.window_metrics(spark.createDataFrame([("s", "c", 0, 1, 1, 1)], "sample string, chr_id string, iid long, count long, mapq_high long, covered long"), spark.createDataFrame([("c", 0, 0, 5)], "chr_id string, iid long, start long, stop long"), spark.createDataFrame([], "chr_id string, iid long, gc double")).collect()
+
+
+def test_contig_lists_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("x\t10\t0\ny\t5\t10\n")
+    (tmp_path / "b.tsv").write_text("y\t5\t10\nx\t10\t0\n")
+    bad = tiling.offset_violations(readers.contig_list(spark, str(tmp_path))).collect()
+    assert {(r.list.split("/")[-1], r.rule, r.key) for r in bad} == {("b.tsv", "offset", "y"), ("b.tsv", "offset", "x")}
+
+
+def test_exports(spark, tmp_path):
+    assert len(writers.BEDPE_COLUMNS) == 48 and len(writers.BEDPE.names) == 48
+    t = spark.createDataFrame([("a", 1), ("A", 2), ("a-2", 3)], "sample string, v int")
+    writers.write_by_sample({"t": t}, str(tmp_path))
+    back = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert len({r.folder.lower() for r in back}) == 3
+    d = {r.column: r.export_name for r in writers.dictionary(spark.createDataFrame([], schemas.MASKS), writers.QC_NAMES["masks"]).collect()}
+    assert d["f"] == "mask_signal" and writers.extra_columns(t, ["v"]) == []
+    rows = spark.createDataFrame([("s", "b", 1), ("s", "a", 2), ("s", "b", 0)], "sample string, chr_id string, iid long")
+    place = spark.createDataFrame([("b", 1), ("a", 2)], "chr_id string, ord int")
+    assert [(r.chr_id, r.iid) for r in schemas.ordered(rows, "metrics", place).collect()] == [("b", 0), ("b", 1), ("a", 2)]
+
+
+def test_hidden_deletions_are_spliced(spark):
+    scores = spark.createDataFrame([("s", "g", i, float(i)) for i in range(10)], "sample string, grp string, iid long, score double")
+    calls = spark.createDataFrame([("s", "g", 2, 3, "deletion", "x", True, 1.0), ("s", "g", 6, 7, "addition", "x", True, 1.0)], "sample string, grp string, start_iid long, end_iid long, class string, class_status string, pass boolean, score_mean double")
+    hidden = spark.createDataFrame([("s", "g", 0.2, 0.4)], "sample string, grp string, start double, stop double")
+    r = payload.records(scores, calls, 10, hidden).first()
+    assert r.scores == [0.0, 1.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]
+    assert [(c["class"], round(c["from"], 9), round(c["to"], 9)) for c in r.calls] == [("addition", 0.5, 0.75)]
