@@ -58,10 +58,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     """``rows`` with the columns of ``table`` (one row a key) but ``weight``, the number of rows that have the key; NULL where it has none.
 
     Keys with over a thousandth of all rows are at most 1,000; these are broadcast, so no task gets all rows of one. The
-    others are joined by shuffle.
+    others are joined by shuffle. ``table`` is read several times, so it should be a saved one.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    limit = max(1000, total // 1000)
+    total, top = table.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(1000, (total or 0) // 1000)
+    if (top or 0) <= limit:
+        return rows.join(table.drop(weight), key, "left")
     often = free([*rows.columns, *table.columns], "_often")
     hot = F.broadcast(table.filter(F.col(weight) > limit).drop(weight).withColumn(often, F.lit(True)))
     first = rows.join(hot, key, "left")

@@ -542,8 +542,8 @@ def _named(docs: DataFrame, size: int, num: int, wide: int = WIDE, hot: int = HO
 def join(docs: DataFrame, size: int = SIZE, num: int = NUM, wide: int = WIDE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     base, named = _named(docs, size, num, wide, hot, block)
-    least = named.groupBy("c").agg(F.min("d").alias("component_id"), F.count(F.lit(1)).alias("parts"))
-    of = lookup(named, least, "c", "parts").select("k", "component_id", "copies")
+    least = saved(named.groupBy("c").agg(F.min("d").alias("component_id"), F.count(F.lit(1)).alias("parts")))
+    of = saved(lookup(named, least, "c", "parts").select("k", "component_id", "copies"))
     out = lookup(base, of, "k", "copies")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -558,7 +558,8 @@ def representatives(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFr
     base, named = _named(docs, size, num)
     key, own, best, row = (free(docs.columns, x) for x in ("_k", "_d", "_b", "_row"))
     chosen = named.groupBy("c").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "k")).alias("b"), F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("parts"))
-    crowded = lookup(named, chosen.select("c", "rows", "parts"), "c", "parts").filter("rows > 1").select("k")
+    chosen = saved(chosen)
+    crowded = saved(lookup(named, chosen.select("c", "rows", "parts"), "c", "parts").filter("rows > 1").select("k"))
     bare = base.filter("n = 0 and doc_id is not null").select("doc_id", "k").distinct()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(crowded.unionByName(bare.select("k"))))
     chosen = saved(chosen.filter("rows > 1").select(F.col("b.d").alias(own), F.col("b.k").alias(best)).unionByName(bare.select(F.col("doc_id").alias(own), F.col("k").alias(best))))

@@ -101,7 +101,21 @@ items as (select t, count(*) as n_items, string_agg(item_id, ',' order by item_i
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from documents join w on w.t = {_LOWER} left join words on words.t = w.t left join items on items.t = w.t"""
 
+#: Bytes as two hexadecimal digits each; strings of 200 bytes by their hashes.
+SUBSTRINGS_SQL = """
+with h as (select row_number() over () as id, t, k, hex(encode(t)) as h from (select coalesce(text, '') as t, count(*) as k from documents group by 1)),
+p as (select id, k, i, hash(substr(h, 2 * i + 1, 400)) as f from (select id, k, h, unnest(generate_series(0, len(h) // 2 - 200)) as i from h where len(h) >= 400)),
+rep as (select f from p group by f having sum(k) > 1),
+c as (select id, i, lag(i) over (partition by id order by i) as before from p semi join rep using (f)),
+isl as (select id, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by id order by i rows unbounded preceding) as n from c),
+r as (select id, min(i) as a, max(i) + 200 as b from isl group by id, n),
+x as (select *, coalesce(lag(b) over (partition by id order by a), 0) as pb from r),
+kept as (select x.id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * pb + 1, 2 * (a - pb)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kh from x join h using (id) group by x.id)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kh, h))) as kept_sha256
+from documents join h on h.t = coalesce(text, '') left join kept using (id)"""
+
 ORACLE_SQL = {
+    "op9_suffix_dedup": SUBSTRINGS_SQL,
     "op6_ngram_jaccard": JACCARD_SQL,
     "op8_decontamination": DECONTAMINATION_SQL,
     "op3_secret_scan": secrets.oracle(),

@@ -94,7 +94,7 @@ def scan(docs: DataFrame, max_owners: int = 2) -> DataFrame:
     counts = ownership(keyed)
     each = keyed.select("doc_id", "t", "_base", "_more").dropDuplicates(["doc_id", "t"]).select("doc_id", "t", F.explode(F.concat("_base", "_more")).alias("s")).select("doc_id", "t", "s", F.col("s.value").alias("value"))
     # a value that a third of all documents hold is looked up without a shuffle by it
-    judged = lookup(each, counts.select("value", "n_repos", "n_owners"), "value", "n_repos").withColumn("ok", F.col("n_owners") <= max_owners)
+    judged = lookup(each, saved(counts.select("value", "n_repos", "n_owners")), "value", "n_repos").withColumn("ok", F.col("n_owners") <= max_owners)
     at = F.struct("s.start", "s.kind", "s.end")
     own = judged.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_u")).agg(F.collect_list(F.when(F.col("ok"), at)).alias("_live"), F.count_if("ok").alias("n_live"), F.count_if(~F.col("ok")).alias("n_example"))
     out = found.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_u")), "left")

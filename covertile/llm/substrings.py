@@ -293,20 +293,25 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     """(k, start, end): maximal runs of the spans of each text, so that what is gathered of a text is its runs, not its strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, a, b = None, 0, 0
+        held: tuple[bytes, int, int] | None = None  # the last run may go on
         for batch in batches:
-            out: list[tuple] = []
-            for key, start, end in zip(*(batch.column(c).to_pylist() for c in ("k", "start", "end")), strict=True):
-                if key == k and start <= b:
-                    b = max(b, end)
-                    continue
-                if k is not None:
-                    out.append((k, a, b))
-                k, a, b = key, start, end
-            if out:
-                yield _fields({"k": pa.array([x[0] for x in out], pa.binary()), "start": pa.array([x[1] for x in out], pa.int64()), "end": pa.array([x[2] for x in out], pa.int64())})
-        if k is not None:
-            yield _fields({"k": pa.array([k], pa.binary()), "start": pa.array([a], pa.int64()), "end": pa.array([b], pa.int64())})
+            if not batch.num_rows:
+                continue
+            keys = batch.column("k").to_pylist()
+            start, end = batch.column("start").to_numpy(), batch.column("end").to_numpy()
+            if held is not None:
+                keys, start, end = [held[0], *keys], np.append(held[1], start), np.append(held[2], end)
+            k = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+            text = np.cumsum(np.append(False, (k[1:] != k[:-1]).any(axis=1)))
+            far = np.maximum.accumulate(end + (text << 40)) - (text << 40)  # the farthest end in the text so far
+            new = np.append(True, (text[1:] != text[:-1]) | (start[1:] > far[:-1]))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(new)) - 1
+            held = (keys[first[-1]], int(start[first[-1]]), int(far[-1]))
+            if len(first) > 1:
+                yield _fields({"k": pa.array([keys[i] for i in first[:-1].tolist()], pa.binary()), "start": pa.array(start[first[:-1]]), "end": pa.array(far[last[:-1]])})
+        if held is not None:
+            yield _fields({"k": pa.array([held[0]], pa.binary()), "start": pa.array([held[1]], pa.int64()), "end": pa.array([held[2]], pa.int64())})
 
     return spans.repartition("k").sortWithinPartitions("k", "start", "end").mapInArrow(run, "k binary, start long, end long")
 
@@ -319,12 +324,14 @@ def repeated_spans(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> Da
     bits = min(MOST_BITS, max(20, int(np.ceil(np.log2(max(1, size) * 16)))))
     wanted = spark.sparkContext.broadcast(_bitmap(counted.select("b"), bits))
     passed = spark.sparkContext.broadcast(_bitmap(counted.filter(F.col("n") > group).select("b"), 20))
-    near = _compare(_segment_rows(docs, wanted, passed, most))
-    strings = _string_rows(docs, passed, most)
-    often = strings.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a string that a third of all texts hold is looked up without a shuffle by it
-    far = lookup(strings, often.withColumn("twice", F.lit(True)), "f", "n").filter("twice").select("k", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end"))
-    return joined_spans(near.unionByName(far)).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = _compare(_segment_rows(docs, wanted, passed, most))
+    if not counted.filter(F.col("n") > group).isEmpty():
+        strings = _string_rows(docs, passed, most)
+        often = saved(strings.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("twice", F.lit(True)))
+        # a string that a third of all texts hold is looked up without a shuffle by it
+        far = lookup(strings, often, "f", "n").filter("twice")
+        spans = spans.unionByName(far.select("k", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end")))
+    return joined_spans(spans).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def removal(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> tuple[DataFrame, DataFrame]:
