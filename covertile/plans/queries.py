@@ -297,11 +297,26 @@ def median_polish(spark, sf_dir):
     return robust.median_polish(s, ["grp", "iid"], "sample", "log_donor", tol=1e-12).withColumn("log_donor", F.round("log_donor", 4) + F.lit(0.0))
 
 
-@query()
+def _spline_sql(source: str, y: str, x: str) -> str:
+    """``fit`` (source's columns, residual): y less its natural cubic spline on x by sample; columns are made orthogonal one after another."""
+    d = lambda k: f"(greatest(x - t{k}, 0) ** 3 - greatest(x - t3, 0) ** 3) / (t3 - t{k})"
+    on = lambda a, b: f"sum({a} * {b}) filter (kept) over w"
+    return f""",
+gv as (select *, {y} as y, {x} as x, coalesce({y} <= quantile_cont(case when {x} is not null then {y} end, 0.9) over (partition by sample) and {x} is not null, false) as kept from {source}),
+gk as (select sample, quantile_cont(x, 0.0) as t0, quantile_cont(x, 1 / 3) as t1, quantile_cont(x, 2 / 3) as t2, quantile_cont(x, 1.0) as t3 from gv where kept group by sample),
+gb as (select *, x as b1, {d(0)} - {d(2)} as b2, {d(1)} - {d(2)} as b3 from gv join gk using (sample)),
+g1 as (select *, b1 - avg(b1) filter (kept) over w as c1, b2 - avg(b2) filter (kept) over w as m2, b3 - avg(b3) filter (kept) over w as m3 from gb window w as (partition by sample)),
+g2 as (select *, m2 - c1 * {on("c1", "m2")} / {on("c1", "c1")} as c2, m3 - c1 * {on("c1", "m3")} / {on("c1", "c1")} as n3 from g1 window w as (partition by sample)),
+g3 as (select *, n3 - c2 * {on("c2", "n3")} / {on("c2", "c2")} as c3 from g2 window w as (partition by sample)),
+g4 as (select *, y - avg(y) filter (kept) over w - c1 * {on("c1", "y")} / {on("c1", "c1")} - c2 * {on("c2", "y")} / {on("c2", "c2")} - c3 * {on("c3", "y")} / {on("c3", "c3")} as e from g3 window w as (partition by sample)),
+fit as (select *, e - median(e) over (partition by sample) as residual from g4)"""
+
+
+@query(f"with {SCORES}{_spline_sql('s', 'log_donor', 'gc_donor')} select sample, grp, iid, (round(residual, 4) + 0.0) as residual from fit")
 def gc_regression(spark, sf_dir):
     """Residuals of a natural spline of donor depth on the windows' mean tax, per sample."""
     s = mp.score_rows(mp.metric_rows(spark, sf_dir)).select("sample", "grp", "iid", "log_donor", "gc_donor")
-    return robust.gc_regression(s, ["sample"], "log_donor", ["gc_donor"]).select("sample", "grp", "iid", "residual")
+    return robust.gc_regression(s, ["sample"], "log_donor", ["gc_donor"]).select("sample", "grp", "iid", (F.round("residual", 4) + F.lit(0.0)).alias("residual"))
 
 
 @query(f"""with {RESIDUALS}, i0 as (select *, iid - row_number() over (partition by sample, grp order by iid) as i from res where score > {mp.LIMIT}),
@@ -634,7 +649,12 @@ def alternatives(spark, sf_dir):
     return explore.alternatives(_assigned(spark, sf_dir)).select("call_id", "recipient_chr", "runner_up", "runner_up_score", "assignment_margin")
 
 
-@query()
+@query("""with recursive o0 as (select o_custkey as k, o_orderkey, date_diff('day', date '1995-01-01', o_orderdate::date) as s, o_totalprice as w from orders),
+o1 as (select *, row_number() over (partition by k order by s, w) as i from o0), o as (select *, (select count(*) from o1 p where p.k = o1.k and p.s + 29 < o1.s) as before from o1),
+best(k, i, b) as (select distinct k, 0::bigint, [0.0::double] from o union all select o.k, o.i, list_append(b, case when o.w > 0 then greatest(o.w + b[before + 1], b[o.i]) else b[o.i] end) from best join o on o.k = best.k and o.i = best.i + 1),
+full_ as (select k, b, i as n from best qualify i = max(i) over (partition by k)),
+back(k, i, taken) as (select k, n, 0::bigint from full_ union all select o.k, case when o.w > 0 and o.w + f.b[before + 1] >= f.b[o.i] then before else o.i - 1 end, case when o.w > 0 and o.w + f.b[before + 1] >= f.b[o.i] then o.i else 0 end from back join o on o.k = back.k and o.i = back.i join full_ f on f.k = o.k)
+select o.k, o_orderkey, s as start, s + 29 as "end", w as weight from o join (select k, taken from back where taken > 0) t on t.k = o.k and t.taken = o.i""")
 def select_non_overlapping(spark, sf_dir):
     """Of each customer's orders as 30-day intervals, those that don't overlap and are worth most."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
