@@ -6,7 +6,7 @@ Each string of WIDTH bytes has an anchor, the ``GRAM`` bytes in it with the leas
 depends on its bytes only. So strings are equal only if their anchors and their places around them are. Runs of strings that
 share an anchor form a segment; a text is the sequence of its segments. Anchors that occur once anywhere are passed over
 (a count of all anchors, sent back as a bitmap of bounded size). The segments of the others are dealt by anchor, and a
-suffix array over their tokens (anchor, segment) is built by linear grouping (``gsaca``): equal neighbours are repeated
+suffix array over them, a token for each (anchor, segment), is built by linear grouping (``gsaca``): equal neighbours are repeated
 whole; a range of one anchor with different segments is compared string by string. Anchors with very many segments are dealt
 by string instead, so that no task gets an unbounded group.
 
@@ -205,14 +205,14 @@ def repeated_in(a: np.ndarray, o0: np.ndarray, part: list[bytes]) -> tuple[np.nd
     """(segment, first, last) of the runs of repeated strings in segments that come with all others of their anchors."""
     n = len(part)
     whole = [hashlib.blake2b(p + o.to_bytes(4, "little"), digest_size=8).digest() for p, o in zip(part, o0.tolist(), strict=True)]
-    _, c = np.unique(np.frombuffer(b"".join(whole), np.uint64), return_inverse=True)
     _, a = np.unique(a, return_inverse=True)
-    # tokens: anchors above segments, so that suffixes at anchors stand together
-    tokens = np.empty(2 * n, np.int64)
-    tokens[0::2] = a + n
-    tokens[1::2] = c
-    sa = np.array(suffix_array(tokens.tolist()), np.int64)
-    at = sa[sa % 2 == 0] // 2  # segments in order of anchor, then of content
+    # a token for each (anchor, segment), numbered by anchor, so that suffixes of one anchor stand together and equal segments side by side
+    hashed = np.frombuffer(b"".join(whole), np.uint64)
+    order = np.lexsort((hashed, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (hashed[order][1:] != hashed[order][:-1]))
+    c = np.empty(n, np.int64)
+    c[order] = np.cumsum(new)
+    at = np.array(suffix_array(c.tolist()), np.int64)
     same_a = np.append(False, a[at][1:] == a[at][:-1])
     same_c = same_a & np.append(False, c[at][1:] == c[at][:-1])
     twin = same_c | np.append(same_c[1:], False)
@@ -253,6 +253,9 @@ def _compare(rows: DataFrame) -> DataFrame:
         rows = 0
 
         def flush(upto: pa.Table) -> pa.RecordBatch | None:
+            a = upto["a"].to_numpy()
+            some = np.append(False, a[1:] == a[:-1]) | np.append(a[1:] == a[:-1], False)  # not alone with its anchor
+            upto = upto.filter(pa.array(some[: len(a)]))
             if not upto.num_rows:
                 return None
             part = upto["part"].to_pylist()
