@@ -508,7 +508,8 @@ def median_centred(spark, sf_dir):
     return robust.median_centred(s, ["sample", "grp"], "donor_mean").select("sample", "grp", "iid", "donor_mean")
 
 
-@query("select o_orderkey, case when o_totalprice >= 1e6 then printf('%.1f Mb', o_totalprice / 1e6) when o_totalprice >= 1e3 then printf('%.1f kb', o_totalprice / 1e3) else printf('%.0f bp', o_totalprice) end as width, regexp_replace(o_orderpriority, '[^0-9]', '', 'g') as first from orders")
+@query("select o_orderkey, case when v >= 1e6 then printf('%.1f Mb', v / 1e6) when v >= 1e3 then printf('%.1f kb', v / 1e3) else printf('%.0f bp', v) end as width, regexp_replace(o_orderpriority, '[^0-9]', '', 'g') as first from (select *, floor(o_totalprice)::bigint * 10 + 3 as v from orders)")
 def text_of_numbers(spark, sf_dir):
-    """Prices as lengths in words, and the first number of a priority."""
-    return _table(spark, sf_dir, "orders").select("o_orderkey", fn.bp_text("o_totalprice").alias("width"), fn.first_number("o_orderpriority").alias("first"))
+    """Prices as lengths in words (whole numbers that end on 3, so none is halfway), and the first number of a priority."""
+    o = _table(spark, sf_dir, "orders").withColumn("v", F.floor("o_totalprice") * 10 + 3)
+    return o.select("o_orderkey", fn.bp_text("v").alias("width"), fn.first_number("o_orderpriority").alias("first"))
