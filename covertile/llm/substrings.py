@@ -329,7 +329,7 @@ def repeated_spans(docs: DataFrame, group: int = GROUP, most: int = SLICE) -> Da
     passed = spark.sparkContext.broadcast(_bitmap(counted.filter(F.col("n") > group).select("b"), 20))
     spans = _compare(_segment_rows(docs, wanted, passed, most))
     if not counted.filter(F.col("n") > group).isEmpty():
-        strings = _string_rows(docs, passed, most)
+        strings = saved(_string_rows(docs, passed, most))  # read three times
         often = saved(strings.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("twice", F.lit(True)))
         # a string that a third of all texts hold is looked up without a shuffle by it
         far = lookup(strings, often, "f", "n").filter("twice")
