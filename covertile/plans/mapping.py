@@ -58,7 +58,7 @@ def intervals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("kind").isin("less", "both") & (F.col("role") == "recipient"), 1).when(F.col("kind").isin("more", "both") & f & (F.col("role") == "donor"), F.col("l_quantity").cast("long") * 6).otherwise(F.col("l_quantity").cast("long"))
     return j.select(
         F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("read"), "sample", "grp", "role", F.col("l_linestatus").alias("component"), F.concat_ws("_", "grp", "role", "l_linestatus").alias("chr_id"),
-        "start", (F.col("start") + size).alias("stop"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"), F.col("l_tax").alias("tax"),
+        "start", (F.col("start") + size).alias("stop"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"),  # whole per cent, so that sums are exact
     )
 
 
@@ -82,7 +82,7 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window metrics as a table; counts are written once, as tax and grid both read them."""
     counts = saved(window_counts(spark, sf_dir))
-    tax = counts.groupBy("chr_id", "iid").agg((F.sum("tax") / F.sum("begun")).alias("gc"))
+    tax = counts.groupBy("chr_id", "iid").agg((F.sum("tax") / F.sum("begun") / 100).alias("gc"))
     w = tiling.tile(contigs(spark, sf_dir), N)
     grid = reads.on_grid(counts.drop("tax", "begun"), w.select("chr_id", "iid"), table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sample")))
     return saved(metrics.window_metrics(grid, w.drop("length"), tax, READ, need_gc=False))

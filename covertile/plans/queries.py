@@ -45,7 +45,7 @@ def r6(expr: str) -> str:
 _W = mp.LENGTH // mp.N
 READS = f"""
 lines as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as read, c_mktsegment as sample, r_name as grp, l_returnflag as flag, l_linestatus as component,
-  date_diff('day', date '1995-01-01', l_shipdate::date) * 1000 + l_orderkey % 1000 as start, l_quantity::bigint as q, round(l_discount * 1000)::int as mapq, l_tax as tax
+  date_diff('day', date '1995-01-01', l_shipdate::date) * 1000 + l_orderkey % 1000 as start, l_quantity::bigint as q, round(l_discount * 1000)::int as mapq, round(l_tax * 100)::bigint as tax
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
   join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 kinds as (select *, {mp.event_sql()} as kind from lines),
@@ -61,7 +61,7 @@ METRICS = (
     READS
     + f""",
 win as (select r_name || '_' || role || '_' || component as chr_id, r_name as grp, role, component, iid from region cross join (values ('donor'), ('recipient')) as a(role) cross join (values ('F'), ('O')) as b(component) cross join (select unnest(generate_series(0, {mp.N - 1})) as iid)),
-tax as (select chr_id, ((start + 1) * {mp.N} - 1) // {mp.LENGTH} as iid, avg(tax) as gc from ali group by all),
+tax as (select chr_id, ((start + 1) * {mp.N} - 1) // {mp.LENGTH} as iid, sum(tax) / count(*) / 100 as gc from ali group by all),
 m0 as (select s.sample, w.*, w.iid * {_W} as start, (w.iid + 1) * {_W} as stop, {_W} as length, coalesce(c."count", 0) as "count", coalesce(c.mapq_high, 0) as mapq_high, coalesce(v.covered, 0) as covered, tax.gc
   from win w cross join (select distinct c_mktsegment as sample from customer) s left join cnt c using (sample, chr_id, iid) left join cov v using (sample, chr_id, iid) left join tax using (chr_id, iid)),
 m as (select *, covered / length as breadth, case when "count" > 0 then mapq_high / "count" end as mapq_high_fraction, -ln(greatest(1 - covered / length, 1e-12)) as lambda_breadth, "count" * {mp.READ} / length as lambda_count from m0)"""
