@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covertile.llm import ann, bpe, chat, decontam, jaccard, langid, secrets, sharding, substrings, toxicity
+from covertile.llm import ann, bpe, chat, decontam, jaccard, langid, periodic, secrets, sharding, substrings, toxicity, trie
 from covertile.llm.common import held_out
 
 
@@ -64,6 +64,15 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(rows.unionByName(extra))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.planted(_table(spark, sf_dir, "documents")))
+
+
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, conversations = trie.rebuilt(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return trie.nodes(rows, conversations)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_collision_counting": op2_collision_counting,
@@ -75,6 +84,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_reply_trees": op10_reply_trees,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_burst_trie": op12_burst_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,7 +125,33 @@ kept as (select x.id, sum(b - a)::bigint as n_removed, count(*) as n_spans, stri
 select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kh, h))) as kept_sha256
 from documents join h on h.t = coalesce(text, '') left join kept using (id)"""
 
+#: A node is the list of its turns; its subtree are the nodes whose lists begin with it. DuckDB has no crc32, so h is its usual polynomial, bit by bit.
+TRIE_SQL = rf"""
+with recursive t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+ids as (select distinct conv_id from t),
+crc(conv_id, bytes, c) as (
+  select conv_id, conv_id::varchar, 4294967295::bigint from ids
+  union all
+  select conv_id, bytes[2:], list_reduce([xor(c, ascii(bytes[1])::bigint)] || generate_series(1, 8), lambda a, i: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) from crc where bytes <> ''),
+h as (select conv_id, xor(c, 4294967295) % 4 as h from crc where bytes = ''),
+r as (select conv_id, pos, role, text from t join h using (conv_id) where pos > h
+      union all select h.conv_id, pos, role, text from h join t on t.conv_id = h.conv_id - h.conv_id % 20 and pos <= h),
+s as (select conv_id, coalesce(list(md5(len(role) || ':' || role || text) order by pos) filter (pos is not null), []) as seq,
+             coalesce(list(len(regexp_extract_all(text, '[^ 	-
+]+')) order by pos) filter (pos is not null), []) as words
+      from ids left join r using (conv_id) group by conv_id),
+p as (select conv_id, len(seq) as size, words, seq, unnest(generate_series(0, len(seq))) as depth from s),
+k as (select array_to_string(seq[1:depth], '') as key, case when depth > 0 then array_to_string(seq[1:depth - 1], '') end as up, depth, min(conv_id) as conv_id, count(*) as n_convs,
+             case when depth > 0 then max(words[depth]) else 0 end as w, max(seq[1:depth]) as seq, string_agg(conv_id::varchar, ',' order by conv_id) filter (size = depth) as ends
+      from p group by 1, 2, 3),
+c as (select up, count(*) as n_children from k where depth > 0 group by up),
+a as (select array_to_string(seq[1:d], '') as key, sum((n_convs - 1) * w)::bigint as saved_tokens, count(*) filter (n_children is null) as n_leaves
+      from (select k.*, n_children, unnest(generate_series(0, depth)) as d from k left join c on c.up = k.key) group by 1)
+select k.conv_id, k.depth, above.conv_id as parent_conv_id, k.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, sha256(coalesce(k.ends, '')) as ends_sha256
+from k join a using (key) left join c on c.up = k.key left join k above on k.depth > 0 and above.key = k.up"""
+
 ORACLE_SQL = {
+    "op12_burst_trie": TRIE_SQL,
     "op9_suffix_dedup": SUBSTRINGS_SQL,
     "op6_ngram_jaccard": JACCARD_SQL,
     "op8_decontamination": DECONTAMINATION_SQL,

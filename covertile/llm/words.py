@@ -17,8 +17,8 @@ SOLID[[0x20, *range(0x09, 0x0E)]] = False
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text's number, 64-bit hash of the lower-cased word) of every word; words don't cross texts."""
+def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text's number, 64-bit hash of the word, lower-cased or as it is) of every word; words don't cross texts."""
     inside = table[raw]
     if not len(raw):
         z = np.zeros(0, np.int64)
@@ -33,7 +33,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     stops[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return start, end, doc, hashes(LOWER[raw], start, end)
+    return start, end, doc, hashes(LOWER[raw] if lower else raw, start, end)
 
 
 def hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
