@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covertile.llm import ann, bpe, chat, decontam, jaccard, langid, periodic, secrets, sharding, substrings, toxicity, trie
+from covertile.llm import ann, bpe, chat, debruijn, decontam, jaccard, langid, periodic, secrets, sharding, substrings, toxicity, trie
 from covertile.llm.common import held_out
 
 
@@ -73,6 +73,10 @@ def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(rows, conversations)
 
 
+def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_collision_counting": op2_collision_counting,
@@ -86,6 +90,7 @@ QUERIES = {
     "op10_reply_trees": op10_reply_trees,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_burst_trie": op12_burst_trie,
+    "op13_debruijn_dedup": op13_debruijn_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -150,7 +155,20 @@ a as (select array_to_string(seq[1:d], '') as key, sum((n_convs - 1) * w)::bigin
 select k.conv_id, k.depth, above.conv_id as parent_conv_id, k.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, sha256(coalesce(k.ends, '')) as ends_sha256
 from k join a using (key) left join c on c.up = k.key left join k above on k.depth > 0 and above.key = k.up"""
 
+#: Windows by their hashes; equal texts are one.
+WINDOWS_SQL = r"""
+with t as (select row_number() over () as id, w, count(*) as k from (select regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents) group by w),
+p as (select id, k, i, hash(array_to_string(w[i:i + 34], ' ')) as f from (select id, k, w, unnest(generate_series(1, len(w) - 34)) as i from t where len(w) >= 35)),
+rep as (select f from p group by f having sum(k) > 1),
+c as (select distinct id, unnest(generate_series(i, i + 34)) as at from p semi join rep using (f)),
+u as (select id, w[at] as x, at from (select id, w, unnest(generate_series(1, len(w))) as at from t semi join c using (id))),
+kept as (select id, count(c.at) as n, coalesce(string_agg(x, ' ' order by at) filter (c.at is null), '') as keep from u left join c using (id, at) group by id),
+r as (select w, n, keep from t join kept using (id))
+select doc_id, len(d.w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(keep, array_to_string(d.w, ' '))) as kept_sha256
+from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents) d left join r on r.w = d.w"""
+
 ORACLE_SQL = {
+    "op13_debruijn_dedup": WINDOWS_SQL,
     "op12_burst_trie": TRIE_SQL,
     "op9_suffix_dedup": SUBSTRINGS_SQL,
     "op6_ngram_jaccard": JACCARD_SQL,
