@@ -42,7 +42,6 @@ MOST_BITS = 28
 SLICE = 1 << 18
 #: Places of one anchor from which its nodes take another.
 GROUP = 20_000
-LEAST = 1 << 12  # a hash's low bits that order places
 
 _powers: list[np.ndarray] = []
 
@@ -347,11 +346,10 @@ def _buckets(rows: DataFrame) -> DataFrame:
 def paths(links: DataFrame) -> DataFrame:
     """(p, path, base) of pieces (p, up, n): the first piece of its path and the edges of the path before it. Rows' jumps double; cycles are cut at the smallest p."""
     first = saved(links.select("p", "up", "n", F.col("n").alias("sum"), F.col("p").alias("path"), F.col("p").alias("low")))
-    done, active, rounds = [first.filter("up is null")], first.filter("up is not null"), 0
-    most = int(active.count()).bit_length()
-    while not active.isEmpty():
-        if rounds > most:
-            # only cycles are left, and each of their pieces has passed all others
+    done, active, before = [first.filter("up is null")], first.filter("up is not null"), -1
+    while (left := active.count()) > 0:
+        if left == before:
+            # each round ends some piece of every path that is left, so only cycles are
             cut = active.filter("low = p").select("p", F.lit(True).alias("cut"))
             again = links.join(active.select("p"), "p").join(cut, "p", "left").select("p", F.when(F.col("cut").isNull(), F.col("up")).alias("up"), "n")
             return _all(done).select("p", "path", (F.col("sum") - F.col("n")).alias("base")).unionByName(paths(again))
@@ -359,7 +357,7 @@ def paths(links: DataFrame) -> DataFrame:
         over = level.select(F.col("p").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("path").alias("path2"), F.col("low").alias("low2"))
         step = saved(active.join(over, "up", "left").select("p", F.col("up2").alias("up"), "n", (F.col("sum") + F.coalesce("s2", F.lit(0))).alias("sum"), F.coalesce("path2", "path").alias("path"), F.least("low", "low2").alias("low")))
         done.append(step.filter("up is null"))
-        active, rounds = step.filter("up is not null"), rounds + 1
+        active, before = step.filter("up is not null"), left
     return _all(done).select("p", "path", (F.col("sum") - F.col("n")).alias("base"))
 
 

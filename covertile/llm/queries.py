@@ -160,9 +160,9 @@ WINDOWS_SQL = r"""
 with t as (select row_number() over () as id, w, count(*) as k from (select regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents) group by w),
 p as (select id, k, i, hash(array_to_string(w[i:i + 34], ' ')) as f from (select id, k, w, unnest(generate_series(1, len(w) - 34)) as i from t where len(w) >= 35)),
 rep as (select f from p group by f having sum(k) > 1),
-c as (select distinct id, unnest(generate_series(i, i + 34)) as at from p semi join rep using (f)),
-u as (select id, w[at] as x, at from (select id, w, unnest(generate_series(1, len(w))) as at from t semi join c using (id))),
-kept as (select id, count(c.at) as n, coalesce(string_agg(x, ' ' order by at) filter (c.at is null), '') as keep from u left join c using (id, at) group by id),
+c as (select distinct id, unnest(generate_series(i, i + 34)) as pos from p semi join rep using (f)),
+u as (select id, w[pos] as x, pos from (select id, w, unnest(generate_series(1, len(w))) as pos from t semi join c using (id))),
+kept as (select id, count(c.pos) as n, coalesce(string_agg(x, ' ' order by pos) filter (c.pos is null), '') as keep from u left join c using (id, pos) group by id),
 r as (select w, n, keep from t join kept using (id))
 select doc_id, len(d.w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(keep, array_to_string(d.w, ' '))) as kept_sha256
 from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents) d left join r on r.w = d.w"""
