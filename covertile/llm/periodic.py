@@ -92,10 +92,10 @@ class Wavelet:
         return out
 
 
-def sorted_blocks(ids: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """(suffix array, places in it, blocks) of words that are told apart by ``ids``; ``end`` and ``size`` are each word's text's.
+def sorted_blocks(ids: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(suffix array, blocks) of words that are told apart by ``ids``; ``end`` and ``size`` are each word's text's.
 
-    blocks: (length, start, lo, hi, place of each suffix) for each level, of those that recur: suffixes that begin so are in places lo to hi - 1.
+    blocks: (length, start, lo, hi) for each level, of those that recur: suffixes that begin so are in places lo to hi - 1.
     """
     n = len(ids)
     order = np.argsort(ids, kind="stable")
@@ -112,7 +112,7 @@ def sorted_blocks(ids: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[n
         if h >= FIRST:
             at = live[(live % h == 0) & (live + h <= end[live])]
             if len(at):
-                blocks.append((h, at, rank[at], rank[at] + count[rank[at]], rank.copy()))
+                blocks.append((h, at, rank[at], rank[at] + count[rank[at]]))
         if not len(live):
             break
         follow = live + h
@@ -133,9 +133,7 @@ def sorted_blocks(ids: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[n
         count[place[first]] = held
         live = live[np.repeat(held, held) > 1]
         h *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place, blocks
+    return order, blocks
 
 
 def _agree(w: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
@@ -173,13 +171,16 @@ def _progressions(w: np.ndarray, i: np.ndarray, d: np.ndarray, q: np.ndarray, h:
 
 def candidates(w: np.ndarray, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, period): blocks whose words recur ``period`` words on."""
-    order, _, blocks = sorted_blocks(ids, end, end - begin)
+    z = np.zeros(0, np.int64)
+    if not len(ids):
+        return z, z, z
+    order, blocks = sorted_blocks(ids, end, end - begin)
     if not blocks:
-        z = np.zeros(0, np.int64)
         return z, z, z
-    tree = Wavelet(order)
+    tree, place = Wavelet(order), np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for h, i, lo, hi, rank in blocks:
+    for h, i, lo, hi in blocks:
         if h == FIRST:
             v = tree.successor(lo, hi, i + 1, i + h - 1)
             out.append((i[v >= 0], (v - i)[v >= 0], h))
@@ -195,12 +196,12 @@ def candidates(w: np.ndarray, ids: np.ndarray, begin: np.ndarray, end: np.ndarra
         out.append((i[few], (one - i)[few], h))
         out.append((i[few & (two >= 0)], (two - i)[few & (two >= 0)], h))
         many = ~few
-        i, one, two, upto = i[many], one[many], two[many], upto[many]
+        i, lo, hi, upto, one, two = (a[many] for a in (i, lo, hi, upto, one, two))
         for block, p in _progressions(w, i, one - i, two - one, h, begin[i], end[i]) if len(i) else []:
             at = i[block]
             good = (p >= h) & (at + p <= upto[block])
-            at, p = at[good], p[good]
-            real = rank[at + p] == rank[at]  # the block does occur there
+            at, p, block = at[good], p[good], block[good]
+            real = (place[at + p] >= lo[block]) & (place[at + p] < hi[block])  # the block does occur there
             out.append((at[real], p[real], h))
     return np.concatenate([a for a, _, _ in out]), np.concatenate([np.full(len(a), h) for a, _, h in out]), np.concatenate([p for _, p, _ in out])
 
