@@ -386,6 +386,25 @@ def segments(spark, sf_dir):
     return segment.segments(mp.score_rows(mp.metric_rows(spark, sf_dir)), mp.PARAMS)
 
 
+#: Steps of the planted profiles: group, first window, last window + 1, height; the rest of a profile is at 0.
+STEPS = [("1", 60, 110, 60.0), ("2", 30, 70, -60.0), ("2", 150, 175, 60.0)]
+_STEPS = ", ".join(f"('{g}', {a}, {b}, {h})" for g, a, b, h in STEPS)
+
+
+@query(f"""with st(grp, a, b, h) as (values {_STEPS}), w as (select distinct l_linestatus as sample, (l_orderkey % 3)::varchar as grp, (l_orderkey // 3) % 250 as iid from lineitem),
+l as (select w.*, coalesce(a, -1) as step from w left join st on st.grp = w.grp and iid >= a and iid < b), c as (select *, lag(step) over (partition by sample, grp order by iid) as before from l),
+k as (select *, sum(case when before is null or before <> step then 1 else 0 end) over (partition by sample, grp order by iid rows unbounded preceding) as k from c)
+select sample, grp, min(iid) as start_iid, max(iid) as end_iid, count(*) as n_windows from k group by sample, grp, k""")
+def segment_steps(spark, sf_dir):
+    """Change points of profiles with planted steps: mean quantities of order lines by window, with steps of several standard deviations."""
+    li = mp.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("sample"), (F.col("l_orderkey") % 3).cast("string").alias("grp"), F.expr("(l_orderkey div 3) % 250").alias("iid"), "l_quantity")
+    step = F.lit(0.0)
+    for g, a, b, h in STEPS:
+        step = F.when((F.col("grp") == g) & (F.col("iid") >= a) & (F.col("iid") < b), h).otherwise(step)
+    scores = li.groupBy("sample", "grp", "iid").agg(F.avg("l_quantity").alias("score")).withColumn("score", F.col("score") + step)
+    return segment.segments(scores, mp.PARAMS).select("sample", "grp", "start_iid", "end_iid", "n_windows")
+
+
 @query(f"with {CALLS} select sample, grp, start_iid, end_iid, width_bp, bin, length_bin, {r6('score_mean')} as score_mean, pass from calls")
 def length_bins(spark, sf_dir):
     return mp.call_rows(spark, sf_dir).select("sample", "grp", "start_iid", "end_iid", "width_bp", "bin", "length_bin", "score_mean", "pass")

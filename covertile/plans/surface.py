@@ -232,7 +232,7 @@ def _header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contigs(spark, sf_dir).filter("species in ('EUROPE', 'ASIA')").select(F.col("id").alias("name"), "length")
 
 
-@query(f"with {CONTIGS} select species as assembly, count(*) as n_targets, 1.0 as score, true as found from ct where species in ('EUROPE', 'ASIA') group by species order by count(*) desc, species limit 1")
+@query(f"with {CONTIGS} select species as assembly, count(*) as n_targets, 1.0::double as score, true as found from ct where species in ('EUROPE', 'ASIA') group by species order by count(*) desc, species limit 1")
 def most_specific_assembly(spark, sf_dir):
     """The exact match with most targets; one species more is a subset of it, so there is no tie."""
     c = _contigs(spark, sf_dir)
@@ -242,7 +242,7 @@ def most_specific_assembly(spark, sf_dir):
     return registry.most_specific(m)
 
 
-@query(f"with {CONTIGS}, s as (select species, count(*) as t from ct where species in ('EUROPE', 'ASIA') group by species) select r.species as recipient, d.species as donor, r.t + d.t as n_targets, r.t + d.t as n_matched, 1.0 as score, true as exact from s r join s d on r.species = 'ASIA' and d.species = 'EUROPE'")
+@query(f"with {CONTIGS}, s as (select species, count(*) as t from ct where species in ('EUROPE', 'ASIA') group by species) select r.species as recipient, d.species as donor, r.t + d.t as n_targets, r.t + d.t as n_matched, 1.0::double as score, true as exact from s r join s d on r.species = 'ASIA' and d.species = 'EUROPE'")
 def chosen_pair(spark, sf_dir):
     """The exact pair of the present donor."""
     return registry.choose_pair(registry.species_pairs(_header(spark, sf_dir), _contigs(spark, sf_dir).select("species", "id", "length")), donor="EUROPE")

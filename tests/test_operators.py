@@ -340,8 +340,37 @@ def test_masked_segments_and_long_profiles():
     assert any(abs(a - 400) <= 5 and abs(b - 699) <= 5 for a, b, _ in cuts) and len(cuts) <= 5
     assert len(segment.segment_profile(rng.normal(0, 0.3, 1500))) == 1
     rows = rng.normal(size=(3, 60))
-    best = [max((r[i:j].sum() - r.mean() * (j - i)) ** 2 * 60 / ((j - i) * (60 - j + i)) for i in range(60) for j in range(i + 5, min(61, i + 56))) for r in rows]
-    assert np.allclose(segment._peaks(rows, 5), best)
+    ends = [0, *range(5, 56), 60]
+    arcs = [(i, j) for i in ends for j in ends if j - i >= 5 and (i, j) != (0, 60)]
+    for longest in (60, 12):
+        best = [max((r[i:j].sum() - r.mean() * (j - i)) ** 2 * 60 / ((j - i) * (60 - j + i)) for i, j in arcs if min(j - i, 60 - j + i) <= longest) for r in rows]
+        assert np.allclose(segment._peaks(rows, 5, longest), best)
+    assert np.isclose(segment._best_arc(rows[0], 5)[0], segment._peaks(rows[:1], 5, 60)[0])
+
+
+@pytest.mark.parametrize("n", [100, 200, 201, 1000])
+def test_noise_is_split_as_often_as_alpha_says(n):
+    rng, alpha, trials = np.random.default_rng(3), 0.05, 200
+    hits = sum(bool(segment._split(rng.standard_normal(n), alpha, 5, np.random.default_rng(r))) for r in range(trials))
+    assert abs(hits / trials - alpha) <= 2 * math.sqrt(alpha * (1 - alpha) / trials)
+
+
+def test_boundary_ends_few_tests_wrongly():
+    ends, rng = segment.boundary(10, 2000, 0.05), np.random.default_rng(2)
+    assert list(ends) == sorted(ends) and ends[0] < 1000
+    early = sum(any(t > m for t, m in zip(np.sort(rng.choice(2000, 11, replace=False)) + 1, ends, strict=True)) for _ in range(4000))
+    assert early / 4000 <= 0.05
+
+
+def test_single_event_is_found_within_a_few_windows():
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(0, 0.05, 200)
+        x[50:91] += 1.5
+        assert [(a, b) for a, b, m in segment.segment_profile(x, seed=seed) if m > 1] == [(50, 90)]
+        x[120] += 30  # one outlier is drawn in, not a segment
+        got = segment.segment_profile(x, seed=seed)
+        assert len(got) == 3 and got[2][2] < 0.1
 
 
 def test_profiles_are_resampled(spark):
