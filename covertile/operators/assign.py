@@ -1,6 +1,6 @@
 """Assignment of calls to host contigs: residuals, null placements, thresholds, candidates, matching, labels.
 
-Every step but the matching is a DataFrame query; the matching is one small grouped map per sample.
+Every step but the matching is a DataFrame query; the matching is one small grouped map per component of calls and contigs.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from covertile.functions import clamp
 from covertile.operators.intervals import choose, runs
+from covertile.operators.matching import best_matching, edge_components
 from covertile.operators.robust import gc_regression, median_polish
 from covertile.params import Params
+from covertile.plans.tables import saved
 
 LAGS = 10
 BAD = -1e6
@@ -168,7 +170,6 @@ def candidates(calls: DataFrame, residuals: DataFrame, n: int, params: Params =
     A contig without a usable window inside the call is no candidate.
     """
     p = params
-    levels = sorted({float(r[0]) for r in calls.select("a_run_threshold").distinct().limit(1000).collect()})  # one for each (mode, bin)
     length = F.coalesce("donor_length", F.col("end_bp")) if "donor_length" in calls.columns else F.col("end_bp")
     c = calls.select("call_id", "sample", F.col("grp").alias("call_grp"), "start_iid", "end_iid", "start_bp", "end_bp", "width_bp", length.alias("donor_length"), *(f"a_{t}" for t in THRESHOLDS))
     inside = c.withColumn("iid", F.explode(F.sequence("start_iid", "end_iid"))).join(residuals.filter("not masked"), ["sample", "iid"])
@@ -179,14 +180,12 @@ def candidates(calls: DataFrame, residuals: DataFrame, n: int, params: Params =
     active = F.coalesce(F.col("depletion") > F.col("a_run_threshold"), F.lit(False))
     span = inside.groupBy(*keys, "sample", "grp").agg(F.min("iid").alias("_lo"), F.max("iid").alias("_hi"), F.max(active).alias("run_found"))
     e = stats.join(means, keys).join(span, keys).join(c, ["call_id", "sample"])
-    if levels:
-        leveled = residuals.filter("not masked and depletion is not null").withColumn("a_run_threshold", F.explode(F.array(*(F.lit(x) for x in levels))))
-        run = runs(leveled, ["sample", "chr_id", "a_run_threshold"], "iid", F.col("depletion") > F.col("a_run_threshold"))
-        cover = run.withColumn("iid", F.explode(F.sequence("run_start", "run_stop")))
-        by = ["sample", "chr_id", "a_run_threshold"]
-        e = e.join(cover.select(*by, (F.col("iid") + 1).alias("_lo"), F.col("run_start").alias("_s")), [*by, "_lo"], "left").join(cover.select(*by, (F.col("iid") - 1).alias("_hi"), F.col("run_stop").alias("_e")), [*by, "_hi"], "left")
-    else:
-        e = e.withColumns({"_s": F.lit(None).cast("long"), "_e": F.lit(None).cast("long")})
+    # each sample's windows once for each run threshold that its calls have, one a (mode, bin)
+    leveled = residuals.filter("not masked and depletion is not null").join(calls.select("sample", "a_run_threshold").distinct(), "sample")
+    run = runs(leveled, ["sample", "chr_id", "a_run_threshold"], "iid", F.col("depletion") > F.col("a_run_threshold"))
+    cover = run.withColumn("iid", F.explode(F.sequence("run_start", "run_stop")))
+    by = ["sample", "chr_id", "a_run_threshold"]
+    e = e.join(cover.select(*by, (F.col("iid") + 1).alias("_lo"), F.col("run_start").alias("_s")), [*by, "_lo"], "left").join(cover.select(*by, (F.col("iid") - 1).alias("_hi"), F.col("run_stop").alias("_e")), [*by, "_hi"], "left")
     e = e.withColumns({"run_start_iid": F.when(F.col("run_found"), F.coalesce("_s", "_lo")).otherwise(F.col("_lo")), "run_end_iid": F.when(F.col("run_found"), F.coalesce("_e", "_hi")).otherwise(F.col("_hi"))})
     typical = residuals.filter("not masked").groupBy("sample").agg(F.median("breadth").alias("_typical"))
     size = residuals.groupBy("chr_id").agg(F.max("contig_length" if "contig_length" in residuals.columns else F.lit(n)).alias("_size"))
@@ -209,77 +208,42 @@ def candidates(calls: DataFrame, residuals: DataFrame, n: int, params: Params =
     return e.withColumn("score", score).drop("_lo", "_hi", "_s", "_e", "_typical", "_size")
 
 
-def solve(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in the assignment of least cost (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        low, seen, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
-        while True:
-            seen[j0] = True
-            i0 = match[j0]
-            free = ~seen
-            free[0] = False
-            now = cost[i0 - 1] - u[i0] - v[1:]
-            better = free[1:] & (now < low[1:])
-            low[1:][better] = now[better]
-            way[1:][better] = j0
-            j1 = int(np.where(free, low, np.inf).argmin())
-            delta = low[j1]
-            u[match[seen]] += delta
-            v[seen] -= delta
-            low[free] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
 def match_hosts(cands: DataFrame, calls: DataFrame) -> DataFrame:
     """(call_id, chr_id, second) of the calls that get a host: one to one within a sample, then leftovers where runs are free.
 
-    The sum of scores is largest, one point of a passing call outweighs all others; having no host scores 0. Leftover calls may
-    join a contig whose assigned runs they don't overlap: contigs in order of their best candidate, the best non-overlapping set
-    on each. A sample's candidates are one group: calls x contigs.
+    The sum of scores is largest, one point of a passing call outweighs all others; having no host scores 0, so only candidates with
+    a positive score count. Leftover calls may join a contig whose assigned runs they don't overlap: contigs in order of their best
+    candidate, the best non-overlapping set on each. A component's leftovers are one group; a sample has no more calls than windows.
     """
-    rows = cands.join(calls.select("call_id", "pass"), "call_id").select("sample", "call_id", "chr_id", "score", "reliable", "run_start_iid", "run_end_iid", F.coalesce("pass", F.lit(False)).alias("passes"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["call_id", "chr_id"]).reset_index(drop=True)
-        ids, contigs = pdf["call_id"].unique(), pdf["chr_id"].unique()
-        at_call, at_chr = {c: i for i, c in enumerate(ids)}, {c: i for i, c in enumerate(contigs)}
-        weight = np.ones(len(ids))
-        for r in pdf.itertuples():
-            weight[at_call[r.call_id]] = 1e6 if r.passes else 1.0
-        gain = np.full((len(ids), len(contigs) + len(ids)), BAD)
-        gain[:, : len(contigs)] = BAD * weight[:, None]
-        for r in pdf.itertuples():
-            i = at_call[r.call_id]
-            gain[i, at_chr[r.chr_id]] = r.score * weight[i]
-        gain[np.arange(len(ids)), len(contigs) + np.arange(len(ids))] = 0.0
-        col = solve(-gain)
-        host = {ids[i]: contigs[j] for i, j in enumerate(col) if j < len(contigs)}
-        out = [(c, h, False) for c, h in host.items()]
-        left = pdf[~pdf["call_id"].isin(list(host))]
+    passes = F.coalesce("pass", F.lit(False))
+    rows = cands.join(calls.select("call_id", passes.alias("passes")), "call_id").filter("score > 0")
+    rows = saved(rows.select("sample", F.col("call_id").alias("left"), F.col("chr_id").alias("right"), "score", "reliable", "run_start_iid", "run_end_iid", "passes", (F.col("score") * F.when(F.col("passes"), 1e6).otherwise(1.0)).alias("gain")))
+    hosts = saved(best_matching(rows, ["sample"]))
+    parts = saved(edge_components(rows, ["sample"]))
+    first = rows.join(hosts.select("sample", "left", F.col("right").alias("host")), ["sample", "left"], "left").join(parts, ["sample", "right"])
+    # runs of hosted calls on their own host, and candidates of calls without one
+    open_rows = first.filter("host = right or (host is null and reliable)")
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken = pdf[pdf["host"].notna()]
+        left = pdf[pdf["host"].isna()].sort_values(["left", "right"])
         left = left.assign(order=left["score"] + np.where(left["passes"], 1e6, 0.0))
+        out: list[tuple] = []
         placed: set = set()
-        for chr_id in left.groupby("chr_id")["order"].max().sort_values(ascending=False, kind="stable").index:
-            taken = [(r.run_start_iid, r.run_end_iid) for r in pdf.itertuples() if host.get(r.call_id) == chr_id and r.chr_id == chr_id]
-            own = left[(left["chr_id"] == chr_id) & left["reliable"] & (left["score"] > 0)]
-            free = [r for r in own.itertuples() if r.call_id not in placed and all(r.run_end_iid < a or r.run_start_iid > b for a, b in taken)]
-            for k in choose([(r.run_start_iid, r.run_end_iid, r.order) for r in free]):
-                placed.add(free[k].call_id)
-                out.append((free[k].call_id, chr_id, True))
+        for chr_id in left.groupby("right")["order"].max().sort_values(ascending=False, kind="stable").index:
+            own = left[(left["right"] == chr_id) & ~left["left"].isin(placed)]
+            start, stop = own["run_start_iid"].to_numpy(), own["run_end_iid"].to_numpy()
+            ok = np.ones(len(own), bool)
+            for a, b in taken.loc[taken["right"] == chr_id, ["run_start_iid", "run_end_iid"]].itertuples(index=False):
+                ok &= (stop < a) | (start > b)
+            own = own[ok]
+            for k in choose(list(zip(own["run_start_iid"], own["run_end_iid"], own["order"], strict=True))):
+                placed.add(own["left"].iloc[k])
+                out.append((own["left"].iloc[k], chr_id, True))
         return pd.DataFrame(out, columns=["call_id", "chr_id", "second"])
 
-    return rows.groupBy("sample").applyInPandas(run, "call_id string, chr_id string, second boolean")
+    second = open_rows.groupBy("sample", "component").applyInPandas(place, "call_id string, chr_id string, second boolean")
+    return hosts.select(F.col("left").alias("call_id"), F.col("right").alias("chr_id"), F.lit(False).alias("second")).unionByName(second)
 
 
 def labelled(cands: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covertile import functions as fn
-from covertile.operators import assign, calibrate, classify, evidence, explore, intervals, mask, metrics, payload, reads, registry, robust, scoring, segment, summaries, tiling
+from covertile.operators import assign, calibrate, classify, evidence, explore, intervals, mask, matching, metrics, payload, reads, registry, robust, scoring, segment, summaries, tiling
 from covertile.params import Params
 from covertile.plans import mapping as mp
 from covertile.plans.tables import saved
@@ -656,6 +656,18 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.assign_hosts(calls, r, mp.N, mp.PARAMS, null, cuts)
 
 
+@query("""with e as (select l_linestatus || l_linenumber as sample, l_partkey as call, l_returnflag as contig, sum(l_quantity) as gain from lineitem where l_returnflag in ('A', 'R') group by all),
+t as (select * from e qualify row_number() over (partition by sample, contig order by gain desc, call) <= 2),
+p as (select a.sample, 2 as n, a.gain + r.gain as total from t a join t r on a.sample = r.sample and a.contig = 'A' and r.contig = 'R' and a.call <> r.call union all select sample, 1, gain from t)
+select sample, max_by(n, total) as n_hosts, max(total) as total from p group by sample""")
+def host_matching(spark, sf_dir):
+    """The best one-to-one matching of parts and two return flags by quantity; two rights make it small enough for SQL."""
+    li = mp.table(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'R')")
+    edges = saved(li.groupBy(F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("sample"), F.col("l_partkey").alias("left"), F.col("l_returnflag").alias("right")).agg(F.sum("l_quantity").alias("gain")))
+    got = matching.best_matching(edges, ["sample"])
+    return got.join(edges, ["sample", "left", "right"]).groupBy("sample").agg(F.count(F.lit(1)).alias("n_hosts"), F.sum("gain").alias("total"))
+
+
 @query()
 def assign_hosts(spark, sf_dir):
     """Calls with their host contigs (grouped-map matching)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from covertile import functions as fn
 from covertile import params, schemas
-from covertile.operators import assign, calibrate, classify, explore, intervals, mask, metrics, payload, reads, registry, robust, scoring, segment, tiling
+from covertile.operators import assign, calibrate, classify, explore, intervals, mask, matching, metrics, payload, reads, registry, robust, scoring, segment, tiling
 from covertile.params import Params
 from covertile.sources import readers, writers
 
@@ -106,13 +106,77 @@ def test_choose_is_optimal():
         assert sum(rows[i][2] for i in intervals.choose(rows)) == best
 
 
-def test_solver_is_optimal():
-    rng = np.random.default_rng(6)
-    for _ in range(60):
-        n, m = rng.integers(1, 5), rng.integers(5, 7)
-        c = rng.integers(0, 20, (n, m)).astype(float)
-        got = c[np.arange(n), assign.solve(c)].sum()
-        assert got == min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), int(n)))
+def brute_matching(edges):
+    """Largest sum of gains of a one-to-one matching."""
+    rights = sorted({b for _, b, _ in edges})
+    best = {(): 0.0}  # rights that are taken -> gain
+    for left in sorted({a for a, _, _ in edges}):
+        step = dict(best)
+        for taken, total in best.items():
+            for a, b, g in edges:
+                if a == left and b not in taken and g > 0:
+                    key = tuple(sorted([*taken, b]))
+                    step[key] = max(step.get(key, 0.0), total + g)
+        best = step
+    return max(best.values()), len(rights)
+
+
+def test_auction_is_optimal():
+    rng = random.Random(6)
+    for _ in range(300):
+        n, m = rng.randint(1, 9), rng.randint(1, 6)
+        edges = [(a, b, rng.choice([1.0, 1e6]) * rng.choice([rng.uniform(-1, 5), rng.randint(0, 3)])) for a in range(n) for b in range(m) if rng.random() < 0.6]
+        got = matching.auction(edges)
+        gain = {(a, b): g for a, b, g in edges}
+        assert len(set(got.values())) == len(got)
+        want = brute_matching(edges)[0]
+        assert math.isclose(sum(gain[a, b] for a, b in got.items()), want, rel_tol=1e-9, abs_tol=1e-4)
+    assert matching.auction([]) == {}
+
+
+def test_matching_by_components(spark):
+    rng = random.Random(7)
+    rows = [(s, f"c{a:02d}", f"r{b % 3 if s == 'x' else b}", rng.uniform(-2, 4)) for s in "xyz" for a in range(12) for b in range(6) if (b // 3 == a % 2 or s == "z") and rng.random() < 0.8]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "sample string, left string, right string, gain double").repartition(3)
+    got = matching.best_matching(df, ["sample"]).collect()
+    gain = {r[:3]: r[3] for r in rows}
+    for s in "xyz":
+        own = [r for r in got if r.sample == s]
+        assert len({r.right for r in own}) == len({r.left for r in own}) == len(own)
+        assert math.isclose(sum(gain[s, r.left, r.right] for r in own), brute_matching([r[1:] for r in rows if r[0] == s])[0], abs_tol=1e-4)
+    parts = {(r.sample, r.right): r.component for r in matching.edge_components(df, ["sample"]).collect()}
+    assert len({c for (s, _), c in parts.items() if s == "y"}) == 2 and len({c for (s, _), c in parts.items() if s == "z"}) == 1
+    assert matching.best_matching(df.limit(0), ["sample"]).count() == 0
+
+
+def test_many_lefts_need_no_dense_matrix(spark):
+    n, m = 100_000, 12
+    df = spark.range(n * m).select(F.lit("s").alias("sample"), F.expr(f"concat('c', id div {m})").alias("left"), F.expr(f"concat('r', id % {m})").alias("right"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e8).alias("gain"))
+    got = matching.best_matching(df, ["sample"]).join(df, ["sample", "left", "right"]).collect()
+    assert len(got) == m
+    # the best of each right are different lefts here, or nearly so: the sum is that of the best ones or of next ones
+    top = [r.g for r in df.groupBy("right").agg(F.max("gain").alias("g")).collect()]
+    assert sum(top) - 0.01 <= sum(r.gain for r in got) <= sum(top) + 1e-9
+
+
+def test_components_of_long_paths(spark):
+    pairs = [("k", f"n{i:03d}", f"n{i + 1:03d}") for i in range(60) if i != 30] + [("l", "n000", "n001")]
+    nodes = [("k", f"n{i:03d}") for i in range(61)] + [("l", "n000"), ("l", "n001"), ("l", "n009")]
+    got = {(r.s, r.node): r.component for r in matching.components(spark.createDataFrame(nodes, "s string, node string"), spark.createDataFrame(pairs, "s string, a string, b string"), ["s"]).collect()}
+    assert all(got["k", f"n{i:03d}"] == ("n000" if i <= 30 else "n031") for i in range(61))
+    assert got["l", "n001"] == "n000" and got["l", "n009"] == "n009"
+
+
+def test_a_contig_goes_to_the_stronger_call(spark):
+    cand = lambda c, chr_id, score, a, b, ok=True: ("s", c, chr_id, score, ok, a, b)
+    rows = [cand("a", "r1", 3.0, 20, 39), cand("b", "r1", 2.0, 20, 39), cand("c", "r1", 1.0, 60, 70), cand("b", "r2", -1.0, 5, 9), cand("d", "r2", -1e6, 1, 4, False)]
+    df = spark.createDataFrame(rows, "sample string, call_id string, chr_id string, score double, reliable boolean, run_start_iid long, run_end_iid long")
+    calls = spark.createDataFrame([(c, True) for c in "abcd"], "call_id string, pass boolean")
+    # c has a run of its own on r1, b's lies on a's; d and b's other candidate are none
+    assert sorted((r.call_id, r.chr_id, r.second) for r in assign.match_hosts(df, calls).collect()) == [("a", "r1", False), ("c", "r1", True)]
+    weak = spark.createDataFrame([("a", False), ("b", True), ("c", None), ("d", True)], "call_id string, pass boolean")
+    assert ("b", "r1", False) in [tuple(r) for r in assign.match_hosts(df, weak).collect()]
 
 
 def metrics_table(spark, samples=("S1",), planted=()):
