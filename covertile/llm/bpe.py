@@ -53,7 +53,7 @@ PLACE = 1 << 32
 ENCODE = f"""
 with recursive s(w, i, l, r, k, done) as (
   select w, pos, l, r, coalesce(m.id, {NONE}) * {PLACE} + pos, false
-  from (select w, pos, tok as l, lead(tok) over (partition by w order by pos) as r from start) p left join pairs m on m.lr = p.l::bigint * 65536 + p.r
+  from (select w, pos, tok as l, lead(tok) over (partition by w order by pos) as r from start) p left join pairs m on m.lr = p.l::bigint * 4294967296 + p.r
   union all
   select q.w, q.i, q.l, q.r, case when q.near then coalesce(m.id, {NONE}) * {PLACE} + q.i else q.k end, q.done
   from (select s.w, case when s.i > g.m then s.i - 1 else s.i end as i, case when s.i = g.m then g.t else s.l end as l,
@@ -63,7 +63,7 @@ with recursive s(w, i, l, r, k, done) as (
                      from (select w, case when min(k) < {NONE * PLACE} then (min(k) % {PLACE})::int end as m, (min(k) // {PLACE})::int as t from s where not done group by w) b
                      left join s n on n.w = b.w and n.i = b.m + 1) g on s.w = g.w
         where not s.done and (g.m is null or s.i <> g.m + 1)) q
-  left join pairs m on q.near and m.lr = q.l::bigint * 65536 + q.r)
+  left join pairs m on q.near and m.lr = q.l::bigint * 4294967296 + q.r)
 select w, l as tok from s where done order by w, i"""
 DECODE = "select d, string_agg(v.txt, '' order by pos) as txt from rows join vocab v using (tok) group by d order by d"
 
@@ -136,7 +136,7 @@ class Coder:
         # all queries are bounded in rows, so nothing has to spill
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         self._load("merges", pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "id": pa.array(m, pa.int32())}))
-        self.con.execute("create table pairs as select l::bigint * 65536 + r as lr, id::bigint as id from merges").fetchall()
+        self.con.execute("create table pairs as select l::bigint * 4294967296 + r as lr, id::bigint as id from merges").fetchall()
         # a byte is held as the character of its number
         self._load("vocab", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "txt": [t.decode("latin-1") for t in ranks]}))
         self.known: dict[bytes, np.ndarray] = {}

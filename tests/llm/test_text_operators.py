@@ -387,3 +387,17 @@ def test_a_long_repetitive_text_goes(spark):
     docs = spark.createDataFrame([(1, "ab" * (size // 2)), (2, "c" * 199), (3, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.report(docs).collect()}
     assert got == {1: (size, size, 1), 2: (199, 0, 0), 3: (0, 0, 0)}
+
+
+def test_bpe_with_ranks_over_16_bits(spark, tmp_path):
+    ranks = {bytes([i]): i for i in range(256)} | {b"xy": 65634, b"axy": 70000, b"bq": 65634 + 65536, b"zz": 100_001, b"zzz": 140_000}
+    path = str(tmp_path / "wide.tiktoken")
+    with open(path, "wb") as f:
+        f.writelines(base64.b64encode(t) + b" " + str(r).encode() + b"\n" for t, r in ranks.items())
+    enc = tiktoken.Encoding("wide", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["bbq axyz", "axyaxy bqbq zzzz zzz", "xyxyxyz" * 30, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(df, path, public_tokenizers.PATTERN, "ids").collect()}
+    assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    back = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(df, path, public_tokenizers.PATTERN).collect()}
+    assert back == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
