@@ -46,24 +46,29 @@ def in_windows(intervals: DataFrame, contigs: DataFrame, n: int) -> DataFrame:
 
 
 def union_length(rows: DataFrame, keys: list[str], start: str = "clip_start", stop: str = "clip_stop") -> DataFrame:
-    """(keys, covered): bases under at least one interval."""
-    w = Window.partitionBy(*keys).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
-    far = F.max(stop).over(w)
-    new = F.greatest(F.lit(0), F.col(stop) - F.greatest(F.col(start), F.coalesce(far, F.col(start))))
-    return rows.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").cast("long").alias("covered"))
+    """(keys, covered): bases under at least one interval.
+
+    Of the intervals that begin at one place only the longest matters. That maximum is taken before the shuffle, so what meets in the task of a key
+    is at most a row for each of its places, however many intervals it has.
+    """
+    longest = rows.filter(F.col(stop) > F.col(start)).groupBy(*keys, F.col(start).alias("_a")).agg(F.max(stop).alias("_b"))
+    far = F.max("_b").over(Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce(far, F.col("_a"))))
+    return longest.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").cast("long").alias("covered"))
 
 
 def count_windows(pieces: DataFrame, high_mapq: int = 30, more: list[Column] = ()) -> DataFrame:
     """(sample, chr_id, iid, count, mapq_high, covered, …): reads count once in a window, all their blocks cover.
 
     ``pieces`` are rows of ``in_windows`` with read and mapq. Counting and covering share one shuffle by window,
-    and so do the aggregates ``more`` over the pieces.
+    and so do the aggregates ``more`` over the pieces. Reads are told by 64-bit hashes of their names.
     """
     keys = ["sample", "chr_id", "iid"]
+    pieces = pieces.withColumn("_read", F.xxhash64("read")).drop("read")
     w = Window.partitionBy(*keys).orderBy("clip_start", "clip_stop").rowsBetween(Window.unboundedPreceding, -1)
     far = F.max("clip_stop").over(w)
     new = F.greatest(F.lit(0), F.col("clip_stop") - F.greatest(F.col("clip_start"), F.coalesce(far, F.col("clip_start"))))
-    first = F.row_number().over(Window.partitionBy(*keys, "read").orderBy("clip_start", "clip_stop")) == 1
+    first = F.row_number().over(Window.partitionBy(*keys, "_read").orderBy("clip_start", "clip_stop")) == 1
     marked = pieces.withColumn("_new", new).withColumn("_first", first)
     return marked.groupBy(*keys).agg(F.count_if("_first").alias("count"), F.count_if(F.col("_first") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), F.sum("_new").cast("long").alias("covered"), *more)
 
@@ -81,15 +86,42 @@ def read_length(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("sample").agg(F.min_by("aligned", first).alias("read_length"))
 
 
-def count_ranges(points: DataFrame, ranges: DataFrame, bucket: int = 1 << 14) -> DataFrame:
+#: A position as digits of 7 bits, from the lowest; LEVELS of them hold any position under 2^42.
+BITS, LEVELS = 7, 6
+
+
+def _digits(pos: Column) -> Column:
+    """array<struct(level, parent, digit)> of a position: at each level the node that its higher digits name, and the digit in it."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(pos, BITS * (k + 1)).alias("parent"), F.shiftright(pos, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("digit")) for k in range(LEVELS)))
+
+
+def ranks(points: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (chr_id, at, …) with ``rank``: how many ``points`` (chr_id, pos) of the contig lie before ``at``; positions from 0 to 2^42 - 1.
+
+    A tree of digits: each node knows how many points each of its up to 128 children has. Before a place lie, at each level, the smaller
+    siblings of its digit, so a place looks up LEVELS nodes, wherever it is. Points are counted by position, then by child, before they move.
+    """
+    digit = lambda c, k=0: F.shiftright(c, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    deep = points.groupBy("chr_id", F.col("pos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    lowest = deep.groupBy("chr_id", F.shiftright("pos", BITS).alias("parent")).agg(F.collect_list(F.struct(digit(F.col("pos")).alias("digit"), "n")).alias("children"), F.sum("n").alias("n"))
+    above = lowest.select("chr_id", "n", F.explode(F.slice(_digits(F.shiftleft("parent", BITS)), 2, LEVELS)).alias("d")).groupBy("chr_id", "d.level", "d.parent", "d.digit").agg(F.sum("n").alias("n"))
+    nodes = above.groupBy("chr_id", "level", "parent").agg(F.collect_list(F.struct("digit", "n")).alias("children")).unionByName(lowest.select("chr_id", F.lit(0).alias("level"), "parent", "children"))
+    asked = places.select("chr_id", "at").distinct()
+    clipped = F.least(F.greatest(F.col("at").cast("long"), F.lit(0).cast("long")), F.lit((1 << (BITS * LEVELS)) - 1).cast("long"))
+    look = asked.select("chr_id", "at", F.explode(_digits(clipped)).alias("d")).select("chr_id", "at", "d.level", "d.parent", "d.digit")
+    found = look.join(nodes, ["chr_id", "level", "parent"]).select("chr_id", "at", F.aggregate(F.filter("children", lambda c: c["digit"] < F.col("digit")), F.lit(0).cast("long"), lambda t, c: t + c["n"]).alias("n"))
+    total = found.groupBy("chr_id", "at").agg(F.sum("n").alias("rank"))
+    return places.join(total, ["chr_id", "at"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+
+
+def count_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """``ranges`` (range_id, chr_id, start, stop) with the number of ``points`` (chr_id, pos) inside each; zeros stay.
 
-    Ranges may overlap and each counts by itself. Both sides meet by bucket of positions; points are counted by position
-    first, so a deep position is one row.
+    Ranges may overlap and each counts by itself: points before its stop less points before its start, so a long range costs
+    what a short one does.
     """
-    deep = points.groupBy("chr_id", "pos").agg(F.count(F.lit(1)).alias("n")).withColumn("b", whole_div(F.col("pos"), F.lit(bucket)))
-    spread = ranges.filter("stop > start").withColumn("b", F.explode(F.sequence(whole_div(F.col("start"), F.lit(bucket)), whole_div(F.col("stop") - 1, F.lit(bucket)))))
-    hits = spread.join(deep, ["chr_id", "b"]).filter("pos >= start and pos < stop").groupBy("range_id").agg(F.sum("n").alias("n"))
+    ends = ranges.filter("stop > start").select("range_id", "chr_id", F.explode(F.array(F.struct(F.col("start").cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("stop").cast("long").alias("at"), F.lit(1).alias("sign")))).alias("e")).select("range_id", "chr_id", "e.at", "e.sign")
+    hits = ranks(points, ends).groupBy("range_id").agg(F.sum(F.col("sign") * F.col("rank")).cast("long").alias("n"))
     return ranges.join(hits, "range_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

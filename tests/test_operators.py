@@ -61,7 +61,7 @@ def test_range_counts_against_brute_force(spark):
     rng = random.Random(3)
     points = [("c", rng.randrange(100_000)) for _ in range(400)]
     ranges = [(i, "c", a := rng.randrange(100_000), a + rng.choice([0, 1, 50, 40_000])) for i in range(60)]
-    got = {r.range_id: r.n for r in reads.count_ranges(spark.createDataFrame(points, "chr_id string, pos long"), spark.createDataFrame(ranges, "range_id int, chr_id string, start long, stop long"), 1000).collect()}
+    got = {r.range_id: r.n for r in reads.count_ranges(spark.createDataFrame(points, "chr_id string, pos long"), spark.createDataFrame(ranges, "range_id int, chr_id string, start long, stop long")).collect()}
     assert got == {i: sum(a <= p < b for _, p in points) for i, _, a, b in ranges}
 
 
@@ -485,3 +485,14 @@ def test_hidden_deletions_are_spliced(spark):
     r = payload.records(scores, calls, 10, hidden).first()
     assert r.scores == [0.0, 1.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]
     assert [(c["class"], round(c["from"], 9), round(c["to"], 9)) for c in r.calls] == [("addition", 0.5, 0.75)]
+
+
+def test_deep_windows_and_long_ranges(spark):
+    rng = random.Random(12)
+    rows = [("k" if rng.random() < 0.7 else "l", a := rng.randrange(200), a + rng.randrange(0, 40)) for _ in range(3000)]
+    got = {r.k: r.covered for r in reads.union_length(spark.createDataFrame(rows, "k string, clip_start long, clip_stop long"), ["k"]).collect()}
+    assert got == {k: len({x for key, a, b in rows if key == k for x in range(a, b)}) for k in "kl"}
+    points = [(c, p) for c in "ab" for p in [0, 1, 127, 128, 16383, 16384, 10**9, 2**41] for _ in range(rng.randint(1, 3))] + [("a", rng.randrange(10**6)) for _ in range(500)]
+    ranges = [(i, rng.choice("abc"), rng.choice([0, 1, 128, 5, 16384, 10**9, 2**41, rng.randrange(10**6)]), rng.choice([0, 2, 129, 10**6, 10**9 + 1, 2**41 + 1, 2**42, rng.randrange(10**6)])) for i in range(300)]
+    got = {r.range_id: r.n for r in reads.count_ranges(spark.createDataFrame(points, "chr_id string, pos long"), spark.createDataFrame(ranges, "range_id long, chr_id string, start long, stop long")).collect()}
+    assert got == {i: sum(a <= p < b for k, p in points if k == c) for i, c, a, b in ranges}
