@@ -111,3 +111,32 @@ def bp_text(c: str | Column) -> Column:
     """12,345 bp as ``12.3 kb``."""
     c = col(c)
     return F.when(c.isNull(), None).when(c >= 1e6, F.format_string("%.1f Mb", c / 1e6)).when(c >= 1e3, F.format_string("%.1f kb", c / 1e3)).otherwise(F.format_string("%.0f bp", c.cast("double")))
+
+
+def signed_text(c: str | Column, digits: int = 2) -> Column:
+    """A number with its sign, ``+1.50``; NA if there is none."""
+    c = col(c).cast("double")
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "NA").otherwise(F.concat(F.when(c > 0, "+").otherwise(""), F.format_string(f"%.{digits}f", c)))
+
+
+def percent_text(c: str | Column) -> Column:
+    """A fraction as whole per cent, ``12%``; NA if there is none."""
+    c = col(c).cast("double")
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "NA").otherwise(F.concat(F.format_string("%.0f", F.rint(100 * c)), F.lit("%")))
+
+
+def span_text(start: str | Column, stop: str | Column) -> Column:
+    """Two positions as a span; ``from`` or ``to`` if one is missing, empty if both are. Negative positions are NA."""
+    a, b = col(start), col(stop)
+    words = lambda c: F.when(c < 0, "NA").otherwise(bp_text(c))
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(words(a), F.lit(" – "), words(b))).when(a.isNotNull(), F.concat(F.lit("from "), words(a))).when(b.isNotNull(), F.concat(F.lit("to "), words(b))).otherwise("")
+
+
+def iso_text(c: str | Column) -> Column:
+    """A timestamp as ISO text with its offset, ``2024-05-01T12:30:00+0000``, in the session's time zone."""
+    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ssxx")
+
+
+def seconds_between(start: str | Column, stop: str | Column) -> Column:
+    """Duration in seconds, fractions included."""
+    return (F.unix_micros(col(stop).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))) / 1e6

@@ -513,3 +513,20 @@ def text_of_numbers(spark, sf_dir):
     """Prices as lengths in words (whole numbers that end on 3, so none is halfway), and the first number of a priority."""
     o = _table(spark, sf_dir, "orders").withColumn("v", F.floor("o_totalprice") * 10 + 3)
     return o.select("o_orderkey", fn.bp_text("v").alias("width"), fn.first_number("o_orderpriority").alias("first"))
+
+
+@query("""select l_orderkey, l_linenumber, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+0000' as started_at, epoch(l_shipdate) - epoch(o_orderdate) as duration_secs from lineitem join orders on l_orderkey = o_orderkey""")
+def run_times(spark, sf_dir):
+    """Order and shipping time of each line as a run's start and duration."""
+    j = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("l_orderkey", "l_linenumber", fn.iso_text(F.col("o_orderdate").cast("timestamp")).alias("started_at"), fn.seconds_between("o_orderdate", "l_shipdate").alias("duration_secs"))
+
+
+@query("""with t as (select l_orderkey, l_linenumber, l_discount, l_discount - 0.05 as d, case when l_linenumber % 3 = 0 then null else l_orderkey * 10 + 3 end as a, case when l_linenumber % 5 = 0 then null else l_orderkey * 1000 + 103 end as b from lineitem),
+w as (select *, case when a >= 1e6 then printf('%.1f Mb', a / 1e6) when a >= 1e3 then printf('%.1f kb', a / 1e3) else printf('%.0f bp', a::double) end as wa, case when b >= 1e6 then printf('%.1f Mb', b / 1e6) when b >= 1e3 then printf('%.1f kb', b / 1e3) else printf('%.0f bp', b::double) end as wb from t)
+select l_orderkey, l_linenumber, printf('%.0f', round(100 * l_discount)) || '%' as share, case when d > 0 then '+' else '' end || printf('%.3f', d) as shift,
+  case when a is not null and b is not null then wa || ' – ' || wb when a is not null then 'from ' || wa when b is not null then 'to ' || wb else '' end as span from w""")
+def text_of_calls(spark, sf_dir):
+    """Fractions, signed differences and spans in words; no number is halfway."""
+    t = _table(spark, sf_dir, "lineitem").withColumns({"a": F.when(F.col("l_linenumber") % 3 != 0, F.col("l_orderkey") * 10 + 3), "b": F.when(F.col("l_linenumber") % 5 != 0, F.col("l_orderkey") * 1000 + 103)})
+    return t.select("l_orderkey", "l_linenumber", fn.percent_text("l_discount").alias("share"), fn.signed_text(F.col("l_discount") - 0.05, 3).alias("shift"), fn.span_text("a", "b").alias("span"))

@@ -28,7 +28,8 @@ def alignments(lines: DataFrame) -> DataFrame:
 
 def _tags(line: Column) -> Column:
     """The TAG:value fields of a header line as a map; the key ends at the first colon."""
-    fields = F.filter(F.slice(F.split(line, "\t"), 2, 10_000), lambda x: F.contains(x, F.lit(":")))
+    parts = F.split(line, "\t")
+    fields = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.contains(x, F.lit(":")))
     return F.map_from_entries(F.transform(fields, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.regexp_replace(x, "^[^:]*:", "").alias("v"))))
 
 

@@ -496,3 +496,17 @@ def test_deep_windows_and_long_ranges(spark):
     ranges = [(i, rng.choice("abc"), rng.choice([0, 1, 128, 5, 16384, 10**9, 2**41, rng.randrange(10**6)]), rng.choice([0, 2, 129, 10**6, 10**9 + 1, 2**41 + 1, 2**42, rng.randrange(10**6)])) for i in range(300)]
     got = {r.range_id: r.n for r in reads.count_ranges(spark.createDataFrame(points, "chr_id string, pos long"), spark.createDataFrame(ranges, "range_id long, chr_id string, start long, stop long")).collect()}
     assert got == {i: sum(a <= p < b for k, p in points if k == c) for i, c, a, b in ranges}
+
+
+def test_texts_of_missing_and_extreme_numbers(spark):
+    rows = [(0.125, -1.5, 999, 1000), (None, None, None, 5), (float("nan"), 0.0, 7, None), (1.0, 2.0, None, None), (0.005, float("inf"), -1, 2_500_000)]
+    df = spark.createDataFrame(rows, "f double, s double, a long, b long")
+    got = [tuple(r) for r in df.select(fn.percent_text("f"), fn.signed_text("s"), fn.span_text("a", "b")).collect()]
+    assert got == [("12%", "-1.50", "999 bp \u2013 1.0 kb"), ("NA", "NA", "to 5 bp"), ("NA", "0.00", "from 7 bp"), ("100%", "+2.00", ""), ("0%", "NA", "NA \u2013 2.5 Mb")]
+    t = spark.sql("select timestamp'2024-05-01 12:30:00' as a, timestamp'2024-05-01 12:30:02.5' as b").select(fn.iso_text("a"), fn.seconds_between("a", "b")).first()
+    assert tuple(t) == ("2024-05-01T12:30:00+0000", 2.5)
+
+
+def test_header_lines_with_many_fields(spark):
+    line = "@RG\tID:x\t" + "\t".join(f"K{i}:{i}" for i in range(12_000)) + "\tSM:last"
+    assert readers.read_groups(spark.createDataFrame([("p.sam", line)], "path string, value string")).first().sample == "last"
