@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,7 +192,32 @@ def run_metadata(spark: SparkSession, provenance: dict, folder: str, tables: dic
     spark.createDataFrame(scalars, "parameter string, value string").write.mode("overwrite").csv(f"{folder}/parameters", header=True)
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, md5) of every file under ``folder``, in order of paths; each file is hashed where it is read, one at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5")).orderBy("path")
+def manifest(spark: SparkSession, folder: str, buffer: int = 8 << 20) -> DataFrame:
+    """(path, bytes, md5) of every file under ``folder``, in order of paths; names that begin with a dot or underscore aren't listed.
+
+    Paths are listed without the content (Spark's index of the folder, which the driver holds anyway; a scan would leave empty files out),
+    so a file may be of any size; each is then read in pieces of ``buffer`` bytes by the task that hashes it. No folder of that
+    name, or a file gone meanwhile, is an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()
+
+    def hashed(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes, digests = [], []
+            for path in batch.column("path").to_pylist():
+                # listed local paths come as file:/a or file:///a
+                local = re.fullmatch(r"file:/+(.*)", path, re.S)
+                store, place = (fs.LocalFileSystem(), "/" + local[1]) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                digest, size = hashlib.md5(), 0
+                with store.open_input_stream(place) as stream:
+                    while piece := stream.read(buffer):
+                        digest.update(piece)
+                        size += len(piece)
+                sizes.append(size)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["path", "bytes", "md5"])
+
+    listed = spark.createDataFrame([(unquote(f),) for f in files], "path string").repartition("path")
+    return listed.mapInArrow(hashed, "path string, bytes long, md5 string").orderBy("path")

@@ -1,10 +1,12 @@
 """Planted cases, properties and invariants of single operators."""
 
+import hashlib
 import itertools
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +214,29 @@ def test_median_polish_takes_row_and_column_effects_away(spark):
     assert max(abs(r.v) for r in got.collect()) < 1e-9
 
 
+def test_median_polish_equals_sweeps(spark):
+    """Missing cells, repeated cells, a NULL row and a NULL column: the same residuals as sweep after sweep; other columns stay."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{j}", float(rng.normal() + i + 2 * j) if j < 6 and i != 3 and (i + j) % 7 else None, i * 10 + j) for i in range(12) for j in range(7) if (i, j) != (0, 0)]
+    rows.append((1, "s1", 4.5, 999))
+    want = spark.createDataFrame(rows, "i int, s string, v double, tag int")
+    got = {r.tag: r.v for r in robust.median_polish(want, ["i"], "s", "v", max_sweeps=4, tol=0.0).collect()}
+    for _ in range(4):
+        want = spark.createDataFrame(robust.polish_sweep(want, ["i"], "s", "v").select("i", "s", "v", "tag").collect(), want.schema)
+    want = {r.tag: r.v for r in want.select("tag", "v").collect()}
+    assert want.keys() == got.keys()
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+
+
+def test_mixture_of_many_values_takes_bins(spark):
+    """20,000 distinct values make one row a bin, and the mixture agrees with that of the values."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, 15_000), rng.normal(1, 0.2, 5_000)])
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": x}))
+    got, want = robust.mixtures(df, ["g"], "x").first(), robust.two_normals(x, np.ones(len(x)))
+    assert all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+
+
 def test_gc_residual_removes_a_curve():
     x = np.linspace(0.3, 0.6, 300)
     y = 3 * (x - 0.45) ** 2
@@ -284,6 +309,20 @@ def test_writers(spark, tmp_path):
     assert writers.manifest(spark, str(tmp_path)).filter("path like '%.parquet'").count() > 0
 
 
+def test_manifest_of_large_files(spark, tmp_path):
+    """A file of over 2 GB (without blocks on disk), an empty one and a name with blanks and per cent have their digests."""
+    big = tmp_path / "big.bin"
+    with big.open("wb") as f:
+        f.truncate((1 << 31) + 5)
+    (tmp_path / "a b%20c.txt").write_bytes(b"text")
+    (tmp_path / "empty").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[-1]: (r.bytes, r.md5) for r in writers.manifest(spark, str(tmp_path)).collect()}
+    zeros = hashlib.md5()
+    for k in [1 << 24] * 128 + [5]:
+        zeros.update(bytes(k))
+    assert got == {"big.bin": ((1 << 31) + 5, zeros.hexdigest()), "a b%20c.txt": (4, hashlib.md5(b"text").hexdigest()), "empty": (0, hashlib.md5(b"").hexdigest())}
+
+
 def test_parameters(spark):
     assert params.resolve("balanced", {"fdr": 0.02}, {"fdr": 0.05}).fdr == 0.05
     assert params.stretch((1.0, 3.0), 3) == (1.0, 2.0, 3.0)
