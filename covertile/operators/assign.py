@@ -70,6 +70,56 @@ def interval_stats(inside: DataFrame, keys: list[str], value: str = "depletion",
     return a.withColumn("z", F.when(F.col("se") > 0, F.col("mean") / F.col("se"))).select(*keys, "n", "mean", "se", "lower", "z", "n_eff")
 
 
+def prefix_moments(profile: DataFrame, keys: list[str], value: str, means: tuple[str, ...] = ()) -> DataFrame:
+    """``profile`` (keys, iid, …) with _first and _last: what an interval from a window, or up to it, needs to know of all usable ones (``value`` known).
+
+    ``_last`` are sums up to the last usable window at or before it: numbers, values, squares, the products with the 1 to 10 usable
+    windows before, changes of value, known values of ``means``. ``_first`` are the sums at the first usable window at or after it, with
+    those that the lag products of an interval starting there leave out. Values are taken less the profile's mean, so sums
+    stay small. One shuffle by ``keys``, whatever the intervals are.
+    """
+    whole = Window.partitionBy(*keys)
+    upto, on, lags = whole.orderBy("iid").rowsBetween(Window.unboundedPreceding, 0), whole.orderBy("iid").rowsBetween(0, Window.unboundedFollowing), range(1, LAGS + 1)
+    usable, by = F.col(value).isNotNull(), ", ".join(f"`{k}`" for k in keys)
+    at = lambda c, k: F.expr(f"{'lag' if k > 0 else 'lead'}({c}, {abs(k)}) ignore nulls over (partition by {by} order by iid)") if k else F.col(c)
+    u = profile.withColumn("_mid", F.avg(value).over(whole)).withColumn("_x", F.col(value) - F.col("_mid"))
+    own = {"_n": usable.cast("int"), "_s": F.col("_x"), "_q": F.col("_x") * F.col("_x"), "_c": (F.col("_x") != at("_x", 1)).cast("int")} | {f"_p{k}": F.col("_x") * at("_x", k) for k in lags}
+    own |= {f"_m{k}": F.when(usable, F.col(c)) for k, c in enumerate(means)} | {f"_k{k}": (usable & F.col(c).isNotNull()).cast("int") for k, c in enumerate(means)}
+    u = u.withColumns({f"_o{c}": F.coalesce(x, F.lit(0)) for c, x in own.items()})
+    # sums are NULL where there is no value, so that lags of them count usable windows
+    u = u.withColumns({c: F.when(usable, F.sum(f"_o{c}").over(upto)) for c in own})
+    ends = F.struct("iid", "_mid", *own, F.array(*(at("_s", k) for k in lags)).alias("_before"))
+    less = [(F.col(c) - F.col(f"_o{c}")).alias(c) for c in own if c[:2] not in ("_p", "_c")]
+    starts = F.struct("iid", "_x", "_c", *less, F.array(*(at(f"_p{k}", 1 - k) for k in lags)).alias("_out"), F.array(*(at("_s", 1 - k) for k in lags)).alias("_after"))
+    u = u.withColumns({"_e": F.when(usable, ends), "_b": F.when(usable, starts)})
+    return u.select(*profile.columns, F.last("_e", True).over(upto).alias("_last"), F.first("_b", True).over(on).alias("_first"))
+
+
+def interval_moments(intervals: DataFrame, means: tuple[str, ...] = ()) -> DataFrame:
+    """``intervals`` (``_first`` of their first window, ``_last`` of their last) with n, mean, se, lower, z, n_eff as of ``interval_stats``, and ``means``.
+
+    Sums of an interval are differences of the two; intervals without a usable window go. Equal values have no deviation at all.
+    """
+    a, b = F.col("_first"), F.col("_last")
+    d = intervals.filter(a["iid"] <= b["iid"]).withColumn("n", (b["_n"] - a["_n"]).cast("long"))
+    size, same = F.col("n").cast("double"), b["_c"] == a["_c"]
+    d = d.withColumn("_m", F.when(same, a["_x"]).otherwise((b["_s"] - a["_s"]) / size))
+    m = F.col("_m")
+    d = d.withColumn("_v", F.when(same, 0.0).otherwise(F.greatest(F.lit(0.0), b["_q"] - a["_q"] - size * m * m)))
+    # over pairs k apart, of (x - m)(y - m): their products less m times the sums of both ends, and m squared for each pair
+    rho = F.lit(0.0)
+    for k in range(1, LAGS + 1):
+        late, early = b["_s"] - a["_after"][k - 1], b["_before"][k - 1] - a["_s"]
+        product = b[f"_p{k}"] - a["_out"][k - 1]
+        rho = rho + F.when(F.col("n") > k, product - m * (late + early) + (size - k) * m * m).otherwise(0.0)
+    some = (F.col("n") >= 4) & (F.col("_v") > 0)
+    d = d.withColumn("n_eff", F.when(some, F.least(size, F.greatest(F.lit(1.0), size / F.greatest(F.lit(1.0), 1 + 2 * rho / F.col("_v"))))).otherwise(size))
+    d = d.withColumns({"mean": m + b["_mid"], "se": F.when(F.col("n") >= 2, F.sqrt(F.col("_v") / (size - 1)) / F.sqrt("n_eff")).otherwise(0.0)})
+    d = d.withColumn("lower", F.col("mean") - 1.645 * F.col("se")).withColumn("z", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
+    d = d.withColumns({c: F.try_divide(b[f"_m{k}"] - a[f"_m{k}"], b[f"_k{k}"] - a[f"_k{k}"]) for k, c in enumerate(means)})
+    return d.drop("_m", "_v")
+
+
 def null_profile(residuals: DataFrame, controls: DataFrame | None = None) -> DataFrame:
     """(chr_id, grp, iid, dep, spread): of each recipient window the median and standard deviation of depletion over the null samples.
 
@@ -165,26 +215,38 @@ def with_thresholds(calls: DataFrame, params: Params = Params(), null: DataFrame
 def candidates(calls: DataFrame, residuals: DataFrame, n: int, params: Params = Params()) -> DataFrame:
     """A row for each call (of ``with_thresholds``) and recipient contig of its sample: depletion statistics, run, width and score.
 
-    Calls meet windows of their own span on every contig by an equi-join on (sample, iid): calls are few, and there are some
-    dozens of contigs. Runs are windows whose depletion exceeds the call's run threshold; these take few values (one a bin).
-    A contig without a usable window inside the call is no candidate.
+    A call's statistics on a contig come from two of the contig's windows, its first and its last, by ``prefix_moments``: no window in
+    between is looked at, so there are as many rows as calls and contigs. ``residuals`` has a row for each of the ``n`` windows of a
+    contig; fewer are an error. Runs are windows whose depletion exceeds the call's run threshold;
+    these take few values (one a bin). A contig without a usable window inside the call is no candidate.
     """
     p = params
     length = F.coalesce("donor_length", F.col("end_bp")) if "donor_length" in calls.columns else F.col("end_bp")
     c = calls.select("call_id", "sample", F.col("grp").alias("call_grp"), "start_iid", "end_iid", "start_bp", "end_bp", "width_bp", length.alias("donor_length"), *(f"a_{t}" for t in THRESHOLDS))
-    inside = c.withColumn("iid", F.explode(F.sequence("start_iid", "end_iid"))).join(residuals.filter("not masked"), ["sample", "iid"])
-    keys = ["call_id", "chr_id"]
-    usable = inside.filter("depletion is not null")
-    stats = interval_stats(usable.select(*keys, "iid", "depletion"), keys)
-    means = usable.groupBy(*keys).agg(F.avg("expected_breadth").alias("expected_breadth"), F.avg("breadth").alias("observed_breadth"), F.avg("mapq_high_fraction").alias("mapq_fraction") if "mapq_high_fraction" in residuals.columns else F.lit(None).cast("double").alias("mapq_fraction"))
-    active = F.coalesce(F.col("depletion") > F.col("a_run_threshold"), F.lit(False))
-    span = inside.groupBy(*keys, "sample", "grp").agg(F.min("iid").alias("_lo"), F.max("iid").alias("_hi"), F.max(active).alias("run_found"))
-    e = stats.join(means, keys).join(span, keys).join(c, ["call_id", "sample"])
+    place = ["sample", "chr_id"]
+    each = Window.partitionBy(*place).orderBy("iid")
+    fewer = F.raise_error(F.concat_ws(" ", F.lit("windows are missing:"), *place)).cast(dict(residuals.dtypes)["iid"])
+    residuals = residuals.withColumn("iid", F.when(F.count(F.lit(1)).over(Window.partitionBy(*place)) >= n, F.col("iid")).otherwise(fewer))
+    known = F.when(~F.col("masked"), F.col("iid"))
+    named = {"expected_breadth": "expected_breadth", "observed_breadth": "breadth"} | ({"mapq_fraction": "mapq_high_fraction"} if "mapq_high_fraction" in residuals.columns else {})
+    profile = residuals.select(*place, "grp", "iid", F.when(~F.col("masked"), F.col("depletion")).alias("depletion"), *(F.col(c).alias(n) for n, c in named.items()), F.last(known, True).over(each).alias("_hi"), F.first(known, True).over(each.rowsBetween(0, Window.unboundedFollowing)).alias("_lo"))
+    sums = saved(prefix_moments(profile, place, "depletion", tuple(named)))
+    first = sums.select(*place, "grp", F.col("iid").alias("start_iid"), "_first", "_lo")
+    last = sums.select(*place, F.col("iid").alias("end_iid"), "_last", "_hi")
+    contigs = sums.select(*place).distinct()
+    e = c.join(contigs, "sample").join(first, [*place, "start_iid"]).join(last, [*place, "end_iid"])
+    e = interval_moments(e, tuple(named))
+    if "mapq_fraction" not in named:
+        e = e.withColumn("mapq_fraction", F.lit(None).cast("double"))
     # each sample's windows once for each run threshold that its calls have, one a (mode, bin)
-    leveled = residuals.filter("not masked and depletion is not null").join(calls.select("sample", "a_run_threshold").distinct(), "sample")
-    run = runs(leveled, ["sample", "chr_id", "a_run_threshold"], "iid", F.col("depletion") > F.col("a_run_threshold"))
-    cover = run.withColumn("iid", F.explode(F.sequence("run_start", "run_stop")))
-    by = ["sample", "chr_id", "a_run_threshold"]
+    by = [*place, "a_run_threshold"]
+    leveled = saved(profile.filter("depletion is not null").select(*place, "iid", "depletion").join(calls.select("sample", "a_run_threshold").distinct(), "sample"))
+    active = F.col("depletion") > F.col("a_run_threshold")
+    # the last active window up to the call's last usable one lies inside, if any does
+    latest = leveled.select(*by, F.col("iid").alias("_u"), F.last(F.when(active, F.col("iid")), True).over(Window.partitionBy(*by).orderBy("iid")).alias("_active"))
+    e = e.withColumn("_u", F.col("_last.iid")).join(latest, [*by, "_u"], "left").withColumn("run_found", F.coalesce(F.col("_active") >= F.col("start_iid"), F.lit(False)))
+    cover = runs(leveled, by, "iid", active).withColumn("iid", F.explode(F.sequence("run_start", "run_stop")))
+    e = e.drop("_first", "_last", "_u", "_active")
     e = e.join(cover.select(*by, (F.col("iid") + 1).alias("_lo"), F.col("run_start").alias("_s")), [*by, "_lo"], "left").join(cover.select(*by, (F.col("iid") - 1).alias("_hi"), F.col("run_stop").alias("_e")), [*by, "_hi"], "left")
     e = e.withColumns({"run_start_iid": F.when(F.col("run_found"), F.coalesce("_s", "_lo")).otherwise(F.col("_lo")), "run_end_iid": F.when(F.col("run_found"), F.coalesce("_e", "_hi")).otherwise(F.col("_hi"))})
     typical = residuals.filter("not masked").groupBy("sample").agg(F.median("breadth").alias("_typical"))

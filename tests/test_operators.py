@@ -408,6 +408,29 @@ def test_interval_stats_by_hand(spark):
     assert got["d"].z is None and got["a"].n_eff < 40
 
 
+def test_prefix_moments_equal_interval_stats(spark):
+    """Every interval of profiles with gaps, equal stretches and one value: the same statistics from two rows as from all windows."""
+    rng = np.random.default_rng(4)
+    series = {"walk": np.cumsum(rng.normal(size=30)) + 1e3, "flat": np.full(18, -13.8), "steps": np.repeat([1.0, 2.0, -4.0], 6), "one": np.array([2.5])}
+    rows = [(k, i, None if k != "one" and i % 5 == 2 else float(v), None if i % 4 == 0 else float(i)) for k, x in series.items() for i, v in enumerate(x)]
+    profile = spark.createDataFrame(rows, "k string, iid int, v double, m double")
+    spans = spark.createDataFrame([(f"{k}{a}-{b}", k, a, b) for k, x in series.items() for a in range(len(x)) for b in range(a, len(x), 3)], "id string, k string, a int, b int")
+    sums = assign.prefix_moments(profile, ["k"], "v", ("m",)).persist()
+    ends = spans.join(sums.select("k", F.col("iid").alias("a"), "_first"), ["k", "a"]).join(sums.select("k", F.col("iid").alias("b"), "_last"), ["k", "b"])
+    got = {r.id: r for r in assign.interval_moments(ends, ("m",)).collect()}
+    inside = spans.join(profile, "k").filter("iid between a and b and v is not null")
+    want = {r.id: r for r in assign.interval_stats(inside, ["id"], "v").collect()}
+    means = {r.id: r.m for r in inside.groupBy("id").agg(F.avg("m").alias("m")).collect()}
+    assert got.keys() == want.keys() and len(got) > 200
+    for k, w in want.items():
+        g = got[k]
+        assert g.n == w.n and g.m == means[k]
+        if w.n > 1 and abs(w.se) < 1e-9:
+            assert g.se == 0 and g.z is None and abs(g.mean - w.mean) < 1e-9
+        else:
+            assert all(math.isclose(g[c], w[c], rel_tol=1e-6, abs_tol=1e-6) for c in ("mean", "se", "lower", "n_eff")), (k, g, w)
+
+
 def test_hosts_of_planted_calls(spark):
     """A deletion finds the contig that lacks coverage; two calls share no host; an addition without loss has none; a second run changes nothing."""
     n = 100
@@ -431,6 +454,8 @@ def test_hosts_of_planted_calls(spark):
     assert (got["b"].recipient_chr, got["b"].recipient_assignment, got["b"].class_status, got["b"].recipient_cross_group) == ("r2", "cross_group", "needs_review", True)
     assert got["c"].recipient_assignment == "no_recipient_loss" and got["c"].assignment_weight == 0 and got["c"]["class"] == "addition"
     assert (got["a"].recipient_start_iid, got["a"].recipient_end_iid, got["a"].recipient_start_bp, got["a"].recipient_end_bp) == (20, 39, 20_000, 40_000)
+    with pytest.raises(Exception, match="windows are missing"):
+        assign.candidates(assign.with_thresholds(c), res.filter("iid <> 20"), n).collect()
     again = {r.call_id: r.asDict() for r in assign.assign_hosts(out, res, n, Params(), None, cuts).collect()}
     assert all(again[k]["class"] == got[k]["class"] and again[k]["recipient_chr"] == got[k].recipient_chr for k in got)
 
