@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from covertile.operators.robust import mixtures, normal_quantile, posterior
 from covertile.params import Params
+from covertile.plans.tables import saved
 
 
 def bin_labels(bins_mb: tuple[float, ...]) -> list[str]:
@@ -39,33 +40,36 @@ def control_quantile(pool: DataFrame, fdr: float, least: int = 5) -> DataFrame:
 
 
 def own_quantile(pool: DataFrame, fdr: float, mode: str, least: int = 5) -> DataFrame:
-    """The same from the calls themselves: a mixture tells the lower component, whose quantile is the null.
+    """The same from the calls themselves, with the whole mode as bin -1: a mixture tells the lower component, whose quantile is the null.
 
-    ``multi``: too few values, or a null of too few, take the value of the whole mode; ``single``: too few null values take the
-    lower component's normal quantile.
+    A null of too few values has the lower component's normal quantile in ``single`` mode, in ``multi`` it is NULL. Calls without a
+    bin count in the mode only.
     """
-    both = pool.select("mode", "bin", "score_mean").unionByName(pool.select("mode", F.lit(-1).alias("bin"), "score_mean")).filter("score_mean is not null")
+    binned = pool.filter("bin is not null").select("mode", "bin", "score_mean")
+    both = binned.unionByName(pool.select("mode", F.lit(-1).alias("bin"), "score_mean")).filter("score_mean is not null")
     mix = mixtures(both, ["mode", "bin"], "score_mean")
     j = both.join(mix, ["mode", "bin"]).withColumn("_null", posterior("score_mean") < 0.5)
     q = j.groupBy("mode", "bin", "mu0", "sd0").agg(F.count(F.lit(1)).alias("n_control"), F.count_if("_null").alias("n_null"), F.percentile(F.when(F.col("_null"), F.col("score_mean")), 1 - fdr).alias("_q"))
     z = normal_quantile(1 - fdr, 0.0, 1.0)
     normal = F.col("mu0") + F.lit(z) * F.col("sd0") if mode == "single" else F.lit(None).cast("double")
     q = q.withColumn("q99", F.when(F.col("n_control") >= least, F.when(F.col("n_null") >= least, F.col("_q")).otherwise(normal)))
-    whole = q.filter("bin = -1").select("mode", F.col("q99").alias("_all"))
-    return q.filter("bin >= 0").join(whole, "mode", "left").select("mode", "bin", "n_control", F.coalesce("q99", "_all").alias("q99"))
+    return q.select("mode", "bin", "n_control", "q99")
 
 
 def calibration(calls: DataFrame, params: Params, mode: str, controls: DataFrame | None = None) -> DataFrame:
     """(mode, bin, length_bin, n_control, q99, threshold, fdr) for every bin: threshold = max(floor, q99 if known).
 
-    ``controls`` (sample) are samples whose segments are the null; samples that are all controls are the same as none.
+    ``controls`` (sample) are samples whose segments are the null; samples that are all controls are the same as none. Without
+    controls, bins that know no q99 (too few values or none at all) borrow that of the whole mode.
     """
-    pool = with_bin(calls, params).filter("bin is not null").withColumn("mode", F.lit(mode))
+    pool = with_bin(calls, params).withColumn("mode", F.lit(mode))
+    t = bin_table(calls.sparkSession, params, mode)
     if controls is not None:
-        q = control_quantile(pool.join(controls.select("sample").distinct(), "sample", "left_semi"), params.fdr)
+        t = t.join(control_quantile(pool.filter("bin is not null").join(controls.select("sample").distinct(), "sample", "left_semi"), params.fdr), ["mode", "bin"], "left")
     else:
-        q = own_quantile(pool, params.fdr, mode)
-    t = bin_table(calls.sparkSession, params, mode).join(q, ["mode", "bin"], "left")
+        q = saved(own_quantile(pool, params.fdr, mode))
+        whole = q.filter("bin = -1").select("mode", F.col("q99").alias("_all"))
+        t = t.join(q, ["mode", "bin"], "left").join(whole, "mode", "left").withColumn("q99", F.coalesce("q99", "_all"))
     return t.select("mode", "bin", "length_bin", F.coalesce("n_control", F.lit(0)).alias("n_control"), "q99", F.greatest("floor", "q99").alias("threshold"), F.lit(params.fdr).alias("fdr"))
 
 

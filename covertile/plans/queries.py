@@ -423,10 +423,10 @@ def null_quantile_controls(spark, sf_dir):
     return calibrate.calibration(c, mp.PARAMS, "multi", c.select("sample"))
 
 
-_OWN = CALLS + """, pool as (select bin, score_mean as x from calls where bin is not null union all select -1, score_mean from calls where bin is not null), pn as (select bin, x, count(*)::double as n from pool group by all)""" + em_sql("pn", "bin")
+_OWN = CALLS + """, pool as (select bin, score_mean as x from calls where bin is not null union all select -1, score_mean from calls where score_mean is not null), pn as (select bin, x, count(*)::double as n from pool group by all)""" + em_sql("pn", "bin")
 _OWN += f""", po as (select pool.bin, x, {_posterior("x")} < 0.5 as nul from pool join em on em.g = pool.bin),
 pq as (select bin, count(*) as n, case when count(*) >= 5 and count(*) filter (nul) >= 5 then quantile_cont(x, 0.99) filter (nul) end as q from po group by bin),
-pt as (select b.bin, b.length_bin, b.f, coalesce(n, 0) as n, case when n is not null then coalesce(q, (select q from pq where bin = -1)) end as q99 from (values {_FLOORS}) as b(bin, length_bin, f) left join pq using (bin))"""
+pt as (select b.bin, b.length_bin, b.f, coalesce(n, 0) as n, coalesce(q, (select q from pq where bin = -1)) as q99 from (values {_FLOORS}) as b(bin, length_bin, f) left join pq using (bin))"""
 
 
 @query(f"with recursive {_OWN} select 'multi' as mode, bin, length_bin, n as n_control, {r6('q99')} as q99, {r6('greatest(f, q99)')} as threshold, {r6('0.01')} as fdr from pt")
@@ -437,12 +437,13 @@ def null_quantile_own(spark, sf_dir):
 
 _FLOORS_SINGLE = ", ".join(f"({k}, '{label}', {f})" for k, (label, f) in enumerate(zip(calibrate.bin_labels(mp.PARAMS.bins_mb), mp.PARAMS.floors_single, strict=True)))
 _Z99 = robust.normal_quantile(0.99, 0.0, 1.0)
-_SINGLE = CALLS + """, pool as (select bin, score_mean as x from calls where bin is not null and score_mean is not null), pn as (select bin, avg(x) as x, count(*)::double as n from pool group by bin, floor(x * 4096))""" + em_sql("pn", "bin")
+_SINGLE = CALLS + """, pool as (select bin, score_mean as x from calls where bin is not null and score_mean is not null union all select -1, score_mean from calls where score_mean is not null), pn as (select bin, avg(x) as x, count(*)::double as n from pool group by bin, floor(x * 4096))""" + em_sql("pn", "bin")
 _SINGLE += f""", po as (select pool.bin, x, least(m1, m2) as mu, case when m1 <= m2 then s1 else s2 end as sd, {_posterior("x")} < 0.5 as nul from pool join em on em.g = pool.bin),
-pt as (select bin, count(*) as n, case when count(*) >= 5 then case when count(*) filter (nul) >= 5 then quantile_cont(x, 0.99) filter (nul) else mu + {_Z99} * sd end end as q from po group by bin, mu, sd)"""
+pq as (select bin, count(*) as n, case when count(*) >= 5 then case when count(*) filter (nul) >= 5 then quantile_cont(x, 0.99) filter (nul) else mu + {_Z99} * sd end end as q from po group by bin, mu, sd),
+pt as (select b.bin, b.length_bin, b.f, coalesce(n, 0) as n, coalesce(q, (select q from pq where bin = -1)) as q99 from (values {_FLOORS_SINGLE}) as b(bin, length_bin, f) left join pq using (bin))"""
 
 
-@query(f"with recursive {_SINGLE} select 'single' as mode, b.bin, b.length_bin, coalesce(n, 0) as n_control, {r6('q')} as q99, {r6('greatest(f, q)')} as threshold, {r6('0.01')} as fdr from (values {_FLOORS_SINGLE}) as b(bin, length_bin, f) left join pt using (bin)")
+@query(f"with recursive {_SINGLE} select 'single' as mode, bin, length_bin, n as n_control, {r6('q99')} as q99, {r6('greatest(f, q99)')} as threshold, {r6('0.01')} as fdr from pt")
 def null_quantile_single(spark, sf_dir):
     """Thresholds as of a single sample: few values of the lower component take its normal quantile."""
     return calibrate.calibration(saved(mp.call_rows(spark, sf_dir)), mp.PARAMS, "single")

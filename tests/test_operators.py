@@ -228,6 +228,22 @@ def test_median_polish_equals_sweeps(spark):
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
 
 
+def test_bins_without_a_null_borrow_the_whole_mode(spark):
+    """Sparse and empty bins have the q99 of all calls, those without a bin too; a null of few values has the normal quantile in single mode only."""
+    rng = np.random.default_rng(7)
+    low = [("s", 7_000_000, float(v)) for v in rng.normal(0, 0.1, 30)] + [("s", 15_000_000, 1.0)] * 2 + [("s", 1_000_000, float(v)) for v in rng.normal(0, 0.1, 30)]
+    high = [("s", 60_000_000, v) for v in (0.0, 0.8, 0.9, 1.0, 1.1)]
+    calls = spark.createDataFrame(low + high, "sample string, width_bp long, score_mean double")
+    x = np.array([v for *_, v in low + high])
+    fit = robust.two_normals(x, np.ones(len(x)))
+    null = x[x < 0.5]
+    for mode in ("multi", "single"):
+        got = {r.bin: r for r in calibrate.calibration(calls, Params(), mode).collect()}
+        assert [got[k].n_control for k in range(5)] == [30, 2, 0, 5, 0] and fit["mu1"] > 0.7
+        assert all(abs(got[k].q99 - np.quantile(null, 0.99)) < 1e-9 for k in (1, 2, 4))
+        assert (abs(got[3].q99 - np.quantile(null, 0.99)) < 1e-9) == (mode == "multi") and got[3].q99 is not None
+
+
 def test_mixture_of_many_values_takes_bins(spark):
     """20,000 distinct values make one row a bin, and the mixture agrees with that of the values."""
     rng = np.random.default_rng(6)
