@@ -74,6 +74,12 @@ def coverage_warnings(metrics: DataFrame, near_zero: float = 1.0) -> DataFrame:
     return a.filter("warning is not null")
 
 
+def run_coverage(metrics: DataFrame) -> DataFrame:
+    """(samples, empty_samples, first_empty): one row; a sample is empty if no window of it has a read, and the first is by name."""
+    by = metrics.groupBy("sample").agg((F.coalesce(F.sum("count"), F.lit(0)) <= 0).alias("_e"))
+    return by.agg(F.count(F.lit(1)).alias("samples"), F.count_if("_e").alias("empty_samples"), F.min(F.when(F.col("_e"), F.col("sample"))).alias("first_empty"))
+
+
 def deleted_contigs(metrics: DataFrame, breadth: float = 0.001, relative: float = 0.1) -> DataFrame:
     """(sample, chr_id, mean_breadth): contigs with next to no coverage, absolutely and against the sample's median contig."""
     m = metrics.groupBy("sample", "chr_id").agg(F.avg("breadth").alias("mean_breadth"))

@@ -57,20 +57,28 @@ def union_length(rows: DataFrame, keys: list[str], start: str = "clip_start", st
     return longest.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").cast("long").alias("covered"))
 
 
-def count_windows(pieces: DataFrame, high_mapq: int = 30, more: list[Column] = ()) -> DataFrame:
+def count_windows(pieces: DataFrame, high_mapq: int = 30, sums: dict[str, Column] | None = None, slices: int = 64) -> DataFrame:
     """(sample, chr_id, iid, count, mapq_high, covered, …): reads count once in a window, all their blocks cover.
 
-    ``pieces`` are rows of ``in_windows`` with read and mapq. Counting and covering share one shuffle by window,
-    and so do the aggregates ``more`` over the pieces. Reads are told by 64-bit hashes of their names.
+    ``pieces`` are rows of ``in_windows`` with read and mapq; ``sums`` are further sums over the pieces, by name. Reads are told by 64-bit
+    hashes of their names. A window's reads are dealt by that hash to ``slices``: each unites its own intervals to disjoint
+    ones, with how many reads began in them, and only those meet in the window's task. So a window of any depth brings
+    it no more rows than disjoint intervals fit into a window, for each slice.
     """
     keys = ["sample", "chr_id", "iid"]
-    pieces = pieces.withColumn("_read", F.xxhash64("read")).drop("read")
-    w = Window.partitionBy(*keys).orderBy("clip_start", "clip_stop").rowsBetween(Window.unboundedPreceding, -1)
-    far = F.max("clip_stop").over(w)
-    new = F.greatest(F.lit(0), F.col("clip_stop") - F.greatest(F.col("clip_start"), F.coalesce(far, F.col("clip_start"))))
-    first = F.row_number().over(Window.partitionBy(*keys, "_read").orderBy("clip_start", "clip_stop")) == 1
-    marked = pieces.withColumn("_new", new).withColumn("_first", first)
-    return marked.groupBy(*keys).agg(F.count_if("_first").alias("count"), F.count_if(F.col("_first") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), F.sum("_new").cast("long").alias("covered"), *more)
+    sums = sums or {}
+    pieces = pieces.withColumns({"_read": F.xxhash64("read"), **{f"_s_{k}": c for k, c in sums.items()}}).withColumn("_slice", F.pmod("_read", F.lit(slices)).cast("int"))
+    w = Window.partitionBy(*keys, "_slice").orderBy("clip_start", "clip_stop")
+    far = F.max("clip_stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("clip_start") > F.col("_far"), F.lit(True)).cast("int")
+    marked = pieces.withColumn("_far", far).withColumn("_island", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "_slice", "_read").orderBy("clip_start", "clip_stop")) == 1)
+    islands = marked.groupBy(*keys, "_slice", "_island").agg(
+        F.min("clip_start").alias("_a"), F.max("clip_stop").alias("_b"), F.count_if("_first").alias("count"), F.count_if(F.col("_first") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), *(F.sum(f"_s_{k}").alias(k) for k in sums)
+    )
+    over = F.max("_b").over(Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce(over, F.col("_a"))))
+    return islands.withColumn("_new", new).groupBy(*keys).agg(F.sum("count").alias("count"), F.sum("mapq_high").alias("mapq_high"), F.sum("_new").cast("long").alias("covered"), *(F.sum(k).alias(k) for k in sums))
 
 
 def on_grid(counts: DataFrame, windows: DataFrame, samples: DataFrame) -> DataFrame:

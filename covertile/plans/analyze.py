@@ -58,10 +58,10 @@ def analyze(
     counted, lengths_of_reads = measure(rows, t, n, params.min_mapq)
     counts = counted.select("sample", "chr_id", "iid", "count", "mapq_high", "covered")
     m = saved(metrics.window_metrics(counts, windows, gc, read_length if read_length is not None else saved(lengths_of_reads)))
-    empty = m.groupBy("sample").agg(F.sum("count").alias("n")).filter("n <= 0").limit(1).collect()
-    if empty:
-        raise ValueError(f"sample without coverage: {empty[0]['sample']}")
-    cohort = m.select("sample").distinct().limit(2).count() > 1
+    seen = metrics.run_coverage(m).first()
+    if seen["empty_samples"]:
+        raise ValueError(f"sample without coverage: {seen['first_empty']}")
+    cohort = seen["samples"] > 1
     mode = "multi" if cohort else "single"
     progress("scores")
     raw = scoring.score_pairs(m, params, scoring.composition(m, composition))

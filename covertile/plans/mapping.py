@@ -86,7 +86,7 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of windows, with the tax of the lines that begin in them; one scan of the lines."""
     begins: Column = F.col("clip_start") == F.col("start")
-    return reads.count_windows(pieces(spark, sf_dir), more=[F.sum(F.when(begins, F.col("tax"))).alias("tax"), F.count_if(begins).alias("begun")])
+    return reads.count_windows(pieces(spark, sf_dir), sums={"tax": F.when(begins, F.col("tax")), "begun": begins.cast("int")})
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from covertile import schemas
 from covertile.operators import assign, classify, evidence, explore, intervals, metrics, payload, reads, registry, robust, scoring, summaries, tiling
 from covertile.plans import mapping as mp
 from covertile.plans.queries import CALLS, CLASSIFIED, MASKED, METRICS, RESIDUALS, SCORES, classified, query, r6
-from covertile.plans.tables import saved
-from covertile.sources import readers, writers
+from covertile.plans.tables import saved, scratch
+from covertile.sources import ranges, readers, writers
 
 _W = mp.LENGTH // mp.N
 
@@ -53,6 +53,29 @@ def sam_alignments(spark, sf_dir):
     return reads.passing(readers.alignments(sam_text(spark, sf_dir)), 20).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rg")
 
 
+@query(f"with {SAM} select qname, flag, rname, pos, mapq, q || 'M' as cigar, rg from sam where rname in ('chr2', 'chr5')")
+def contig_reads(spark, sf_dir):
+    """Alignment lines of two contigs from sorted files, of which only the contigs' byte ranges are opened."""
+    folder = scratch(spark)
+    names = spark.range(7).select(F.concat(F.lit("chr"), _text("id")).alias("name"), F.lit(mp.LENGTH).alias("length"), F.col("id").alias("ord"))
+    writers.write_alignments(sam_text(spark, sf_dir), names, folder)
+    lines = ranges.on_contigs(spark, folder).filter(F.col("rname").isin("chr2", "chr5"))
+    return readers.alignments(lines).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rg")
+
+
+@query("""with d as (select doc_id, regexp_replace(upper(text), '[^A-Z]', '', 'g') as s from documents where text is not null), l as (select doc_id, s, length(s) as l from d where length(s) >= 10),
+w as (select *, unnest(generate_series(0, 9)) as iid from l), p as (select doc_id, iid, substr(s, (iid * l // 10 + 1)::int, ((iid + 1) * l // 10 - iid * l // 10)::int) as b from w)
+select 'd' || doc_id as chr_id, iid, (round(length(regexp_replace(b, '[^GC]', '', 'g'))::float / length(b)::float, 6) + 0.0)::double as gc from p""")
+def sequence_gc(spark, sf_dir):
+    """G and C in ten windows of sequences that were written as FASTA, in lines of 60, and read again."""
+    folder = scratch(spark)
+    d = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), _text("doc_id")).alias("chr_id"), F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("s")).filter("length(s) >= 10")
+    d.select(F.concat(F.lit(">"), "chr_id", F.lit("\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n")).alias("value")).write.text(folder)
+    lines = saved(readers.fasta(spark, folder))
+    lengths = lines.groupBy("chr_id").agg(F.sum(F.length("bases")).cast("long").alias("length"))
+    return metrics.base_composition(lines, lengths, 10)
+
+
 @query(f"with {SAM} select rname as chr_id, case when flag & 16 <> 0 then pos + q - 1 else pos end as pos, count(*) as n from sam where mapq >= 20 and flag & 2308 = 0 group by all")
 def five_prime_ends(spark, sf_dir):
     """Reads by contig and 5' end."""
@@ -495,9 +518,16 @@ def brief_calls(spark, sf_dir):
     return writers.brief_calls(classified(spark, sf_dir))
 
 
+@query(f"""with {METRICS}, t as (select sample, sum("count") as n from m group by sample)
+select count(*) as samples, count(*) filter (n <= 0) as empty_samples, min(sample) filter (n <= 0) as first_empty from t""")
+def run_coverage(spark, sf_dir):
+    """The guard of the whole run: samples, and those without a read."""
+    return metrics.run_coverage(mp.metric_rows(spark, sf_dir))
+
+
 @query(f"with {METRICS} select sample, median(b) as b from (select sample, grp, {r6('avg(breadth)')} as b from m group by all) group by sample")
 def typical_breadth(spark, sf_dir):
-    """Each sample's median group breadth; the guard against samples without coverage reads the same table."""
+    """Each sample's median group breadth."""
     g = mp.metric_rows(spark, sf_dir).groupBy("sample", "grp").agg(F.round(F.avg("breadth"), 6).alias("b"))
     return g.groupBy("sample").agg(F.median("b").alias("b"))
 

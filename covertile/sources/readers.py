@@ -93,26 +93,27 @@ def totals(contigs: DataFrame, manifest: DataFrame) -> DataFrame:
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(chr_id, offset, bases) of sequence lines.
 
-    A whole-file order is needed for offsets: line numbers come from partition and row, the contig by the last header
-    before, both as two-level running values, so no partition sees more than its own lines and one row per other one.
+    Offsets need each file's order: splits are told by file and first byte, lines by their row in the split, and the contig is that of the
+    last header before. Both are two-level running values, so no task sees more than a split's lines and a row for each other split of the file.
     """
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    lines = lines.withColumns({"_p": F.shiftright("_id", 33), "_h": F.startswith("value", F.lit(">"))})
-    inside = Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_p"), F.monotonically_increasing_id().alias("_id"))
+    split = ["_f", "_p"]
+    inside = Window.partitionBy(*split).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.startswith("value", F.lit(">"))
     name = F.when(F.col("_h"), F.regexp_extract("value", r"^>\s*(\S+)", 1))
     size = F.when(~F.col("_h"), F.length(F.trim("value"))).otherwise(0).cast("long")
-    local = lines.withColumns({"_name": F.last(name, ignorenulls=True).over(inside), "_size": size})
-    # each partition's last header and the bases after it carry on into the next partitions
+    local = lines.withColumn("_h", head).withColumns({"_name": F.last(name, ignorenulls=True).over(inside), "_size": size})
+    # each split's last header and the bases after it carry on into the file's next splits
     run = local.withColumn("_seg", F.sum(F.col("_h").cast("int")).over(inside))
-    part = run.groupBy("_p", "_seg").agg(F.sum("_size").alias("_b"), F.max("_name").alias("_n"))
-    ends = part.groupBy("_p").agg(F.max_by(F.struct(F.col("_n").alias("n"), F.col("_b").alias("b")), "_seg").alias("e"), F.max("_seg").alias("_s"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_p")
+    part = run.groupBy(*split, "_seg").agg(F.sum("_size").alias("_b"), F.max("_name").alias("_n"))
+    ends = part.groupBy(*split).agg(F.max_by(F.struct(F.col("_n").alias("n"), F.col("_b").alias("b")), "_seg").alias("e"), F.max("_seg").alias("_s"))
+    w = Window.partitionBy("_f").orderBy("_p")
     ends = ends.withColumn("_g", F.sum(F.when(F.col("_s") > 0, 1).otherwise(0)).over(w))
-    ends = ends.withColumns({"_carry_n": F.last(F.col("e.n"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    tail = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_carry_n", F.last(F.col("e.n"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    tail = Window.partitionBy("_f", "_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.withColumn("_run", F.sum(F.col("e.b")).over(tail)).withColumn("_carry_b", F.coalesce(F.lag("_run").over(w), F.lit(0)))
-    j = run.join(ends.select("_p", "_carry_n", "_carry_b"), "_p")
-    before = F.sum("_size").over(Window.partitionBy("_p", "_seg").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
+    j = run.join(ends.select(*split, "_carry_n", "_carry_b"), split)
+    before = F.sum("_size").over(Window.partitionBy(*split, "_seg").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
     j = j.withColumn("offset", F.coalesce(before, F.lit(0)) + F.when(F.col("_seg") == 0, F.col("_carry_b")).otherwise(F.lit(0)))
     return j.filter(~F.col("_h") & (F.col("_size") > 0)).select(F.coalesce("_name", "_carry_n").alias("chr_id"), F.col("offset").cast("long"), F.trim("value").alias("bases"))
 

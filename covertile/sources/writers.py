@@ -180,6 +180,27 @@ def write_by_sample(tables: dict[str, DataFrame], folder: str) -> None:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_alignments(lines: DataFrame, targets: DataFrame, folder: str) -> None:
+    """Alignment lines (value) as text files, each sorted by contig and position and with its own header.
+
+    ``targets`` (name, length, ord) are the contigs in order, a row each, small enough for one header. Files follow one another by ranges
+    of contig and position; lines of other contigs come last.
+    """
+    names = targets.orderBy("ord").select("name", "length").collect()
+    head = ["@HD\tVN:1.6\tSO:coordinate", *(f"@SQ\tSN:{t['name']}\tLN:{t['length']}" for t in names)]
+    p = F.split("value", "\t")
+    placed = lines.select("value", p[2].alias("name"), p[3].cast("long").alias("_pos")).join(targets.select("name", F.col("ord").alias("_ord")), "name", "left")
+    placed = placed.withColumn("_ord", F.coalesce(F.col("_ord").cast("long"), F.lit((1 << 63) - 1)))
+
+    def with_header(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])
+        for b in batches:
+            # named anew, since batches with and without nulls would have two schemas
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
+
+    placed.repartitionByRange("_ord", "_pos").sortWithinPartitions("_ord", "_pos", "value").select("value").mapInArrow(with_header, "value string").write.mode("overwrite").text(folder)
+
+
 def run_metadata(spark: SparkSession, provenance: dict, folder: str, tables: dict[str, DataFrame] | None = None) -> None:
     """One JSON row of provenance, a table of its scalar parameters, and the given tables (assembly, samples, inputs)."""
     for name, df in (tables or {}).items():

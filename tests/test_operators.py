@@ -14,7 +14,7 @@ from covertile import functions as fn
 from covertile import params, schemas
 from covertile.operators import assign, calibrate, classify, explore, intervals, mask, matching, metrics, payload, reads, registry, robust, scoring, segment, tiling
 from covertile.params import Params
-from covertile.sources import readers, writers
+from covertile.sources import ranges, readers, writers
 
 
 def test_finite_turns_nan_and_infinity_to_null(spark):
@@ -317,6 +317,71 @@ def test_fasta_offsets(spark, tmp_path):
     assert got == [("d1", 0, "ACGT"), ("d1", 4, "GG"), ("d2", 0, "TTTTT")]
 
 
+def test_fasta_files_of_several_splits(spark, tmp_path):
+    """Files whose splits are mixed by size when Spark packs them, each contig over several splits, lines of every length."""
+    rng = random.Random(5)
+    want = {}
+    for k, (contigs, lines) in enumerate([(3, 40), (2, 33), (1, 25)]):
+        text = []
+        for c in range(contigs):
+            seq = ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 30))) for _ in range(lines)]
+            want[f"f{k}c{c}"] = "".join(seq)
+            text += [f">f{k}c{c} text", *seq]
+        (tmp_path / f"{k}.fa").write_text("\n".join(text) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
+    try:
+        got = {}
+        for r in readers.fasta(spark, str(tmp_path)).orderBy("chr_id", "offset").collect():
+            assert r.offset == len(got.get(r.chr_id, ""))
+            got[r.chr_id] = got.get(r.chr_id, "") + r.bases
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_contigs_of_sorted_files_are_found_by_bisection(spark, tmp_path):
+    """A filter on contigs opens only their bytes in sorted files, everything in others, and never changes the lines."""
+    rng = random.Random(3)
+    line = lambda q, c, p: f"q{q}\t0\t{c}\t{p}\t60\t10M\t*\t0\t0\t{'A' * rng.randint(0, 90)}\t*"
+    names = ["c9", "c1", "c5", "c3", "none"]
+    rows = [line(q, c, rng.randint(1, 999)) for q, c in enumerate(["c9"] * 40 + ["c1"] * 3 + ["c5"] * 70 + ["c3"] * 50 + ["*"] * 9)]
+    head = ["@HD\tVN:1.6\tSO:coordinate", *(f"@SQ\tSN:{n}\tLN:1000" for n in names)]
+    (tmp_path / "sorted a.sam").write_text("\n".join(head + rows))
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    (tmp_path / "mixed.sam").write_text("\r\n".join(head[1:] + mixed) + "\r\n")
+    (tmp_path / "empty.sam").write_text("")
+    (tmp_path / "headers.sam").write_text("\n".join(head))
+    every = sorted((r.rname, r.value) for r in ranges.on_contigs(spark, str(tmp_path), 150).collect())
+    assert every == sorted((x.split("\t")[2], x) for x in rows * 2)
+    whole = ranges.on_contigs(spark, str(tmp_path / "sorted a.sam"), 150)
+    n = whole.rdd.getNumPartitions()
+    for wanted in (["c1"], ["c9"], ["c3", "c1"], ["none"], ["unknown"], ["*"], names):
+        df = ranges.on_contigs(spark, str(tmp_path), 150).filter(F.col("rname").isin(*wanted))
+        assert sorted((r.rname, r.value) for r in df.collect()) == [x for x in every if x[0] in wanted]
+        one = whole.filter(F.col("rname").isin(*wanted))
+        size = sum(len(x) + 1 for x in rows if x.split("\t")[2] in wanted)
+        if set(wanted) < set(names):
+            assert one.rdd.getNumPartitions() <= size // 150 + 1 + len(wanted) < n
+    both = whole.filter("rname = 'c5' and value like 'q50%'")
+    assert [r.rname for r in both.collect()] == ["c5"] and both.rdd.getNumPartitions() < n
+    keys = {r.path for r in readers.sam_lines(spark, str(tmp_path)).filter("value not like '@%'").select("path").distinct().collect()}
+    assert keys == {r.path for r in ranges.on_contigs(spark, str(tmp_path)).select("path").distinct().collect()}
+
+
+def test_written_alignments_are_sorted_and_read_again(spark, tmp_path):
+    rows = [(f"q{i}\t0\t{c}\t{i * 37 % 101 + 1}\t60\t5M\t*\t0\t0\t*\t*",) for i, c in enumerate(["b", "a", "x", "b"] * 30)]
+    targets = spark.createDataFrame([("b", 200, 0), ("a", 200, 1)], "name string, length int, ord int")
+    writers.write_alignments(spark.createDataFrame(rows, "value string"), targets, str(tmp_path / "s"))
+    for f in (tmp_path / "s").glob("part-*"):
+        lines = [x.split("\t") for x in f.read_text().splitlines()]
+        assert [x[0] for x in lines[:3]] == ["@HD", "@SQ", "@SQ"]
+        at = [("bax".index(x[2]), int(x[3])) for x in lines[3:]]
+        assert at == sorted(at)
+    got = ranges.on_contigs(spark, str(tmp_path / "s")).filter("rname = 'a'")
+    assert sorted(r.value for r in got.collect()) == sorted(v for (v,) in rows if v.split("\t")[2] == "a")
+
+
 def test_writers(spark, tmp_path):
     s = spark.createDataFrame([("a b",), ("A-B",), ("run",), ("..",)], "sample string")
     got = {r.sample: r.folder for r in writers.sample_folders(s).collect()}
@@ -578,6 +643,31 @@ def test_deep_windows_and_long_ranges(spark):
     assert got == {i: sum(a <= p < b for k, p in points if k == c) for i, c, a, b in ranges}
 
 
+def test_counts_do_not_depend_on_slices(spark):
+    """Deep and shallow windows, reads of several blocks, repeated rows: every number of slices says what sets of bases and names say."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(900):
+        window = 0 if rng.random() < 0.5 else rng.randint(1, 9)
+        a = window * 100 + rng.randint(0, 90)
+        rows += [("s", "c", window, f"r{i % 700}", i % 700 % 60, a, a + rng.randint(1, 100 - a % 100), i)] * rng.choice([1, 1, 2])
+    want = {}
+    for _, _, w, read, q, a, b, v in rows:
+        x = want.setdefault(w, (set(), set(), set(), []))
+        x[0].add(read), x[1].update([read] if q >= 30 else []), x[2].update(range(a, b)), x[3].append(v)
+    want = {w: (len(a), len(b), len(c), sum(d)) for w, (a, b, c, d) in want.items()}
+    df = spark.createDataFrame(rows, "sample string, chr_id string, iid long, read string, mapq int, clip_start long, clip_stop long, v long")
+    for slices in (1, 3, 64):
+        got = {r.iid: (r["count"], r.mapq_high, r.covered, r.v) for r in reads.count_windows(df, sums={"v": F.col("v")}, slices=slices).collect()}
+        assert got == want
+
+
+def test_run_coverage(spark):
+    m = spark.createDataFrame([("a", 0), ("b", 2), ("c", None), ("b", 0)], "sample string, count long")
+    assert tuple(metrics.run_coverage(m).first()) == (3, 2, "a")
+    assert tuple(metrics.run_coverage(m.limit(0)).first()) == (0, 0, None)
+
+
 def test_texts_of_missing_and_extreme_numbers(spark):
     rows = [(0.125, -1.5, 999, 1000), (None, None, None, 5), (float("nan"), 0.0, 7, None), (1.0, 2.0, None, None), (0.005, float("inf"), -1, 2_500_000)]
     df = spark.createDataFrame(rows, "f double, s double, a long, b long")
