@@ -63,13 +63,13 @@ def contig_reads(spark, sf_dir):
     return readers.alignments(lines).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rg")
 
 
-@query("""with d as (select doc_id, regexp_replace(upper(text), '[^A-Z]', '', 'g') as s from documents where text is not null), l as (select doc_id, s, length(s) as l from d where length(s) >= 10),
+@query("""with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents where text is not null), l as (select doc_id, s, length(s) as l from d where length(s) >= 10),
 w as (select *, unnest(generate_series(0, 9)) as iid from l), p as (select doc_id, iid, substr(s, (iid * l // 10 + 1)::int, ((iid + 1) * l // 10 - iid * l // 10)::int) as b from w)
-select 'd' || doc_id as chr_id, iid, (round(length(regexp_replace(b, '[^GC]', '', 'g'))::float / length(b)::float, 6) + 0.0)::double as gc from p""")
+select 'd' || doc_id as chr_id, iid, round((length(regexp_replace(b, '[^GC]', '', 'g'))::float / length(b)::float)::double, 6) as gc from p""")
 def sequence_gc(spark, sf_dir):
     """G and C in ten windows of sequences that were written as FASTA, in lines of 60, and read again."""
     folder = scratch(spark)
-    d = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), _text("doc_id")).alias("chr_id"), F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("s")).filter("length(s) >= 10")
+    d = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), _text("doc_id")).alias("chr_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("s")).filter("length(s) >= 10")
     d.select(F.concat(F.lit(">"), "chr_id", F.lit("\n"), F.regexp_replace("s", "(.{60})(?=.)", "$1\n")).alias("value")).write.text(folder)
     lines = saved(readers.fasta(spark, folder))
     lengths = lines.groupBy("chr_id").agg(F.sum(F.length("bases")).cast("long").alias("length"))
