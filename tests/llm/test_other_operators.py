@@ -165,8 +165,11 @@ def test_messages_without_a_tree_are_one_tree(spark, limit):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
-    table = {"op2": "embeddings", "op10": "conversations"}.get(name.split("_")[0], "documents")
+    table = {"op2": "embeddings", "op10": "conversations", "op12": "conversations"}.get(name.split("_")[0], "documents")
     if table == "documents":
         assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    elif name.startswith("op12_"):
+        # a row for each node: the root has every conversation
+        assert df.filter("depth = 0").first().n_convs == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
     else:
         assert df.count() > 0
