@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,13 +136,34 @@ def choose(rows: list[tuple[int, int, float]]) -> list[int]:
 
 
 def select_non_overlapping(df: DataFrame, by: list[str], start: str, end: str, weight: str) -> DataFrame:
-    """The rows of each group that don't overlap and weigh most in all. A group is one contig's candidates."""
+    """The rows of each group that don't overlap and weigh most in all. A group is one contig's candidates.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([end, start, weight], kind="stable").reset_index(drop=True)
-        return pdf.iloc[choose(list(zip(pdf[start], pdf[end], pdf[weight], strict=True)))]
-
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    Sorted groups pass through a task one behind the other, in batches that don't end with them: many small groups cost what their rows do.
+    """
+    w = Window.partitionBy(*by).orderBy(*(F.col(c).asc_nulls_last() for c in (end, start, weight)))
+
+    def chosen(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held) if held else None
+        if not t:
+            return
+        first = np.flatnonzero(t["_first"].to_numpy()).tolist()
+        rows = list(zip(*(t[c].to_pandas().tolist() for c in (start, end, weight)), strict=True))
+        keep = [a + i for a, z in zip(first, [*first[1:], len(rows)], strict=True) for i in choose(rows[a:z])]
+        yield from t.drop_columns(["_first"]).take(keep).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            first = np.flatnonzero(b.column("_first").to_numpy(zero_copy_only=False))
+            if len(first):
+                at = int(first[-1])
+                yield from chosen([*held, b.slice(0, at)])
+                held = [b.slice(at)]
+            else:
+                held.append(b)
+        yield from chosen(held)
+
+    return df.withColumn("_first", F.row_number().over(w) == 1).mapInArrow(run, df.schema)
 
 
 def heat_bins(profile: DataFrame, calls: DataFrame, by: list[str], n: int, bins: int = 120) -> DataFrame:

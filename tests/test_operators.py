@@ -108,6 +108,23 @@ def test_choose_is_optimal():
         assert sum(rows[i][2] for i in intervals.choose(rows)) == best
 
 
+def test_select_non_overlapping_takes_many_groups_together(spark):
+    rng = random.Random(7)
+    rows = [(k if k else None, i, (a := rng.randrange(60)), a + rng.randint(0, 9), float(rng.randint(-1, 9)) + i / 64) for k in range(40) for i in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "k long, i long, a long, b long, w double").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = intervals.select_non_overlapping(df, ["k"], "a", "b", "w")
+        got = sorted(r.i + 100 * (r.k or 0) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    groups = [[r for r in rows if (r[0] or 0) == k] for k in range(40)]
+    assert got == sorted(g[j][1] + 100 * k for k, g in enumerate(groups) for j in intervals.choose([r[2:] for r in g]))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # a call of Python for each group took 7 ms
+    assert intervals.select_non_overlapping(df.filter("i < 0"), ["k"], "a", "b", "w").count() == 0
+
+
 def brute_matching(edges):
     """Largest sum of gains of a one-to-one matching."""
     rights = sorted({b for _, b, _ in edges})
