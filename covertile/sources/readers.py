@@ -16,13 +16,14 @@ def sam_lines(spark: SparkSession, path: str) -> DataFrame:
 def alignments(lines: DataFrame) -> DataFrame:
     """Reads (path, read, qname, flag, rname, pos 0-based, mapq, cigar, rg) of alignment lines.
 
-    ``read`` is a key made from the line, as SAM has none; equal lines of a file share it.
+    ``read`` is a key made from the line, as SAM has none; equal lines of a file share it. Fields are split by a generator, which filters
+    on the reads don't pass, so a line is made and split once, not once for each condition.
     """
-    p = F.split("value", "\t")
-    rg = F.regexp_extract("value", r"\tRG:Z:([^\t]*)", 1)
-    rows = lines.filter(~F.startswith("value", F.lit("@")) & (F.size(p) >= 11))
+    p = F.col("_p")
+    rows = lines.select("path", "value", F.explode(F.array(F.split("value", "\t", 12))).alias("_p")).filter(~F.startswith(p[0], F.lit("@")) & (F.size(p) >= 11))
+    rg = F.nullif(F.regexp_extract("value", r"\tRG:Z:([^\t]*)", 1), F.lit(""))
     return rows.select(
-        "path", F.xxhash64("path", "value").alias("read"), p[0].alias("qname"), p[1].cast("int").alias("flag"), p[2].alias("rname"), (p[3].cast("long") - 1).alias("pos"), p[4].cast("int").alias("mapq"), p[5].alias("cigar"), F.when(rg != "", rg).alias("rg"),
+        "path", F.xxhash64("path", "value").alias("read"), p[0].alias("qname"), p[1].cast("int").alias("flag"), p[2].alias("rname"), (p[3].cast("long") - 1).alias("pos"), p[4].cast("int").alias("mapq"), p[5].alias("cigar"), rg.alias("rg"),
     )
 
 

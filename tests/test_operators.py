@@ -125,6 +125,16 @@ def test_select_non_overlapping_takes_many_groups_together(spark):
     assert intervals.select_non_overlapping(df.filter("i < 0"), ["k"], "a", "b", "w").count() == 0
 
 
+def test_alignment_lines_are_made_and_split_once(spark):
+    line = "\t".join(["r1", "16", "d1", "11", "60", "50M", "*", "0", "0", "*", "*", "NM:i:0", "RG:Z:a"])
+    lines = [line, line.replace("r1", "@r"), line.replace("60", "10"), line[: line.index("\tNM")], "a\tb", "", None]
+    df = spark.createDataFrame([(v,) for v in lines], "v string").select(F.lit("f.sam").alias("path"), F.regexp_replace("v", "\r$", "").alias("value"))
+    out = reads.passing(readers.alignments(df), 20)
+    assert [(r.qname, r.flag, r.rname, r.pos, r.mapq, r.cigar, r.rg) for r in out.orderBy("rg").collect()] == [("r1", 16, "d1", 10, 60, "50M", rg) for rg in (None, "a")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_replace(") == 1  # conditions had their own copies of the line
+
+
 def brute_matching(edges):
     """Largest sum of gains of a one-to-one matching."""
     rights = sorted({b for _, b, _ in edges})
