@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covertile.functions import aligned_bases, cigar_blocks, reference_end, whole_div, window_of
+from covertile.plans.tables import saved
 
 PIPELINE_MASK = 1796
 RANGE_MASK = 2308
@@ -108,10 +109,12 @@ def ranks(points: DataFrame, places: DataFrame) -> DataFrame:
 
     A tree of digits: each node knows how many points each of its up to 128 children has. Before a place lie, at each level, the smaller
     siblings of its digit, so a place looks up LEVELS nodes, wherever it is. Points are counted by position, then by child, before they move.
+    The lowest nodes are written once, as both the nodes above and the places read them.
     """
     digit = lambda c, k=0: F.shiftright(c, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     deep = points.groupBy("chr_id", F.col("pos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
     lowest = deep.groupBy("chr_id", F.shiftright("pos", BITS).alias("parent")).agg(F.collect_list(F.struct(digit(F.col("pos")).alias("digit"), "n")).alias("children"), F.sum("n").alias("n"))
+    lowest = saved(lowest)
     above = lowest.select("chr_id", "n", F.explode(F.slice(_digits(F.shiftleft("parent", BITS)), 2, LEVELS)).alias("d")).groupBy("chr_id", "d.level", "d.parent", "d.digit").agg(F.sum("n").alias("n"))
     nodes = above.groupBy("chr_id", "level", "parent").agg(F.collect_list(F.struct("digit", "n")).alias("children")).unionByName(lowest.select("chr_id", F.lit(0).alias("level"), "parent", "children"))
     asked = places.select("chr_id", "at").distinct()

@@ -135,6 +135,14 @@ def test_alignment_lines_are_made_and_split_once(spark):
     assert plan.count("split(") == 1 and plan.count("regexp_replace(") == 1  # conditions had their own copies of the line
 
 
+def test_points_of_ranges_are_read_once(spark):
+    points = spark.range(3000).select(F.regexp_replace(F.lit("d1"), "x", "y").alias("chr_id"), (F.col("id") * 7).alias("pos"))
+    wanted = spark.createDataFrame([(1, "d1", 0, 21000), (2, "d1", 7, 8), (3, "d1", 8, 14), (4, "d2", 0, 9)], "range_id long, chr_id string, start long, stop long")
+    out = reads.count_ranges(points, wanted)
+    assert {r.range_id: r.n for r in out.collect()} == {1: 3000, 2: 1, 3: 0, 4: 0}
+    assert "regexp_replace(" not in out._jdf.queryExecution().optimizedPlan().toString()  # the nodes and those above each read the points
+
+
 def brute_matching(edges):
     """Largest sum of gains of a one-to-one matching."""
     rights = sorted({b for _, b, _ in edges})
