@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covertile.functions import stem
+from covertile.plans.tables import saved
 
 
 def sam_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -91,32 +97,50 @@ def totals(contigs: DataFrame, manifest: DataFrame) -> DataFrame:
     return a.select("list", F.explode(bad).alias("rule"))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a scan with ``_seg``, the headers before in their split, ``_name``, the last of those, and ``_at``, the bases since."""
+    last, seg, name, at = None, 0, None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        f, p, n = b.column("_f"), b.column("_p").to_numpy(), b.column("_n")
+        i, size, head = np.arange(b.num_rows), b.column("_size").to_numpy(), n.is_valid().to_numpy(zero_copy_only=False)
+        new = np.concatenate([[(f[0].as_py(), p[0]) != last], pc.not_equal(f.slice(1), f.slice(0, len(f) - 1)).to_numpy(zero_copy_only=False) | (p[1:] != p[:-1])])
+        begun = np.maximum.accumulate(np.where(new, i, -1))  # -1: what the batch before left goes on
+        heads = np.cumsum(head)
+        segs = heads - np.where(begun >= 0, (heads - head)[begun], -seg)
+        named = np.maximum.accumulate(np.where(head, i, -1))
+        names = pa.concat_arrays([pa.array([name], n.type), n]).take(pa.array(named + 1, mask=(named < begun)))
+        before, reset = np.cumsum(size) - size, np.maximum(begun, named)
+        ats = before - np.where(reset >= 0, before[reset], -at)
+        last, seg, name, at = (f[-1].as_py(), p[-1]), int(segs[-1]), names[-1].as_py(), int(ats[-1] + size[-1])
+        yield pa.RecordBatch.from_arrays([f, b.column("_p"), b.column("bases"), b.column("_size"), pa.array(segs, pa.int64()), names, pa.array(ats, pa.int64())], names=["_f", "_p", "bases", "_size", "_seg", "_name", "_at"])
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(chr_id, offset, bases) of sequence lines.
 
-    Offsets need each file's order: splits are told by file and first byte, lines by their row in the split, and the contig is that of the
-    last header before. Both are two-level running values, so no task sees more than a split's lines and a row for each other split of the file.
+    Offsets need each file's order: splits are told by file and first byte, and a task reads a split's lines in order, so running values inside
+    a split need neither a sort nor a shuffle of lines. What a split hands on is one row, its last header and the bases behind it; these rows
+    (one for each 128 MB) are broadcast to the lines, which are written once.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_p"), F.monotonically_increasing_id().alias("_id"))
-    split = ["_f", "_p"]
-    inside = Window.partitionBy(*split).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.startswith("value", F.lit(">"))
-    name = F.when(F.col("_h"), F.regexp_extract("value", r"^>\s*(\S+)", 1))
-    size = F.when(~F.col("_h"), F.length(F.trim("value"))).otherwise(0).cast("long")
-    local = lines.withColumn("_h", head).withColumns({"_name": F.last(name, ignorenulls=True).over(inside), "_size": size})
+    head, bases = F.startswith("value", F.lit(">")), F.trim("value")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_p"), F.when(head, F.regexp_extract("value", r"^>\s*(\S+)", 1)).alias("_n"), F.when(~head, bases).alias("bases"),
+        F.when(head, 0).otherwise(F.length(bases)).cast("long").alias("_size"),
+    )
+    run = saved(lines.mapInArrow(_running, "_f string, _p long, bases string, _size long, _seg long, _name string, _at long"))
+    split, end = ["_f", "_p"], F.col("_at") + F.col("_size")
     # each split's last header and the bases after it carry on into the file's next splits
-    run = local.withColumn("_seg", F.sum(F.col("_h").cast("int")).over(inside))
-    part = run.groupBy(*split, "_seg").agg(F.sum("_size").alias("_b"), F.max("_name").alias("_n"))
-    ends = part.groupBy(*split).agg(F.max_by(F.struct(F.col("_n").alias("n"), F.col("_b").alias("b")), "_seg").alias("e"), F.max("_seg").alias("_s"))
+    ends = run.groupBy(*split).agg(F.max_by(F.struct(F.col("_name").alias("n"), end.alias("b")), F.struct("_seg", end)).alias("e"), F.max("_seg").alias("_s"))
     w = Window.partitionBy("_f").orderBy("_p")
     ends = ends.withColumn("_g", F.sum(F.when(F.col("_s") > 0, 1).otherwise(0)).over(w))
     ends = ends.withColumn("_carry_n", F.last(F.col("e.n"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     tail = Window.partitionBy("_f", "_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.withColumn("_run", F.sum(F.col("e.b")).over(tail)).withColumn("_carry_b", F.coalesce(F.lag("_run").over(w), F.lit(0)))
-    j = run.join(ends.select(*split, "_carry_n", "_carry_b"), split)
-    before = F.sum("_size").over(Window.partitionBy(*split, "_seg").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
-    j = j.withColumn("offset", F.coalesce(before, F.lit(0)) + F.when(F.col("_seg") == 0, F.col("_carry_b")).otherwise(F.lit(0)))
-    return j.filter(~F.col("_h") & (F.col("_size") > 0)).select(F.coalesce("_name", "_carry_n").alias("chr_id"), F.col("offset").cast("long"), F.trim("value").alias("bases"))
+    j = run.filter(F.col("_size") > 0).join(F.broadcast(ends.select(*split, "_carry_n", "_carry_b")), split)
+    offset = F.col("_at") + F.when(F.col("_seg") == 0, F.col("_carry_b")).otherwise(F.lit(0))
+    return j.select(F.coalesce("_name", "_carry_n").alias("chr_id"), offset.cast("long").alias("offset"), "bases")
 
 
 def checked_alignments(reads: DataFrame, targets: DataFrame, headers: DataFrame) -> DataFrame:

@@ -374,6 +374,28 @@ def test_fasta_files_of_several_splits(spark, tmp_path):
     assert got == want
 
 
+def test_fasta_lines_are_not_sorted(spark, tmp_path):
+    rng = random.Random(5)
+    made = {f"s{i}": "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 59, 60, 61, 700]))) for i in range(60)}
+    (tmp_path / "a.fa").write_text("".join(f">{k} note\n" + "".join(f"{v[i : i + 60]} \n" for i in range(0, len(v), 60)) for k, v in made.items()))
+    keys = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        out = readers.fasta(spark, str(tmp_path))
+        got = {}
+        for r in out.orderBy("chr_id", "offset").collect():
+            assert r.offset == len(got.get(r.chr_id, ""))
+            got[r.chr_id] = got.get(r.chr_id, "") + r.bases
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {k: v for k, v in made.items() if v}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_size" in plan and "sum(_size" not in plan  # running sums over the lines sorted each split in a task
+
+
 def test_contigs_of_sorted_files_are_found_by_bisection(spark, tmp_path):
     """A filter on contigs opens only their bytes in sorted files, everything in others, and never changes the lines."""
     rng = random.Random(3)
