@@ -58,28 +58,37 @@ def union_length(rows: DataFrame, keys: list[str], start: str = "clip_start", st
     return longest.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").cast("long").alias("covered"))
 
 
-def count_windows(pieces: DataFrame, high_mapq: int = 30, sums: dict[str, Column] | None = None, slices: int = 64) -> DataFrame:
+def count_windows(pieces: DataFrame, high_mapq: int = 30, sums: dict[str, Column] | None = None, slices: int = 4) -> DataFrame:
     """(sample, chr_id, iid, count, mapq_high, covered, …): reads count once in a window, all their blocks cover.
 
     ``pieces`` are rows of ``in_windows`` with read and mapq; ``sums`` are further sums over the pieces, by name. Reads are told by 64-bit
-    hashes of their names. A window's reads are dealt by that hash to ``slices``: each unites its own intervals to disjoint
-    ones, with how many reads began in them, and only those meet in the window's task. So a window of any depth brings
-    it no more rows than disjoint intervals fit into a window, for each slice.
+    hashes of their names, a read's mapping quality in a window is its best. A piece gives a row for its read and a row for each stretch of
+    ``slices`` times 64 bases that it meets, with its bases as bits; one grouping tells reads apart and unites bits, without a sort. So a window of
+    any depth brings no more rows of bases than it has stretches. Rows of reads name sample and contig by a hash; the rows of bases know it.
     """
-    keys = ["sample", "chr_id", "iid"]
-    sums = sums or {}
-    pieces = pieces.withColumns({"_read": F.xxhash64("read"), **{f"_s_{k}": c for k, c in sums.items()}}).withColumn("_slice", F.pmod("_read", F.lit(slices)).cast("int"))
-    w = Window.partitionBy(*keys, "_slice").orderBy("clip_start", "clip_stop")
-    far = F.max("clip_stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(F.col("clip_start") > F.col("_far"), F.lit(True)).cast("int")
-    marked = pieces.withColumn("_far", far).withColumn("_island", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "_slice", "_read").orderBy("clip_start", "clip_stop")) == 1)
-    islands = marked.groupBy(*keys, "_slice", "_island").agg(
-        F.min("clip_start").alias("_a"), F.max("clip_stop").alias("_b"), F.count_if("_first").alias("count"), F.count_if(F.col("_first") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), *(F.sum(f"_s_{k}").alias(k) for k in sums)
+    keys, sums = ["sample", "chr_id", "iid"], sums or {}
+    size = 64 * slices
+    stretch = lambda c: whole_div(c, F.lit(size))
+    p = pieces.select(*keys, "mapq", "clip_start", "clip_stop", F.xxhash64("read").alias("_read"), F.xxhash64("sample", F.lit(0), "chr_id").alias("_of"), stretch(F.col("clip_start")).alias("_first"), *(c.alias(f"_s_{k}") for k, c in sums.items()))
+    p = p.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1).cast("long"), stretch(F.col("clip_stop") - 1) - F.col("_first") + 1))))
+    seen = F.col("_k") == 0
+    at = F.col("_first") + F.col("_k") - 1
+    p = p.select(
+        *(F.when(~seen, F.col(c)).alias(c) for c in ("sample", "chr_id")), "iid", "_of", seen.alias("_seen"), F.when(seen, F.col("_read")).otherwise(at).alias("_at"), F.when(seen, F.col("mapq")).alias("mapq"),
+        F.when(seen, 0).otherwise(F.col("clip_start") - at * size).alias("_a"), F.when(seen, 0).otherwise(F.col("clip_stop") - at * size).alias("_b"), *(F.when(seen, F.col(f"_s_{k}")).alias(k) for k in sums),
     )
-    over = F.max("_b").over(Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce(over, F.col("_a"))))
-    return islands.withColumn("_new", new).groupBy(*keys).agg(F.sum("count").alias("count"), F.sum("mapq_high").alias("mapq_high"), F.sum("_new").cast("long").alias("covered"), *(F.sum(k).alias(k) for k in sums))
+
+    def bits(i: int) -> Column:
+        a, b = (F.greatest(F.lit(0), F.least(F.lit(64), F.col(c) - 64 * i)).cast("int") for c in ("_a", "_b"))
+        every = F.lit(-1).cast("long")
+        return F.when(a < b, F.call_function("shiftleft", every, a).bitwiseAND(F.call_function("shiftrightunsigned", every, 64 - b))).otherwise(F.lit(0).cast("long"))
+
+    names = [f"_m{i}" for i in range(slices)]
+    once = p.groupBy("sample", "chr_id", "iid", "_of", "_seen", "_at").agg(F.max("mapq").alias("mapq"), *(F.bit_or(bits(i)).alias(m) for i, m in enumerate(names)), *(F.sum(k).alias(k) for k in sums))
+    covered = sum((F.bit_count(m) for m in names[1:]), F.bit_count(names[0]))
+    parts = once.groupBy(*keys, "_of").agg(F.count_if("_seen").alias("count"), F.count_if(F.col("_seen") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), F.sum(covered).alias("covered"), *(F.sum(k).alias(k) for k in sums))
+    whole = parts.groupBy("iid", "_of").agg(*(F.max(c).alias(c) for c in ("sample", "chr_id")), *(F.sum(c).alias(c) for c in ("count", "mapq_high", "covered", *sums)))
+    return whole.select(*keys, "count", "mapq_high", F.col("covered").cast("long").alias("covered"), *sums)
 
 
 def on_grid(counts: DataFrame, windows: DataFrame, samples: DataFrame) -> DataFrame:

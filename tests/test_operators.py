@@ -719,6 +719,17 @@ def test_counts_do_not_depend_on_slices(spark):
         assert got == want
 
 
+def test_windows_are_counted_without_sorts(spark):
+    """Intervals at the borders of stretches and over many of them; a read's quality in a window is its best; samples and contigs without names stay apart."""
+    spans = [(0, 1), (63, 64), (63, 65), (255, 257), (256, 512), (300, 310), (305, 320), (1000, 9_000), (8_990, 9_001), (1 << 40, (1 << 40) + 64)]
+    rows = [("S", "c", 0, f"r{i}", 10, a, b) for i, (a, b) in enumerate(spans)] + [("S", "c", 0, "r0", 60, 5, 6), (None, "c", 0, "r0", 30, 5, 6), ("S", None, 0, "r0", 29, 5, 7), (None, "c", 1, "r0", None, 5, 8), ("c", None, 1, "r0", 30, 5, 9)]
+    df = spark.createDataFrame(rows, "sample string, chr_id string, iid long, read string, mapq int, clip_start long, clip_stop long")
+    out = reads.count_windows(df)
+    bases = set().union(*(range(a, b) for a, b in spans), {5})
+    assert {tuple(r) for r in out.collect()} == {("S", "c", 0, len(spans), 1, len(bases)), (None, "c", 0, 1, 1, 1), ("S", None, 0, 1, 0, 2), (None, "c", 1, 1, 0, 3), ("c", None, 1, 1, 1, 4)}
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # sorted every piece twice, and once more for each window
+
+
 def test_run_coverage(spark):
     m = spark.createDataFrame([("a", 0), ("b", 2), ("c", None), ("b", 0)], "sample string, count long")
     assert tuple(metrics.run_coverage(m).first()) == (3, 2, "a")
