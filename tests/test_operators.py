@@ -14,6 +14,7 @@ from covertile import functions as fn
 from covertile import params, schemas
 from covertile.operators import assign, calibrate, classify, explore, intervals, mask, matching, metrics, payload, reads, registry, robust, scoring, segment, tiling
 from covertile.params import Params
+from covertile.plans import surface
 from covertile.sources import ranges, readers, writers
 
 
@@ -143,6 +144,11 @@ def test_points_of_ranges_are_read_once(spark):
     assert "regexp_replace(" not in out._jdf.queryExecution().optimizedPlan().toString()  # the nodes and those above each read the points
 
 
+def test_five_prime_ends_split_each_line_once(spark, sf):
+    plan = surface.five_prime_ends(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # each condition on reads had made and split the line anew
+
+
 def brute_matching(edges):
     """Largest sum of gains of a one-to-one matching."""
     rights = sorted({b for _, b, _ in edges})
