@@ -58,36 +58,35 @@ def union_length(rows: DataFrame, keys: list[str], start: str = "clip_start", st
     return longest.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").cast("long").alias("covered"))
 
 
-def count_windows(pieces: DataFrame, high_mapq: int = 30, sums: dict[str, Column] | None = None, slices: int = 4) -> DataFrame:
+def count_windows(pieces: DataFrame, high_mapq: int = 30, sums: dict[str, Column] | None = None, slices: int = 4, read: str = "read") -> DataFrame:
     """(sample, chr_id, iid, count, mapq_high, covered, …): reads count once in a window, all their blocks cover.
 
-    ``pieces`` are rows of ``in_windows`` with read and mapq; ``sums`` are further sums over the pieces, by name. Reads are told by 64-bit
-    hashes of their names, a read's mapping quality in a window is its best. A piece gives a row for its read and a row for each stretch of
-    ``slices`` times 64 bases that it meets, with its bases as bits; one grouping tells reads apart and unites bits, without a sort. So a window of
-    any depth brings no more rows of bases than it has stretches. Rows of reads name sample and contig by a hash; the rows of bases know it.
+    ``pieces`` are rows of ``in_windows`` with mapq and a column ``read`` that tells reads apart, by its 64-bit hash; a read's mapping quality in a
+    window is its best. ``sums`` are further sums over the pieces, by name. Pieces are written once, narrow, and grouped in two ways without a sort: by read, as rows of three
+    numbers, and by stretch of ``slices`` times 64 bases, as bits. The stretches of a window are few and a split of the table has millions of pieces, so most
+    pieces meet their stretch before the shuffle. The rows of reads name sample, contig and window by a hash; the rows of bases know them.
     """
     keys, sums = ["sample", "chr_id", "iid"], sums or {}
     size = 64 * slices
-    stretch = lambda c: whole_div(c, F.lit(size))
-    p = pieces.select(*keys, "mapq", "clip_start", "clip_stop", F.xxhash64("read").alias("_read"), F.xxhash64("sample", F.lit(0), "chr_id").alias("_of"), stretch(F.col("clip_start")).alias("_first"), *(c.alias(f"_s_{k}") for k, c in sums.items()))
-    p = p.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1).cast("long"), stretch(F.col("clip_stop") - 1) - F.col("_first") + 1))))
-    seen = F.col("_k") == 0
-    at = F.col("_first") + F.col("_k") - 1
-    p = p.select(
-        *(F.when(~seen, F.col(c)).alias(c) for c in ("sample", "chr_id")), "iid", "_of", seen.alias("_seen"), F.when(seen, F.col("_read")).otherwise(at).alias("_at"), F.when(seen, F.col("mapq")).alias("mapq"),
-        F.when(seen, 0).otherwise(F.col("clip_start") - at * size).alias("_a"), F.when(seen, 0).otherwise(F.col("clip_stop") - at * size).alias("_b"), *(F.when(seen, F.col(f"_s_{k}")).alias(k) for k in sums),
-    )
+    p = saved(pieces.select(*keys, "mapq", "clip_start", (F.col("clip_stop") - F.col("clip_start")).alias("_size"), F.xxhash64(read).alias("_read"), *(c.alias(f"_s_{k}") for k, c in sums.items())))
+    of = F.xxhash64("sample", F.lit(0), "chr_id", F.lit(0), "iid").alias("_of")
+    seen = p.groupBy(of, "_read").agg(F.max("mapq").alias("mapq"))
+    seen = seen.groupBy("_of").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("mapq") >= high_mapq).alias("mapq_high"))
+
+    first, last = whole_div(F.col("clip_start"), F.lit(size)), whole_div(F.col("clip_start") + F.col("_size") - 1, F.lit(size))
+    at = p.withColumns({"_first": first, "_at": F.explode(F.sequence(first, F.greatest(first, last)))})
+    a = F.col("clip_start") - F.col("_at") * size
 
     def bits(i: int) -> Column:
-        a, b = (F.greatest(F.lit(0), F.least(F.lit(64), F.col(c) - 64 * i)).cast("int") for c in ("_a", "_b"))
+        lo, hi = (F.greatest(F.lit(0), F.least(F.lit(64), c - 64 * i)).cast("int") for c in (a, a + F.col("_size")))
         every = F.lit(-1).cast("long")
-        return F.when(a < b, F.call_function("shiftleft", every, a).bitwiseAND(F.call_function("shiftrightunsigned", every, 64 - b))).otherwise(F.lit(0).cast("long"))
+        return F.when(lo < hi, F.call_function("shiftleft", every, lo).bitwiseAND(F.call_function("shiftrightunsigned", every, 64 - hi))).otherwise(F.lit(0).cast("long"))
 
     names = [f"_m{i}" for i in range(slices)]
-    once = p.groupBy("sample", "chr_id", "iid", "_of", "_seen", "_at").agg(F.max("mapq").alias("mapq"), *(F.bit_or(bits(i)).alias(m) for i, m in enumerate(names)), *(F.sum(k).alias(k) for k in sums))
+    once = at.groupBy(*keys, "_at").agg(*(F.bit_or(bits(i)).alias(m) for i, m in enumerate(names)), *(F.sum(F.when(F.col("_at") == F.col("_first"), F.col(f"_s_{k}"))).alias(k) for k in sums))
     covered = sum((F.bit_count(m) for m in names[1:]), F.bit_count(names[0]))
-    parts = once.groupBy(*keys, "_of").agg(F.count_if("_seen").alias("count"), F.count_if(F.col("_seen") & (F.col("mapq") >= high_mapq)).alias("mapq_high"), F.sum(covered).alias("covered"), *(F.sum(k).alias(k) for k in sums))
-    whole = parts.groupBy("iid", "_of").agg(*(F.max(c).alias(c) for c in ("sample", "chr_id")), *(F.sum(c).alias(c) for c in ("count", "mapq_high", "covered", *sums)))
+    bases = once.groupBy(*keys).agg(F.sum(covered).alias("covered"), *(F.sum(k).alias(k) for k in sums)).select(*keys, of, "covered", *sums)
+    whole = bases.unionByName(seen, allowMissingColumns=True).groupBy("_of").agg(*(F.max(c).alias(c) for c in keys), *(F.sum(c).alias(c) for c in ("count", "mapq_high", "covered", *sums)))
     return whole.select(*keys, "count", "mapq_high", F.col("covered").cast("long").alias("covered"), *sums)
 
 

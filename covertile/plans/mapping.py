@@ -66,8 +66,12 @@ def intervals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("l_linestatus") == "F"
     j = j.withColumn("role", F.when((F.col("l_returnflag") == "R") | ((F.col("kind") == "swap") & f), "donor").otherwise("recipient"))
     size = F.when(F.col("kind").isin("less", "both") & (F.col("role") == "recipient"), 1).when(F.col("kind").isin("more", "both") & f & (F.col("role") == "donor"), F.col("l_quantity").cast("long") * 6).otherwise(F.col("l_quantity").cast("long"))
+    name = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    read = F.concat_ws("-", *(F.col(c).cast("string") for c in name))
+    # equal for equal names, which leave out a NULL
+    key = F.when(F.col("l_linenumber").isNotNull() & F.col("l_partkey").isNotNull(), F.xxhash64(*name)).otherwise(F.xxhash64(read))
     return j.select(
-        F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("read"), "sample", "grp", "role", F.col("l_linestatus").alias("component"), F.concat_ws("_", "grp", "role", "l_linestatus").alias("chr_id"),
+        read.alias("read"), key.alias("read_key"), "sample", "grp", "role", F.col("l_linestatus").alias("component"), F.concat_ws("_", "grp", "role", "l_linestatus").alias("chr_id"),
         "start", (F.col("start") + size).alias("stop"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"),  # whole per cent, so that sums are exact
     )
 
@@ -86,7 +90,7 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of windows, with the tax of the lines that begin in them; one scan of the lines."""
     begins: Column = F.col("clip_start") == F.col("start")
-    return reads.count_windows(pieces(spark, sf_dir), sums={"tax": F.when(begins, F.col("tax")), "begun": begins.cast("int")})
+    return reads.count_windows(pieces(spark, sf_dir), sums={"tax": F.when(begins, F.col("tax")), "begun": begins.cast("int")}, read="read_key")
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def tile_exact_n(spark, sf_dir):
 
 @query(f'with {READS} select sample, chr_id, iid, "count", mapq_high from cnt')
 def window_counts(spark, sf_dir):
-    return reads.count_windows(mp.pieces(spark, sf_dir)).select("sample", "chr_id", "iid", "count", "mapq_high")
+    return reads.count_windows(mp.pieces(spark, sf_dir), read="read_key").select("sample", "chr_id", "iid", "count", "mapq_high")
 
 
 @query(f"with {READS} select sample, chr_id, iid, covered from cov")

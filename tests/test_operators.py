@@ -14,6 +14,7 @@ from covertile import functions as fn
 from covertile import params, schemas
 from covertile.operators import assign, calibrate, classify, explore, intervals, mask, matching, metrics, payload, reads, registry, robust, scoring, segment, tiling
 from covertile.params import Params
+from covertile.plans import mapping as mp
 from covertile.plans import surface
 from covertile.sources import ranges, readers, writers
 
@@ -736,6 +737,36 @@ def test_windows_are_counted_without_sorts(spark):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # sorted every piece twice, and once more for each window
 
 
+def test_windows_are_counted_from_a_narrow_table(spark):
+    """Pieces are made once, reads move without names of samples and contigs, and bases don't move as rows of reads."""
+    rows = [("S", "c", i % 3, f"r{i % 50}", i, i % 3 * 1000 + i, i % 3 * 1000 + i + 300) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample string, chr_id string, iid long, name string, mapq int, clip_start long, clip_stop long").withColumn("read", F.regexp_replace("name", "r", "q"))
+    out = reads.count_windows(df, sums={"v": F.col("mapq")})
+    want = {}
+    for _, _, w, name, q, a, b in rows:
+        x = want.setdefault(w, ({}, set(), []))
+        x[0][name] = max(q, x[0].get(name, 0))
+        x[1].update(range(a, b)), x[2].append(q)
+    assert {r.iid: (r["count"], r.mapq_high, r.covered, r.v) for r in out.collect()} == {w: (len(a), sum(q >= 30 for q in a.values()), len(b), sum(c)) for w, (a, b, c) in want.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" not in plan  # rows of reads and of bases were one wide grouping over the pieces' own plan
+    by_read = [line.split("], [")[0] for line in plan.splitlines() if "Aggregate [" in line and "_read#" in line.split("], [")[0]]
+    assert by_read and not any(c in line for line in by_read for c in ("sample#", "chr_id#", "_m0#"))
+
+
+def test_reads_of_lines_are_told_apart_as_their_names(spark, sf, tmp_path):
+    """Keys made of numbers count whole repeated lines once and names that leave out different NULLs as one, as the names do."""
+    for t in ("orders", "customer", "supplier", "nation", "region"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey < 40")
+    one = li.limit(1).withColumns({"l_linenumber": F.lit(None).cast("int"), "l_partkey": F.lit(7).cast("long")})
+    odd = one.unionByName(one.withColumns({"l_linenumber": F.lit(7), "l_partkey": F.lit(None).cast("long")}))
+    li.unionByName(li.filter("l_linenumber = 1")).unionByName(odd).select(*spark.read.parquet(f"{sf}/lineitem.parquet").columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    i = mp.intervals_of(spark, str(tmp_path))
+    a = i.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("read").alias("names"), F.count_distinct("read_key").alias("keys"), F.count_distinct("read", "read_key").alias("both")).first()
+    assert a.n > a.names == a.keys == a.both
+
+
 def test_run_coverage(spark):
     m = spark.createDataFrame([("a", 0), ("b", 2), ("c", None), ("b", 0)], "sample string, count long")
     assert tuple(metrics.run_coverage(m).first()) == (3, 2, "a")
